@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .decontam import OP10_SQL, op10_decontam
 from .lines import OP3_SQL, op3_lines
+from .packing import op2_packing
+from .simhash import op4_simhash
 from .tokens import op6_tokens
 from .topk import OP8_SQL, op8_topk
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op3_lines": op3_lines, "op6_tokens": op6_tokens, "op8_topk": op8_topk, "op9_warc": op9_warc, "op10_decontam": op10_decontam}
+QUERIES = {"op2_packing": op2_packing, "op4_simhash": op4_simhash, "op3_lines": op3_lines, "op6_tokens": op6_tokens, "op8_topk": op8_topk, "op9_warc": op9_warc, "op10_decontam": op10_decontam}
 ORACLES = {"op3_lines": OP3_SQL, "op8_topk": OP8_SQL, "op9_warc": OP9_SQL, "op10_decontam": OP10_SQL}
