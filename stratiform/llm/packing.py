@@ -203,7 +203,7 @@ class Plan:
                     used[n] += k
                     space -= n * k
                 else:
-                    n = order[0]
+                    n = next(n for n in order if used[n] < free[n])
                     combo.append((n, space))
                     used[n] += 1
                     space = 0
