@@ -7,10 +7,11 @@ from .lines import OP3_SQL, op3_lines
 from .packing import op2_packing
 from .pii import op7_pii
 from .simhash import op4_simhash
+from .substrings import op5_substrings
 from .tokens import op6_tokens
 from .topk import OP8_SQL, op8_topk
 from .toxicity import op1_toxicity
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op7_pii": op7_pii, "op2_packing": op2_packing, "op4_simhash": op4_simhash, "op3_lines": op3_lines, "op6_tokens": op6_tokens, "op8_topk": op8_topk, "op9_warc": op9_warc, "op10_decontam": op10_decontam}
+QUERIES = {"op5_substrings": op5_substrings, "op1_toxicity": op1_toxicity, "op7_pii": op7_pii, "op2_packing": op2_packing, "op4_simhash": op4_simhash, "op3_lines": op3_lines, "op6_tokens": op6_tokens, "op8_topk": op8_topk, "op9_warc": op9_warc, "op10_decontam": op10_decontam}
 ORACLES = {"op3_lines": OP3_SQL, "op8_topk": OP8_SQL, "op9_warc": OP9_SQL, "op10_decontam": OP10_SQL}
