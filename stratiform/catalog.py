@@ -2,5 +2,353 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .functions import predicates as P, text as T
+from .operators import chunk, index, lexical, ranking, retrieve
+from .sources.tables import corpus, table
+from .streaming import streams
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+PATH = "'/corpus/' || source || '/' || lang || '/doc-' || CAST(doc_id AS VARCHAR) || '.md'"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# The query terms are frequent words of the corpus.
+TERMS = ["the", "thing", "ereat"]
+BM25 = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}\p{Co}\-_./#]+') AS w FROM documents),
+s AS (SELECT count(*) AS n_rows, avg(len(w)) AS a FROM t),
+x AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM t),
+f AS (SELECT doc_id, l, term, count(*) * 1.5 AS tf FROM x WHERE term IN ('the', 'thing', 'ereat') GROUP BY ALL),
+d AS (SELECT term, count(*) AS n FROM f GROUP BY term),
+r AS (SELECT doc_id, -sum(greatest(ln((n_rows - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS rank FROM f JOIN d USING (term), s GROUP BY doc_id)
+"""
+
+
+@query(BM25 + "SELECT doc_id, round(rank, 6) AS rank FROM r ORDER BY round(rank, 6), doc_id LIMIT 10")
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return lexical.bm25(d, "doc_id", {"text": 1.5}, TERMS).withColumn("rank", F.round("rank", 6)).orderBy("rank", "doc_id").limit(10)
+
+
+KNN = "SELECT a.vec_id AS query, b.vec_id, round(1 - list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id < 3"
+
+
+@query(f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS ({KNN}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS INT) AS rank FROM d) SELECT * FROM r WHERE rank <= 10")
+def knn_topk(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return retrieve.knn(e, e.where("vec_id < 3"), "vec_id", "embedding", 10)
+
+
+@query("SELECT count(*) AS n, bit_xor(vec_id) AS key_xor, CAST(CAST(sum(vec_id) AS HUGEINT) % 18446744073709551616 AS VARCHAR) AS key_sum FROM embeddings")
+def vector_digest(spark, sf):
+    return index.set_digest(table(spark, sf, "embeddings"), "vec_id")
+
+
+@query("SELECT doc_id, lower(text) AS low, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 240 THEN left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 240) || '...' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS snip, CASE WHEN strlen(trim(text)) > 240 THEN left(trim(text), 240) || '...' ELSE trim(text) END AS preview, trim(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), chr(10))) AS tidy FROM documents".replace("\\\\", "\\"))
+def text_basics(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.lower(t).alias("low"), T.collapse(t).alias("flat"), T.snippet(t).alias("snip"), T.body_preview(t).alias("preview"), T.trim_lines(t).alias("tidy"))
+
+
+@query(r"SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), lambda p: CASE WHEN left(p, 1) = 'ß' THEN 'SS' ELSE upper(left(p, 1)) END || lower(substr(p, 2))), '') AS title FROM benchmark")
+def title_case(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", T.title_case(F.col("text")).alias("title"))
+
+
+@query("SELECT p_partkey, lower(replace(p_name, ' ', '_')) AS snake FROM part")
+def snake_case(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.snake_case(F.col("p_name")).alias("snake"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(string_split(text, chr(10))), chr(10)) AS sorted, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_words, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS n_lines FROM documents".replace("\\\\", "\\"))
+def line_tools(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", T.sort_lines(t).alias("sorted"), T.word_count(t).alias("n_words"), T.full_lines(t).alias("n_lines"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), f AS (SELECT doc_id, line, min(i) AS i FROM l GROUP BY ALL) SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS lines FROM f GROUP BY doc_id")
+def unique_lines(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.unique_lines(F.col("text")).alias("lines"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls, length(regexp_replace(text, '\s', '', 'g')) AS v FROM documents)
+SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) = '' OR (len(ls) > 0 AND len(list_filter(ls, lambda x: NOT starts_with(x, '#'))) = 0 AND v <= 24) OR (len(ls) >= 2 AND len(list_filter(ls, lambda x: NOT (strlen(x) >= 24 AND regexp_full_match(x, '[A-Za-z0-9+/=]+')))) = 0) AS low FROM l""")
+def low_information(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", P.low_information(F.col("text")).alias("low"))
+
+
+@query(r"SELECT item_id, len(regexp_extract_all(text, '[A-Za-z]')) >= 2 OR len(list_filter(regexp_extract_all(text, '\p{L}'), lambda x: strlen(x) > 1)) >= 1 AS ready, len(regexp_extract_all(text, '[0-9]')) >= 2 OR len(regexp_extract_all(text, '[A-Za-z]')) >= 2 AS kill, starts_with(text, '/') OR starts_with(text, 'http') OR contains(text, '{') AS action FROM benchmark")
+def query_readiness(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "benchmark").select("item_id", P.file_ready(t).alias("ready"), P.kill_ready(t).alias("kill"), P.action_intent(t).alias("action"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '\s', '', 'g')) < 24 THEN len(regexp_extract_all(text, '[\p{L}\p{N}]')) >= 1 ELSE len(regexp_extract_all(text, '[\p{L}\p{N}]')) * 100 >= length(regexp_replace(text, '\s', '', 'g')) * 45 END AS readable FROM documents")
+def page_readability(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", P.readable(F.col("text")).alias("readable"))
+
+
+@query(f"SELECT {PATH} AS absolute_path, 'markdown' AS kind, strlen(text) <= 20971520 AS fits, starts_with(source, 'src1') AND length(source) <= 5 AS skipped, regexp_matches({PATH}, '^/corpus/[^/]*/en(/|$)') AS english FROM documents")
+def classify_files(spark, sf):
+    p = F.col("absolute_path")
+    return corpus(spark, sf).select(p, P.kind(p).alias("kind"), P.within_limit(p, F.col("size_bytes")).alias("fits"), P.ignored(p, ["/corpus/src1/**", "/corpus/src1?/**"]).alias("skipped"), P.under(p, F.concat(F.lit("/corpus/"), "source", F.lit("/en"))).alias("english"))
+
+
+@query(f"SELECT {PATH} AS absolute_path, 'doc-' || doc_id || '.md' AS name, '/corpus/' || source || '/' || lang AS parent, '~' || substr({PATH}, 8) AS shown FROM documents")
+def path_parts(spark, sf):
+    p = F.col("absolute_path")
+    return corpus(spark, sf).select(p, T.file_name(p).alias("name"), T.parent(p).alias("parent"), T.display_path(p, "/corpus").alias("shown"))
+
+
+STORED = f"s AS (SELECT {PATH} AS absolute_path, CASE WHEN doc_id % 5 = 1 THEN 0 ELSE doc_id * 1000 END AS m, CASE WHEN doc_id % 7 = 2 THEN 'old' ELSE md5(text) END AS h FROM documents WHERE doc_id % 3 <> 0)"
+
+
+def _stored(spark, sf):
+    c = corpus(spark, sf).where("doc_id % 3 <> 0")
+    return c.select("absolute_path", "size_bytes", F.when(F.col("doc_id") % 5 == 1, 0).otherwise(F.col("modified_at_ms")).alias("modified_at_ms"), F.when(F.col("doc_id") % 7 == 2, "old").otherwise(F.col("content_md5")).alias("content_md5"), F.lit("v1").alias("fingerprint"), F.lit(3).alias("chunk_count"))
+
+
+@query(f"WITH {STORED}, c AS (SELECT {PATH} AS absolute_path, text, lang, doc_id * 1000 AS m, md5(text) AS h FROM documents WHERE doc_id % 11 <> 4) SELECT coalesce(c.absolute_path, s.absolute_path) AS absolute_path, CASE WHEN c.absolute_path IS NULL THEN 'delete' WHEN lang = 'es' THEN CASE WHEN s.absolute_path IS NOT NULL THEN 'delete' ELSE 'skip' END WHEN c.m = s.m THEN 'unchanged' WHEN c.h = s.h THEN 'refresh' ELSE 'reindex' END AS plan FROM c FULL JOIN s ON c.absolute_path = s.absolute_path")
+def change_detection(spark, sf):
+    now = corpus(spark, sf).where("doc_id % 11 <> 4").withColumns({"fingerprint": F.lit("v1"), "eligible": F.col("lang") != "es", "has_text": F.trim("text") != ""})
+    return index.change_plan(now, _stored(spark, sf), "absolute_path")
+
+
+@query(f"SELECT {PATH} AS absolute_path FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0")
+def stale_paths(spark, sf):
+    return index.stale(_stored(spark, sf), corpus(spark, sf).where("doc_id % 4 <> 0"), "absolute_path").select("absolute_path")
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def upsert_rows(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return index.upsert(o, o.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
+
+
+@query("WITH k AS (SELECT md5(text) AS fp, min(doc_id) AS source_doc FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT doc_id, source_doc FROM documents LEFT JOIN k ON md5(text) = fp")
+def vector_reuse(spark, sf):
+    c = corpus(spark, sf).withColumn("fp", F.col("content_md5"))
+    cache = c.where("doc_id % 2 = 0").groupBy("fp").agg(F.min("doc_id").alias("source_doc"))
+    return index.reuse(c, cache, ["fp"], "source_doc").select("doc_id", "source_doc")
+
+
+@query("WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS o, count(*) OVER () - 1 AS l FROM embeddings) SELECT vec_id, CAST(o AS BIGINT) AS \"offset\" FROM r WHERE o IN (0, l // 3, l * 2 // 3, l)")
+def probe_keys(spark, sf):
+    return index.probes(table(spark, sf, "embeddings").select("vec_id"), "vec_id")
+
+
+@query("SELECT count(*) AS scanned, count_if(quality = 1) AS indexed, count_if(quality = 0) AS skipped, CASE WHEN count_if(quality = 1) = 0 THEN 'none' WHEN count_if(quality = 1) = count(*) THEN 'all' ELSE 'partial' END AS coverage FROM labels")
+def scan_rollup(spark, sf):
+    n = F.count_if(F.col("quality") == 1)
+    return table(spark, sf, "labels").agg(F.count(F.lit(1)).alias("scanned"), n.alias("indexed"), F.count_if(F.col("quality") == 0).alias("skipped"), F.when(n == 0, "none").when(n == F.count(F.lit(1)), "all").otherwise("partial").alias("coverage"))
+
+
+HYBRID = BM25 + f""", lex AS (SELECT doc_id, abs(rank) / (1 + abs(rank)) + 0.15 AS s FROM (SELECT * FROM r ORDER BY rank, doc_id LIMIT 24)),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), kd AS ({KNN.replace('a.vec_id < 3', 'a.vec_id = 0')}),
+vec AS (SELECT vec_id AS doc_id, distance AS d, 1 / (1 + greatest(distance, 0)) AS s FROM kd ORDER BY distance, vec_id LIMIT 24),
+m AS (SELECT coalesce(lex.doc_id, vec.doc_id) AS doc_id, CASE WHEN lex.doc_id IS NULL THEN vec.s WHEN vec.doc_id IS NULL THEN lex.s ELSE least(1, greatest(vec.s, lex.s) + 0.15 * least(vec.s, lex.s)) END AS score,
+  coalesce(vec.d, greatest(least(1 - lex.s, 1), 0)) AS distance, CASE WHEN lex.s IS NULL THEN 0 ELSE least(lex.s, 0.2) END AS boost FROM lex FULL JOIN vec ON lex.doc_id = vec.doc_id)"""
+
+
+def _hybrid(spark, sf):
+    e = table(spark, sf, "embeddings")
+    near = retrieve.knn(e, e.where("vec_id = 0"), "vec_id", "embedding", 24).select(F.col("vec_id").alias("doc_id"), retrieve.distance_score(F.col("distance")).alias("score"), "distance", F.lit(0.0).alias("boost"))
+    words = lexical.bm25(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", {"text": 1.5}, TERMS).orderBy("rank", "doc_id").limit(24)
+    s = retrieve.rank_score(F.col("rank")) + 0.15
+    return retrieve.merge(near, words.select("doc_id", s.alias("score"), F.greatest(F.least(1 - s, F.lit(1.0)), F.lit(0.0)).alias("distance"), F.least(s, F.lit(0.2)).alias("boost")), "doc_id")
+
+
+@query(HYBRID + " SELECT doc_id, round(score, 6) AS score, round(distance, 6) AS distance, boost FROM m")
+def hybrid_merge(spark, sf):
+    return _hybrid(spark, sf).select("doc_id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"), "boost")
+
+
+RERANK = HYBRID + f""", h AS (SELECT m.*, lower({PATH} || ' ' || text) AS hay, {PATH} AS path FROM m JOIN documents USING (doc_id)),
+c AS (SELECT *, (CAST(contains(hay, 'the') AS INT) + CAST(contains(hay, 'thing') AS INT)) / 2 AS cov FROM h),
+k AS (SELECT *, score + 0.45 * (CASE WHEN contains(hay, 'the thing') THEN 1.0 ELSE 0.0 END + 1.2 * cov) + 0.25 * boost + 0.15 * cov AS combined FROM c)"""
+
+
+def _ranked(spark, sf):
+    d = corpus(spark, sf).select("doc_id", "absolute_path", "text", "source")
+    return retrieve.rerank(_hybrid(spark, sf).join(d, "doc_id"), F.col("text"), F.col("absolute_path"), "the thing", ["the", "thing"])
+
+
+@query(RERANK + " SELECT doc_id, round(cov, 6) AS coverage, round(combined, 6) AS combined FROM k")
+def rerank_hits(spark, sf):
+    return _ranked(spark, sf).select("doc_id", F.round("coverage", 6).alias("coverage"), F.round("combined", 6).alias("combined"))
+
+
+@query(RERANK + """, o AS (SELECT k.*, source, row_number() OVER (ORDER BY combined DESC, distance, doc_id) AS r FROM k JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
+b AS (SELECT score AS bs, combined AS bc, cov AS bv FROM o WHERE r = 1),
+p AS (SELECT o.*, row_number() OVER (PARTITION BY source ORDER BY r) AS round, min(r) OVER (PARTITION BY source) AS f FROM o, b WHERE score >= greatest(0.35, CASE WHEN bs >= 0.8 THEN 0.6 WHEN bs >= 0.65 THEN 0.5 WHEN bs >= 0.5 THEN 0.4 ELSE 0.3 END) AND combined >= 0.7 * bc AND cov >= CASE WHEN bv >= 0.8 THEN 0.75 WHEN bv >= 0.6 THEN 0.5 ELSE 0 END),
+z AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY round, f) AS INT) AS place FROM p WHERE round <= 2) SELECT * FROM z WHERE place <= 8""")
+def prune_diversify(spark, sf):
+    return retrieve.prune(_ranked(spark, sf), "doc_id", "source", 0.35, 8).select("doc_id", "place")
+
+
+# A small action catalog for matching.
+ACTIONS = [("Translate Text", ["/translate", "/tr"], ["language", "translate"], 40), ("Pretty JSON", ["/json"], ["format", "json"], 35), ("Kill Process", ["/kill"], ["process", "stop"], 30), ("Upper Case", ["/upper"], ["case", "text"], 20), ("Lower Case", ["/lower"], ["case", "text"], 20)]
+ACTION_SQL = "a(title, aliases, keywords, priority) AS (VALUES " + ", ".join(f"('{t}', {al}, {k}, {p})" for t, al, k, p in ACTIONS) + ")"
+
+
+@query(f"""WITH {ACTION_SQL}, q(q) AS (VALUES ('case'), ('/json'), ('tr'), ('process'), ('zzz')),
+s AS (SELECT q, title, priority, CASE WHEN starts_with(lower(title), q) THEN 90 WHEN contains(lower(title), q) THEN 55 ELSE 0 END + CASE WHEN len(list_filter(aliases, lambda x: contains(x, q))) > 0 THEN 36 ELSE 0 END + CASE WHEN len(list_filter(keywords, lambda x: contains(x, q))) > 0 THEN 28 ELSE 0 END + CASE WHEN list_contains(aliases, '/' || ltrim(q, '/')) THEN 42 ELSE 0 END AS h FROM q, a)
+SELECT q, title, CAST(priority + h AS INT) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY priority + h DESC, title) AS INT) AS place FROM s WHERE h > 0""")
+def action_match(spark, sf):
+    a = spark.createDataFrame(ACTIONS, "title string, aliases array<string>, keywords array<string>, priority int")
+    q = spark.createDataFrame([(x,) for x in ("case", "/json", "tr", "process", "zzz")], "q string")
+    s = q.join(F.broadcast(a), F.lit(True)).withColumn("score", ranking.action_score(F.col("q"), F.col("title"), F.col("aliases"), F.col("keywords"), F.col("priority")))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "title")
+    return s.where("score is not null").select("q", "title", F.col("score").cast("int").alias("score"), F.row_number().over(w).alias("place"))
+
+
+@query("""WITH q(q) AS (VALUES ('customer#0000000'), ('12'), ('9')), s AS (SELECT q, c_name, c_custkey, greatest(CASE WHEN regexp_full_match(q, '[0-9]+') AND starts_with(CAST(c_custkey AS VARCHAR), q) THEN 420 - length(CAST(c_custkey AS VARCHAR)) END, CASE WHEN lower(c_name) = q THEN 440 WHEN starts_with(lower(c_name), q) THEN 360 WHEN contains(lower(c_name), q) THEN 290 END) AS score FROM q, customer)
+SELECT q, c_custkey, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c_name, c_custkey) AS r FROM s WHERE score IS NOT NULL) WHERE r <= 20""")
+def process_rank(spark, sf):
+    q = spark.createDataFrame([("customer#0000000",), ("12",), ("9",)], "q string")
+    s = table(spark, sf, "customer").join(F.broadcast(q), F.lit(True)).withColumn("score", ranking.process_score(F.col("q"), F.col("c_name"), F.col("c_custkey")))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "c_name", "c_custkey")
+    return s.where("score is not null").withColumn("r", F.row_number().over(w)).where("r <= 20").select("q", "c_custkey", F.col("score").cast("int").alias("score"))
+
+
+@query("""SELECT p_partkey, CAST(s AS INT) AS score FROM (SELECT p_partkey, p_name, CASE WHEN starts_with(lower(p_name), 'ri') THEN 220 WHEN contains(lower(p_name), 'ri') THEN 140 ELSE 0 END + CASE WHEN contains(lower(p_type), 'ri') THEN 36 ELSE 0 END AS b, b + 12 * (p_size % 3) AS s FROM part) WHERE b > 0 ORDER BY s DESC, p_partkey LIMIT 20""")
+def app_rank(spark, sf):
+    s = ranking.app_score(F.lit("ri"), F.col("p_name"), F.col("p_type"), F.col("p_size") % 3)
+    return table(spark, sf, "part").select("p_partkey", s.cast("int").alias("score")).where("score is not null").orderBy(F.desc("score"), "p_partkey").limit(20)
+
+
+@query()
+def fuzzy_files(spark, sf):
+    s = table(spark, sf, "part").withColumn("score", ranking.fuzzy_score(F.lit("rdg"), F.col("p_name")))
+    return s.where("score is not null").select("p_partkey", "p_name", "score").orderBy(F.desc("score"), "p_name", "p_partkey").limit(20)
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e)
+SELECT user_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY user_id, s""")
+def session_debounce(spark, sf):
+    return streams.debounce(table(spark, sf, "events"), "user_id", "ts", "1 hour")
+
+
+@query("SELECT event_id, event_type = 'view' AS ignored, CASE WHEN event_type = 'error' THEN 'rescan' WHEN event_type = 'view' THEN 'ignore' ELSE 'path' END AS plan FROM events")
+def event_filter(spark, sf):
+    t = F.col("event_type")
+    return table(spark, sf, "events").select("event_id", (t == "view").alias("ignored"), F.when(t == "error", "rescan").when(t == "view", "ignore").otherwise("path").alias("plan"))
+
+
+@query("SELECT user_id, arg_max(event_id, {'t': ts, 'a': -event_id}) AS event_id, arg_max(event_type, {'t': ts, 'a': -event_id}) AS event_type FROM events GROUP BY user_id")
+def lww_snapshot(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    return streams.last_writer(e, ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("""WITH e AS (SELECT user_id, event_type AS entry, max(ts) AS seen, bool_or(event_type = 'purchase') AS pinned FROM events GROUP BY 1, 2)
+SELECT user_id, entry, pinned, CAST(row_number() OVER (PARTITION BY user_id, pinned ORDER BY seen DESC, entry) AS INT) AS place FROM e QUALIFY place <= CASE WHEN pinned THEN 5 ELSE 3 END""")
+def clipboard_snapshot(spark, sf):
+    return streams.clipboard(table(spark, sf, "events"), "user_id", "event_type", "ts", F.col("event_type") == "purchase", keep=3).select("user_id", "entry", "pinned", "place")
+
+
+@query("SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, event_type) AS INT) AS place FROM events GROUP BY 1, 2 QUALIFY place <= 3")
+def recent_roots(spark, sf):
+    return streams.recent(table(spark, sf, "events"), "user_id", "event_type", "ts", 3).select("user_id", "event_type", "place")
+
+
+@query("""WITH t AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS n FROM conversations WHERE text <> ''), b AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM t)
+SELECT conv_id, CAST(block AS INT) AS block, role, string_agg(text, chr(10) ORDER BY turn, text) AS content FROM b GROUP BY ALL""")
+def transcript_fold(spark, sf):
+    return streams.fold_transcript(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, CAST(value AS BIGINT) % 4 AS g, max(CAST(value AS BIGINT) % 4) OVER (PARTITION BY user_id) AS m FROM (SELECT event_id, user_id, floor(value) AS value FROM events)) WHERE g = m")
+def generation_guard(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", (F.floor("value").cast("long") % 4).alias("g"))
+    return streams.newest_generation(e, "user_id", "g").select("event_id", "user_id")
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents) SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(length(line) AS INT) AS n_chars, trim(line) <> '' AND coalesce(lag(trim(line)) OVER (PARTITION BY doc_id ORDER BY line_no), '') = '' AS paragraph_start FROM l")
+def line_layout(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
+    x = F.transform("ls", lambda s, i: F.struct(i.alias("line_no"), F.length(s).alias("n_chars"), ((F.trim(s) != "") & F.when(i == 0, True).otherwise(F.trim(F.get("ls", i - 1)) == "")).alias("paragraph_start")))
+    return lines.select("doc_id", F.explode(x).alias("x")).select("doc_id", "x.*")
+
+
+@query()
+def chunk_markdown(spark, sf):
+    return chunk.chunk_markdown(table(spark, sf, "documents"))
+
+
+@query()
+def chunk_plain(spark, sf):
+    return chunk.chunk_plain(table(spark, sf, "documents"))
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(trim(url), '^[A-Za-z]:[\\/]') THEN 'path' WHEN regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://') THEN 'url' ELSE 'unknown' END AS kind FROM pages")
+def target_kind(spark, sf):
+    return table(spark, sf, "pages").select("page_id", P.target(F.col("url")).alias("kind"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS name, len(regexp_extract_all(html, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)) AS n_links FROM pages".replace("len(", "CAST(len(").replace(", 1)) AS n_links", ", 1)) AS INT) AS n_links"))
+def page_links(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.file_name(F.col("url")).alias("name"), F.size(T.wiki_links(F.col("html"))).alias("n_links"))
+
+
+@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, 'r' AS thought, trim(text) AS answer FROM conversations")
+def reasoning_split(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("t", F.concat(F.lit("<think>r</think> "), "text"))
+    a, b = T.reasoning(F.col("t"))
+    return c.select("conv_id", "turn", a.alias("thought"), b.alias("answer"))
+
+
+@query("SELECT event_id, 'no ' || event_type AS message FROM events")
+def error_text(spark, sf):
+    j = F.to_json(F.struct(F.struct(F.concat(F.lit("no "), "event_type").alias("message")).alias("error")))
+    return table(spark, sf, "events").withColumn("j", j).select("event_id", T.error_message(F.col("j")).alias("message"))
+
+
+@query("SELECT p_partkey, p_name AS back FROM part")
+def base64_codec(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.base64_auto(F.base64(F.encode("p_name", "UTF-8"))).alias("back"))
+
+
+@query("""WITH h AS (SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem), k AS (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS f FROM h GROUP BY 1, 2)
+SELECT l_orderkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY f, l_suppkey) AS INT) AS number FROM k""")
+def citations(spark, sf):
+    k = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("f"))
+    return k.select("l_orderkey", "l_suppkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("f", "l_suppkey")).alias("number"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'page ' || doc_id WHEN doc_id % 3 = 1 THEN 'lines ' || doc_id || '-' || (doc_id + 4) ELSE 'chunk ' || doc_id END AS place FROM documents")
+def location_labels(spark, sf):
+    i, m = F.col("doc_id"), F.col("doc_id") % 3
+    return table(spark, sf, "documents").select("doc_id", T.location_label(F.when(m == 0, i), F.lit(None).cast("long"), F.when(m == 1, i), F.when(m == 1, i + 4), i).alias("place"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) SELECT doc_id, CAST(i + 1 AS INT) AS line_no, line FROM l WHERE i BETWEEN 1 AND 3")
+def read_lines(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("i between 1 and 3").select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
+
+
+@query("""WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, source, ls[1] AS line FROM l), n AS (SELECT source, line, count(*) AS c FROM e GROUP BY ALL), t AS (SELECT source, count(*) AS p FROM e GROUP BY 1)
+SELECT doc_id, c >= 3 AND c * 10 >= p AS repeated FROM e JOIN n USING (source, line) JOIN t USING (source)""")
+def repeated_edge_lines(spark, sf):
+    e = table(spark, sf, "documents").select("doc_id", "source", F.get(F.split("text", "\n"), 0).alias("line"))
+    n = e.groupBy("source", "line").agg(F.count(F.lit(1)).alias("c"))
+    t = e.groupBy("source").agg(F.count(F.lit(1)).alias("p"))
+    return e.join(n, ["source", "line"]).join(t, "source").select("doc_id", ((F.col("c") >= 3) & (F.col("c") * 10 >= F.col("p"))).alias("repeated"))
+
+
+@query("""SELECT s_nationkey, string_agg(s_name, chr(10) ORDER BY s_suppkey) AS names, round(avg(CASE WHEN s_acctbal > 0 THEN s_acctbal END), 4) AS mean_positive, arg_min(s_suppkey, {'d': abs(s_acctbal - 1000), 'k': s_suppkey}) AS nearest FROM supplier GROUP BY 1""")
+def ordered_text(spark, sf):
+    g = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("x"), F.round(F.avg(F.when(F.col("s_acctbal") > 0, F.col("s_acctbal"))), 4).alias("mean_positive"), F.min_by("s_suppkey", F.struct(F.abs(F.col("s_acctbal") - 1000).alias("d"), "s_suppkey")).alias("nearest"))
+    return g.select("s_nationkey", F.array_join(F.transform("x", lambda s: s["s_name"]), "\n").alias("names"), "mean_positive", "nearest")
