@@ -95,7 +95,7 @@ def blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     def run(batches):
         n, held, meta = 0, [], []
         base = TaskContext.get().partitionId() << 32
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=6)
 
         def emit():
             body = b"".join(held)
@@ -153,7 +153,7 @@ def front_coded(order, suffix, lengths, width):
 
 def make_runs(b: Block, pos: np.ndarray, h: np.ndarray, parts: int, size: int, k: int, block: int):
     """One sorted, front-coded run of suffixes (with the bytes before them) for every part."""
-    left = size - k
+    left, z = size - k, zstandard.ZstdCompressor(level=6)
     d = b.doc(pos)
     right_n = np.minimum(size, b.ends[d] - pos)
     left_n = np.minimum(left, pos - b.starts[d])
@@ -169,15 +169,15 @@ def make_runs(b: Block, pos: np.ndarray, h: np.ndarray, parts: int, size: int, k
         order = np.lexsort((right_n[i], *wide.view(">u8").T[::-1]))
         same, rest = front_coded(order, suffix, right_n[i], size)
         j = i[order]
-        cols = [same.astype(np.uint8), right_n[j].astype(np.uint8), left_n[j].astype(np.uint8), ctx[order, :left], b.meta[d[j], 0], d[j].astype(np.int32), (pos[j] - b.starts[d[j]]).astype(np.int64)]
-        yield p, len(j), zlib.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in cols) + rest, 1)
+        cols = [same.astype(np.uint8), right_n[j].astype(np.uint8), left_n[j].astype(np.uint8), ctx[order, :left], b.meta[d[j], 0], d[j].astype(np.int32), (pos[j] - b.starts[d[j]]).astype(np.int32)]
+        yield p, len(j), z.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in cols) + rest)
 
 
 class Run:
     """A decoded run: arrays, and an iterator of (shared prefix, bytes)."""
 
     def __init__(self, block: int, n: int, data: bytes, left: int):
-        raw, at = zlib.decompress(data), 0
+        raw, at = zstandard.ZstdDecompressor().decompress(data), 0
         self.block, self.n = block, n
 
         def take(kind, width=1):
@@ -188,7 +188,7 @@ class Run:
 
         self.same, self.right_n, self.left_n = take(np.uint8), take(np.uint8), take(np.uint8)
         self.left = take(np.uint8, left).reshape(n, left)
-        self.order, self.doc, self.pos = take(np.int64), take(np.int32), take(np.int64)
+        self.order, self.doc, self.pos = take(np.int64), take(np.int32), take(np.int32)
         self.rest = raw[at:]
 
     def heads(self):
