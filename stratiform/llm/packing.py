@@ -37,7 +37,7 @@ class Ids:
     ``most`` bounds each of two generations of remembered chunks and of words.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
