@@ -118,21 +118,13 @@ def features(words: set[bytes], mask: int, n_votes: int) -> list[int]:
     return out
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, size: int, least: int = 8, ratio: float = 4.0, steps: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on 0/1 features by Adam, with the classes weighted alike.
-
-    A feature takes part if it has ``least`` rows' worth of posterior toxicity and is
-    ``ratio`` times as frequent in toxic rows as in clean ones; all others stay 0.
-    """
+def fit_linear(rows: list[np.ndarray], y: np.ndarray, size: int, steps: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on 0/1 features by Adam, with the classes weighted alike."""
     if not len(rows):
         return np.zeros(size, np.float32), -3.0
     col = np.concatenate(rows).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pos, every = np.bincount(col, y[row], size), np.bincount(col, minlength=size)
-    odds = ((pos + 0.5) / (y.sum() + 1)) / ((every - pos + 0.5) / ((1 - y).sum() + 1))
-    ok = ((pos >= least) & (odds >= ratio))[col]
-    used, col = np.unique(col[ok], return_inverse=True)
-    row = row[ok]
+    used, col = np.unique(col, return_inverse=True)
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     weight = y / max(y.sum(), 1) + (1 - y) / max((1 - y).sum(), 1)
     weight = weight / weight.sum()
@@ -168,9 +160,11 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("l_id"))
 
 
-def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20_000, sample_rows: int = 5_000, mined_words: int = 256) -> Model:
+def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20_000, sample_rows: int = 5_000, mined_words: int = 256, least: float = 8, least_odds: float = 4.0) -> Model:
     """Bounds, all parameters: ``label_rows`` labelled rows mine word voters; the label model's
     moments cover all documents; ``sample_rows`` documents of each posterior class fit the classifier.
+    A feature takes part in it if it has ``least`` rows' worth of posterior toxicity and is
+    ``least_odds`` times as frequent in toxic rows as in clean ones.
     """
 
     def count_words(batches):
@@ -223,17 +217,36 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20
     parts = [posterior.where(c).orderBy(*order).limit(sample_rows) for c in (F.col("p") >= 0.5, F.col("p") < 0.5)]
     chosen = store.put(parts[0].unionByName(parts[1]).distinct(), "sample")
 
+    sample = d.join(F.broadcast(chosen), d.doc_id.eqNullSafe(chosen.s_id) & (d.key == chosen.s_key)).select("p", "text", "s_id", "s_key")
+
+    def count_features(batches):
+        for b in pieces(batches):
+            pos: dict[int, list[float]] = {}
+            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = tokens(t)
+                for f in {-1, *features(words, voters(words, t or ""), n)}:  # -1 counts rows
+                    x = pos.setdefault(f, [0.0, 0.0])
+                    x[0] += p
+                    x[1] += 1 - p
+            yield pa.RecordBatch.from_arrays([pa.array(list(pos), pa.int64()), *(pa.array([x[i] for x in pos.values()], pa.float64()) for i in (0, 1))], names=["f", "toxic", "clean"])
+
+    seen = sample.mapInArrow(count_features, "f bigint, toxic double, clean double").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    seen = store.put(seen, "feature-counts")
+    rows = seen.where("f = -1").first()
+    toxic, clean = (rows.toxic, rows.clean) if rows else (0.0, 0.0)
+    odds = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
+    used = {r.f for r in seen.where((F.col("f") >= 0) & (F.col("toxic") >= least) & (odds >= least_odds)).select("f").collect()}  # at most 2**BITS and the voters
+
     def featurize(batches):
         for b in pieces(batches):
             f = []
             for t in b.column(1).to_pylist():
                 words = tokens(t)
-                f.append(features(words, voters(words, t or ""), n)[:20_000])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.int32()))], names=["p", "f"])
+                f.append(sorted(used.intersection(features(words, voters(words, t or ""), n))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.int32())), b.column(2), b.column(3)], names=["p", "f", "s_id", "s_key"])
 
-    sample = d.join(F.broadcast(chosen), d.doc_id.eqNullSafe(chosen.s_id) & (d.key == chosen.s_key)).select("p", "text")
-    rows = sample.mapInArrow(featurize, "p double, f array<int>").toArrow()
-    rows = rows.slice(0, 4 * sample_rows)
+    # repeated rows (same id and text) are one row of the sample, which keeps it within its bound
+    rows = sample.mapInArrow(featurize, "p double, f array<int>, s_id bigint, s_key bigint").dropDuplicates(["s_id", "s_key"]).select("p", "f").toArrow()
     weights, bias = fit_linear([np.asarray(f.values) for f in rows.column("f")], np.asarray(rows.column("p")), (1 << BITS) + n + 1)
     return Model(voters, weights, bias)
 
