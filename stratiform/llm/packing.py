@@ -11,13 +11,14 @@ from the plan without any shuffle of token ids.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict, deque
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -25,72 +26,88 @@ from .common import Store, pieces, session
 from .decontam import bounded
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, block int, ordinal bigint"
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+# Chunks that are a word with at most one mark behind it; white space for Arrow, not for the tokenizer.
+LATIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+ODD_SPACE = "[\x1c-\x1f]"
+
+
+class Memory(dict):
+    """Ids of chunks met before, as little-endian 32-bit bytes, in two generations of ``most`` chunks."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.old = encode, most, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        v = self.old.get(chunk)
+        if v is None:
+            v = self.encode(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= self.most:
+                self.old = self.copy()
+                self.clear()
+            self[chunk] = v
+        return v
 
 
 class Ids:
-    """Ids of white-space separated chunks as little-endian 32-bit bytes, with a bounded memory.
+    """Ids of texts, a column at a time, with a bounded memory.
 
-    The tokenizer drops white space, so a text's ids are its chunks' ids in a row. A
-    chunk of Latin letters with a stop or comma is looked up as its lower-case word.
-    ``most`` bounds each of two generations of remembered chunks and of words.
+    The tokenizer drops white space and case, so a text's ids are its chunks' ids in a
+    row, and a chunk of Latin letters with a stop or comma has its lower-case word's ids
+    and then the mark's. Each distinct word of a column is looked up once.
     """
 
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.most = Tokenizer.from_file(path), most
-        self.chunks, self.old_chunks, self.words, self.old_words = {}, {}, {}, {}
+        self.tok = Tokenizer.from_file(path)
+        self.words = Memory(self.encode, most)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, w: str) -> bytes:
-        v = self.words.get(w)
-        if v is None:
-            v = self.old_words.get(w)
-            if v is None:
-                v = self.encode(w)
-            if len(self.words) >= self.most:
-                self.old_words, self.words = self.words, {}
-            self.words[w] = v
-        return v
-
-    def chunk(self, c: str) -> bytes:
-        v = self.old_chunks.get(c)
-        if v is None:
-            m = LATIN.fullmatch(c)
-            v = self.word(m[1].lower()) + (self.word(m[2]) if m[2] else b"") if m else self.encode(c)
-        if len(c) <= 64:
-            if len(self.chunks) >= self.most:
-                self.old_chunks, self.chunks = self.chunks, {}
-            self.chunks[c] = v
-        return v
-
-    def __call__(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):  # white space for Python, not for the tokenizer
-            return self.encode(text)
-        get, new, out = self.chunks.get, self.chunk, []
-        for c in text.split():
-            v = get(c)
-            if v is None:
-                v = new(c)
-                get = self.chunks.get
-            out.append(v)
-        return b"".join(out)
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text of a string column; null has none."""
+        odd = pc.match_substring_regex(texts, ODD_SPACE).fill_null(False)
+        chunks = pc.utf8_split_whitespace(pc.if_else(odd, "", texts.fill_null("")))
+        at, every = chunks.offsets.to_numpy(), chunks.values.dictionary_encode()
+        own = every.dictionary
+        latin = pc.match_substring_regex(own, LATIN)
+        mark = pc.if_else(latin, pc.utf8_slice_codeunits(own, -1), "")
+        mark = pc.if_else(pc.is_in(mark, pa.array([".", ","])), mark, "")
+        word = pc.if_else(latin, pc.utf8_lower(pc.utf8_rtrim(own, ".,")), own).dictionary_encode()
+        ids = self.of(word.dictionary).take(word.indices)
+        marks = mark.dictionary_encode()
+        ids = pc.binary_join_element_wise(ids, self.of(marks.dictionary).take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        ids = ids.take(every.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1][at - at[0]] if len(ids) else np.zeros(len(at), np.int64)
+        data = memoryview(ids.buffers()[2] or b"") if len(ids) else memoryview(b"")
+        out = [bytes(data[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.encode(texts[i].as_py())
+        return out
+
+    def of(self, chunks: pa.Array) -> pa.Array:
+        return pa.array(list(map(self.words.__getitem__, chunks.to_pylist())), pa.large_binary())
+
+
+@cache
+def worker_ids(path: str) -> Ids:
+    """One per Python worker, which serves many tasks."""
+    return Ids(path)
 
 
 def tokenized(docs: DataFrame, path: str, window: int, end_id: int = 1) -> DataFrame:
     """Whole windows and the remainder of every document, numbered within (block, length)."""
 
     def run(batches):
-        ids, block, seen = Ids(path), TaskContext.get().partitionId(), defaultdict(int)
+        ids, block, seen = worker_ids(path), TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
-        for b in pieces(batches, 2 << 20, 512):
+        for b in pieces(batches, 4 << 20, 1024):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                buf = (ids(text) if text else b"") + end
+            for doc, own in zip(b.column(0).to_pylist(), ids(b.column(1)), strict=True):
+                buf = own + end
                 n = len(buf) // 4
                 for at in range(0, n, window):
                     part = buf[4 * at : 4 * (at + window)]
