@@ -5,7 +5,7 @@ hash is the smallest of some window that holds them. Suffixes at anchors therefo
 stand for all suffixes. Documents are packed into blocks. Each block exchanges the
 hashes of its anchors and learns which of them occur in other documents too; the
 suffixes at those are sorted, front-coded and exchanged as runs, dealt by their first
-k bytes. A loser tree merges the runs of a part: every head carries the length of the
+k bytes; those that the block can settle by itself stay. A loser tree merges the runs of a part: every head carries the length of the
 prefix it shares with the last winner, so known prefixes are never compared again. The
 merged order and its common prefixes give the classes of equal right contexts, a sort
 of the bytes before the anchors those of equal left contexts, and both together say
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ def hashes(b: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def anchors(text: np.ndarray, ends: np.ndarray, size: int, k: int, part: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: np.ndarray, ends: np.ndarray, size: int, k: int, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of all windows that lie in one document."""
     found, own = [], []
     w = size - k + 1
@@ -151,25 +152,79 @@ def front_coded(order, suffix, lengths, width):
     return same, s[keep].tobytes()
 
 
-def make_runs(b: Block, pos: np.ndarray, h: np.ndarray, parts: int, size: int, k: int, block: int):
-    """One sorted, front-coded run of suffixes (with the bytes before them) for every part."""
-    left, z = size - k, zstandard.ZstdCompressor(level=6)
+def contexts(b: Block, pos: np.ndarray, left: int, size: int):
+    """(bytes around each position, zero outside its document; counts of those after and before it; document)."""
     d = b.doc(pos)
     right_n = np.minimum(size, b.ends[d] - pos)
     left_n = np.minimum(left, pos - b.starts[d])
-    r = rank_of(h, parts)
+    out = np.empty((len(pos), left + size), np.uint8)
+    step, span = 1 << 16, np.arange(left + size)
+    for at in range(0, len(pos), step):
+        i = slice(at, at + step)
+        from_ = pos[i][:, None] + (span - left)
+        inside = (span >= left - left_n[i][:, None]) & (span < left + right_n[i][:, None])
+        out[i] = b.text[np.clip(from_, 0, len(b.text) - 1)] * inside
+    return out, right_n, left_n, d
+
+
+def settled(ctx: np.ndarray, right_n: np.ndarray, left_n: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """Which suffixes equal one of a smaller document of this block in all bytes around them.
+
+    Every window they stand for starts in that document too, so that they need no
+    exchange: a passage of many documents leaves a block about once. Groups are found by
+    a hash and confirmed byte by byte.
+    """
+    n = len(ctx)
+    if n < 2:
+        return np.zeros(n, bool)
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = ctx
+    h = (right_n * 256 + left_n).astype(np.uint64)
+    for word in wide.view("<u8").T:
+        h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    o = np.lexsort((order, h))
+    fresh = np.concatenate([[True], h[o][1:] != h[o][:-1]])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # the smallest document of the same hash
+    j = o[first]
+    same = (order[o] > order[j]) & (right_n[o] == right_n[j]) & (left_n[o] == left_n[j])
+    i = np.flatnonzero(same)
+    same[i] = (ctx[o[i]] == ctx[j[i]]).all(1)
+    out = np.zeros(n, bool)
+    out[o[same]] = True
+    return out
+
+
+def packed_marks(doc: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> bytes:
+    return zlib.compress(doc.astype("<i4").tobytes() + pos.astype("<i8").tobytes() + mask.astype("<u8").tobytes(), 1)
+
+
+def make_runs(b: Block, pos: np.ndarray, h: np.ndarray, parts: int, size: int, k: int):
+    """One sorted, front-coded run of suffixes (with the bytes before them) for every part.
+
+    First of all come the marks of the suffixes that this block settles by itself (part None).
+    """
+    left, z = size - k, zstandard.ZstdCompressor(level=6)
+    ctx, right_n, left_n, d = contexts(b, pos, left, size)
+    order = b.meta[d, 0]
+    done = settled(ctx, right_n, left_n, order, left + size)
+    if done.any():
+        bits = np.zeros(int(done.sum()), np.uint64)
+        for i in range(left + 1):
+            bits |= ((right_n[done] >= size - i) & (left_n[done] >= i)).astype(np.uint64) << np.uint64(i)
+        yield None, 0, packed_marks(d[done], pos[done] - b.starts[d[done]], bits)
+    rest_of = np.flatnonzero(~done)
+    r = rank_of(h[rest_of], parts)
     by = np.argsort(r, kind="stable")
-    padded = np.concatenate([np.zeros(left, np.uint8), b.text, np.zeros(size, np.uint8)])
     for p, part in split_by(r[by], parts):
-        i = by[part]
-        ctx = padded[pos[i][:, None] + np.arange(left + size)]
-        suffix = ctx[:, left:] * (np.arange(size) < right_n[i][:, None])
+        i = rest_of[by[part]]
+        suffix = ctx[i, left:]
         wide = np.zeros((len(i), -(-size // 8) * 8), np.uint8)
         wide[:, :size] = suffix
-        order = np.lexsort((right_n[i], *wide.view(">u8").T[::-1]))
-        same, rest = front_coded(order, suffix, right_n[i], size)
-        j = i[order]
-        cols = [same.astype(np.uint8), right_n[j].astype(np.uint8), left_n[j].astype(np.uint8), ctx[order, :left], b.meta[d[j], 0], d[j].astype(np.int32), (pos[j] - b.starts[d[j]]).astype(np.int32)]
+        o = np.lexsort((right_n[i], *wide.view(">u8").T[::-1]))
+        same, rest = front_coded(o, suffix, right_n[i], size)
+        j = i[o]
+        cols = [same.astype(np.uint8), right_n[j].astype(np.uint8), left_n[j].astype(np.uint8), ctx[j, :left], order[j], d[j].astype(np.int32), (pos[j] - b.starts[d[j]]).astype(np.int32)]
         yield p, len(j), z.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in cols) + rest)
 
 
@@ -382,16 +437,17 @@ def removed(docs: DataFrame, store: Store, size: int = 50, k: int = 24, part_anc
                 pos, h = anchors(x.text, x.ends, size, k)
                 ok = np.isin(h >> np.uint64(16), np.concatenate([_six(y) for y in known]))
                 rows = []
-                for p, n, run in make_runs(x, pos[ok], h[ok], parts, size, k, block):
-                    rows.append((p, block, n, run))
+                for p, n, run in make_runs(x, pos[ok], h[ok], parts, size, k):
+                    rows.append((block % parts if p is None else p, block, n, run))
                 for i in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256], strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["r", "block", "n", "run"])
 
     def solve(batches):
         for _, rows in _grouped(batches):
-            for block, d, p, m in marks([Run(x[1], x[2], x[3], size - k) for x in rows], size, k):
-                raw = d.astype("<i4").tobytes() + p.astype("<i8").tobytes() + m.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(raw, 1)], pa.binary())], names=["block", "m"])
+            own = [(x[1], x[3]) for x in rows if not x[2]]  # settled before
+            sent = [Run(x[1], x[2], x[3], size - k) for x in rows if x[2]]
+            for block, m in chain(own, ((block, packed_marks(d, p, m)) for block, d, p, m in marks(sent, size, k)) if sent else ()):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([m], pa.binary())], names=["block", "m"])
 
     runs = held.join(shared, "block").select("block", "meta", "body", "h").mapInArrow(suffixes, RUN)
     merged = runs.repartition(parts, "r").sortWithinPartitions("r", "block").mapInArrow(solve, "block bigint, m binary")
