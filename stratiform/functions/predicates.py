@@ -74,12 +74,33 @@ def mode(q: Column) -> Column:
     return F.when(q.rlike(r"(^|\s)@\S*$"), "file").when(F.trim(q) == "", "none").when(F.startswith(q, F.lit("kill ")), "kill").when(action_intent(q), "action").when(file_ready(q), "app").otherwise("none")
 
 
+# Code points by script; CJK is looked for first.
+SCRIPTS = {
+    "cjk": r"\x{1100}-\x{11FF}\x{3040}-\x{30FF}\x{3130}-\x{318F}\x{31A0}-\x{31BF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A960}-\x{A97F}\x{AC00}-\x{D7AF}\x{D7B0}-\x{D7FF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9D}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EBEF}\x{30000}-\x{3134F}",
+    "latin": r"\x{0041}-\x{024F}\x{1E00}-\x{1EFF}\x{2C60}-\x{2C7F}\x{A720}-\x{A7FF}\x{AB30}-\x{AB6F}",
+    "greek": r"\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}",
+    "cyrillic": r"\x{0400}-\x{052F}\x{1C80}-\x{1C8F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}",
+    "hebrew": r"\x{0590}-\x{05FF}\x{FB1D}-\x{FB4F}",
+    "arabic": r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{0870}-\x{089F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}",
+}
+
+
+def mixed_scripts(text: Column) -> Column:
+    """CJK beside much of other letters or of two more scripts, which decoding faults give."""
+    n = {k: F.regexp_count(text, F.lit(f"[{v}]")) for k, v in SCRIPTS.items()}
+    n["other"] = F.regexp_count(text, F.lit(r"[\p{IsAlphabetic}&&[^" + "".join(SCRIPTS.values()) + "]]"))
+    total = reduce(lambda a, b: a + b, n.values())
+    much = {k: (v >= 6) & (v * 100 >= total * 12) for k, v in n.items()}
+    named = reduce(lambda a, b: a + b, [much[k].cast("int") for k in ("cyrillic", "arabic", "hebrew", "greek")])
+    return much["cjk"] & (much["other"] | (named >= 2))
+
+
 def readable(text: Column) -> Column:
-    """Page gate: enough word characters, few suspicious ones."""
+    """Page gate: enough word characters, few suspicious ones, no mix of scripts."""
     visible = F.length(F.regexp_replace(text, r"\s", ""))
     word = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]"))
-    odd = F.regexp_count(text, F.lit(r"[\x{FFFD}\x{E000}-\x{F8FF}\p{Cc}&&[^\s]]"))
-    return F.when(visible < 24, (word >= 1) & (odd == 0)).otherwise((word * 100 >= visible * 45) & (odd * 100 <= visible * 10))
+    odd = F.regexp_count(text, F.lit(r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FFF0}-\x{FFFF}\x{E000}-\x{F8FF}\p{Cc}&&[^\s]]"))
+    return F.when(visible < 24, (word >= 1) & (odd == 0)).otherwise((word * 100 >= visible * 45) & (odd * 100 <= visible * 10) & ~mixed_scripts(text))
 
 
 def target(s: Column) -> Column:
