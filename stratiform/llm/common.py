@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows per Arrow batch sent to Python workers. Documents may be long, so batches are small.
@@ -70,11 +72,19 @@ def text_key(c: str) -> Column:
     return F.xxhash64(text_or_empty(c))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers stay for later stages, beside a JVM that needs the room."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces(batches, most: int = 8 << 20, rows: int = 4096):
-    """Cut Arrow batches so that each holds about ``most`` bytes at the most."""
+    """Cut Arrow batches so that each holds about ``most`` bytes at the most; after the last, freed memory is released."""
     for b in batches:
         if not b.num_rows:
             continue
         step = max(1, min(rows, int(b.num_rows * most / max(1, b.nbytes))))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    release()

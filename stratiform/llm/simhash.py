@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Store, pieces, session, text_key
+from .common import Store, pieces, release, session, text_key
 from .components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -65,7 +65,7 @@ def fingerprints(texts, size: int = 4, seed: int = 42) -> np.ndarray:
 
 def fingerprint_table(docs: DataFrame, size: int = 4) -> DataFrame:
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, 2 << 20):  # a piece takes some twenty times its size
             fp = fingerprints(b.column(2).to_pylist(), size)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
 
@@ -157,7 +157,7 @@ def links(fps: DataFrame, store: Store, bits: int = 4, block: int = 2048) -> Dat
             k = np.concatenate([rest_k, b.column(0).to_numpy(zero_copy_only=False)])
             p = np.concatenate([rest_p, b.column(1).to_numpy(zero_copy_only=False)])
             f = np.concatenate([rest_f, b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)])
-            if len(k) < 100_000:
+            if len(k) < 32_000:
                 rest_k, rest_p, rest_f = k, p, f
                 continue
             last = np.flatnonzero((k != k[-1]) | (p != p[-1]))
@@ -167,6 +167,7 @@ def links(fps: DataFrame, store: Store, bits: int = 4, block: int = 2048) -> Dat
             rest_k, rest_p, rest_f = k[cut:], p[cut:], f[cut:]
         if len(rest_k) and (out := solve(rest_k, rest_p, rest_f)) is not None:
             yield out
+        release()
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 

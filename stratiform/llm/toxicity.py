@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20
     """
 
     def count_words(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, 2 << 20):
             n: dict[bytes, list[int]] = {}
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w in tokens(t) | {b""}:  # the empty word counts rows
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20
     n = voters.n
 
     def vote(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, 2 << 20):
             m = []
             for t in b.column(2).to_pylist():
                 m.append(voters(tokens(t), t or ""))
@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20
     sample = d.join(F.broadcast(chosen), d.doc_id.eqNullSafe(chosen.s_id) & (d.key == chosen.s_key)).select("p", "text", "s_id", "s_key")
 
     def count_features(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, 2 << 20):
             pos: dict[int, list[float]] = {}
             for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = tokens(t)
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20
     used = {r.f for r in seen.where((F.col("f") >= 0) & (F.col("toxic") >= least) & (odds >= least_odds)).select("f").collect()}  # at most 2**BITS and the voters
 
     def featurize(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, 2 << 20):
             f = []
             for t in b.column(1).to_pylist():
                 words = tokens(t)
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in pieces(batches):
+        for b in pieces(batches, 2 << 20):
             s = m.scores(b.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "key", "held_out", "score", "predicted"])
 
