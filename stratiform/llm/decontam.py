@@ -31,7 +31,11 @@ def words_of(c: str) -> Column:
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The staged table with a broadcast hint if its counted rows are within the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if within(df, rows) else df
+
+
+def within(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
 
 
 def windows(items: DataFrame, size: int) -> DataFrame:
@@ -42,7 +46,7 @@ def windows(items: DataFrame, size: int) -> DataFrame:
     return w.groupBy("win", "n").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, store: Store, size: int = 13, share: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, store: Store, size: int = 13, share: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document row: words, hit words, items with an occurring window, and the verdict.
 
     A document is contaminated if ``n_hit > 0 and share * n_hit >= n_words``. Null texts
@@ -54,15 +58,22 @@ def contamination(docs: DataFrame, items: DataFrame, store: Store, size: int = 1
     vocabulary = store.put(own.select("word").distinct(), "vocabulary")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"), words_of("text").alias("words"))
     # rarity: counts over all documents, summed before the shuffle
-    counts = d.select(F.explode("words").alias("word")).join(bounded(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = d.select(F.explode("words").alias("word")).join(bounded(vocabulary, broadcast_rows), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = store.put(counts, "counts")
     # a window with a word that the corpus lacks can't occur
     ranked = own.join(counts, "word", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "word")).alias("p"))
     prefix = store.put(win.join(ranked.where("p.n > 0"), "win").select(F.col("p.word").alias("word"), F.col("p.at").alias("at"), "n", "win", "items"), "prefixes")
-    placed = d.select("doc_id", "key", "words", F.posexplode("words").alias("pos", "word")).join(bounded(prefix), "word")
     start = F.col("pos") - F.col("at")
-    fits = (start >= 0) & (start + F.col("n") <= F.size("words"))
-    found = placed.where(fits).where(F.array_join(F.slice("words", F.when(fits, start + 1).otherwise(1), F.col("n")), " ") == F.col("win"))
+    fits = (start >= 0) & (start + F.col("n") <= F.col("size"))
+    place = [F.size("words").alias("size"), F.posexplode("words").alias("pos", "word")]
+    if within(prefix, broadcast_rows):
+        placed = d.select("doc_id", "key", "words", *place).join(F.broadcast(prefix), "word").where(fits)
+    else:
+        # single words are shuffled; a document's words come back only where a window may begin
+        spots = d.select("doc_id", "key", *place).join(prefix, "word").where(fits)
+        spots = spots.select(F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"), "pos", "at", "n", "win", "items", "size")
+        placed = d.join(spots, d.doc_id.eqNullSafe(spots.p_id) & (d.key == spots.p_key)).drop("p_id", "p_key")
+    found = placed.where(F.array_join(F.slice("words", F.when(fits, start + 1).otherwise(1), F.col("n")), " ") == F.col("win"))
     found = found.select("doc_id", "key", F.struct(start.alias("a"), (start + F.col("n")).alias("b")).alias("span"), "items")
     hits = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     covered = F.aggregate(

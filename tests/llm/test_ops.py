@@ -70,6 +70,14 @@ def test_against_sql(spark, data, name):
     assert key(got.astype(want.dtypes)) == key(want)
 
 
+def test_decontam_without_broadcasts(spark, data):
+    from stratiform.llm import decontam
+
+    docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = [sorted(map(str, decontam.contamination(docs, items, Store(spark), broadcast_rows=n).collect())) for n in (0, 10_000)]
+    assert got[0] == got[1] and any("contaminated=True" in x for x in got[0])
+
+
 def test_topk(spark, data):
     got = rows(spark, "op8_topk", data)
     v = {}
