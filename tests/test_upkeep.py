@@ -141,3 +141,21 @@ def test_paths(spark):
     for a, b, want in ((["x", "y"], ["x", "z"], ["x"]), ([], ["x"], []), (["x"], ["x", "y"], ["x"])):
         r = spark.createDataFrame([(a, b)], "a array<string>, b array<string>").select(snapshots.common_prefix(F.col("a"), F.col("b")).alias("p")).first()
         assert r.p == want
+
+
+def test_deadlines_on_a_stream(spark, tmp_path):
+    def write(rows):
+        d = spark.createDataFrame(rows, "k int, ms long").select("k", F.timestamp_millis("ms").alias("ts"))
+        d.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def drain():
+        s = spark.readStream.schema("k int, ts timestamp").parquet(f"{tmp_path}/in")
+        out = stateful.deadline_stream(s, "k", "ts", "1 second", 180)
+        q = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+        assert q.awaitTermination(60)
+
+    for rows in ([(1, 1_000), (1, 1_100), (1, 1_500)], [(2, 60_000)], [(2, 120_000)]):  # a stream's watermark begins at 0
+        write(rows)
+        drain()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, 1, 1_500, 1_500), (1, 2, 1_000, 1_100), (2, 1, 60_000, 60_000)]
