@@ -11,7 +11,6 @@ from the plan without any shuffle of token ids.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right
 from collections import defaultdict, deque
 from functools import cache
@@ -25,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import Store, pieces, session
 from .decontam import bounded
 
-PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, block int, ordinal bigint"
+PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, block int, ordinal bigint"
+PLACED = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 # Chunks that are a word with at most one mark behind it; white space for Arrow, not for the tokenizer.
 LATIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 ODD_SPACE = "[\x1c-\x1f]"
@@ -112,9 +112,9 @@ def tokenized(docs: DataFrame, path: str, window: int, end_id: int = 1) -> DataF
                 for at in range(0, n, window):
                     part = buf[4 * at : 4 * (at + window)]
                     size = len(part) // 4
-                    rows.append((doc, at, size, zlib.crc32(part), n, part if size < window else None, block, seen[size]))
+                    rows.append((doc, at, size, n, part, block, seen[size]))
                     seen[size] += 1
-            kinds = [pa.int64()] * 5 + [pa.binary(), pa.int32(), pa.int64()]
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int64()]
             names = [x.split()[0] for x in PIECE.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -245,7 +245,7 @@ class Plan:
 
 
 def pack(docs: DataFrame, store: Store, path: str, window: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row per placed piece. The plan that goes to the tasks depends on the window, not on the corpus."""
+    """One row per placed piece, with its ids as little-endian 32-bit bytes. The plan that goes to the tasks depends on the window, not on the corpus."""
     cut = store.put(tokenized(docs, path, window, end_id), "token-pieces")
     counts = cut.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -261,14 +261,14 @@ def pack(docs: DataFrame, store: Store, path: str, window: int = 2048, end_id: i
                 while at < n:
                     firsts, runs = plan[n, at]
                     first, _, size, seq, offset = runs[bisect_right(firsts, ordinal) - 1]
-                    crc = r["ids_crc32"] if size == n else zlib.crc32(r["ids"][4 * at : 4 * (at + size)])
-                    out.append((r["doc_id"], r["start"] + at, size, crc, r["doc_tokens"], seq + ordinal - first, offset))
+                    out.append((r["doc_id"], r["start"] + at, size, r["ids"][4 * at : 4 * (at + size)], r["doc_tokens"], seq + ordinal - first, offset))
                     at += size
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PLACED.split(", ")])
 
     placed = cut.join(bounded(counts.select("block", "length", "before")), ["block", "length"])
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "ordinal", "before").mapInArrow(place, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return placed.select("doc_id", "start", "length", "doc_tokens", "ids", "ordinal", "before").mapInArrow(place, PLACED)
 
 
 def tokenizer_path() -> str:
@@ -278,6 +278,7 @@ def tokenizer_path() -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048. Null texts hold the end id alone; null ids and repeated rows are packed like any other."""
+    """Pieces of all documents in sequences of 2048, with a checksum of their ids. Null texts hold the end id alone; null ids and repeated rows are packed like any other."""
     docs = session(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, Store(spark), tokenizer_path())
+    packed = pack(docs, Store(spark), tokenizer_path())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -111,6 +111,20 @@ def test_packing(spark, data):
         assert n == 2048 or n & (n - 1) == 0
 
 
+def test_sequences_hold_all_ids(spark):
+    from tokenizers import Tokenizer
+
+    docs = [(i, t) for i, t in enumerate([*texts(), "alpha beta gamma " * 1500])]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), Store(spark), packing.tokenizer_path()).toPandas()
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    assert (got.length == 2048).any()
+    for i, x in docs:
+        own = b"".join(got[got.doc_id == i].sort_values("start").ids)
+        assert own == np.array(tok.encode(x, add_special_tokens=False).ids + [1], "<u4").tobytes()
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert len(b"".join(s.ids)) == 4 * s.length.sum()
+
+
 def test_plan_places_everything():
     rng = random.Random(1)
     for _ in range(20):
