@@ -290,6 +290,38 @@ def test_lines(spark):
         assert kept[d, i] == (not early, len(near.get(x, ()))), (d, i, x)
 
 
+def test_longer_lines_may_differ_in_more_places(spark):
+    """The stage of the pipeline against brute force, around the lengths where the rule changes."""
+    rng = random.Random(7)
+    pool = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (40, 62, 64, 66, 100, 127, 130, 200, 255, 257, 300)]
+
+    def edit(s):
+        for _ in range(rng.randint(0, 5)):
+            i, k = rng.randrange(len(s)), rng.random()
+            s = s[:i] + ("x" if k < 0.6 else "") + s[i + (k < 0.3 or k >= 0.6) :]
+        return s
+
+    docs = [(i, edit(rng.choice(pool))) for i in range(150)]
+
+    def dist(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def near(a, b):
+        n = min(len(a), len(b))
+        return abs(len(a) - len(b)) <= 4 and dist(a, b) <= (1 if n < 64 else 2 if n < 128 else 3 if n < 256 else 4)
+
+    want = [i for i, t in docs if not any(near(t, u) for _, u in docs[:i])]
+    one = [i for i, t in docs if not any(abs(len(t) - len(u)) <= 1 and dist(t, u) <= 1 for _, u in docs[:i])]
+    got = lines.clean_documents(spark.createDataFrame(docs, "doc_id long, text string"), Store(spark)).collect()
+    assert sorted(r.doc_id for r in got) == want and len(want) < len(one)
+
+
 def test_toxicity_learns_from_allowed_rows(spark, data):
     got = rows(spark, "op1_toxicity", data)
     assert got.score.between(0, 1).all() and len(got) == len(texts()) + 3
