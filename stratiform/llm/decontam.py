@@ -47,7 +47,10 @@ def windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, store: Store, size: int = 13, share: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per document row: words, hit words, items with an occurring window, and the verdict.
+    """One row per document row: words, hit words, items with an occurring window, the windows' places, and the verdict.
+
+    ``items`` are their ids; ``spans`` are distinct places, from word a to before word b,
+    counted from 0.
 
     A document is contaminated if ``n_hit > 0 and share * n_hit >= n_words``. Null texts
     have no words. Items with a null id are left out, as they can't be named; repeated
@@ -82,7 +85,7 @@ def contamination(docs: DataFrame, items: DataFrame, store: Store, size: int = 1
         lambda acc, s: F.struct((acc.n + F.greatest(F.lit(0), s.b - F.greatest(s.a, acc.upto))).alias("n"), F.greatest(acc.upto, s.b).alias("upto")),
         lambda acc: acc.n,
     )
-    hits = hits.select(F.col("doc_id").alias("h_id"), F.col("key").alias("h_key"), covered.cast("long").alias("n_hit"), F.array_sort(F.transform("items", lambda i: i.cast("string"))).alias("items"))
+    hits = hits.select(F.col("doc_id").alias("h_id"), F.col("key").alias("h_key"), covered.cast("long").alias("n_hit"), F.array_sort("items").alias("items"), "spans")
     hits = store.put(hits, "hits")
     sizes = d.select("doc_id", "key", F.size("words").cast("long").alias("n_words"))
     out = sizes.join(hits, sizes.doc_id.eqNullSafe(hits.h_id) & (sizes.key == hits.h_key), "left")
@@ -92,8 +95,8 @@ def contamination(docs: DataFrame, items: DataFrame, store: Store, size: int = 1
         "key",
         "n_words",
         n_hit.alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
+        F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
@@ -109,7 +112,9 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by the items of ``benchmark``; see ``contamination``."""
     session(spark)
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, items, Store(spark)).drop("key")
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    found = contamination(docs, items, Store(spark))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), "contaminated")
 
 
 OP10_SQL = r"""

@@ -14,7 +14,6 @@ which strings start in a document of smaller id.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from itertools import chain
 
@@ -393,8 +392,12 @@ def _grouped(batches, key: int = 0):
         yield now, held
 
 
-def removed(docs: DataFrame, store: Store, size: int = 50, k: int = 24, part_anchors: int = 250_000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per document row; needs size - k < 64."""
+def cleaned(docs: DataFrame, store: Store, size: int = 50, k: int = 24, part_anchors: int = 250_000) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept) per document row; needs size - k < 64.
+
+    ``spans`` are the removed bytes, from start to before end; ``kept`` are the others, as
+    bytes, because a span may begin or end inside a character.
+    """
     held = store.put(blocks(docs), "blocks")
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     parts = max(1, int(total / (size - k + 2) * 2 / part_anchors))
@@ -468,15 +471,36 @@ def removed(docs: DataFrame, store: Store, size: int = 50, k: int = 24, part_anc
                         np.add.at(delta, s, 1)
                         np.add.at(delta, s + size, -1)
                 gone = np.cumsum(delta[:-1]) > 0
-                rows = []
-                for (doc, n, null), a, e in zip(x.meta.tolist(), x.starts.tolist(), x.ends.tolist(), strict=True):
-                    g = gone[a:e]
-                    spans = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()) if n else 0
-                    rows.append((None if null else doc, n, int(g.sum()), spans, hashlib.sha256(x.text[a:e][~g].tobytes()).hexdigest()))
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return held.join(found, "block", "left").select("meta", "body", "m").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+                yield pa.RecordBatch.from_arrays(_cleaned(x, gone), names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+
+    return held.join(found, "block", "left").select("meta", "body", "m").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+
+
+def _cleaned(x: Block, gone: np.ndarray) -> list[pa.Array]:
+    """Columns of ``cleaned`` for the documents of a block, by a flag for each byte."""
+    n, full = x.meta[:, 1], x.meta[:, 1] > 0
+    first, last = gone.copy(), gone.copy()
+    first[1:] &= ~gone[:-1]
+    last[:-1] &= ~gone[1:]
+    at = x.starts[full]  # a span ends with its document
+    first[at] = gone[at]
+    at = x.ends[full] - 1
+    last[at] = gone[at]
+    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    own = x.doc(a)
+    spans = pa.StructArray.from_arrays([pa.array(a - x.starts[own], pa.int64()), pa.array(b - x.starts[own], pa.int64())], ["start", "end"])
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(len(n) + 1)), pa.int32()), spans)
+    upto = np.concatenate([[0], np.cumsum(gone)])
+    n_removed = upto[x.ends] - upto[x.starts]
+    ends = np.concatenate([[0], np.cumsum(n - n_removed)]).astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(x.text[~gone])])
+    return [pa.array(x.meta[:, 0], pa.int64(), mask=x.meta[:, 2] > 0), pa.array(n, pa.int64()), pa.array(n_removed, pa.int64()), spans, kept]
+
+
+def removed(docs: DataFrame, store: Store, size: int = 50, k: int = 24, part_anchors: int = 250_000) -> DataFrame:
+    """``cleaned`` with the number of spans and a digest of the kept bytes in their place."""
+    out = cleaned(docs, store, size, k, part_anchors)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from stratiform.llm.common import Store
 from stratiform.llm.packing import Ids, tokenizer_path
-from stratiform.llm.substrings import removed
+from stratiform.llm.substrings import cleaned, removed
 
 
 def test_ids_of_a_column_are_the_tokenizers():
@@ -53,3 +53,14 @@ def test_passages_of_many_documents(spark):
     for n in (1, 5):
         df = spark.createDataFrame(docs, "doc_id long, text string").repartition(n)
         assert sorted((tuple(r) for r in removed(df, Store(spark)).collect()), key=str) == brute(docs)
+
+
+def test_cleaned_texts_and_spans(spark):
+    """The kept bytes and the removed spans themselves; a cut inside a character keeps its other byte."""
+    text = "".join(random.Random(4).choices("abcdefgh", k=80))
+    docs = [(1, "é" + text), (2, "è" + text + " tail"), (3, "head " + text + "-" * 9 + text), (4, None), (None, text), (5, "new")]
+    got = {r.doc_id: ([tuple(x) for x in r.spans], bytes(r.kept), r.n_removed) for r in cleaned(spark.createDataFrame(docs, "doc_id long, text string"), Store(spark)).collect()}
+    assert got[1] == ([], docs[0][1].encode(), 0)
+    assert got[2] == ([(2, 82)], "è tail".encode(), 80)
+    assert got[3] == ([(5, 85), (94, 174)], b"head ---------", 160)
+    assert got[4] == ([], b"", 0) and got[None] == ([(0, 80)], b"", 80) and got[5] == ([], b"new", 0)

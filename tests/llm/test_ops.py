@@ -78,6 +78,17 @@ def test_decontam_without_broadcasts(spark, data):
     assert got[0] == got[1] and any("contaminated=True" in x for x in got[0])
 
 
+def test_contamination_names_items_and_places(spark):
+    from stratiform.llm import decontam
+
+    w = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(10, " ".join(w[:13])), (9, " ".join(w[:14])), (2, "w30 w31")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y " + " ".join(w[:14])), (2, "no"), (3, "W30 w31 z w30 w31")], "doc_id long, text string")
+    for n in (0, 10_000):
+        got = {r.doc_id: (r["items"], [tuple(s) for s in r.spans]) for r in decontam.contamination(docs, items, Store(spark), broadcast_rows=n).collect()}
+        assert got == {1: ([9, 10], [(2, 15), (3, 16)]), 2: ([], []), 3: ([2], [(0, 2), (3, 5)])}
+
+
 def test_topk(spark, data):
     got = rows(spark, "op8_topk", data)
     v = {}
