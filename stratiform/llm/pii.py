@@ -163,8 +163,12 @@ class Field:
         self.pair = np.clip(np.log(joint / (alone[:, :, None] * alone[:, None, :])), -4, 4)
         self.unseen = np.log(np.array([0.99] + [0.01 / (k - 1)] * (k - 1)))
 
-    def marginals(self, found, rounds: int = 10) -> np.ndarray:
-        """Posterior labels of the nodes by loopy belief propagation."""
+    def marginals(self, found) -> np.ndarray:
+        """Posterior labels of the nodes by loopy belief propagation, until it has converged.
+
+        A round carries evidence one link on, and damping halves it: the bound on rounds
+        is several times the number of nodes, which no path exceeds.
+        """
         own = np.stack([self.shapes.get(shape(c), self.unseen) for _, _, c, _ in found])
         for i, (_, _, _, y) in enumerate(found):
             if y:
@@ -179,7 +183,7 @@ class Field:
         pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
         msg = np.zeros((len(src), own.shape[1]))
-        for _ in range(rounds):
+        for _ in range(20 + 4 * len(found)):
             belief = own.copy()
             np.add.at(belief, dst, msg)
             out = belief[src] - msg[back]

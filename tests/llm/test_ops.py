@@ -272,6 +272,15 @@ def test_pii_spreads_labels():
     assert set(base) < set(both)
 
 
+def test_pii_reaches_far_repeats():
+    """Repeats of a token that is matched once, a hundred links from it too, get what the near ones get."""
+    card, other = "4111111111111111", "4111/1111/1111/1111"
+    counts = {(0, pii.shape(other), 3): 55, (0, pii.shape(other), 0): 45, (2, 3, 3): 5000, (2, 0, 0): 5000, (2, 0, 3): 5}
+    text = card + " is the number; " + " is the number; ".join([other] * 100)
+    base, both = pii.find(text, pii.Field(counts))
+    assert len(base) == 1 and len(both) == 101
+
+
 def test_lines(spark):
     rng = random.Random(6)
     pool = ["".join(rng.choice("abcde ") for _ in range(rng.randint(18, 30))) for _ in range(12)]
