@@ -173,7 +173,7 @@ def links(fps: DataFrame, store: Store, bits: int = 4, block: int = 2048) -> Dat
 
 
 def near_duplicates(docs: DataFrame, store: Store, bits: int = 4, size: int = 4) -> DataFrame:
-    """doc_id, key (of the text), fp and component_id per document row.
+    """doc_id, key (of the text), fp, component_id and root (the component's own number) per document row.
 
     Equal fingerprints are one node, so copies are never paired. A component's id is its
     smallest doc_id; rows with a null doc_id have a fingerprint and link others, but name
@@ -185,15 +185,21 @@ def near_duplicates(docs: DataFrame, store: Store, bits: int = 4, size: int = 4)
     root = components(edges, store)
     named = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = store.put(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = store.put(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", "key", "fp", "component_id")
+    named = store.put(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "named")
+    return fps.join(named, "fp").select("doc_id", "key", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, store: Store) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Of rows that repeat it, all stay."""
+    """One document row of each group: the smallest doc_id, null last, then the smallest text key, and any one of rows that repeat both."""
     found = near_duplicates(docs, store)
-    gone = store.put(found.where("doc_id <> component_id").select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key")).distinct(), "duplicates")
-    return docs.join(gone, (docs["doc_id"] == gone.g_id) & (text_key("text") == gone.g_key), "left_anti")
+    sizes = store.put(found.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "rows-alike")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = sizes.groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("b"))
+    best = store.put(best.select(F.col("b.o.doc_id").alias("k_id"), F.col("b.o.key").alias("k_key"), "b.n"), "kept")
+    same = docs["doc_id"].eqNullSafe(best.k_id) & (text_key("text") == best.k_key)
+    one = docs.join(best.where("n = 1"), same, "left_semi")
+    many = docs.join(best.where("n > 1"), same, "left_semi").withColumn("k_key", text_key("text")).dropDuplicates(["doc_id", "k_key"])
+    return one.unionByName(many.drop("k_key"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

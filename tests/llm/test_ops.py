@@ -177,6 +177,14 @@ def test_simhash(spark, data):
     assert len(got) == len(t) + 3
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(rng.choice("qrstuvwxyz") * 3 + str(rng.random()) for _ in range(60)) for _ in range(4))
+    docs = [(5, a), (5, a), (7, a), (None, a), (None, b), (None, b), (3, c), (None, c), (4, d), (8, None), (8, "")]
+    got = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), Store(spark)).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=str) == sorted([(5, a), (None, b), (3, c), (4, d), (8, "")], key=str)
+
+
 def test_links_lose_nothing(spark):
     rng = np.random.default_rng(3)
     center = rng.integers(0, 2**63, 5, dtype=np.uint64)
