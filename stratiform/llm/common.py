@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows per Arrow batch sent to Python workers. Documents may be long, so batches are small.
 ARROW_ROWS = 1000
+#: Whether the shuffle files of a query go as soon as it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -50,7 +52,12 @@ class Store:
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
+        was = df.sparkSession.conf.get(CLEAN, "false")
+        df.sparkSession.conf.set(CLEAN, "true")  # the table takes the place of the shuffles that made it
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            df.sparkSession.conf.set(CLEAN, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stratiform_path = path
         return out
