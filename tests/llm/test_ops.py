@@ -291,14 +291,14 @@ def test_pii_reaches_far_repeats():
 
 def test_lines(spark):
     rng = random.Random(6)
-    pool = ["".join(rng.choice("abcde ") for _ in range(rng.randint(18, 30))) for _ in range(12)]
+    pool = ["".join(rng.choice("abcde ") for _ in range(rng.randint(18, 30))) for _ in range(10)] + ["", "ab", "abc", "x" * 19, "item 12 of the list 7", "item 13 of the list 8"]
 
     def edit(s):
-        i, k = rng.randrange(len(s)), rng.random()
+        i, k = rng.randrange(len(s) + 1), rng.random()
         return s[:i] + ("x" if k < 0.6 else "") + s[i + (k < 0.3 or k >= 0.6) :]
 
     docs = [(i, "\n".join(edit(rng.choice(pool)) if rng.random() < 0.7 else rng.choice(pool) for _ in range(6))) for i in range(25)]
-    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), Store(spark)).collect()
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), Store(spark), lines.ONE_EDIT).collect()
 
     def dist(a, b):
         row = list(range(len(b) + 1))
@@ -312,10 +312,42 @@ def test_lines(spark):
     places = [(d, i, x) for d, t in docs for i, x in enumerate(t.split("\n"))]
     distinct = {x for _, _, x in places if len(x) >= 20}
     near = {x: {y for y in distinct if x != y and dist(x, y) <= 1} for x in distinct}
-    kept = {(r.doc_id, r.line_no): (r.kept, r.n_links) for r in got}
+    found = {(r.doc_id, r.line_no): (r.kept, r.n_links, r.copies, r.class_doc, r.class_line) for r in got}
+    assert len(found) == len(places)
     for d, i, x in places:
-        early = any((d2, i2) < (d, i) and (y == x or y in near.get(x, ())) for d2, i2, y in places) and len(x) >= 20
-        assert kept[d, i] == (not early, len(near.get(x, ()))), (d, i, x)
+        early = x != "" and any((d2, i2) < (d, i) and (y == x or y in near.get(x, ())) for d2, i2, y in places)
+        same = [(d2, i2) for d2, i2, y in places if y == x]
+        assert found[d, i] == (not early, len(near.get(x, ())), len(same), *min(same)), (d, i, x)
+
+
+def test_lines_of_templates(spark):
+    """Many lines of one template: links only where one place differs."""
+    docs = [(i, f"page {i // 10} of the long list, entry number {i % 10}") for i in range(100)]
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), Store(spark), lines.ONE_EDIT).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: 18 for i in range(100)}
+    assert sorted(r.doc_id for r in got if r.kept) == [0]
+
+
+def test_clean_documents_keeps_columns(spark):
+    """Clashing names, nulls, empty lines, repeated rows and very long lines."""
+    long = "lorem " * 50_000
+    rows_ = [
+        (1, "same line here, long enough\n\nyes", 1, "a", "b", 7, 0),
+        (2, "same line here, long enough\n\nno", 2, "a", "b", 7, 0),
+        (3, "same line here, long enough", 3, "a", "b", 7, 0),
+        (4, None, 4, "a", "b", 7, 0),
+        (5, "", 5, "a", "b", 7, 0),
+        (6, long, 6, "a", "b", 7, 0),
+        (7, long + "\ntail", 7, "a", "b", 7, 0),
+        (None, "yes\nlast", 8, "a", "b", 7, 0),
+        (1, "same line here, long enough\n\nyes", 9, "a", "b", 7, 0),
+    ]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lost long, g_text string, g_id string, n_chars long, `a.b` int")
+    got = lines.clean_documents(docs, Store(spark))
+    assert got.columns == docs.columns
+    out = {r.lost: (r.doc_id, r.text, r.n_chars, r.g_text) for r in got.collect()}
+    first = (1, "same line here, long enough\n\nyes", 7, "a")
+    assert out == {1: first, 9: first, 2: (2, "\nno", 3, "a"), 4: (4, None, 7, "a"), 5: (5, "", 7, "a"), 6: (6, long, 7, "a"), 7: (7, "tail", 4, "a"), 8: (None, "last", 4, "a")}
 
 
 def test_longer_lines_may_differ_in_more_places(spark):
