@@ -14,11 +14,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Store, session, text_key, text_or_empty
-
-#: Rows up to which a staged table of short strings is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
-
+from .common import BROADCAST_ROWS, Store, bounded, session, text_key, text_or_empty, within
 
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
@@ -29,15 +25,6 @@ def words_of(c: str) -> Column:
     return F.filter(F.split(ascii_lower(text_or_empty(c)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The staged table with a broadcast hint if its counted rows are within the bound."""
-    return F.broadcast(df) if within(df, rows) else df
-
-
-def within(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def windows(items: DataFrame, size: int) -> DataFrame:
     """The distinct windows of all items: win (words joined), n (their number), items (sorted ids)."""
     w = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words_of("text").alias("w")).where(F.size("w") > 0)

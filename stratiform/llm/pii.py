@@ -1,11 +1,13 @@
 """Personal data: exact base patterns, widened by a skip-chain conditional random field.
 
-Tokens that hold a digit, an at sign or a plus are the field's nodes. A node's
-potential comes from its shape, a chain potential joins neighbouring nodes, and a skip
-potential joins each node with the next one of the same or similar value, however far
-away. Potentials are estimated piecewise from counts over all documents, with the base
-patterns as labels. In each document loopy message passing then makes labels agree:
-tokens under a base span are fixed, others become spans if their posterior is high.
+The field's nodes are the base spans, runs of digits with separators, and other words
+that hold a digit, an at sign or a plus. A node's potential comes from its shape, a chain
+potential joins neighbours, and skip potentials join equal or similar nodes, however far
+apart: each set of alike nodes shares one group node, so that any two of them are two
+links apart. Potentials are estimated by expectation maximisation over all documents:
+base spans are known, all other nodes are unlabelled, and loopy message passing gives
+their expected labels. The same message passing then makes labels agree in each
+document: base spans are fixed, others become spans if their posterior is high.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TOKEN = re.compile(r"\S*[0-9@+]\S*")
+WORD = re.compile(r"\S+")
+RUN = re.compile(r"\+?\(?[0-9](?:[ ()./_:-]{0,2}[0-9])*+")
 ANY = re.compile(r"[0-9@+]")
 EDGE = " .,;:!?()[]{}<>\"'#*|"
 
@@ -78,11 +81,11 @@ def bucket(n: int) -> int:
 
 
 def shape(core: str) -> int:
-    """A token's shape as a number; there are a few hundred."""
-    d = digits_of(core) if len(core) <= 64 else "0" * 20
+    """A node's shape as a number; there are a few hundred."""
+    d = digits_of(core)
     n = len(d)
     dots = min(core.count("."), 4)
-    letters = any(c.isalpha() for c in core[:64])
+    letters = any(c.isalpha() for c in core)
     check = 0 if not 12 <= n <= 19 else 1 + luhn(d)
     out = 0
     for v, most in ((bucket(n), 6), ("@" in core, 2), (dots, 5), (core[:1] == "+", 2), (letters, 2), ("-" in core, 2), (check, 3)):
@@ -91,66 +94,142 @@ def shape(core: str) -> int:
 
 
 def nodes(text: str, base):
-    """(start, end, core, base label or 0) of every token with a digit, at sign or plus."""
-    out, starts = [], [s for s, _, _ in base]
-    longest = max((e - s for s, _, e in base), default=0)
-    for m in TOKEN.finditer(text):
-        raw = m[0]
-        core = raw.strip(EDGE)
-        if not core:
-            continue
-        s = m.start() + len(raw) - len(raw.lstrip(EDGE))
-        e = s + len(core)
-        label, i = 0, bisect_left(starts, e) - 1
-        while i >= 0 and starts[i] > s - longest - 1:
-            if base[i][2] > s and base[i][0] < e:
-                label = base[i][1] + 1
-                break
-            i -= 1
-        out.append((s, e, core, label))
+    """(start, end, core, base label or 0): the base spans, runs of nine or more digits, and other words with a digit, at sign or plus.
+
+    Nothing overlaps a base span, and what is glued to one is left out. Linear in the
+    text's length.
+    """
+    out, end = [], 0
+    for s, k, e in base:
+        if s >= end:  # spans of different kinds may overlap; the first one stands for both
+            out.append((s, e, text[s:e], k + 1))
+        end = max(end, e)
+    free, at = [], 0
+    for s, e in sorted((s, e) for s, _, e in base) + [(len(text), len(text))]:
+        if s > at:
+            free.append((at, s))
+        at = max(at, e)
+    for low, high in free:
+
+        def glued(s, e, low=low, high=high):
+            return s == low > 0 or e == high < len(text)
+
+        runs = []
+        for m in RUN.finditer(text, low, high):
+            s, e = m.span()
+            around = text[max(0, s - 1) : s] + text[e : e + 1]
+            if len(digits_of(m[0])) >= 9 and not glued(s, e) and not any(c.isalnum() or c == "@" for c in around):
+                runs.append((s, e))
+                out.append((s, e, m[0], 0))
+        starts = [s for s, _ in runs]
+        for m in WORD.finditer(text, low, high):
+            raw = m[0]
+            if not ANY.search(raw) or glued(*m.span()):
+                continue
+            s = m.start() + len(raw) - len(raw.lstrip(EDGE))
+            e = m.end() - len(raw) + len(raw.rstrip(EDGE))
+            i = bisect_left(starts, e)
+            if s < e and not (i and runs[i - 1][1] > s):
+                out.append((s, e, text[s:e], 0))
+    return sorted(out)
+
+
+def same(core: str) -> list[str]:
+    """Keys of equal nodes: their text, or their digits if there are many."""
+    d = digits_of(core)
+    return [core.lower(), "#" + d] if len(d) >= 7 else [core.lower()]
+
+
+def similar(core: str) -> list[str]:
+    """Keys of similar nodes: the last nine digits, digits but for one, and the part before an at sign."""
+    d = digits_of(core)
+    out = ["~" + d[-9:]] if len(d) >= 9 else []
+    if 9 <= len(d) <= 19:
+        out += [d[:i] + "?" + d[i + 1 :] for i in range(len(d))]
+    local, sign, _ = core.partition("@")
+    if sign and len(local) >= 3:
+        out.append("@" + local.lower())
     return out
 
 
-def alike(core: str) -> list[str]:
-    """Keys under which tokens count as the same or similar: their text, and their digits if there are many."""
-    low = core.lower()
-    d = digits_of(core) if len(core) <= 256 else ""
-    return [low, "#" + d] if len(d) >= 7 and low != d else ["#" + d] if len(d) >= 7 else [low]
+CHAIN, SAME, SIMILAR = 1, 2, 3
+
+
+def graph(found) -> tuple[list[list[int]], list[tuple[int, int, int]]]:
+    """(members of each group, edges): edges (type, i, j) join neighbours, and members with their group, which is node len(found) + its number."""
+    edges = [(CHAIN, i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 3]
+    groups, known = [], set()
+    for what, keys in ((SAME, same), (SIMILAR, similar)):
+        by: dict[str, list[int]] = {}
+        for i, (_, _, core, _) in enumerate(found):
+            for k in keys(core):
+                by.setdefault(k, []).append(i)
+        for own in by.values():
+            if len(own) > 1 and tuple(own) not in known:  # the same members need no second group
+                known.add(tuple(own))
+                edges += [(what, i, len(found) + len(groups)) for i in own]
+                groups.append(own)
+    return groups, edges
+
 
+ONE = 1 << 16  # expected counts are whole multiples of 1 / ONE, so that sums don't depend on their order
 
-def edges(found) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip) edges; each node's skip edges go to the next node alike, so that they grow with the nodes only."""
-    chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 3]
-    skip, last = set(), {}
-    for i, (_, _, core, _) in enumerate(found):
-        for k in alike(core):
-            if k in last:
-                skip.add((last[k], i))
-            last[k] = i
-    return chain, sorted(skip)
 
+def statistics(texts, field=None):
+    """Expected counts, in units of 1 / ONE: (0, shape, label), and (type, label, label) on edges.
 
-def statistics(texts) -> dict[tuple[int, int, int], int]:
-    """Counts of (0, shape, label), (1, label, label) on chains and (2, label, label) on skip edges."""
+    Without a field, unlabelled nodes begin as what a base span of their group says: an
+    equal one, or similar ones that are half of their group; with one, as their posteriors.
+    """
     from collections import Counter
 
     n: Counter = Counter()
+    labels = len(LABELS)
     for t in texts:
         if not t or not ANY.search(t):
             continue
         found = nodes(t, base_spans(t))
-        n.update((0, shape(c), y) for _, _, c, y in found)
-        for what, e in zip((1, 2), edges(found), strict=True):
-            n.update((what, found[i][3], found[j][3]) for i, j in e)
+        if not found:
+            continue
+        groups, edges = graph(found)
+        if field is None:
+            y = [x[3] for x in found]
+            equal = len({j for what, _, j in edges if what == SAME})
+            for g, own in enumerate(groups):
+                known = [found[i][3] for i in own if found[i][3]]
+                if known and (g < equal or 2 * len(known) >= len(own)):
+                    for i in own:
+                        y[i] = y[i] or max(known)
+            y += [max(y[i] for i in own) for own in groups]
+            p = np.eye(labels)[y]
+        else:
+            p = field.marginals(found, groups, edges)
+        for (_, _, core, _), q in zip(found, p, strict=False):
+            s = shape(core)
+            for k in np.flatnonzero(q > 1e-4):
+                n[0, s, int(k)] += int(q[k] * ONE)
+        if edges:
+            e = np.array(edges)
+            for what in (CHAIN, SAME, SIMILAR):
+                own = e[e[:, 0] == what]
+                if len(own):
+                    both = p[own[:, 1]].T @ p[own[:, 2]]
+                    for a, b in zip(*np.nonzero(both > 1e-4), strict=True):
+                        n[what, int(a), int(b)] += int(both[a, b] * ONE)
     return n
 
 
 class Field:
-    """Log potentials from counts, smoothed."""
+    """Log potentials from counts.
+
+    An edge has the mean of both logarithms of one label's share given the other: labels
+    that agree cost next to nothing, however rare they are, and those that differ cost
+    the more the rarer that is.
+    """
 
-    def __init__(self, counts: dict[tuple[int, int, int], int], smooth: float = 0.5):
+    def __init__(self, counts: dict[tuple[int, int, int], float], smooth: float = 0.5):
         k = len(LABELS)
-        self.shapes, pair = {}, np.full((2, k, k), smooth)
+        self.shapes, pair = {}, np.tile(smooth * np.eye(k), (3, 1, 1))
         for (what, x, y), n in counts.items():
             if what == 0:
                 self.shapes.setdefault(x, np.full(k, smooth / k))[y] += n
@@ -158,44 +237,47 @@ class Field:
                 pair[what - 1, x, y] += n
                 pair[what - 1, y, x] += n
         self.shapes = {s: np.log(v / v.sum()) for s, v in self.shapes.items()}
-        joint = pair / pair.sum((1, 2), keepdims=True)
-        alone = joint.sum(2)
-        self.pair = np.clip(np.log(joint / (alone[:, :, None] * alone[:, None, :])), -4, 4)
-        self.unseen = np.log(np.array([0.99] + [0.01 / (k - 1)] * (k - 1)))
+        given = pair + smooth / k
+        self.pair = np.clip(0.5 * (np.log(given / given.sum(1, keepdims=True)) + np.log(given / given.sum(2, keepdims=True))), -8, 0)
+        self.unseen = np.log(np.array([0.9] + [0.1 / (k - 1)] * (k - 1)))
 
-    def marginals(self, found) -> np.ndarray:
-        """Posterior labels of the nodes by loopy belief propagation, until it has converged.
+    def marginals(self, found, groups=None, edges=None, rounds: int = 200) -> np.ndarray:
+        """Posterior labels of the nodes, then of the groups, by loopy belief propagation.
 
-        A round carries evidence one link on, and damping halves it: the bound on rounds
-        is several times the number of nodes, which no path exceeds.
+        It ends when no message changes any more. Alike nodes are two links apart, so that
+        this does not depend on the document's length; ``rounds`` only ends messages that
+        circle for ever.
         """
-        own = np.stack([self.shapes.get(shape(c), self.unseen) for _, _, c, _ in found])
-        for i, (_, _, _, y) in enumerate(found):
+        if groups is None:
+            groups, edges = graph(found)
+        own = np.zeros((len(found) + len(groups), len(LABELS)))
+        for i, (_, _, core, y) in enumerate(found):
             if y:
                 own[i] = -30.0
                 own[i, y] = 0.0
-        chain, skip = edges(found)
-        e = np.array(chain + skip, np.int64).reshape(-1, 2)
-        if not len(e):
+            else:
+                own[i] = self.shapes.get(shape(core), self.unseen)
+        if not edges:
             return _normal(own)
-        pot = np.concatenate([np.repeat(self.pair[:1], len(chain), 0), np.repeat(self.pair[1:], len(skip), 0)])
-        src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
+        what, i, j = np.array(edges, np.int64).T
+        pot = self.pair[what - 1]
+        src, dst = np.concatenate([i, j]), np.concatenate([j, i])
         pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
+        back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
         msg = np.zeros((len(src), own.shape[1]))
-        for _ in range(20 + 4 * len(found)):
-            belief = own.copy()
-            np.add.at(belief, dst, msg)
-            out = belief[src] - msg[back]
-            new = _lse(out[:, :, None] + pot, 1)
+        for _ in range(rounds):
+            belief = _gather(own, dst, msg)
+            new = _lse((belief[src] - msg[back])[:, :, None] + pot, 1)
             new -= _lse(new, 1)[:, None]
             if np.abs(new - msg).max() < 1e-4:
                 msg = new
                 break
             msg = 0.5 * msg + 0.5 * new
-        belief = own.copy()
-        np.add.at(belief, dst, msg)
-        return _normal(belief)
+        return _normal(_gather(own, dst, msg))
+
+
+def _gather(own, dst, msg):
+    return own + np.stack([np.bincount(dst, m, len(own)) for m in msg.T], 1)
 
 
 def _lse(x, axis):
@@ -217,33 +299,42 @@ def find(text: str, field: Field, least: float = 0.9):
         return [], []
     base = base_spans(text)
     found = nodes(text, base)
-    if not any(y == 0 for _, _, _, y in found):
+    if all(y for _, _, _, y in found):
         return base, base
     p = field.marginals(found)
-    more = [(s, int(q.argmax()) - 1, e) for (s, e, _, y), q in zip(found, p, strict=True) if not y and q[1:].max() >= least]
+    more = [(s, int(q[1:].argmax()), e) for (s, e, _, y), q in zip(found, p, strict=False) if not y and q[1:].max() >= least]
     return base, sorted(base + more)
 
 
-def train(docs: DataFrame, store: Store) -> Field:
-    """Counts over all documents. Shapes and labels are few, so the table of counts has a fixed bound."""
+def train(docs: DataFrame, store: Store, rounds: int = 2) -> Field:
+    """A first count over all documents, then ``rounds`` of expectation maximisation over all of them.
 
-    def run(batches):
-        for b in pieces(batches):
-            n = statistics(b.column(0).to_pylist())
-            if n:
-                cols = list(zip(*((*k, v) for k, v in n.items()), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["what", "x", "y", "n"])
+    Shapes and labels are few, so the table of counts has a fixed bound.
+    """
+    texts, field = docs.select(F.col("text").cast("string").alias("text")), None
+    for _ in range(1 + rounds):
+
+        def run(batches, field=field):
+            for b in pieces(batches):
+                n = statistics(b.column(0).to_pylist(), field)
+                if n:
+                    cols = list(zip(*((*k, v) for k, v in n.items()), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["what", "x", "y", "n"])
 
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "what bigint, x bigint, y bigint, n bigint")
-    counts = store.put(counts.groupBy("what", "x", "y").agg(F.sum("n").alias("n")), "field-counts")
-    return Field({(r.what, r.x, r.y): r.n for r in counts.collect()})
+        counts = texts.mapInArrow(run, "what bigint, x bigint, y bigint, n bigint")
+        counts = store.put(counts.groupBy("what", "x", "y").agg(F.sum("n").alias("n")), "field-counts")
+        field = Field({(r.what, r.x, r.y): r.n / ONE for r in counts.collect()})
+        store.drop(counts)
+    return field
 
 
 def spans(docs: DataFrame, store: Store) -> DataFrame:
     """doc_id, counts of base spans, the base spans' digest and all spans of every whole text.
 
-    Null and empty texts have none; null ids and repeated rows stay as they are. A span
-    of the field never overlaps a base span's tokens.
+    Null and empty texts have none; null ids and repeated rows stay as they are, and
+    repeated rows count as often in training. A span of the field never overlaps a base
+    span. Very long texts are read whole, in time that grows with their length. An empty
+    table gives no rows; other columns are not read.
     """
     field = train(docs, store)
 
