@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import Store, pieces, session
-from .decontam import bounded
+from .common import bounded
 
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, block int, ordinal bigint"
 PLACED = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"

@@ -381,6 +381,45 @@ def test_lines_of_templates(spark):
     assert sorted(r.doc_id for r in got if r.kept) == [0]
 
 
+def test_hot_line_keys_lose_no_link(spark):
+    """Keys settled inside the join, dealt to slots or not, against pairs that are compared one by one."""
+    rng = random.Random(12)
+
+    def line(i):
+        s = list(f"the same long beginning of a line that many share {'x' * (i % 3)} and then " + "abcdefghij" * (2 + i % 4) + " the end")
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(s))
+            s[k] = rng.choice(["", "q", s[k] + "z"])
+        return "".join(s)
+
+    docs = spark.createDataFrame([(i, line(i)) for i in range(120)], "doc_id long, text string")
+    classes = lines.lines_of(docs).groupBy("line").agg(lines.F.min("doc_id").alias("cid"))
+    classes = classes.select("cid", "line", lines.F.length("line").alias("n_chars"), lines.letter_counts("line").alias("counts")).cache()
+    text = {r.cid: r.line for r in classes.collect()}
+
+    def near(pairs):
+        rule = lambda n: max(e for least, e in lines.BY_LENGTH if least <= n)
+        return {(r.a, r.b) for r in pairs.collect() if spark_distance(text[r.a], text[r.b]) <= rule(min(len(text[r.a]), len(text[r.b])))}
+
+    def spark_distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    plain = lines.candidates(classes, Store(spark), lines.BY_LENGTH, most=10**6)
+    want = near(plain)
+    assert want
+    for most, slot in ((1, 4096), (1, 5), (8, 3)):
+        got = lines.candidates(classes, Store(spark), lines.BY_LENGTH, most, slot)
+        assert near(got) == want
+        if most == 1:
+            assert got.count() < plain.count()
+
+
 def test_clean_documents_keeps_columns(spark):
     """Clashing names, nulls, empty lines, repeated rows and very long lines."""
     long = "lorem " * 50_000
