@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import predicates as P, text as T
 from .operators import chunk, index, lexical, ranking, retrieve
+from .sources import shared
 from .sources.tables import corpus, table
 from .streaming import streams
 
@@ -24,10 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
-# The query terms are frequent words of the corpus.
+# The query's words are frequent words of the corpus.
 TERMS = ["the", "thing", "ereat"]
-BM25 = r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}\p{Co}\-_./#]+') AS w FROM documents),
+TOKENS = r"regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}\p{Co}\-_./#]+')"
+BM25 = rf"""
+WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents),
 s AS (SELECT count(*) AS n_rows, avg(len(w)) AS a FROM t),
 x AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM t),
 f AS (SELECT doc_id, l, term, count(*) * 1.5 AS tf FROM x WHERE term IN ('the', 'thing', 'ereat') GROUP BY ALL),
@@ -36,19 +38,38 @@ r AS (SELECT doc_id, -sum(greatest(ln((n_rows - n + 0.5) / (n + 0.5)), 1e-6) * t
 """
 
 
+def _index(spark, sf) -> str:
+    """The stored postings of ``documents``, built when first asked for."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return shared.built(d, "postings", lambda t, folder: lexical.build(t, "doc_id", {"text": 1.5}, folder))
+
+
 @query(BM25 + "SELECT doc_id, round(rank, 6) AS rank FROM r ORDER BY round(rank, 6), doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    hits = lexical.search(spark, _index(spark, sf), "doc_id", [[t] for t in TERMS])
+    return hits.withColumn("rank", F.round("rank", 6)).orderBy("rank", "doc_id").limit(10)
+
+
+@query(BM25 + "SELECT doc_id, round(rank, 6) AS rank FROM r")
+def bm25_scan(spark, sf):
+    """The same ranks of all rows in one pass over the texts, without an index."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return lexical.bm25(d, "doc_id", {"text": 1.5}, TERMS).withColumn("rank", F.round("rank", 6)).orderBy("rank", "doc_id").limit(10)
+    return lexical.bm25(d, "doc_id", {"text": 1.5}, TERMS).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
-KNN = "SELECT a.vec_id AS query, b.vec_id, round(1 - list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id < 3"
+@query(rf"WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), x AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS n_rows, count(*) AS n_places, CAST(round(sum(1.5), 1) AS DOUBLE) AS tf FROM x GROUP BY term")
+def postings(spark, sf):
+    p = spark.read.parquet(f"{_index(spark, sf)}/postings")
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("places")).cast("long").alias("n_places"), F.round(F.sum("tf"), 1).alias("tf"))
 
 
-@query(f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS ({KNN}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS INT) AS rank FROM d) SELECT * FROM r WHERE rank <= 10")
+KNN = "SELECT a.vec_id AS query, b.vec_id, 1 - list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0"
+
+
+@query(f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS ({KNN}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS INT) AS rank FROM d) SELECT query, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10")
 def knn_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    return retrieve.knn(e, e.where("vec_id < 3"), "vec_id", "embedding", 10)
+    return retrieve.knn(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT count(*) AS n, bit_xor(vec_id) AS key_xor, CAST(CAST(sum(vec_id) AS HUGEINT) % 18446744073709551616 AS VARCHAR) AS key_sum FROM embeddings")
@@ -155,96 +176,171 @@ def scan_rollup(spark, sf):
     return table(spark, sf, "labels").agg(F.count(F.lit(1)).alias("scanned"), n.alias("indexed"), F.count_if(F.col("quality") == 0).alias("skipped"), F.when(n == 0, "none").when(n == F.count(F.lit(1)), "all").otherwise("partial").alias("coverage"))
 
 
-HYBRID = BM25 + f""", lex AS (SELECT doc_id, abs(rank) / (1 + abs(rank)) + 0.15 AS s FROM (SELECT * FROM r ORDER BY rank, doc_id LIMIT 24)),
-v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), kd AS ({KNN.replace('a.vec_id < 3', 'a.vec_id = 0')}),
-vec AS (SELECT vec_id AS doc_id, distance AS d, 1 / (1 + greatest(distance, 0)) AS s FROM kd ORDER BY distance, vec_id LIMIT 24),
+# One search: its raw text, the informative part, the lexical sub-queries (phrases, all or any, weight) and, as no embedder
+# is public here, stored vectors in place of the semantic sub-queries' (vec_id, weight).
+RAW, FOCUS, REQUIRED, HITS = "where is the thing ereat", "thing ereat", ["thing", "ereat"], 8
+LEXICAL = [([["thing", "ereat"]], False, 0.25), ([["thing"], ["ereat"]], True, 0.15), ([["thing"], ["ereat"]], False, 0.0)]
+SEMANTIC = [(0, 0.0), (50, 0.12)]
+HYBRID = rf"""
+WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents),
+s AS (SELECT count(*) AS n_rows, avg(len(w)) AS a FROM t),
+p AS (SELECT doc_id, len(w) AS l, 'thing' AS ph, len(list_filter(w, lambda x: x = 'thing')) * 1.5 AS tf FROM t
+  UNION ALL SELECT doc_id, len(w), 'ereat', len(list_filter(w, lambda x: x = 'ereat')) * 1.5 FROM t
+  UNION ALL SELECT doc_id, len(w), 'both', len(list_filter(w, lambda x, i: x = 'thing' AND w[i + 1] = 'ereat')) * 1.5 FROM t),
+f AS (SELECT * FROM p WHERE tf > 0),
+d AS (SELECT ph, count(*) AS n FROM f GROUP BY ph),
+g AS (SELECT doc_id, ph, greatest(ln((n_rows - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)) AS g FROM f JOIN d USING (ph), s),
+sub AS (SELECT doc_id, sum(g) AS g, 0.25 AS weight FROM g WHERE ph = 'both' GROUP BY doc_id
+  UNION ALL SELECT doc_id, sum(g), 0.15 FROM g WHERE ph <> 'both' GROUP BY doc_id HAVING count(*) = 2
+  UNION ALL SELECT doc_id, sum(g), 0.0 FROM g WHERE ph <> 'both' GROUP BY doc_id),
+cut AS (SELECT doc_id, g / (1 + g) + weight AS s FROM sub QUALIFY row_number() OVER (PARTITION BY weight ORDER BY g DESC, doc_id) <= 21),
+lex AS (SELECT doc_id, CAST(max(s) AS DOUBLE) AS s FROM cut GROUP BY doc_id),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), kd AS ({KNN.replace('a.vec_id % 50 = 0', 'a.vec_id IN (0, 50)')}),
+near AS (SELECT vec_id AS doc_id, distance AS d, CASE WHEN query = 50 THEN 0.12 ELSE 0 END AS w FROM kd QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) <= 32),
+vec AS (SELECT doc_id, min(d) AS d, max(1 / (1 + greatest(d, 0))) AS s, max(w) AS w FROM near GROUP BY doc_id),
 m AS (SELECT coalesce(lex.doc_id, vec.doc_id) AS doc_id, CASE WHEN lex.doc_id IS NULL THEN vec.s WHEN vec.doc_id IS NULL THEN lex.s ELSE least(1, greatest(vec.s, lex.s) + 0.15 * least(vec.s, lex.s)) END AS score,
-  coalesce(vec.d, greatest(least(1 - lex.s, 1), 0)) AS distance, CASE WHEN lex.s IS NULL THEN 0 ELSE least(lex.s, 0.2) END AS boost FROM lex FULL JOIN vec ON lex.doc_id = vec.doc_id)"""
+  coalesce(vec.d, greatest(least(1 - lex.s, 1), 0)) AS distance, CAST(greatest(coalesce(vec.w, 0), CASE WHEN lex.s IS NULL THEN 0 ELSE least(lex.s, 0.2) END) AS DOUBLE) AS boost, vec.doc_id IS NOT NULL AS has_vector FROM lex FULL JOIN vec ON lex.doc_id = vec.doc_id)"""
 
 
 def _hybrid(spark, sf):
-    e = table(spark, sf, "embeddings")
-    near = retrieve.knn(e, e.where("vec_id = 0"), "vec_id", "embedding", 24).select(F.col("vec_id").alias("doc_id"), retrieve.distance_score(F.col("distance")).alias("score"), "distance", F.lit(0.0).alias("boost"))
-    words = lexical.bm25(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", {"text": 1.5}, TERMS).orderBy("rank", "doc_id").limit(24)
-    s = retrieve.rank_score(F.col("rank")) + 0.15
-    return retrieve.merge(near, words.select("doc_id", s.alias("score"), F.greatest(F.least(1 - s, F.lit(1.0)), F.lit(0.0)).alias("distance"), F.least(s, F.lit(0.2)).alias("boost")), "doc_id")
+    e, total = table(spark, sf, "embeddings"), retrieve.candidate_limit(HITS)
+    weight = F.when(F.col("query") == SEMANTIC[1][0], SEMANTIC[1][1]).otherwise(SEMANTIC[0][1])
+    near = retrieve.knn(e, e.where(F.col("vec_id").isin([v for v, _ in SEMANTIC])), "vec_id", "embedding", retrieve.limit_of_each(total, len(SEMANTIC)))
+    near = near.select(F.col("vec_id").alias("doc_id"), retrieve.distance_score(F.col("distance")).alias("score"), "distance", weight.alias("boost"))
+    index, share = _index(spark, sf), retrieve.limit_of_each(total, len(LEXICAL))
+    hits = [lexical.search(spark, index, "doc_id", phrases, every).orderBy("rank", "doc_id").limit(share).select("doc_id", (retrieve.rank_score(F.col("rank")) + w).alias("score")) for phrases, every, w in LEXICAL]
+    words = retrieve.best_of(hits, "doc_id").select("doc_id", "score", retrieve.pseudo_distance(F.col("score")).alias("distance"), F.least("score", F.lit(0.2)).alias("boost"))
+    return retrieve.merge(near, words, "doc_id")
+
 
+@query("SELECT CAST(k AS INT) AS k, CAST(greatest(8 * least(greatest(k, 1), 20), 24) AS INT) AS candidates, CAST(greatest(greatest(8 * least(greatest(k, 1), 20), 24) // 3, 12) AS INT) AS each FROM range(0, 25) t(k)")
+def candidate_limits(spark, sf):
+    rows = [(k, retrieve.candidate_limit(k), retrieve.limit_of_each(retrieve.candidate_limit(k), 3)) for k in range(25)]
+    return spark.createDataFrame(rows, "k int, candidates int, each int")
 
-@query(HYBRID + " SELECT doc_id, round(score, 6) AS score, round(distance, 6) AS distance, boost FROM m")
+
+@query(HYBRID + " SELECT doc_id, round(score, 6) AS score, round(distance, 6) AS distance, round(boost, 6) AS boost, has_vector FROM m")
 def hybrid_merge(spark, sf):
-    return _hybrid(spark, sf).select("doc_id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"), "boost")
+    return _hybrid(spark, sf).select("doc_id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"), F.round("boost", 6).alias("boost"), "has_vector")
 
 
-RERANK = HYBRID + f""", h AS (SELECT m.*, lower({PATH} || ' ' || text) AS hay, {PATH} AS path FROM m JOIN documents USING (doc_id)),
-c AS (SELECT *, (CAST(contains(hay, 'the') AS INT) + CAST(contains(hay, 'thing') AS INT)) / 2 AS cov FROM h),
-k AS (SELECT *, score + 0.45 * (CASE WHEN contains(hay, 'the thing') THEN 1.0 ELSE 0.0 END + 1.2 * cov) + 0.25 * boost + 0.15 * cov AS combined FROM c)"""
+RERANK = HYBRID + rf""", h AS (SELECT m.*, text, lower({PATH}) AS p, lower(trim(string_split(text, chr(10))[1])) AS hd, lower(lang) AS an, lower({PATH} || ' ' || trim(string_split(text, chr(10))[1]) || ' ' || text) AS hay FROM m JOIN documents USING (doc_id)),
+c AS (SELECT *, CAST(contains(hay, 'thing') AS INT) + CAST(contains(hay, 'ereat') AS INT) AS matched, matched / 2 AS cov, contains(hay, 'thing ereat') AS exact,
+  CAST(contains(p, 'thing') AS INT) + CAST(contains(p, 'ereat') AS INT) AS mp, CAST(contains(hd, 'thing') AS INT) + CAST(contains(hd, 'ereat') AS INT) AS mh, CAST(contains(an, 'thing') AS INT) + CAST(contains(an, 'ereat') AS INT) AS ma FROM h),
+k AS (SELECT *, mp + mh + ma > 0 AS anchored, score + 0.45 * (CASE WHEN exact THEN 1.0 ELSE 0.0 END + CASE WHEN contains(hay, 'where is the thing ereat') THEN 0.3 ELSE 0.0 END + 1.2 * cov)
+  + 0.2 * (CASE WHEN contains(p, 'thing ereat') THEN 0.8 ELSE 0.0 END + CASE WHEN contains(hd, 'thing ereat') THEN 0.6 ELSE 0.0 END + CASE WHEN contains(an, 'thing ereat') THEN 0.3 ELSE 0.0 END + 0.35 * mp / 2 + 0.25 * mh / 2 + 0.1 * ma / 2)
+  + 0.25 * boost + 0.15 * cov AS combined FROM c)"""
 
 
 def _ranked(spark, sf):
-    d = corpus(spark, sf).select("doc_id", "absolute_path", "text", "source")
-    return retrieve.rerank(_hybrid(spark, sf).join(d, "doc_id"), F.col("text"), F.col("absolute_path"), "the thing", ["the", "thing"])
+    """Documents stand for chunks: the first line is their heading, the language their anchor label."""
+    d = corpus(spark, sf).select("doc_id", "absolute_path", "text", "source", "lang")
+    heading = F.array(F.trim(F.get(F.split("text", "\n"), 0)))
+    return retrieve.rerank(_hybrid(spark, sf).join(d, "doc_id"), F.col("text"), F.col("absolute_path"), heading, F.col("lang"), RAW, FOCUS, REQUIRED)
 
 
-@query(RERANK + " SELECT doc_id, round(cov, 6) AS coverage, round(combined, 6) AS combined FROM k")
+@query(RERANK + " SELECT doc_id, round(cov, 6) AS coverage, matched, exact, anchored, round(combined, 6) AS combined FROM k")
 def rerank_hits(spark, sf):
-    return _ranked(spark, sf).select("doc_id", F.round("coverage", 6).alias("coverage"), F.round("combined", 6).alias("combined"))
+    return _ranked(spark, sf).select("doc_id", F.round("coverage", 6).alias("coverage"), "matched", "exact", "anchored", F.round("combined", 6).alias("combined"))
+
+
+@query(RERANK + r""", o AS (SELECT k.*, source, row_number() OVER (ORDER BY combined DESC, distance, doc_id) AS r FROM k JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
+b AS (SELECT score AS bs, combined AS bc, cov AS bv, matched AS bm, has_vector AS bh, distance AS bd FROM o WHERE r = 1),
+j AS (SELECT o.*, b.*, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls, length(regexp_replace(text, '\s', '', 'g')) AS vis FROM o, b),
+n AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) = '' OR (len(ls) > 0 AND len(list_filter(ls, lambda x: NOT starts_with(x, '#'))) = 0 AND vis <= 24) OR (len(ls) >= 2 AND len(list_filter(ls, lambda x: NOT (strlen(x) >= 24 AND regexp_full_match(x, '[A-Za-z0-9+/=]+')))) = 0) AS low FROM j),
+y AS (SELECT * FROM n WHERE score >= greatest(0.35, CASE WHEN bs >= 0.8 THEN 0.6 WHEN bs >= 0.65 THEN 0.5 WHEN bs >= 0.5 THEN 0.4 ELSE 0.3 END) AND combined >= 0.7 * bc
+  AND (NOT (bv >= 0.8 AND bm >= 2 AND bh) OR NOT has_vector OR distance <= bd + 0.12) AND NOT low
+  AND (exact OR cov >= CASE WHEN bv >= 0.8 THEN 0.75 WHEN bv >= 0.6 THEN 0.5 ELSE 0 END)
+  AND (NOT (bv >= 0.6 AND bm >= 2) OR exact OR anchored OR matched >= 1) AND (NOT (bv >= 0.8 AND bm >= 2) OR anchored OR matched >= 2)),
+pp AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY r) AS round, min(r) OVER (PARTITION BY source) AS f FROM y),
+z AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY round, f) AS INT) AS place FROM pp WHERE round <= 2) SELECT * FROM z WHERE place <= 8""")
+def prune_diversify(spark, sf):
+    return retrieve.prune(_ranked(spark, sf), "doc_id", "source", 0.35, HITS).select("doc_id", "place")
 
 
-@query(RERANK + """, o AS (SELECT k.*, source, row_number() OVER (ORDER BY combined DESC, distance, doc_id) AS r FROM k JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
-b AS (SELECT score AS bs, combined AS bc, cov AS bv FROM o WHERE r = 1),
-p AS (SELECT o.*, row_number() OVER (PARTITION BY source ORDER BY r) AS round, min(r) OVER (PARTITION BY source) AS f FROM o, b WHERE score >= greatest(0.35, CASE WHEN bs >= 0.8 THEN 0.6 WHEN bs >= 0.65 THEN 0.5 WHEN bs >= 0.5 THEN 0.4 ELSE 0.3 END) AND combined >= 0.7 * bc AND cov >= CASE WHEN bv >= 0.8 THEN 0.75 WHEN bv >= 0.6 THEN 0.5 ELSE 0 END),
-z AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY round, f) AS INT) AS place FROM p WHERE round <= 2) SELECT * FROM z WHERE place <= 8""")
-def prune_diversify(spark, sf):
-    return retrieve.prune(_ranked(spark, sf), "doc_id", "source", 0.35, 8).select("doc_id", "place")
+def fuzzy_sql(text: str, pattern: str) -> str:
+    """The subsequence score of ``ranking.fuzzy`` for a lower-case pattern; null without a match."""
+    step = f"""list_reduce(list_prepend({{'c': '', 's': 0, 'l': -2, 'a': 0}}, list_transform(string_split('{pattern}', ''), lambda x: {{'c': x, 's': 0, 'l': 0, 'a': 0}})), lambda acc, x:
+  list_transform([instr(substr(lower({text}), acc.a + 1), x.c)], lambda k: list_transform([acc.a + CAST(k AS INT) - 1], lambda i: CASE WHEN acc.a < 0 OR k = 0 THEN {{'c': '', 's': 0, 'l': 0, 'a': -1}} ELSE
+    {{'c': '', 's': acc.s + 16 + CASE WHEN i = acc.l + 1 THEN 12 ELSE -least(3, i - acc.a) END + CASE WHEN i = 0 OR NOT regexp_matches(substr({text}, i, 1), '[\\p{{L}}\\p{{N}}]') OR (regexp_matches(substr({text}, i + 1, 1), '\\p{{Lu}}') AND regexp_matches(substr({text}, i, 1), '\\p{{Ll}}')) THEN 8 ELSE 0 END + CASE WHEN i = 0 THEN 4 ELSE 0 END, 'l': i, 'a': i + 1}} END)[1])[1])"""
+    return f"list_transform([{step}], lambda r: CASE WHEN r.a >= 0 THEN r.s END)[1]"
 
 
 # A small action catalog for matching.
-ACTIONS = [("Translate Text", ["/translate", "/tr"], ["language", "translate"], 40), ("Pretty JSON", ["/json"], ["format", "json"], 35), ("Kill Process", ["/kill"], ["process", "stop"], 30), ("Upper Case", ["/upper"], ["case", "text"], 20), ("Lower Case", ["/lower"], ["case", "text"], 20)]
-ACTION_SQL = "a(title, aliases, keywords, priority) AS (VALUES " + ", ".join(f"('{t}', {al}, {k}, {p})" for t, al, k, p in ACTIONS) + ")"
+ACTIONS = [("Translate Text", ["/translate", "/tr"], ["language", "translate"], 40), ("Pretty JSON", ["/json"], ["format", "json"], 35), ("Kill Process", ["/kill"], ["process", "stop"], 30), ("Upper Case", ["/upper"], ["case", "text"], 20), ("Open Target", ["/open"], ["url", "path"], 25)]
+ASKED = ["case", "/json {}", "tr", "process", "zzz", "http://x", "", "/tr", "a {", "language translate"]
+ACTION_SQL = "a(title, aliases, keywords, priority) AS (VALUES " + ", ".join(f"('{t}', {al}, {k}, {p})" for t, al, k, p in ACTIONS) + "), q(q) AS (VALUES " + ", ".join(f"('{x}')" for x in ASKED) + ")"
 
 
-@query(f"""WITH {ACTION_SQL}, q(q) AS (VALUES ('case'), ('/json'), ('tr'), ('process'), ('zzz')),
-s AS (SELECT q, title, priority, CASE WHEN starts_with(lower(title), q) THEN 90 WHEN contains(lower(title), q) THEN 55 ELSE 0 END + CASE WHEN len(list_filter(aliases, lambda x: contains(x, q))) > 0 THEN 36 ELSE 0 END + CASE WHEN len(list_filter(keywords, lambda x: contains(x, q))) > 0 THEN 28 ELSE 0 END + CASE WHEN list_contains(aliases, '/' || ltrim(q, '/')) THEN 42 ELSE 0 END AS h FROM q, a)
-SELECT q, title, CAST(priority + h AS INT) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY priority + h DESC, title) AS INT) AS place FROM s WHERE h > 0""")
+@query(f"""WITH {ACTION_SQL}, w AS (SELECT q, CASE WHEN starts_with(q, '/') THEN string_split(q, ' ')[1] ELSE q END AS w FROM q),
+s AS (SELECT q, title, priority, CASE WHEN starts_with(lower(title), w) THEN 90 WHEN contains(lower(title), w) THEN 55 ELSE 0 END + CASE WHEN contains(array_to_string(aliases, ' '), w) THEN 36 ELSE 0 END + CASE WHEN contains(array_to_string(keywords, ' '), w) THEN 28 ELSE 0 END
+  + CASE WHEN starts_with(w, '/') AND list_contains(aliases, w) THEN 42 ELSE 0 END + CASE WHEN title = 'Open Target' AND starts_with(q, 'http') THEN 60 ELSE 0 END + CASE WHEN title = 'Pretty JSON' AND contains(q, '{{') THEN 44 ELSE 0 END AS h FROM w, a),
+g AS (SELECT q, title, CASE WHEN q = '' THEN priority WHEN h > 0 THEN priority + h + CASE WHEN contains(q, ' ') THEN 10 ELSE 0 END END AS g FROM s)
+SELECT q, title, CAST(g AS INT) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY g DESC, title) AS INT) AS place FROM g WHERE g IS NOT NULL""")
 def action_match(spark, sf):
     a = spark.createDataFrame(ACTIONS, "title string, aliases array<string>, keywords array<string>, priority int")
-    q = spark.createDataFrame([(x,) for x in ("case", "/json", "tr", "process", "zzz")], "q string")
-    s = q.join(F.broadcast(a), F.lit(True)).withColumn("score", ranking.action_score(F.col("q"), F.col("title"), F.col("aliases"), F.col("keywords"), F.col("priority")))
+    q, t = F.col("q"), F.col("title")
+    asked = spark.createDataFrame([(x,) for x in ASKED], "q string")
+    score = ranking.action_score(q, t, F.col("aliases"), F.col("keywords"), F.col("priority"), t == "Open Target", (t == "Pretty JSON") & F.contains(q, F.lit("{")), F.contains(q, F.lit(" ")))
+    s = asked.join(F.broadcast(a), F.lit(True)).withColumn("score", score)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "title")
     return s.where("score is not null").select("q", "title", F.col("score").cast("int").alias("score"), F.row_number().over(w).alias("place"))
 
 
-@query("""WITH q(q) AS (VALUES ('customer#0000000'), ('12'), ('9')), s AS (SELECT q, c_name, c_custkey, greatest(CASE WHEN regexp_full_match(q, '[0-9]+') AND starts_with(CAST(c_custkey AS VARCHAR), q) THEN 420 - length(CAST(c_custkey AS VARCHAR)) END, CASE WHEN lower(c_name) = q THEN 440 WHEN starts_with(lower(c_name), q) THEN 360 WHEN contains(lower(c_name), q) THEN 290 END) AS score FROM q, customer)
-SELECT q, c_custkey, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c_name, c_custkey) AS r FROM s WHERE score IS NOT NULL) WHERE r <= 20""")
+WANTED = ["customer#0000000", "12", "9", "bldg", "cr9"]
+
+
+@query("WITH q(q) AS (VALUES " + ", ".join(f"('{x}')" for x in WANTED) + "), c AS (SELECT q, c_custkey, c_name, unnest([{'v': c_name, 'b': 180}, {'v': c_mktsegment, 'b': 160}, {'v': 'run' || c_custkey, 'b': 120}]) AS n FROM q, customer), "
+       "f AS (SELECT q, c_custkey, c_name, n.b AS b, lower(n.v) AS v, CASE q " + " ".join(f"WHEN '{x}' THEN {fuzzy_sql('n.v', x)}" for x in WANTED) + " END AS f FROM c), "
+       """m AS (SELECT q, c_custkey, c_name, max(CASE WHEN v = q THEN b + 260 WHEN starts_with(v, q) THEN b + 180 WHEN contains(v, q) THEN b + 110 ELSE b + f END) AS best FROM f GROUP BY q, c_custkey, c_name),
+s AS (SELECT q, c_custkey, c_name, CASE WHEN starts_with(CAST(c_custkey AS VARCHAR), q) THEN 420 - length(CAST(c_custkey AS VARCHAR)) ELSE best END AS score FROM m)
+SELECT q, c_custkey, CAST(score AS INT) AS score FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, c_name, c_custkey) <= 20""")
 def process_rank(spark, sf):
-    q = spark.createDataFrame([("customer#0000000",), ("12",), ("9",)], "q string")
-    s = table(spark, sf, "customer").join(F.broadcast(q), F.lit(True)).withColumn("score", ranking.process_score(F.col("q"), F.col("c_name"), F.col("c_custkey")))
+    q = spark.createDataFrame([(x,) for x in WANTED], "q string")
+    c = table(spark, sf, "customer").join(F.broadcast(q), F.lit(True))
+    s = c.withColumn("score", ranking.process_score(F.col("q"), F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment"), F.concat(F.lit("run"), F.col("c_custkey").cast("string"))))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "c_name", "c_custkey")
     return s.where("score is not null").withColumn("r", F.row_number().over(w)).where("r <= 20").select("q", "c_custkey", F.col("score").cast("int").alias("score"))
 
 
-@query("""SELECT p_partkey, CAST(s AS INT) AS score FROM (SELECT p_partkey, p_name, CASE WHEN starts_with(lower(p_name), 'ri') THEN 220 WHEN contains(lower(p_name), 'ri') THEN 140 ELSE 0 END + CASE WHEN contains(lower(p_type), 'ri') THEN 36 ELSE 0 END AS b, b + 12 * (p_size % 3) AS s FROM part) WHERE b > 0 ORDER BY s DESC, p_partkey LIMIT 20""")
+APP_PATH = "CASE p_size % 4 WHEN 0 THEN '/System/Applications/' WHEN 1 THEN '/Applications/' WHEN 2 THEN '/Users/x/Applications/' ELSE '/opt/' END || p_brand"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, lower(p_name) AS n, {APP_PATH} AS path, {fuzzy_sql('lower(p_name)', 'ri')} AS f1, {fuzzy_sql('lower(p_type)', 'ri')} AS f2, CASE p_size % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS pr FROM part)
+SELECT p_partkey, CAST(greatest(f1, f2 + 80) + CASE WHEN starts_with(n, 'ri') THEN 220 WHEN contains(n, 'ri') THEN 140 ELSE 0 END + CASE WHEN contains(lower(path), 'ri') THEN 36 ELSE 0 END + 12 * pr AS INT) AS score FROM a WHERE f1 IS NOT NULL OR f2 IS NOT NULL ORDER BY score DESC, n, path, p_partkey LIMIT 20""")
 def app_rank(spark, sf):
-    s = ranking.app_score(F.lit("ri"), F.col("p_name"), F.col("p_type"), F.col("p_size") % 3)
-    return table(spark, sf, "part").select("p_partkey", s.cast("int").alias("score")).where("score is not null").orderBy(F.desc("score"), "p_partkey").limit(20)
+    m = F.col("p_size") % 4
+    path = F.concat(F.when(m == 0, "/System/Applications/").when(m == 1, "/Applications/").when(m == 2, "/Users/x/Applications/").otherwise("/opt/"), "p_brand")
+    a = table(spark, sf, "part").withColumn("path", path)
+    s = ranking.app_score(F.lit("ri"), F.col("p_name"), F.array("p_type"), F.col("path"), ranking.directory_priority(F.col("path")))
+    return a.withColumn("score", s).where("score is not null").orderBy(F.desc("score"), F.lower("p_name"), "path", "p_partkey").limit(20).select("p_partkey", F.col("score").cast("int").alias("score"))
 
 
-@query()
+@query(f"SELECT p_partkey, p_name, CAST({fuzzy_sql('p_name', 'rdg')} AS INT) AS score FROM part WHERE {fuzzy_sql('p_name', 'rdg')} IS NOT NULL ORDER BY score DESC, p_name, p_partkey LIMIT 20")
 def fuzzy_files(spark, sf):
     s = table(spark, sf, "part").withColumn("score", ranking.fuzzy_score(F.lit("rdg"), F.col("p_name")))
     return s.where("score is not null").select("p_partkey", "p_name", "score").orderBy(F.desc("score"), "p_name", "p_partkey").limit(20)
 
 
+@query(f"WITH f AS (SELECT {PATH} AS path, 'doc-' || doc_id || '.md' AS name FROM documents) SELECT path, CAST(greatest({fuzzy_sql('path', 'od7')}, {fuzzy_sql('name', 'od7')} + 100) AS INT) AS score FROM f WHERE {fuzzy_sql('path', 'od7')} IS NOT NULL ORDER BY score DESC, path LIMIT 20")
+def file_rank(spark, sf):
+    f = corpus(spark, sf).select(F.col("absolute_path").alias("path")).withColumn("score", ranking.file_score(F.lit("od7"), F.col("path")))
+    return f.where("score is not null").orderBy(F.desc("score"), "path").limit(20)
+
+
 @query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e)
 SELECT user_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY user_id, s""")
 def session_debounce(spark, sf):
     return streams.debounce(table(spark, sf, "events"), "user_id", "ts", "1 hour")
 
 
-@query("SELECT event_id, event_type = 'view' AS ignored, CASE WHEN event_type = 'error' THEN 'rescan' WHEN event_type = 'view' THEN 'ignore' ELSE 'path' END AS plan FROM events")
+# Events of a watched folder: kinds that only read are ignored, unknown ones and those without a path ask for a scan.
+@query("WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'access' WHEN 'click' THEN 'create' WHEN 'error' THEN 'other' WHEN 'signup' THEN 'modify' ELSE 'remove' END AS kind, user_id % 3 <> 0 AS there FROM events) "
+       "SELECT event_id, CASE WHEN kind = 'access' THEN 'ignore' WHEN kind = 'other' OR NOT there THEN 'rescan' WHEN kind = 'remove' THEN 'delete' ELSE 'path' END AS plan FROM e")
 def event_filter(spark, sf):
-    t = F.col("event_type")
-    return table(spark, sf, "events").select("event_id", (t == "view").alias("ignored"), F.when(t == "error", "rescan").when(t == "view", "ignore").otherwise("path").alias("plan"))
+    kinds = F.create_map(*[F.lit(x) for p in (("view", "access"), ("click", "create"), ("error", "other"), ("signup", "modify"), ("purchase", "remove")) for x in p])
+    paths = F.when(F.col("user_id") % 3 != 0, F.array(F.lit("/corpus/a.md"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "events").select("event_id", P.event_plan(kinds[F.col("event_type")], paths).alias("plan"))
 
 
 @query("SELECT user_id, arg_max(event_id, {'t': ts, 'a': -event_id}) AS event_id, arg_max(event_type, {'t': ts, 'a': -event_id}) AS event_type FROM events GROUP BY user_id")
@@ -303,11 +399,12 @@ def page_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.file_name(F.col("url")).alias("name"), F.size(T.wiki_links(F.col("html"))).alias("n_links"))
 
 
-@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, 'r' AS thought, trim(text) AS answer FROM conversations")
+@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE turn % 3 WHEN 0 THEN 'it is ' || role ELSE '' END AS thought, trim(text) AS answer FROM conversations WHERE turn % 3 < 2")
 def reasoning_split(spark, sf):
-    c = table(spark, sf, "conversations").withColumn("t", F.concat(F.lit("<think>r</think> "), "text"))
+    m = F.col("turn") % 3
+    c = table(spark, sf, "conversations").where(m < 2).withColumn("t", F.when(m == 0, F.concat(F.lit("<think> it is "), "role", F.lit(" </think> "), "text")).otherwise(F.concat(F.lit(" "), "text")))
     a, b = T.reasoning(F.col("t"))
-    return c.select("conv_id", "turn", a.alias("thought"), b.alias("answer"))
+    return c.select("conv_id", "turn", F.coalesce(a, F.lit("")).alias("thought"), b.alias("answer"))
 
 
 @query("SELECT event_id, 'no ' || event_type AS message FROM events")

@@ -19,7 +19,7 @@ def ascii_lower(c: Column) -> Column:
 
 def words(q: Column) -> Column:
     """Distinct words of two or more characters, in order."""
-    return F.array_distinct(F.filter(F.split(F.lower(q), r"[^\p{L}\p{N}_-]+"), lambda w: F.length(w) >= 2))
+    return F.array_distinct(F.filter(F.split(F.lower(q), r"[^\p{IsAlphabetic}\p{N}_-]+"), lambda w: F.length(w) >= 2))
 
 
 def terms(q: Column) -> Column:

@@ -117,3 +117,8 @@ def target(s: Column) -> Column:
 def failure_class(message: Column) -> Column:
     m = F.lower(message)
     return F.when(F.contains(m, F.lit("timeout")) | F.contains(m, F.lit("timed out")), "timeout").when(F.contains(m, F.lit("429")) | F.contains(m, F.lit("rate limit")), "rate_limit").when(F.contains(m, F.lit("overload")) | F.contains(m, F.lit("503")), "overloaded").otherwise("other")
+
+
+def event_plan(kind: Column, paths: Column) -> Column:
+    """What a watcher's event asks for: reads nothing, a scan of all if it can't be placed, a delete, or a look at its paths."""
+    return F.when(kind == "access", "ignore").when(~F.coalesce(kind.isin("create", "modify", "remove"), F.lit(False)) | (F.size(paths) == 0), "rescan").when(kind == "remove", "delete").otherwise("path")

@@ -58,8 +58,20 @@ def assign_keys(rows: DataFrame, order: list[str], start: int) -> DataFrame:
     return b.join(F.broadcast(before.select("b", "before")), "b").withColumn("vector_key", F.row_number().over(w) + F.col("before") + start).drop("b", "before")
 
 
-def probes(keys: DataFrame, key: str) -> DataFrame:
-    """Keys at the offsets 0, a third, two thirds and the last."""
-    r = keys.withColumn("o", F.row_number().over(Window.orderBy(key)) - 1)
-    top = keys.agg((F.count(F.lit(1)) - 1).alias("last"))
-    return r.join(F.broadcast(top), (F.col("o") == 0) | (F.col("o") == F.floor(F.col("last") / 3)) | (F.col("o") == F.floor(F.col("last") * 2 / 3)) | (F.col("o") == F.col("last"))).select(key, F.col("o").cast("long").alias("offset"))
+def probes(keys: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+    """Keys at the offsets 0, a third, two thirds and the last of a numeric key's order.
+
+    Counts of equally wide buckets say where the offsets are; only the rows of those few
+    buckets are ordered.
+    """
+    ends = keys.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    width = (F.col("high") - F.col("low")).cast("double") / buckets
+    b = keys.join(F.broadcast(ends), F.lit(True)).withColumn("b", F.when(width > 0, F.least(F.floor((F.col(key) - F.col("low")) / width), F.lit(buckets - 1))).otherwise(0)).select(key, "b")
+    n = b.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    # at most ``buckets`` rows
+    w = Window.orderBy("b")
+    n = n.withColumns({"upto": F.sum("n").over(w), "last": F.sum("n").over(Window.partitionBy(F.lit(0))) - 1}).withColumn("before", F.col("upto") - F.col("n"))
+    at = n.select("b", "before", "upto", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(F.col("last") / 3), F.floor(F.col("last") * 2 / 3), F.col("last")))).alias("offset"))
+    at = at.where((F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("upto"))).groupBy("b", "before").agg(F.collect_set("offset").alias("offsets"))
+    own = b.join(F.broadcast(at), "b").withColumn("o", F.row_number().over(Window.partitionBy("b").orderBy(key)) - 1 + F.col("before"))
+    return own.where(F.array_contains("offsets", F.col("o"))).select(key, F.col("o").cast("long").alias("offset"))

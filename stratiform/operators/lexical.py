@@ -1,45 +1,113 @@
-"""Inverted index and field-weighted BM25 as DataFrame aggregations."""
+"""Inverted index and field-weighted BM25.
+
+``build`` writes postings once, dealt to folders by a hash of the term, and one row of
+statistics. A query reads only the folders and the terms it names, so that its cost
+depends on how frequent its terms are, not on the corpus.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import unicodedata
+import zlib
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Accents of Latin letters that matching ignores.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 TOKEN = r"([\p{L}\p{N}\p{Co}\-_./#]+)"
+PARTS = 64
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case letters with marks, and the plain letters they stand on."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x1EFA)]
+    pairs = [(c, d) for c, d in pairs if len(d) > 1 and c.islower() and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d[0] for _, d in pairs)
+
+
+ACCENTS = _accents()
 
 
 def terms(c: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.lower(c), *ACCENTS), F.lit(TOKEN), 1)
+    """Lower-case runs of letters, digits and joining marks, without diacritics, combining ones too."""
+    plain = F.translate(F.regexp_replace(F.lower(c), r"[\x{0300}-\x{036F}]", ""), *ACCENTS)
+    return F.regexp_extract_all(plain, F.lit(TOKEN), 1)
 
 
-def postings(chunks: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """(key, term, weighted frequency): positions of a term are summed before the shuffle."""
-    parts = [chunks.select(key, F.explode(terms(F.col(f))).alias("term"), F.lit(w).alias("w")) for f, w in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(key, "term").agg(F.sum("w").alias("tf"))
+def part_of(term: str) -> int:
+    return zlib.crc32(term.encode()) % PARTS
 
 
-def bm25(chunks: DataFrame, key: str, fields: dict[str, float], query: list[str], every: bool = False) -> DataFrame:
-    """(key, rank): negative, smaller is better. ``every``: all terms must occur, else any.
+def postings(chunks: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    """(key, len, term, tf, places): weighted frequency and, for every field, the term's positions.
 
-    Only the query's terms are kept after tokenizing, so the index of a query is small;
-    lengths and counts are one aggregate row.
+    Positions of different fields are far apart, so that no phrase crosses fields. ``len``
+    counts the words of all fields.
     """
-    sized = chunks.select(key, *fields, sum((F.size(terms(F.col(f))) for f in fields), F.lit(0)).alias("len"))
-    stats = sized.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avg"))
-    hits = sized.select(key, "len", *[F.filter(terms(F.col(f)), lambda t: t.isin(*query)).alias(f"t_{i}") for i, f in enumerate(fields)])
+    t = chunks.select(key, *[terms(F.col(f)).alias(f"t_{i}") for i, f in enumerate(fields)])
+    n = reduce(lambda a, b: a + b, [F.size(f"t_{i}") for i in range(len(fields))])
+    place = lambda i, w: lambda x, at: F.struct(x.alias("term"), F.lit(float(w)).alias("w"), (at.cast("long") + (i << 40)).alias("at"))
+    flat = F.concat(*[F.transform(f"t_{i}", place(i, w)) for i, w in enumerate(fields.values())])
+    x = t.select(key, n.alias("len"), F.explode(flat).alias("x"))
+    return x.groupBy(key, "len", "x.term").agg(F.sum("x.w").alias("tf"), F.array_sort(F.collect_list("x.at")).alias("places"))
+
+
+def build(chunks: DataFrame, key: str, fields: dict[str, float], folder: str) -> None:
+    """Write the index: postings by folder of their term, sorted by term in each file, and the statistics."""
+    p = postings(chunks, key, fields).withColumn("part", (F.crc32(F.encode("term", "UTF-8")) % PARTS).cast("int"))
+    # frequent terms make large folders; a few files each keep them spread
+    p = p.repartition("part", (F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 4).alias("deal")).sortWithinPartitions("part", "term")
+    p.write.partitionBy("part").option("compression", "zstd").parquet(f"{folder}/postings")
+    n = reduce(lambda a, b: a + b, [F.size(terms(F.col(f))) for f in fields])
+    chunks.agg(F.count(F.lit(1)).alias("rows"), F.avg(n).alias("avg")).write.parquet(f"{folder}/statistics")
 
-    def weighted(terms_of: str, w: float) -> Column:
-        return F.transform(F.col(terms_of), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
 
-    flat = F.concat(*[weighted(f"t_{i}", w) for i, w in enumerate(fields.values())])
-    tf = hits.select(key, "len", F.explode(flat).alias("x")).groupBy(key, "len", "x.term").agg(F.sum("x.w").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def shifted(places: str, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def times(words: str, word: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(word)))
+
+
+def matching(index: DataFrame, key: str, phrase: list[str]) -> DataFrame:
+    """(key, len, tf) of the rows that hold a phrase; a term alone counts all its places."""
+    rows = None
+    for i, term in enumerate(phrase):
+        own = index.where((F.col("part") == part_of(term)) & (F.col("term") == term))
+        if len(phrase) == 1:
+            return own.select(key, "len", "tf")
+        own = own.select(F.col(key), F.col("len").alias(f"l_{i}"), (F.col("tf") / F.size("places")).alias(f"w_{i}"), shifted("places", i).alias(f"p_{i}"))
+        rows = own if rows is None else rows.join(own, key)
+    at = reduce(F.array_intersect, [F.col(f"p_{i}") for i in range(len(phrase))])
+    return rows.withColumn("at", at).where(F.size("at") > 0).select(key, F.col("l_0").alias("len"), (F.size("at") * F.col("w_0")).alias("tf"))
+
+
+def search(spark: SparkSession, folder: str, key: str, phrases: list[list[str]], every: bool = False) -> DataFrame:
+    """(key, rank): negative, smaller is better. ``every``: all phrases must occur, else any."""
+    index = spark.read.parquet(f"{folder}/postings")
+    stats = spark.read.parquet(f"{folder}/statistics")
+    phrases = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
+    hits = reduce(DataFrame.unionByName, [matching(index, key, p).withColumn("phrase", F.lit(i)) for i, p in enumerate(phrases)])
+    df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    # one row of statistics and one row per phrase: bounded by the query
+    scored = hits.join(F.broadcast(df), "phrase").crossJoin(F.broadcast(stats)).groupBy(key).agg((-F.sum(weight())).alias("rank"), F.count(F.lit(1)).alias("n"))
+    return scored.where(F.col("n") == len(phrases) if every else F.lit(True)).select(key, "rank")
+
+
+def weight() -> Column:
     idf = F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg")))
-    # one row of statistics and one row per query term: bounded by the query
-    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy(key).agg((-F.sum(part)).alias("rank"), F.count(F.lit(1)).alias("n"))
-    return scored.where(F.col("n") == len(set(query)) if every else F.lit(True)).select(key, "rank")
+    return idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg")))
+
+
+def bm25(chunks: DataFrame, key: str, fields: dict[str, float], query: list[str], every: bool = False) -> DataFrame:
+    """(key, rank) without a stored index: one pass over the texts, for tables that are searched once."""
+    t = chunks.select(key, *[terms(F.col(f)).alias(f"t_{i}") for i, f in enumerate(fields)])
+    n = reduce(lambda a, b: a + b, [F.size(f"t_{i}") for i in range(len(fields))])
+    tf = [sum((F.lit(float(w)) * times(f"t_{i}", q) for i, w in enumerate(fields.values())), F.lit(0.0)).alias(f"tf_{j}") for j, q in enumerate(dict.fromkeys(query))]
+    rows = t.select(key, n.alias("len"), *tf)
+    names = [f"tf_{j}" for j in range(len(tf))]
+    stats = rows.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avg"), *[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in names])
+    x = rows.crossJoin(F.broadcast(stats))
+    part = [F.when(F.col(c) > 0, F.greatest(F.log((F.col("rows") - F.col(f"n_{c}") + 0.5) / (F.col(f"n_{c}") + 0.5)), F.lit(1e-6)) * F.col(c) * 2.2 / (F.col(c) + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg")))).otherwise(0.0) for c in names]
+    ok = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), [F.col(c) > 0 for c in names])
+    return x.where(ok).select(key, (-reduce(lambda a, b: a + b, part)).alias("rank"))

@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import predicates
+
+# Limits of one search.
+MOST_HITS, EXPANSION, FEWEST_CANDIDATES, FEWEST_A_QUERY = 20, 8, 24, 12
+#: Query vectors that meet all rows at once; more are dealt to blocks.
+QUERY_BLOCK = 10_000
+
+
+def candidate_limit(k: int) -> int:
+    """Candidates of one kind for ``k`` hits."""
+    return max(EXPANSION * min(max(k, 1), MOST_HITS), FEWEST_CANDIDATES)
+
+
+def limit_of_each(total: int, queries: int) -> int:
+    """The share of one of several sub-queries."""
+    return max(total // max(queries, 1), FEWEST_A_QUERY)
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -21,14 +40,36 @@ def rank_score(r: Column) -> Column:
     return F.abs(r) / (1 + F.abs(r))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, distance, rank): exact; ``queries`` is a stated small set, met in every partition."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    d = vectors.join(F.broadcast(q), F.col(key) != F.col("query")).select("query", key, F.round(cosine_distance(F.col("qv"), F.col(vector)), 6).alias("distance"))
+def pseudo_distance(score: Column) -> Column:
+    """The distance of a hit that only words have found."""
+    return F.greatest(F.least(1 - score, F.lit(1.0)), F.lit(0.0))
+
+
+def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, key, distance, rank), exact: every query against all rows but its own.
+
+    Queries are counted; up to ``block`` of them are broadcast, more are dealt to blocks
+    that each meet all rows. Every task keeps its best ``k`` of a query before the exchange.
+    """
+    own = vectors.select(key, F.col(vector).alias("v"), dot(F.col(vector), F.col(vector)).alias("vv"))
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), dot(F.col(vector), F.col(vector)).alias("qq"))
+    blocks = max(1, -(-queries.count() // block))
+    apart = F.col(key) != F.col("query")
+    if blocks == 1:
+        pairs = own.join(F.broadcast(q), apart)
+    else:
+        q = q.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+        pairs = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, (F.col("b") == F.col("qb")) & apart)
+    d = pairs.select("query", key, (1 - dot(F.col("qv"), F.col("v")) / F.sqrt(F.col("qq") * F.col("vv"))).alias("distance"))
     w = Window.partitionBy("query").orderBy("distance", key)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best_of(hits: list[DataFrame], key: str) -> DataFrame:
+    """Each key's best score over the hits of several sub-queries (key, score)."""
+    return reduce(DataFrame.unionByName, [h.select(key, "score") for h in hits]).groupBy(key).agg(F.max("score").alias("score"))
+
+
 def merge(vector_hits: DataFrame, lexical_hits: DataFrame, key: str) -> DataFrame:
     """Keyed merge of both sides (key, score, distance, boost); a hit of both gains 0.15 of its weaker score, to 1 at most."""
     both = vector_hits.withColumn("v", F.col("score")).withColumn("l", F.lit(0.0)).unionByName(lexical_hits.withColumn("v", F.lit(0.0)).withColumn("l", F.col("score")))
@@ -37,25 +78,59 @@ def merge(vector_hits: DataFrame, lexical_hits: DataFrame, key: str) -> DataFram
     return g.select(key, F.when(low > 0, F.least(top + 0.15 * low, F.lit(1.0))).otherwise(top).alias("score"), F.coalesce("vd", "d").alias("distance"), "boost", (F.col("v") > 0).alias("has_vector"))
 
 
-def rerank(hits: DataFrame, text: Column, path: Column, focus: str, required: list[str]) -> DataFrame:
-    hay = F.lower(F.concat_ws(" ", path, text))
-    found = sum((F.when(F.contains(hay, F.lit(t)), 1).otherwise(0) for t in required), F.lit(0))
-    cov = found / F.lit(max(1, len(required)))
-    lex = F.when(F.contains(hay, F.lit(focus)), 1.0).otherwise(0.0) + 1.2 * cov
-    low = F.lower(path)
-    part = sum((F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in required), F.lit(0)) / F.lit(max(1, len(required)))
-    struct = F.when(F.contains(low, F.lit(focus)), 0.8).otherwise(0.0) + 0.35 * part
-    return hits.withColumns({"coverage": cov, "combined": F.col("score") + 0.45 * lex + 0.2 * struct + 0.25 * F.col("boost") + 0.15 * cov})
+def _holds(c: Column, s: str) -> Column:
+    return F.contains(c, F.lit(s)) if s else F.lit(False)
+
+
+def _found(c: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(_holds(c, w), 1).otherwise(0) for w in words], F.lit(0))
+
+
+def rerank(hits: DataFrame, text: Column, path: Column, headings: Column, anchor: Column, raw: str, focus: str, required: list[str]) -> DataFrame:
+    """Adds combined, coverage, matched, exact and anchored to the hits of one query.
+
+    ``raw`` is the whole query and ``focus`` its informative part, both in lower case;
+    ``headings`` is an array. Words are looked for in path, headings and text; a hit is
+    anchored if path, headings or the anchor label hold the focus or a required word.
+    """
+    h = F.lower(F.array_join(headings, " "))
+    p, a = F.lower(path), F.lower(F.coalesce(anchor, F.lit("")))
+    hay = F.lower(F.concat_ws(" ", path, F.array_join(headings, " "), text))
+    n = max(1, len(required))
+    exact, matched = _holds(hay, focus), _found(hay, required)
+    cov = matched / F.lit(n)
+    score = lambda c, x: F.when(c, x).otherwise(0.0)
+    lexical = score(exact, 1.0) + (score(_holds(hay, raw), 0.3) if raw != focus else F.lit(0.0)) + 1.2 * cov
+    places = [(p, 0.8, 0.35), (h, 0.6, 0.25), (a, 0.3, 0.1)]
+    structural = reduce(lambda x, y: x + y, [score(_holds(c, focus), whole) + _found(c, required) / F.lit(n) * part for c, whole, part in places])
+    anchored = reduce(lambda x, y: x | y, [_holds(c, focus) | (_found(c, required) > 0) for c, _, _ in places])
+    combined = F.col("score") + 0.45 * lexical + 0.2 * structural + 0.25 * F.col("boost") + 0.15 * cov
+    return hits.withColumns({"coverage": cov, "matched": matched, "exact": exact, "anchored": anchored, "combined": combined})
+
+
+def retained(min_score: float, top: str = "top", text: str = "text") -> Column:
+    """Whether a reranked hit stays, judged against the best hit (a struct column)."""
+    best = lambda f: F.col(f"{top}.{f}")
+    floor = F.when(best("score") >= 0.8, 0.6).when(best("score") >= 0.65, 0.5).when(best("score") >= 0.5, 0.4).otherwise(0.3)
+    cov = F.when(best("coverage") >= 0.8, 0.75).when(best("coverage") >= 0.6, 0.5).otherwise(0.0)
+    fair, strong = (best("coverage") >= 0.6) & (best("matched") >= 2), (best("coverage") >= 0.8) & (best("matched") >= 2)
+    return (
+        (F.col("score") >= F.greatest(F.lit(min_score), floor))
+        & (F.col("combined") >= 0.7 * best("combined"))
+        & (~(strong & best("has_vector")) | ~F.col("has_vector") | (F.col("distance") <= best("distance") + 0.12))
+        & ~predicates.low_information(F.col(text))
+        & ((F.col("coverage") >= cov) | F.col("exact"))
+        & (~fair | F.col("exact") | F.col("anchored") | (F.col("matched") >= 1))
+        & (~strong | F.col("anchored") | (F.col("matched") >= 2))
+    )
 
 
 def prune(hits: DataFrame, key: str, file: str, min_score: float, k: int, per_file: int = 2) -> DataFrame:
-    """Adaptive floors against the best hit, then rounds over files in order of first appearance."""
+    """The hits that stay against the best one, then rounds over files in order of first appearance."""
     w = Window.orderBy(F.desc("combined"), "distance", key)
     # at most the candidates of one query: expansion bounds them
-    r = hits.withColumn("r", F.row_number().over(w)).withColumn("top", F.max(F.when(F.col("r") == 1, F.struct("score", "combined", "coverage"))).over(Window.partitionBy(F.lit(0))))
-    floor = F.when(F.col("top.score") >= 0.8, 0.6).when(F.col("top.score") >= 0.65, 0.5).when(F.col("top.score") >= 0.5, 0.4).otherwise(0.3)
-    cov = F.when(F.col("top.coverage") >= 0.8, 0.75).when(F.col("top.coverage") >= 0.6, 0.5).otherwise(0.0)
-    kept = r.where((F.col("score") >= F.greatest(F.lit(min_score), floor)) & (F.col("combined") >= 0.7 * F.col("top.combined")) & (F.col("coverage") >= cov))
+    r = hits.withColumn("r", F.row_number().over(w)).withColumn("top", F.max(F.when(F.col("r") == 1, F.struct("score", "combined", "coverage", "matched", "has_vector", "distance"))).over(Window.partitionBy(F.lit(0))))
+    kept = r.where(retained(min_score))
     by = Window.partitionBy(file)
     kept = kept.withColumn("round", F.row_number().over(by.orderBy("r"))).withColumn("first", F.min("r").over(by)).where(F.col("round") <= per_file)
     return kept.withColumn("place", F.row_number().over(Window.orderBy("round", "first"))).where(F.col("place") <= k)

@@ -32,12 +32,14 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def prune(self, keep: int = 2) -> None:
-        for name in self.marks()[:-keep]:
+        marks = self.marks()
+        for name in marks[: max(0, len(marks) - keep)]:
             self.fs.delete(self.path(f"{self.root}/_versions/{name}"), False)
             self.fs.delete(self.path(f"{self.root}/{name}"), True)
 
     def reset(self) -> None:
-        self.prune(0) if not self.marks() else self.fs.delete(self.path(self.root), True)
+        """All versions go, marked or left behind by a writer that stopped."""
+        self.fs.delete(self.path(self.root), True)
 
 
 def activate(chunks: DataFrame, done: DataFrame) -> DataFrame:

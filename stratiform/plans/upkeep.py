@@ -312,7 +312,9 @@ def visible_translation(spark, sf):
 
 @query()
 def embedding_batches(spark, sf):
-    return Z.embedding_batches(table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("n_chars")), "source", "doc_id", "n_chars")
+    # chunks of every file, in order: its lines stand for them
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return Z.embedding_batches(lines.select("doc_id", "line_no", F.length("line").alias("n_chars")), "doc_id", "line_no", "n_chars")
 
 
 @query()
