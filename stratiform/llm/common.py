@@ -38,16 +38,26 @@ def work_uri(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stratiform-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + root if spark.sparkContext.master.startswith("local") else root
-    return f"{root.rstrip('/')}/stratiform-{uuid.uuid4().hex}"
+    # the full address, as workers must not take a bare path for one on their own disk
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    if full.startswith("file:/") and not full.startswith("file:///"):
+        full = "file://" + full.removeprefix("file:")
+    return f"{full.rstrip('/')}/stratiform-{uuid.uuid4().hex}"
 
 
 class Store:
-    """Tables written to one shared folder: they cut lineage and survive lost executors."""
+    """Tables written to one shared folder: they cut lineage and survive lost executors.
+
+    Results read them, so the folder stays until the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.uri, self.n = spark, work_uri(spark), 0
+        p = spark._jvm.org.apache.hadoop.fs.Path(self.uri)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def path(self, name: str) -> str:
         self.n += 1

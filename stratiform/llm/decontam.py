@@ -22,7 +22,12 @@ def ascii_lower(c: Column) -> Column:
 
 
 def words_of(c: str) -> Column:
-    return F.filter(F.split(ascii_lower(text_or_empty(c)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    """The words of a text. Only the first and the last part of a split can be empty."""
+    parts = F.split(ascii_lower(text_or_empty(c)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    blank = lambda x: F.when(x == "", 1).otherwise(0)
+    first = blank(F.get(parts, 0))
+    n = F.size(parts) - first - blank(F.get(parts, F.size(parts) - 1))
+    return F.slice(parts, first + 1, F.greatest(n, F.lit(0)))
 
 
 def windows(items: DataFrame, size: int) -> DataFrame:
@@ -41,12 +46,15 @@ def contamination(docs: DataFrame, items: DataFrame, store: Store, size: int = 1
 
     A document is contaminated if ``n_hit > 0 and share * n_hit >= n_words``. Null texts
     have no words. Items with a null id are left out, as they can't be named; repeated
-    items and windows count once; repeated documents get the same row each.
+    items and windows count once; repeated documents get the same row each. Very long
+    texts are read whole. Without documents there are no rows, without items no hits;
+    other columns are not read.
     """
     win = store.put(windows(items, size), "windows")
     own = win.select("win", F.posexplode(F.split("win", " ")).alias("at", "word"))
     vocabulary = store.put(own.select("word").distinct(), "vocabulary")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"), words_of("text").alias("words"))
+    # texts are split once; counting and looking read the words
+    d = store.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"), words_of("text").alias("words")), "words")
     # rarity: counts over all documents, summed before the shuffle
     counts = d.select(F.explode("words").alias("word")).join(bounded(vocabulary, broadcast_rows), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = store.put(counts, "counts")
@@ -89,7 +97,7 @@ def contamination(docs: DataFrame, items: DataFrame, store: Store, size: int = 1
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, store: Store) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
+    """The documents that are not contaminated, with all their columns, whatever these are called. Repeated rows share their fate."""
     bad = contamination(docs, items, store).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
     bad = store.put(bad, "contaminated")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad.bad_id) & (text_key("text") == bad.bad_key), "left_anti")

@@ -118,8 +118,10 @@ def forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(fps: DataFrame, store: Store, bits: int = 4, block: int = 2048) -> DataFrame:
+def links(fps: DataFrame, store: Store, bits: int = 4, block: int = 2048, spread: int = 20_000) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that have the links' connected components."""
+    # each row becomes 64, so the few files of a small table are dealt to more tasks first
+    fps = fps.select("fp").repartition(max(1, -(-fps.count() // spread)), "fp")
     v = variant_table(fps, bits)
     hot = store.put(v.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "hot-keys")
     slots = F.ceil(F.col("n") / block).cast("int")
@@ -190,7 +192,10 @@ def near_duplicates(docs: DataFrame, store: Store, bits: int = 4, size: int = 4)
 
 
 def keep_one(docs: DataFrame, store: Store) -> DataFrame:
-    """One document row of each group: the smallest doc_id, null last, then the smallest text key, and any one of rows that repeat both."""
+    """One document row of each group, with all its columns: the smallest doc_id, null last, then the smallest text key, and any one of rows that repeat both.
+
+    Null and empty texts are one group; very long texts are read whole; an empty table stays empty.
+    """
     found = near_duplicates(docs, store)
     sizes = store.put(found.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "rows-alike")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")

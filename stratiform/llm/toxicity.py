@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: a fixed lexicon in groups, groups of words that labelled
-rows tie to toxicity, and patterns. A generative label model estimates each voter's
+rows tie to toxicity, how many such words there are, and patterns that need none of them:
+address, masked words, shouting. A generative label model estimates each voter's
 class-conditional rates from the covariances of votes over all documents (triplets of
 voters that are independent given the class) and which voters stay correlated given
 the class; correlated voters share their weight. Its posterior labels train a linear
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ LEXICON = (
 )
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 SHOUT = re.compile(r"\b[A-Z]{4,}\b")
+# Forms that insult whatever the word; each is one voter.
+ADDRESS = re.compile(r"\b(?:[Yy]ou(?: are|'re|r)? (?:an? |such |so |nothing|all |just )|[Ss]hut up|[Gg]o away|[Nn]obody (?:likes|wants|needs) you)")
+MASKED = re.compile(r"\b[A-Za-z]{1,3}[*@#$]{2,}[A-Za-z]{0,8}\b")
+PATTERNS = 6
 BITS = 20  # hashed word features
 MINED_GROUPS = 8
 
@@ -57,18 +62,18 @@ class Voters:
             for w in g:
                 self.bit[w] = self.bit.get(w, 0) | 1 << j
         self.all = frozenset(self.bit)
-        self.n = len(groups) + 3
+        self.n = len(groups) + PATTERNS
 
     def __call__(self, words: set[bytes], text: str) -> int:
         hit = self.all & words
         out = 0
         for w in hit:
             out |= self.bit[w]
-        k = self.n - 3
+        k = self.n - PATTERNS
         out |= (len(hit) >= 2) << k | (len(hit) >= 3) << (k + 1)
-        if hit and (text.count("!") >= 3 or SHOUT.search(text)):
-            out |= 1 << (k + 2)
-        return out
+        loud = text.count("!") >= 3 and len(list(islice(SHOUT.finditer(text), 3))) == 3
+        out |= bool(hit and loud) << (k + 2) | loud << (k + 3)
+        return out | bool(ADDRESS.search(text)) << (k + 4) | bool(MASKED.search(text)) << (k + 5)
 
 
 class LabelModel:
@@ -161,8 +166,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20_000, sample_rows: int = 5_000, mined_words: int = 256, least: float = 8, least_odds: float = 4.0) -> Model:
-    """Bounds, all parameters: ``label_rows`` labelled rows mine word voters; the label model's
-    moments cover all documents; ``sample_rows`` documents of each posterior class fit the classifier.
+    """Bounds, all parameters: ``label_rows`` labelled rows mine the words of voters, of which the
+    ``mined_words`` that tell most are used; the label model's moments cover all documents; ``sample_rows`` documents of each posterior class fit the classifier.
     A feature takes part in it if it has ``least`` rows' worth of posterior toxicity and is
     ``least_odds`` times as frequent in toxic rows as in clean ones.
     """
@@ -266,12 +271,20 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
+    """The documents that are not judged toxic, with all their columns, whatever these are called.
+
+    Null and empty texts stay or go by the score of a text without words; repeated rows
+    share their fate; very long texts are scored whole; an empty table stays empty.
+    """
     bad = score(docs, train(docs, labels, store)).where("predicted = 1").select(F.col("doc_id").alias("t_id"), F.col("key").alias("t_key")).distinct()
     bad = store.put(bad, "toxic")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad.t_id) & (text_key("text") == bad.t_key), "left_anti")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document. Null and empty texts get the score of a text without words."""
+    """Toxicity of every document row, repeated ones too. Null and empty texts get the score of a
+    text without words, null ids are never held out, very long texts are scored whole, an
+    empty table gives no rows, and no other column is read.
+    """
     docs, labels = (session(spark).read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score(docs, train(docs, labels, Store(spark))).drop("key")

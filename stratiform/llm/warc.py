@@ -28,7 +28,11 @@ READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string,
 
 
 def _fs(uri: str):
-    return pafs.FileSystem.from_uri(uri)
+    """A worker's way to the shared store. Hadoop's names of object stores are put in Arrow's words."""
+    scheme, sign, rest = uri.partition("://")
+    if not sign:
+        raise ValueError(f"not a full address of the shared store: {uri}")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + sign + rest)
 
 
 class BundleWriter:
@@ -177,12 +181,14 @@ def write_archive(pages: DataFrame, store: Store, least_bytes: int = 0, frame_by
     return store.put(with_first(pages, store, least_bytes).mapInArrow(write, INDEX), "index")
 
 
-def read_archive(index: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archive(index: DataFrame, payloads: bool = True, task_bytes: int = 16 << 20, run: int = 32) -> DataFrame:
     """Reads every record of the indexed bundles again, by runs of frames, and checks it.
 
     A response's payload must have the stated digest and length, and every record
-    must begin where the index says.
+    must begin where the index says. Runs of ``run`` frames of a bundle are dealt to as
+    many tasks as the archive has ``task_bytes``.
     """
+    size = index.agg(F.sum(F.col("length").cast("long"))).first()[0] or 0
     frames = index.groupBy("bundle", "frame").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"), F.max("at").alias("most"))
 
     def read(batches):
@@ -207,7 +213,8 @@ def read_archive(index: DataFrame, payloads: bool = True) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(read, READ)
+    dealt = frames.repartition(max(1, -(-size // task_bytes)), "bundle", F.floor(F.col("frame") / run))
+    return dealt.sortWithinPartitions("bundle", "frame").mapInArrow(read, READ)
 
 
 def fetch(index: DataFrame, page_id) -> bytes:
