@@ -9,6 +9,7 @@ over its characters and builds no pieces.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from collections import deque
 
 import pyarrow as pa
@@ -102,6 +103,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@lru_cache(maxsize=1)
+def worker_counts(path: str, most_words: int) -> Counts:
+    """A Python worker builds the automaton once and keeps it, with the words it has met, for its later tasks."""
+    return Counts(Automaton(load_vocabulary(path)), most_words)
+
+
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -109,12 +116,13 @@ def count_tokens(docs: DataFrame, path: str, most_words: int = 500_000) -> DataF
     """doc_id, n_words, n_tokens of every whole text. No shuffle.
 
     The vocabulary is of a fixed size and read by each Python worker; ``most_words``
-    bounds the worker's memory of counted words. Null and empty texts have none.
+    bounds the worker's memory of counted words. Null and empty texts have none; null ids
+    and repeated rows stay rows; very long texts and words are read whole; an empty table
+    gives no rows; other columns are not read.
     """
 
     def run(batches):
-        counts = Counts(Automaton(load_vocabulary(path)), most_words)
-        get = counts.__getitem__
+        get = worker_counts(path, most_words).__getitem__
         for b in pieces(batches):
             words, tokens = [], []
             for t in b.column(1).to_pylist():
