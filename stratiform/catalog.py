@@ -8,7 +8,7 @@ from .functions import predicates as P, text as T
 from .operators import chunk, index, lexical, ranking, retrieve
 from .sources import shared
 from .sources.tables import corpus, table
-from .streaming import streams
+from .streaming import stateful, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -363,7 +363,7 @@ def recent_roots(spark, sf):
 @query("""WITH t AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS n FROM conversations WHERE text <> ''), b AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM t)
 SELECT conv_id, CAST(block AS INT) AS block, role, string_agg(text, chr(10) ORDER BY turn, text) AS content FROM b GROUP BY ALL""")
 def transcript_fold(spark, sf):
-    return streams.fold_transcript(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    return stateful.transcript_blocks(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, CAST(value AS BIGINT) % 4 AS g, max(CAST(value AS BIGINT) % 4) OVER (PARTITION BY user_id) AS m FROM (SELECT event_id, user_id, floor(value) AS value FROM events)) WHERE g = m")

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..catalog import PATH, query
 from ..functions import predicates as P, text as T, tools
-from ..operators import index
+from ..operators import embed, index
 from ..sources.tables import corpus, table
 
 # Tool calls made from the rows of benchmark, one kind for every remainder of the id.
@@ -86,3 +86,10 @@ def assigned_keys(spark, sf):
     keyed = index.assign_keys(d, ["doc_id"], 100)
     n = keyed.agg(F.countDistinct("vector_key").alias("n"), F.min("vector_key").alias("low"), F.max("vector_key").alias("high"))
     return keyed.join(F.broadcast(n), F.lit(True)).select("doc_id", ((F.col("vector_key") > 100) & (F.col("high") - F.col("low") + 1 == F.col("n"))).alias("keyed"), "n")
+
+
+@query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), h AS (SELECT item_id, CAST('0x' || substr(md5(w), 2, 1) AS INT) AS d, count(*) AS n FROM w GROUP BY ALL)
+SELECT item_id, CAST(d AS INT) AS dim, CAST(n AS DOUBLE) AS weight FROM h""")
+def text_embeddings(spark, sf):
+    e = embed.embed(table(spark, sf, "benchmark"), "item_id", "text", embed.hashing_embedder(16))
+    return e.select("item_id", F.posexplode("embedding").alias("dim", "weight")).where("weight > 0")

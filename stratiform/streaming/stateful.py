@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import pandas as pd
@@ -91,6 +92,34 @@ def deadline_stream(events: DataFrame, key: str, ts: str, delay: str, wait_ms: i
     return events.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n_events long, first_ms long, last_ms long", "n long, first long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def fold_stream(rows: DataFrame, key: list[str], order: list[str], ts: str, delay: str, make: Callable, schema: str) -> DataFrame:
+    """``fold_sorted`` on a stream: rows wait until the watermark has passed their time, so that each key's come in order.
+
+    The state of a key is its fold and the rows that wait. What a fold gives at its end
+    stays in the state, as a stream has none.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    names = [f.name for f in StructType.fromDDL(schema)]
+    plain = lambda x: None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x
+
+    def step(k, frames, state: GroupState):
+        fold, held = map(pickle.loads, state.get) if state.exists else (make(), [])
+        if not state.hasTimedOut:
+            held += [{c: plain(v) for c, v in r.items()} for f in frames for r in f.to_dict("records")]
+        passed = state.getCurrentWatermarkMs()
+        at = lambda r: r[ts].timestamp() * 1000
+        ready = sorted((r for r in held if at(r) <= passed), key=lambda r: tuple((r[c] is not None, r[c]) for c in order))
+        held = [r for r in held if at(r) > passed]
+        out = [x for r in ready for x in fold.add(r)]
+        state.update((pickle.dumps(fold), pickle.dumps(held)))
+        if held:
+            state.setTimeoutTimestamp(max(int(min(map(at, held))), passed) + 1)
+        yield pd.DataFrame({c: pd.Series([x[i] for x in out], dtype=object) for i, c in enumerate(names)})
+
+    return rows.withWatermark(ts, delay).groupBy(*key).applyInPandasWithState(step, schema, "fold binary, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 class ClipboardPoll:
     """Polls (counter, text, at_ms, own): which of them record a text. A blank forgets the last text; an unchanged
     counter, or without counters an unchanged text, is skipped; the engine's own write is skipped once within its time."""
@@ -122,8 +151,15 @@ class ClipboardPoll:
         return []
 
 
+POLLED = "device long, at_ms long, text string"
+
+
 def clipboard_polls(polls: DataFrame) -> DataFrame:
-    return fold_sorted(polls, ["device"], ["at_ms", "counter"], ClipboardPoll, "device long, at_ms long, text string")
+    return fold_sorted(polls, ["device"], ["at_ms", "counter"], ClipboardPoll, POLLED)
+
+
+def clipboard_stream(polls: DataFrame, ts: str, delay: str) -> DataFrame:
+    return fold_stream(polls, ["device"], ["at_ms", "counter"], ts, delay, ClipboardPoll, POLLED)
 
 
 class Session:
@@ -153,8 +189,15 @@ class Session:
         return []
 
 
+STATES = "session_id long, seq long, status string, attention boolean, last_error string, refused boolean"
+
+
 def session_states(events: DataFrame) -> DataFrame:
-    return fold_sorted(events, ["session_id"], ["seq"], Session, "session_id long, seq long, status string, attention boolean, last_error string, refused boolean")
+    return fold_sorted(events, ["session_id"], ["seq"], Session, STATES)
+
+
+def session_stream(events: DataFrame, ts: str, delay: str) -> DataFrame:
+    return fold_stream(events, ["session_id"], ["seq"], ts, delay, Session, STATES)
 
 
 class Visible:
@@ -183,6 +226,45 @@ def visible_deltas(deltas: DataFrame) -> DataFrame:
     return fold_sorted(deltas, ["id"], ["seq"], Visible, "id long, seq long, delta string")
 
 
+def visible_stream(deltas: DataFrame, ts: str, delay: str) -> DataFrame:
+    return fold_stream(deltas, ["id"], ["seq"], ts, delay, Visible, "id long, seq long, delta string")
+
+
+class Transcript:
+    """Neighbouring turns of one role become one block, given out when the next one begins."""
+
+    def __init__(self):
+        self.block, self.role, self.texts = 0, None, []
+
+    def add(self, r):
+        if not r["text"]:
+            return []
+        out = []
+        if not self.texts or r["role"] != self.role:
+            out = self.end()
+            self.block, self.role = self.block + 1, r["role"]
+        self.conv = r["conv_id"]
+        self.texts.append(r["text"])
+        return out
+
+    def end(self):
+        out = [(self.conv, self.block, self.role, "\n".join(self.texts))] if self.texts else []
+        self.texts = []
+        return out
+
+
+BLOCKS = "conv_id long, block int, role string, content string"
+
+
+def transcript_blocks(turns: DataFrame) -> DataFrame:
+    return fold_sorted(turns, ["conv_id"], ["turn", "text"], Transcript, BLOCKS)
+
+
+def transcript_stream(turns: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Closed blocks; the one that may still grow stays in the state."""
+    return fold_stream(turns, ["conv_id"], ["turn", "text"], ts, delay, Transcript, BLOCKS)
+
+
 class BatchPlanner:
     """Sizes of embedding batches: by characters and items; growing after clean rounds, shrinking after splits."""
 

@@ -1,4 +1,4 @@
-"""Small stateful streams: batch forms, which are checked, and streaming twins."""
+"""Aggregations over event tables; the first two also work on streams. Ordered folds and their streaming twins are in ``stateful``."""
 
 from __future__ import annotations
 
@@ -16,15 +16,6 @@ def last_writer(rows: DataFrame, key: list[str], ts: str, arrival: str) -> DataF
     return rows.withColumn("r", r).groupBy(*key).agg(F.max("r").alias("r")).select(*key, "r.row.*")
 
 
-def fold_transcript(turns: DataFrame, key: str, order: str, kind: str, text: str) -> DataFrame:
-    """Neighbouring turns of one kind become one block; empty ones are ignored."""
-    w = Window.partitionBy(key).orderBy(order)
-    t = turns.where(F.col(text) != "").withColumn("new", F.when(F.lag(kind).over(w) == F.col(kind), 0).otherwise(1))
-    t = t.withColumn("block", F.sum("new").over(w))
-    g = t.groupBy(key, "block", kind).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("x"))
-    return g.select(key, F.col("block").cast("int").alias("block"), kind, F.array_join(F.transform("x", lambda s: s[text]), "\n").alias("content"))
-
-
 def clipboard(events: DataFrame, key: str, text: str, ts: str, pinned: Column, keep: int = 10, pins: int = 5) -> DataFrame:
     """Entries by exact text: pinned first (to ``pins``), then recent ones (to ``keep``)."""
     e = events.where(F.trim(text) != "").groupBy(key, F.col(text).alias("entry")).agg(F.max(ts).alias("seen"), F.max(pinned).alias("pinned"))
