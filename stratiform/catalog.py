@@ -349,10 +349,11 @@ def lww_snapshot(spark, sf):
     return streams.last_writer(e, ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("""WITH e AS (SELECT user_id, event_type AS entry, max(ts) AS seen, bool_or(event_type = 'purchase') AS pinned FROM events GROUP BY 1, 2)
-SELECT user_id, entry, pinned, CAST(row_number() OVER (PARTITION BY user_id, pinned ORDER BY seen DESC, entry) AS INT) AS place FROM e QUALIFY place <= CASE WHEN pinned THEN 5 ELSE 3 END""")
+@query("""WITH e AS (SELECT user_id, 'e' || (event_id % 9) AS entry, max(ts) AS seen, max(CASE WHEN event_type = 'purchase' THEN ts END) AS pinned_at FROM events GROUP BY 1, 2)
+SELECT user_id, entry, pinned_at IS NOT NULL AS pinned, CAST(row_number() OVER (PARTITION BY user_id, pinned_at IS NOT NULL ORDER BY coalesce(pinned_at, seen) DESC, seen DESC, entry) AS INT) AS place FROM e QUALIFY place <= CASE WHEN pinned_at IS NOT NULL THEN 5 ELSE 3 END""")
 def clipboard_snapshot(spark, sf):
-    return streams.clipboard(table(spark, sf, "events"), "user_id", "event_type", "ts", F.col("event_type") == "purchase", keep=3).select("user_id", "entry", "pinned", "place")
+    e = table(spark, sf, "events").withColumn("entry_text", F.concat(F.lit("e"), (F.col("event_id") % 9).cast("string")))
+    return streams.clipboard(e, "user_id", "entry_text", "ts", F.when(F.col("event_type") == "purchase", F.col("ts")), keep=3).select("user_id", "entry", "pinned", "place")
 
 
 @query("SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, event_type) AS INT) AS place FROM events GROUP BY 1, 2 QUALIFY place <= 3")

@@ -46,6 +46,20 @@ def ignored(path: Column, globs: list[str]) -> Column:
     return path.rlike("|".join(glob_regex(g) for g in globs))
 
 
+# Folders that are never indexed.
+DEFAULT_IGNORED = [f"**/{name}/**" for name in (".git", "node_modules", "vendor", "Pods", "target", "dist", "build", "out", ".next", ".nuxt", ".svelte-kit", ".turbo", ".cache", "coverage", ".venv", "venv")]
+
+
+def skipped(path: Column, root: Column, globs: list[str] | None = None) -> Column:
+    """Whether a path below ``root`` matches a default or given glob; globs are held against the part after the root."""
+    return F.coalesce(ignored(F.substr(path, F.length(root) + 2), DEFAULT_IGNORED + list(globs or [])), F.lit(False))
+
+
+def within_roots(path: Column, roots: list[str]) -> Column:
+    """Whether a path is one of the roots or below one; a mere common beginning of names does not count."""
+    return reduce(lambda a, b: a | b, [under(path, F.lit(r.rstrip("/"))) for r in roots], F.lit(False))
+
+
 def under(path: Column, root: Column) -> Column:
     return (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
 

@@ -67,3 +67,51 @@ def rescan_scope(root: Column, path: Column) -> Column:
     inside = (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
     name, parent = F.regexp_extract(path, r"([^/]*)$", 1), F.regexp_replace(path, r"/[^/]*$", "")
     return F.when(inside & name.isin(".gitignore", ".ignore"), parent).when(path == F.concat(root, F.lit("/.git/info/exclude")), root)
+
+
+def update_target(root: Column, path: Column, exists: Column, skip: Column) -> Column:
+    """What a changed path asks for: struct of action (rescan or remove) and target, null for paths that are none of ours."""
+    scope = rescan_scope(root, path)
+    inside = (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
+    to = lambda action, target: F.struct(F.lit(action).alias("action"), target.alias("target"))
+    return F.when(scope.isNotNull(), to("rescan", scope)).when(inside & ~skip, F.when(exists, to("rescan", path)).otherwise(to("remove", path)))
+
+
+def action_completion(typed: Column, title: Column, aliases: Column) -> Column:
+    """What completes a typed beginning: the first alias (or the title) of an empty one, else the alias or title that begins so."""
+    low = F.lower(F.trim(typed))
+    alias = F.get(F.filter(aliases, lambda a: F.startswith(F.lower(a), low)), 0)
+    return F.when(low == "", F.coalesce(F.get(aliases, 0), title)).otherwise(F.coalesce(alias, F.when(F.startswith(F.lower(title), low), title)))
+
+
+def file_completion(typed: Column, path: Column) -> Column:
+    return F.when(F.length(typed) > 0, path)
+
+
+def kill_completion(pid: Column) -> Column:
+    return F.when(pid.isNotNull(), F.concat(F.lit("pid:"), pid.cast("string")))
+
+
+def envelope(message: Column, content: Column, pretty: Column, failed: bool) -> Column:
+    """A tool's answer as JSON text: a message, the content as readable text, and the content itself (``content`` is JSON text)."""
+    quoted = lambda c: F.substr(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    text = lambda c: F.concat(F.lit('{"type":"text","text":'), quoted(c), F.lit("}"))
+    return F.concat(F.lit('{"content":['), text(message), F.lit(","), text(pretty), F.lit('],"structuredContent":'), content, F.lit(f',"isError":{str(failed).lower()}}}'))
+
+
+def error_envelope(message: Column) -> Column:
+    content = F.to_json(F.struct(message.alias("error")))
+    return envelope(message, content, F.concat(F.lit("{\n  "), F.replace(F.substr(content, F.lit(2), F.length(content) - 2), F.lit('"error":'), F.lit('"error": ')), F.lit("\n}")), True)
+
+
+def warning_pages(pages: Column, most: int = 3) -> Column:
+    """The first pages of a warning, and dots if there are more; nothing without pages."""
+    shown = F.array_join(F.transform(F.slice(pages, 1, most), lambda p: p.cast("string")), ", ")
+    return F.when(F.size(pages) > 0, F.concat(F.lit(" (pages "), shown, F.when(F.size(pages) > most, ", ...").otherwise(""), F.lit(")"))).otherwise("")
+
+
+def focus_score(x: Column, y: Column, width: Column, height: Column, at_x: Column, at_y: Column) -> Column:
+    """How far a block's centre is from a point, squared; ten more if the point is outside."""
+    dx, dy = x + width / 2 - at_x, y + height / 2 - at_y
+    inside = (at_x >= x) & (at_x <= x + width) & (at_y >= y) & (at_y <= y + height)
+    return dx * dx + dy * dy + F.when(inside, 0.0).otherwise(10.0)

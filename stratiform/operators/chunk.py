@@ -103,3 +103,13 @@ def chunk_plain(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "start", "chunk_text"])
 
     return docs.select(key, text).mapInPandas(run, f"{key} bigint, chunk_index int, start int, chunk_text string")
+
+
+def excerpts(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, chunk_index, start, chunk_text, error): the asked chunks (key, chunk_index) of documents that are cut again.
+
+    Only the asked documents are cut; a chunk that does not exist has an error and no text.
+    """
+    cut = chunk_plain(docs.join(wanted.select(key).distinct(), key, "left_semi"), key, text)
+    missing = F.when(F.col("chunk_text").isNull(), F.format_string("chunk index %d does not exist", "chunk_index"))
+    return wanted.select(key, "chunk_index").distinct().join(cut, [key, "chunk_index"], "left").withColumn("error", missing)

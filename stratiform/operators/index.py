@@ -49,6 +49,34 @@ def set_digest(keys: DataFrame, key: str) -> DataFrame:
     return keys.agg(F.count(F.lit(1)).alias("n"), F.expr(f"bit_xor({key})").alias("key_xor"), wrapping_sum(F.col(key)).cast("string").alias("key_sum"))
 
 
+def key_hash(key: Column) -> Column:
+    """60 bits that depend on a key in a fixed way."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("bigint")
+
+
+def digest(keys: DataFrame, key: str) -> DataFrame:
+    """One row: number, xor and wrapping sum of the keys and of their hashes."""
+    k = keys.select(F.col(key).cast("bigint").alias("k"), key_hash(F.col(key)).alias("h"))
+    return k.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.expr("bit_xor(k)"), F.lit(0).cast("bigint")).alias("key_xor"), F.coalesce(wrapping_sum(F.col("k")), F.lit(0)).cast("decimal(20,0)").alias("key_sum"), F.coalesce(F.expr("bit_xor(h)"), F.lit(0).cast("bigint")).alias("hash_xor"), F.coalesce(wrapping_sum(F.col("h")), F.lit(0)).cast("decimal(20,0)").alias("hash_sum"))
+
+
+def digest_after(now: DataFrame, added: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """A digest after keys have come and gone, from the digests of these alone: no key of the index is read again."""
+    a, r = digest(added, key), digest(removed, key)
+    both = now.alias("d").join(a.alias("a"), F.lit(True)).join(r.alias("r"), F.lit(True))
+    c = lambda t, n: F.col(f"{t}.{n}")
+    xor = lambda n: c("d", n).bitwiseXOR(c("a", n)).bitwiseXOR(c("r", n)).alias(n)
+    wrap = lambda n: F.pmod((c("d", n) + c("a", n) - c("r", n)).cast("decimal(38,0)"), F.lit(MOD).cast("decimal(38,0)")).cast("decimal(20,0)").alias(n)
+    return both.select((c("d", "n") + c("a", "n") - c("r", "n")).alias("n"), xor("key_xor"), wrap("key_sum"), xor("hash_xor"), wrap("hash_sum"))
+
+
+def event_plans(events: DataFrame, stored: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, plan) of one batch of watcher events (key): each changed path once, by what is stored and what lies there now."""
+    changed = events.select(key).where(F.col(key).isNotNull()).distinct()
+    plans = change_plan(found.join(changed, key, "left_semi"), stored.join(changed, key, "left_semi"), key)
+    return changed.join(plans, key, "left").select(key, F.coalesce("plan", F.lit("noop")).alias("plan"))
+
+
 def assign_keys(rows: DataFrame, order: list[str], start: int) -> DataFrame:
     """Generated keys in a stable order, after ``start``: partition sizes first, then local numbers."""
     w = Window.partitionBy("b").orderBy(*order)

@@ -42,6 +42,11 @@ class Snapshots:
         self.fs.delete(self.path(self.root), True)
 
 
+def active(chunks: DataFrame) -> DataFrame:
+    """What readers see: rows of active versions only."""
+    return chunks.where(F.col("chunk_state") == "active")
+
+
 def activate(chunks: DataFrame, done: DataFrame) -> DataFrame:
     """``done`` (path, version): that version's staged rows become active, the path's other active rows go."""
     d = done.select("path", F.col("version").alias("new_version"))

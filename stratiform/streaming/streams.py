@@ -16,10 +16,11 @@ def last_writer(rows: DataFrame, key: list[str], ts: str, arrival: str) -> DataF
     return rows.withColumn("r", r).groupBy(*key).agg(F.max("r").alias("r")).select(*key, "r.row.*")
 
 
-def clipboard(events: DataFrame, key: str, text: str, ts: str, pinned: Column, keep: int = 10, pins: int = 5) -> DataFrame:
-    """Entries by exact text: pinned first (to ``pins``), then recent ones (to ``keep``)."""
-    e = events.where(F.trim(text) != "").groupBy(key, F.col(text).alias("entry")).agg(F.max(ts).alias("seen"), F.max(pinned).alias("pinned"))
-    w = Window.partitionBy(key, "pinned").orderBy(F.desc("seen"), "entry")
+def clipboard(events: DataFrame, key: str, text: str, ts: str, pinned_at: Column, keep: int = 10, pins: int = 5) -> DataFrame:
+    """Entries by exact text: pinned ones by the time of pinning, then of sight (to ``pins``), and the ones seen last (to ``keep``)."""
+    e = events.where(F.trim(text) != "").groupBy(key, F.col(text).alias("entry")).agg(F.max(ts).alias("seen"), F.max(pinned_at).alias("pinned_at"))
+    e = e.withColumn("pinned", F.col("pinned_at").isNotNull())
+    w = Window.partitionBy(key, "pinned").orderBy(F.desc(F.coalesce("pinned_at", "seen")), F.desc("seen"), "entry")
     return e.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("pinned"), pins).otherwise(keep))
 
 

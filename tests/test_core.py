@@ -8,7 +8,7 @@ import pytest
 from stratiform import catalog
 from stratiform.functions import predicates as P, text as T
 from stratiform.operators import chunk, lexical, ranking
-from stratiform.plans import search, upkeep  # noqa: F401  add their queries to the catalog
+from stratiform.plans import files, search, upkeep  # noqa: F401  add their queries to the catalog
 
 
 def test_markdown_chunks_cover_every_line_and_keep_limits():
