@@ -287,19 +287,32 @@ def unique_relative(spark, sf):
     return d.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("root")).where("n = 1").drop("n")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS r FROM events),
+f AS (SELECT user_id, r, ms, ms AS first FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.r, e.ms, CASE WHEN e.ms - f.first >= 3600000 THEN e.ms ELSE f.first END FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)
+SELECT user_id, count(*) AS n_events, first AS first_ms, max(ms) AS last_ms FROM f GROUP BY user_id, first""")
 def deadline_batches(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return Z.deadline_batches(e, "user_id", "ms", "event_id", 3_600_000)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS device, (epoch_us(ts) // 1000) AS at_ms, event_type AS text, CASE WHEN event_id % 2 = 0 THEN event_id END AS counter, event_id % 7 = 0 AS own FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY at_ms, counter NULLS FIRST) AS r FROM e),
+f AS (SELECT DISTINCT device, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS counter, CAST(NULL AS VARCHAR) AS last, CAST(NULL AS VARCHAR) AS mute, CAST(0 AS BIGINT) AS until, CAST(0 AS BIGINT) AS at_ms, CAST(NULL AS VARCHAR) AS shown FROM o
+  UNION ALL SELECT device, r, CASE WHEN own OR dup THEN was ELSE counter END, CASE WHEN own OR dup THEN last WHEN blank THEN NULL ELSE text END, CASE WHEN own THEN text WHEN act AND (at_ms > until OR mute = text) THEN NULL ELSE mute END, CASE WHEN own THEN at_ms + 2000 ELSE until END, at_ms,
+    CASE WHEN act AND NOT coalesce(mute = text AND at_ms <= until, false) THEN text END
+  FROM (SELECT *, NOT own AND NOT dup AND NOT blank AND NOT coalesce(counter IS NULL AND text = last, false) AS act FROM (SELECT o.*, f.counter AS was, f.last, f.mute, f.until, NOT o.own AND coalesce(o.counter = f.counter, false) AS dup, trim(o.text) = '' AS blank FROM f JOIN o ON o.device = f.device AND o.r = f.r + 1)))
+SELECT device, at_ms, shown AS text FROM f WHERE shown IS NOT NULL""")
 def clipboard_polls(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("device"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_type").alias("text"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("counter"), (F.col("event_id") % 7 == 0).alias("own"))
     return Z.clipboard_polls(e)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS session_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'ready' WHEN 'click' THEN 'prompt' WHEN 'purchase' THEN 'finished' WHEN 'error' THEN 'failed' ELSE 'exit' END AS kind, props AS detail, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS seq, 'starting' AS status, CAST(NULL AS VARCHAR) AS last_error, false AS refused FROM e
+  UNION ALL SELECT e.session_id, e.r, e.seq, CASE WHEN status = 'exited' THEN 'exited' WHEN kind = 'ready' AND status = 'starting' THEN 'idle' WHEN kind = 'prompt' AND status IN ('idle', 'error') THEN 'running' WHEN kind = 'finished' THEN 'idle' WHEN kind = 'failed' THEN 'error' WHEN kind = 'exit' THEN 'exited' ELSE status END,
+    CASE WHEN status = 'exited' THEN last_error WHEN kind = 'prompt' AND status IN ('idle', 'error') THEN NULL WHEN kind = 'finished' THEN NULL WHEN kind = 'failed' THEN detail ELSE last_error END, status = 'exited' OR (kind = 'prompt' AND status NOT IN ('idle', 'error'))
+  FROM f JOIN e ON e.session_id = f.session_id AND e.r = f.r + 1)
+SELECT session_id, seq, status, status = 'error' AS attention, last_error, refused FROM f WHERE r > 0""")
 def session_states(spark, sf):
     kind = F.element_at(F.create_map(*[F.lit(x) for p in (("view", "ready"), ("click", "prompt"), ("purchase", "finished"), ("error", "failed"), ("signup", "exit")) for x in p]), F.col("event_type"))
     return Z.session_states(table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("props").alias("detail")))
@@ -310,7 +323,11 @@ def visible_translation(spark, sf):
     return Z.visible_deltas(table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), F.concat("text", F.lit(" Final translation: ")).alias("delta")))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, unnest(range(len(ls))) AS r, greatest(length(unnest(ls)), 1) AS n FROM l),
+f AS (SELECT doc_id, r, 4 AS size, 0 AS clean, 1 AS items, n AS chars, CAST(0 AS BIGINT) AS batch FROM e WHERE r = 0
+  UNION ALL SELECT doc_id, r, CASE WHEN full_ AND up AND clean = 2 THEN least(32, size + greatest(1, size // 4)) ELSE size END, CASE WHEN full_ AND up THEN (clean + 1) % 3 ELSE clean END, CASE WHEN full_ THEN 1 ELSE items + 1 END, CASE WHEN full_ THEN n ELSE chars + n END, batch + CASE WHEN full_ THEN 1 ELSE 0 END
+  FROM (SELECT e.doc_id, e.r, e.n, f.size, f.clean, f.items, f.chars, f.batch, f.items >= f.size AS up, f.items >= f.size OR f.chars >= 4800 OR f.chars + e.n > 4800 AS full_ FROM f JOIN e ON e.doc_id = f.doc_id AND e.r = f.r + 1))
+SELECT doc_id, CAST(r AS INT) AS line_no, batch FROM f""")
 def embedding_batches(spark, sf):
     # chunks of every file, in order: its lines stand for them
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
