@@ -22,7 +22,39 @@ def query_terms(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(t, " ").alias("terms"), F.array_join(N.informative(t), " ").alias("required"))
 
 
-@query()
+LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _subs(entries: str, most: int) -> str:
+    """JSON of the sub-queries that are neither blank nor, but for ASCII case, a repeat."""
+    known = f"list_transform(list_filter({entries}, lambda e: trim(e.t) <> ''), lambda e: {{'t': trim(e.t), 'w': e.w, 'k': {LOW.format('trim(e.t)')}}})"
+    first = f"list_filter({known}, lambda e, i: list_position(list_transform({known}, lambda x: x.k), e.k) = i)[1:{most}]"
+    return f"""'[' || array_to_string(list_transform({first}, lambda e: '{{"text":' || CAST(to_json(e.t) AS VARCHAR) || ',"weight":' || e.w || '}}'), ',') || ']'"""
+
+
+QUOTED = """array_to_string(list_transform({}, lambda t: '"' || replace(t, '"', '""') || '"'), '{}')"""
+PLAN = (
+    rf"""WITH a AS (SELECT item_id, trim(text) AS raw, list_filter(string_split_regex(lower(trim(text)), '[^\p{{L}}\p{{N}}_-]+'), lambda x: length(x) >= 2) AS l FROM benchmark),
+b AS (SELECT item_id, raw, list_filter(l, lambda x, i: list_position(l, x) = i) AS w FROM a),
+c AS (SELECT *, CASE WHEN len(w) > 0 THEN w WHEN length(raw) >= 2 THEN [lower(raw)] ELSE [] END AS every, list_filter(w, lambda x: x NOT IN {NOISE_SQL}) AS paths FROM b),
+d AS (SELECT *, list_filter(every, lambda x: x NOT IN {NOISE_SQL}) AS required FROM c),
+e AS (SELECT *, CASE WHEN len(required) > 0 THEN required ELSE every END AS chosen FROM d),
+f AS (SELECT *, CASE WHEN len(chosen) > 0 THEN array_to_string(chosen, ' ') ELSE raw END AS focus FROM e),
+g AS (SELECT *, CASE WHEN lower(focus) <> lower(raw) THEN '"' || replace(lower(focus), '"', '""') || '"' ELSE '' END AS phrase, CASE WHEN len(required) >= 2 THEN """
+    + QUOTED.format("required", " AND ")
+    + " ELSE '' END AS both_, "
+    + QUOTED.format("chosen", " OR ")
+    + " AS any_, "
+    + QUOTED.format("paths", " OR ")
+    + " AS path_ FROM f) SELECT item_id, focus, "
+    + _subs("[{'t': raw, 'w': '0.0'}, {'t': focus, 'w': '0.12'}, {'t': array_to_string(paths, ' '), 'w': '0.08'}]", 3)
+    + " AS semantic, "
+    + _subs("[{'t': phrase, 'w': '0.25'}, {'t': both_, 'w': '0.15'}, {'t': any_, 'w': '0.0'}, {'t': path_, 'w': '0.1'}]", 4)
+    + " AS lexical FROM g"
+)
+
+
+@query(PLAN)
 def query_plans(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", N.query_plan(F.col("text")).alias("p")).select("item_id", "p.focus", F.to_json("p.semantic").alias("semantic"), F.to_json("p.lexical").alias("lexical"))
 
