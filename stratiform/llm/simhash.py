@@ -203,8 +203,10 @@ def keep_one(docs: DataFrame, store: Store) -> DataFrame:
     best = store.put(best.select(F.col("b.o.doc_id").alias("k_id"), F.col("b.o.key").alias("k_key"), "b.n"), "kept")
     same = docs["doc_id"].eqNullSafe(best.k_id) & (text_key("text") == best.k_key)
     one = docs.join(best.where("n = 1"), same, "left_semi")
-    many = docs.join(best.where("n > 1"), same, "left_semi").withColumn("k_key", text_key("text")).dropDuplicates(["doc_id", "k_key"])
-    return one.unionByName(many.drop("k_key"))
+    many = docs.join(best.where("n > 1"), same, "left_semi")
+    whole = F.struct(*[many[f"`{c.replace('`', '``')}`"] for c in many.columns])  # whatever the columns are called
+    many = many.select(whole.alias("row"), many["doc_id"].alias("a"), text_key("text").alias("b")).dropDuplicates(["a", "b"]).select("row.*")
+    return one.unionByName(many)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
