@@ -135,7 +135,7 @@ def asked(docs: DataFrame, mean: int, least: int, most: int, buckets: int, tasks
     """Of each block of ``block`` bytes of texts: its documents as lists of chunks (kind 0), and a row of distinct chunks for each bucket (kind 1)."""
 
     def run(batches):
-        part, squeeze, sub = TaskContext.get().partitionId(), zstandard.ZstdCompressor(3), 0
+        part, squeeze, sub = TaskContext.get().partitionId(), zstandard.ZstdCompressor(6), 0
         place: dict[bytes, int] = {}
         sent: list[tuple[list, list]] = [([], []) for _ in range(buckets)]
         keys, counts, index, size = [], [], [], 0
@@ -182,7 +182,7 @@ def answered(rows: DataFrame, path: str, most_bytes: int) -> DataFrame:
     """The ids of the chunks asked for, in their order. A bucket encodes a chunk once."""
 
     def run(batches):
-        know, squeeze, open_ = Encoder(path, most_bytes), zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+        know, squeeze, open_ = Encoder(path, most_bytes), zstandard.ZstdCompressor(9), zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1)
