@@ -38,16 +38,19 @@ r AS (SELECT doc_id, -sum(greatest(ln((n_rows - n + 0.5) / (n + 0.5)), 1e-6) * t
 """
 
 
-def _index(spark, sf) -> str:
+def _postings(spark, folder: str) -> lexical.Postings:
+    return lexical.Postings(spark, folder, "doc_id", {"text": 1.5})
+
+
+def _index(spark, sf) -> lexical.Postings:
     """The stored postings of ``documents``, built when first asked for."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return shared.built(d, "postings", lambda t, folder: lexical.build(t, "doc_id", {"text": 1.5}, folder))
+    return _postings(spark, shared.built(d, "postings", lambda t, folder: _postings(spark, folder).change(added=t)))
 
 
 @query(BM25 + "SELECT doc_id, round(rank, 6) AS rank FROM r ORDER BY round(rank, 6), doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = lexical.search(spark, _index(spark, sf), "doc_id", [[t] for t in TERMS])
-    return hits.withColumn("rank", F.round("rank", 6)).orderBy("rank", "doc_id").limit(10)
+    return _index(spark, sf).top([[t] for t in TERMS], 10).withColumn("rank", F.round("rank", 6))
 
 
 @query(BM25 + "SELECT doc_id, round(rank, 6) AS rank FROM r")
@@ -59,8 +62,9 @@ def bm25_scan(spark, sf):
 
 @query(rf"WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), x AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS n_rows, count(*) AS n_places, CAST(round(sum(1.5), 1) AS DOUBLE) AS tf FROM x GROUP BY term")
 def postings(spark, sf):
-    p = spark.read.parquet(f"{_index(spark, sf)}/postings")
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("places")).cast("long").alias("n_places"), F.round(F.sum("tf"), 1).alias("tf"))
+    i = _index(spark, sf)
+    p = i.read("postings", i.state()["segments"]).select("term", "n", F.expr("aggregate(places, 0L, (n, p) -> n + size(p))").alias("p"), F.expr("aggregate(tf, 0D, (n, x) -> n + x)").alias("tf"))
+    return p.groupBy("term").agg(F.sum("n").alias("n_rows"), F.sum("p").alias("n_places"), F.round(F.sum("tf"), 1).alias("tf"))
 
 
 KNN = "SELECT a.vec_id AS query, b.vec_id, 1 - list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0"
@@ -208,7 +212,7 @@ def _hybrid(spark, sf):
     near = retrieve.knn(e, e.where(F.col("vec_id").isin([v for v, _ in SEMANTIC])), "vec_id", "embedding", retrieve.limit_of_each(total, len(SEMANTIC)))
     near = near.select(F.col("vec_id").alias("doc_id"), retrieve.distance_score(F.col("distance")).alias("score"), "distance", weight.alias("boost"))
     index, share = _index(spark, sf), retrieve.limit_of_each(total, len(LEXICAL))
-    hits = [lexical.search(spark, index, "doc_id", phrases, every).orderBy("rank", "doc_id").limit(share).select("doc_id", (retrieve.rank_score(F.col("rank")) + w).alias("score")) for phrases, every, w in LEXICAL]
+    hits = [index.top(phrases, share, every).select("doc_id", (retrieve.rank_score(F.col("rank")) + w).alias("score")) for phrases, every, w in LEXICAL]
     words = retrieve.best_of(hits, "doc_id").select("doc_id", "score", retrieve.pseudo_distance(F.col("score")).alias("distance"), F.least("score", F.lit(0.2)).alias("boost"))
     return retrieve.merge(near, words, "doc_id")
 

@@ -103,13 +103,14 @@ def test_stored_index_agrees_with_fts5(spark, tmp_path):
     con.execute("create virtual table f using fts5(t, h, tokenize=\"unicode61 remove_diacritics 2 tokenchars '-_./#'\")")
     con.executemany("insert into f(rowid, t, h) values (?, ?, ?)", rows)
     folder = str(tmp_path / "index")
-    lexical.build(spark.createDataFrame(rows, "k int, t string, h string").repartition(3), "k", {"t": 1.5, "h": 4.0}, folder)
+    index = lexical.Postings(spark, folder, "k", {"t": 1.5, "h": 4.0})
+    index.change(added=spark.createDataFrame(rows, "k int, t string, h string").repartition(3))
     for match, phrases, every in (("quick OR dog", [["quick"], ["dog"]], False), ("quick AND cafe", [["quick"], ["cafe"]], True), ('"lazy dog"', [["lazy", "dog"]], False), ('"lazy dog" OR "a_b"', [["lazy", "dog"], ["a_b"]], False)):
         want = dict(con.execute("select rowid, bm25(f, 1.5, 4.0) from f where f match ?", (match,)).fetchall())
-        got = {r.k: r["rank"] for r in lexical.search(spark, folder, "k", phrases, every).collect()}
+        got = {r.k: r["rank"] for r in index.search(phrases, every).collect()}
         assert got.keys() == want.keys() and want
         assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want), match
-    plan = lexical.search(spark, folder, "k", [["quick"]])._jdf.queryExecution().toString()
+    plan = index.search([["quick"]])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(part" in plan and "EqualTo(term,quick)" in plan
 
 
