@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import pieces, release, session
-from .packing import tokenizer_path, worker_ids
+from .packing import Ids, tokenizer_path
 
 ROW = "g int, bucket int, src bigint, kind int, a binary, b binary, c binary"
 ENCODED = "doc_id bigint, ids array<int>, decoded string"
@@ -33,6 +33,12 @@ SEED = 0x9E3779B9
 SPACES = (9, 10, 11, 12, 13, 32)
 
 
+@cache
+def worker_ids(path: str) -> Ids:
+    """One per Python worker. Chunks are few and come once, so that it needs to remember few words."""
+    return Ids(path, 100_000)
+
+
 @cache
 def gear() -> np.ndarray:
     """A random 32-bit number for each byte."""
