@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import predicates as P, text as T
 from .operators import chunk, index, lexical, ranking, retrieve
+from .operators.vectors import VectorIndex
 from .sources import shared
 from .sources.tables import corpus, table
 from .streaming import stateful, streams
@@ -76,6 +77,22 @@ def knn_topk(spark, sf):
     return retrieve.knn(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 7 <> 3), d AS ({KNN}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS INT) AS rank FROM d) SELECT query, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10")
+def indexed_knn(spark, sf):
+    """The same search in a stored index from which every seventh row has been deleted and to which a part was added later."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    stored = lambda folder: VectorIndex(spark, folder, "vec_id", "embedding")
+
+    def build(t, folder):
+        i = stored(folder)
+        i.change(added=t.where("vec_id % 3 <> 1"))
+        i.change(added=t.where("vec_id % 3 = 1"), removed=t.where("vec_id % 7 = 3 and vec_id % 3 <> 1"))
+        i.change(removed=t.where("vec_id % 7 = 3"))
+
+    i = stored(shared.built(e, "vector-index", build))
+    return i.search(e.where("vec_id % 50 = 0 and vec_id % 7 <> 3"), 10).withColumn("distance", F.round("distance", 6))
+
+
 @query("SELECT count(*) AS n, bit_xor(vec_id) AS key_xor, CAST(CAST(sum(vec_id) AS HUGEINT) % 18446744073709551616 AS VARCHAR) AS key_sum FROM embeddings")
 def vector_digest(spark, sf):
     return index.set_digest(table(spark, sf, "embeddings"), "vec_id")
@@ -151,6 +168,17 @@ def change_detection(spark, sf):
     return index.change_plan(now, _stored(spark, sf), "absolute_path")
 
 
+@query(f"""WITH {STORED}, c AS (SELECT doc_id, {PATH} AS absolute_path, lang, doc_id * 1000 AS m, md5(text) AS h FROM documents),
+j AS (SELECT c.*, s.absolute_path IS NOT NULL AS known, c.m = s.m AS fast, c.h = s.h AS alike, doc_id % 13 = 5 AS moved, doc_id % 17 = 3 AS waits FROM c LEFT JOIN s ON c.absolute_path = s.absolute_path),
+p AS (SELECT *, CASE WHEN lang = 'es' THEN CASE WHEN known THEN 'delete' ELSE 'skip' END WHEN fast THEN 'unchanged' WHEN alike THEN 'refresh' ELSE 'reindex' END AS plan FROM j)
+SELECT absolute_path, plan, plan = 'refresh' OR (plan = 'unchanged' AND (moved OR waits)) AS refresh_record, plan IN ('unchanged', 'refresh') AND waits AS clear_pending, plan IN ('unchanged', 'refresh') AND moved AS refresh_projection FROM p""")
+def change_steps(spark, sf):
+    """The ladder with files that moved to another root and files of which a version waits."""
+    now = corpus(spark, sf).withColumns({"fingerprint": F.lit("v1"), "eligible": F.col("lang") != "es", "has_text": F.lit(True), "source_root": F.lit("/corpus"), "relative_path": F.concat("lang", F.lit("/"), "doc_id")})
+    old = now.select("absolute_path", F.when(F.col("doc_id") % 13 == 5, "/elsewhere").otherwise("/corpus").alias("source_root"), "relative_path", (F.col("doc_id") % 17 == 3).alias("pending"))
+    return index.change_steps(now, _stored(spark, sf).join(old, "absolute_path"), "absolute_path")
+
+
 @query(f"SELECT {PATH} AS absolute_path FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0")
 def stale_paths(spark, sf):
     return index.stale(_stored(spark, sf), corpus(spark, sf).where("doc_id % 4 <> 0"), "absolute_path").select("absolute_path")
@@ -311,13 +339,13 @@ APP_PATH = "CASE p_size % 4 WHEN 0 THEN '/System/Applications/' WHEN 1 THEN '/Ap
 
 
 @query(f"""WITH a AS (SELECT p_partkey, lower(p_name) AS n, {APP_PATH} AS path, {fuzzy_sql('lower(p_name)', 'ri')} AS f1, {fuzzy_sql('lower(p_type)', 'ri')} AS f2, CASE p_size % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS pr FROM part)
-SELECT p_partkey, CAST(greatest(f1, f2 + 80) + CASE WHEN starts_with(n, 'ri') THEN 220 WHEN contains(n, 'ri') THEN 140 ELSE 0 END + CASE WHEN contains(lower(path), 'ri') THEN 36 ELSE 0 END + 12 * pr AS INT) AS score FROM a WHERE f1 IS NOT NULL OR f2 IS NOT NULL ORDER BY score DESC, n, path, p_partkey LIMIT 20""")
+SELECT p_partkey, CAST(greatest(f1, f2 + 80) + CASE WHEN starts_with(n, 'ri') THEN 220 WHEN contains(n, 'ri') THEN 140 ELSE 0 END + CASE WHEN contains(lower(path), 'ri') THEN 36 ELSE 0 END + 12 * pr AS INT) AS score FROM a WHERE f1 IS NOT NULL OR f2 IS NOT NULL ORDER BY score DESC, pr DESC, length(path), path, p_partkey LIMIT 20""")
 def app_rank(spark, sf):
     m = F.col("p_size") % 4
     path = F.concat(F.when(m == 0, "/System/Applications/").when(m == 1, "/Applications/").when(m == 2, "/Users/x/Applications/").otherwise("/opt/"), "p_brand")
     a = table(spark, sf, "part").withColumn("path", path)
     s = ranking.app_score(F.lit("ri"), F.col("p_name"), F.array("p_type"), F.col("path"), ranking.directory_priority(F.col("path")))
-    return a.withColumn("score", s).where("score is not null").orderBy(F.desc("score"), F.lower("p_name"), "path", "p_partkey").limit(20).select("p_partkey", F.col("score").cast("int").alias("score"))
+    return a.withColumn("score", s).where("score is not null").orderBy(F.desc("score"), F.desc(ranking.directory_priority(F.col("path"))), F.length("path"), "path", "p_partkey").limit(20).select("p_partkey", F.col("score").cast("int").alias("score"))
 
 
 @query(f"SELECT p_partkey, p_name, CAST({fuzzy_sql('p_name', 'rdg')} AS INT) AS score FROM part WHERE {fuzzy_sql('p_name', 'rdg')} IS NOT NULL ORDER BY score DESC, p_name, p_partkey LIMIT 20")
@@ -338,13 +366,16 @@ def session_debounce(spark, sf):
     return streams.debounce(table(spark, sf, "events"), "user_id", "ts", "1 hour")
 
 
-# Events of a watched folder: kinds that only read are ignored, unknown ones and those without a path ask for a scan.
-@query("WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'access' WHEN 'click' THEN 'create' WHEN 'error' THEN 'other' WHEN 'signup' THEN 'modify' ELSE 'remove' END AS kind, user_id % 3 <> 0 AS there FROM events) "
-       "SELECT event_id, CASE WHEN kind = 'access' THEN 'ignore' WHEN kind = 'other' OR NOT there THEN 'rescan' WHEN kind = 'remove' THEN 'delete' ELSE 'path' END AS plan FROM e")
+# Events of a watched folder, some of folders themselves.
+@query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'access' WHEN 'click' THEN 'create' WHEN 'error' THEN 'other' WHEN 'signup' THEN 'rename' ELSE 'remove' END AS kind, user_id % 3 <> 0 AS there, event_id % 7 = 0 AS folder, event_id % 11 AS odd FROM events),
+k AS (SELECT event_id, CASE odd WHEN 0 THEN 'metadata' WHEN 1 THEN NULL WHEN 2 THEN 'modify' ELSE kind END AS kind, there, folder FROM e)
+SELECT event_id, CASE WHEN kind IN ('access', 'metadata') THEN 'ignore' WHEN kind IS NULL OR NOT there THEN 'rescan' WHEN folder THEN CASE kind WHEN 'rename' THEN 'rescan' WHEN 'create' THEN 'walk' ELSE 'ignore' END WHEN kind = 'remove' THEN 'delete' ELSE 'path' END AS plan FROM k""")
 def event_filter(spark, sf):
-    kinds = F.create_map(*[F.lit(x) for p in (("view", "access"), ("click", "create"), ("error", "other"), ("signup", "modify"), ("purchase", "remove")) for x in p])
+    kinds = F.create_map(*[F.lit(x) for p in (("view", "access"), ("click", "create"), ("error", "other"), ("signup", "rename"), ("purchase", "remove")) for x in p])
+    odd = F.col("event_id") % 11
+    kind = F.when(odd == 0, "metadata").when(odd == 1, None).when(odd == 2, "modify").otherwise(kinds[F.col("event_type")])
     paths = F.when(F.col("user_id") % 3 != 0, F.array(F.lit("/corpus/a.md"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf, "events").select("event_id", P.event_plan(kinds[F.col("event_type")], paths).alias("plan"))
+    return table(spark, sf, "events").select("event_id", P.event_plan(kind, paths, F.col("event_id") % 7 == 0).alias("plan"))
 
 
 @query("SELECT user_id, arg_max(event_id, {'t': ts, 'a': -event_id}) AS event_id, arg_max(event_type, {'t': ts, 'a': -event_id}) AS event_type FROM events GROUP BY user_id")
@@ -404,10 +435,12 @@ def page_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.file_name(F.col("url")).alias("name"), F.size(T.wiki_links(F.col("html"))).alias("n_links"))
 
 
-@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE turn % 3 WHEN 0 THEN 'it is ' || role ELSE '' END AS thought, trim(text) AS answer FROM conversations WHERE turn % 3 < 2")
+@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE turn % 3 WHEN 0 THEN 'it is ' || role WHEN 1 THEN '' ELSE role || chr(10) || 'more' END AS thought, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer FROM conversations")
 def reasoning_split(spark, sf):
-    m = F.col("turn") % 3
-    c = table(spark, sf, "conversations").where(m < 2).withColumn("t", F.when(m == 0, F.concat(F.lit("<think> it is "), "role", F.lit(" </think> "), "text")).otherwise(F.concat(F.lit(" "), "text")))
+    """Turns with one thought before the answer, without one, and with two inside it."""
+    m, t = F.col("turn") % 3, F.col("text")
+    two = F.concat(F.substring(t, 1, 5), F.lit("<think>"), "role", F.lit("</think>"), F.substr(t, F.lit(6)), F.lit("<think> more\n</think>"))
+    c = table(spark, sf, "conversations").withColumn("t", F.when(m == 0, F.concat(F.lit("<think> it is "), "role", F.lit(" </think> "), t)).when(m == 1, F.concat(F.lit(" "), t)).otherwise(two))
     a, b = T.reasoning(F.col("t"))
     return c.select("conv_id", "turn", F.coalesce(a, F.lit("")).alias("thought"), b.alias("answer"))
 
@@ -430,10 +463,12 @@ def citations(spark, sf):
     return k.select("l_orderkey", "l_suppkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("f", "l_suppkey")).alias("number"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'page ' || doc_id WHEN doc_id % 3 = 1 THEN 'lines ' || doc_id || '-' || (doc_id + 4) ELSE 'chunk ' || doc_id END AS place FROM documents")
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'page ' || doc_id WHEN 1 THEN 'pages ' || doc_id || '-' || doc_id + 2 WHEN 2 THEN 'lines ' || doc_id || '-' || doc_id + 4 WHEN 3 THEN 'lines ' || doc_id || '-' || doc_id + 4 || ', paragraph ' || doc_id - 1 ELSE 'chunk ' || doc_id END AS place FROM documents""")
 def location_labels(spark, sf):
-    i, m = F.col("doc_id"), F.col("doc_id") % 3
-    return table(spark, sf, "documents").select("doc_id", T.location_label(F.when(m == 0, i), F.lit(None).cast("long"), F.when(m == 1, i), F.when(m == 1, i + 4), i).alias("place"))
+    """Pages and lines with both ends, lines with and without a paragraph, and rows of which one end only is known."""
+    i, m = F.col("doc_id"), F.col("doc_id") % 5
+    p0, p1 = F.when(m.isin(0, 1, 4), i), F.when(m == 0, i).when(m == 1, i + 2)
+    return table(spark, sf, "documents").select("doc_id", T.location_label(p0, p1, F.when(m.isin(2, 3), i), F.when(m.isin(2, 3), i + 4), i, F.when(m == 3, i - 1)).alias("place"))
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) SELECT doc_id, CAST(i + 1 AS INT) AS line_no, line FROM l WHERE i BETWEEN 1 AND 3")

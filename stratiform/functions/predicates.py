@@ -65,7 +65,7 @@ def under(path: Column, root: Column) -> Column:
 
 
 def low_information(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     visible = F.length(F.regexp_replace(text, r"\s", ""))
     headings = (F.size(lines) > 0) & F.forall(lines, lambda x: F.startswith(x, F.lit("#"))) & (visible <= 24)
     coded = (F.size(lines) >= 2) & F.forall(lines, lambda x: (F.octet_length(x) >= 24) & x.rlike("^[A-Za-z0-9+/=]+$"))
@@ -133,6 +133,19 @@ def failure_class(message: Column) -> Column:
     return F.when(F.contains(m, F.lit("timeout")) | F.contains(m, F.lit("timed out")), "timeout").when(F.contains(m, F.lit("429")) | F.contains(m, F.lit("rate limit")), "rate_limit").when(F.contains(m, F.lit("overload")) | F.contains(m, F.lit("503")), "overloaded").otherwise("other")
 
 
-def event_plan(kind: Column, paths: Column) -> Column:
-    """What a watcher's event asks for: reads nothing, a scan of all if it can't be placed, a delete, or a look at its paths."""
-    return F.when(kind == "access", "ignore").when(~F.coalesce(kind.isin("create", "modify", "remove"), F.lit(False)) | (F.size(paths) == 0), "rescan").when(kind == "remove", "delete").otherwise("path")
+def event_plan(kind: Column, paths: Column, folder: Column | None = None) -> Column:
+    """What a watcher's event asks for: nothing, a scan of all, a walk of a new folder, a delete, or a look at its paths.
+
+    Reads and changes of metadata alone ask for nothing; events of unknown kind, and others that name no path, for a
+    scan. ``folder`` says whether the path is a folder that is there: only its renaming asks for a scan, its
+    creation for a walk of what it holds; other events of it tell nothing.
+    """
+    folder = F.coalesce(folder, F.lit(False)) if folder is not None else F.lit(False)
+    known = F.coalesce(kind.isin("create", "modify", "rename", "remove", "other"), F.lit(False))
+    return (
+        F.when(kind.isin("access", "metadata"), "ignore")
+        .when(~known | (F.size(paths) == 0), "rescan")
+        .when(folder, F.when(kind == "rename", "rescan").when(kind == "create", "walk").otherwise("ignore"))
+        .when(kind == "remove", "delete")
+        .otherwise("path")
+    )

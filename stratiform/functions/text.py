@@ -27,7 +27,7 @@ def body_preview(c: Column, most: int = 240) -> Column:
 
 
 def trim_lines(c: Column) -> Column:
-    return F.trim(F.array_join(F.transform(F.split(c, "\n"), F.trim), "\n"))
+    return F.trim(F.array_join(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), "\n"))
 
 
 def sort_lines(c: Column) -> Column:
@@ -92,10 +92,15 @@ def wiki_links(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), 1)
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends, line breaks too."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def reasoning(c: Column) -> tuple[Column, Column]:
     """(reasoning, answer) of a text with <think> parts."""
     parts = F.regexp_extract_all(c, F.lit(r"(?s)<think>(.*?)</think>"), 1)
-    return F.trim(F.array_join(F.transform(parts, F.trim), "\n")), F.trim(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
+    return strip(F.array_join(F.transform(parts, lambda x: strip(x)), "\n")), strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
 
 
 def error_message(c: Column) -> Column:
@@ -103,15 +108,26 @@ def error_message(c: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(c, k)), F.lit("")) for k in keys])
 
 
-def location_label(p0: Column, p1: Column, l0: Column, l1: Column, chunk: Column) -> Column:
+def location_label(p0: Column, p1: Column, l0: Column, l1: Column, chunk: Column, paragraph: Column | None = None) -> Column:
+    """Where a hit stands: its pages, else its lines and the line its paragraph begins at, else its chunk. Pages and lines need both ends."""
+    begins = F.lit("") if paragraph is None else F.when(paragraph.isNull(), "").otherwise(F.format_string(", paragraph %d", paragraph))
     return (
-        F.when(p0.isNotNull() & (p0 == F.coalesce(p1, p0)), F.format_string("page %d", p0))
-        .when(p0.isNotNull(), F.format_string("pages %d-%d", p0, p1))
-        .when(l0.isNotNull(), F.format_string("lines %d-%d", l0, F.coalesce(l1, l0)))
+        F.when(p0.isNotNull() & p1.isNotNull(), F.when(p0 == p1, F.format_string("page %d", p0)).otherwise(F.format_string("pages %d-%d", p0, p1)))
+        .when(l0.isNotNull() & l1.isNotNull(), F.concat(F.format_string("lines %d-%d", l0, l1), begins))
         .otherwise(F.format_string("chunk %d", chunk))
     )
 
 
+def quoted(c: Column) -> Column:
+    """A text between double quotes, with escapes for quotes, backslashes and control characters."""
+    c = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\0", "\\0")):
+        c = F.replace(c, F.lit(raw), F.lit(shown))
+    for n in [*range(1, 9), 11, 12, *range(14, 32), 127]:
+        c = F.replace(c, F.lit(chr(n)), F.lit("\\u{%x}" % n))
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
 def image_mime(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     return F.when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext.isin("png", "gif", "webp", "bmp"), F.concat(F.lit("image/"), ext)).otherwise("application/octet-stream")

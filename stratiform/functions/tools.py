@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from .text import quoted
+
 # Limits and defaults of the tools.
 MOST_LINES, MOST_HITS, HITS, MIN_SCORE = 240, 20, 8, 0.35
 
@@ -57,7 +59,7 @@ def hit_text(number: Column, path: Column, chunk: Column, location: Column, scor
 
 def search_summary(query: Column, hits: Column, pending: Column) -> Column:
     """The answer of a search: how many hits, a word on files that wait, and the hits' texts (an array) in order."""
-    head = F.concat(F.lit("Retrieved "), F.size(hits).cast("string"), F.lit(' hit(s) for query "'), query, F.lit('".\n'))
+    head = F.concat(F.lit("Retrieved "), F.size(hits).cast("string"), F.lit(" hit(s) for query "), quoted(query), F.lit(".\n"))
     wait = F.when(pending & (F.size(hits) == 0), F.lit("The RAG index still has pending files, so empty results may be temporary.\n")).otherwise("")
     return F.regexp_replace(F.concat(head, wait, F.array_join(hits, "")), r"^\s+|\s+$", "")
 

@@ -13,6 +13,25 @@ def change_plan(scanned: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     Both sides have size_bytes, modified_at_ms, content_md5 and fingerprint; ``scanned`` also
     has eligible and has_text, ``stored`` has chunk_count.
     """
+    return _laddered(scanned, stored, key).select(F.coalesce(f"s.{key}", f"t.{key}").alias(key), "plan")
+
+
+def change_steps(scanned: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The plan of each key and what else is to be done: (key, plan, refresh_record, clear_pending, refresh_projection).
+
+    Besides what ``change_plan`` asks for, both sides have source_root and relative_path, and
+    ``stored`` has pending, whether a version waits that was never finished. A file that moved to
+    another root keeps its chunks, whose projected paths are refreshed; a waiting version of an unchanged file goes.
+    """
+    j = _laddered(scanned, stored, key)
+    kept = F.col("plan").isin("unchanged", "refresh")
+    moved = ~(F.col("s.source_root").eqNullSafe(F.col("t.source_root")) & F.col("s.relative_path").eqNullSafe(F.col("t.relative_path")))
+    pending = F.coalesce(F.col("t.pending"), F.lit(False))
+    steps = {"refresh_record": kept & ((F.col("plan") == "refresh") | moved | pending), "clear_pending": kept & pending, "refresh_projection": kept & moved}
+    return j.select(F.coalesce(f"s.{key}", f"t.{key}").alias(key), "plan", *[c.alias(n) for n, c in steps.items()])
+
+
+def _laddered(scanned: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     s, t = scanned.alias("s"), stored.alias("t")
     same = F.col("s.fingerprint") == F.col("t.fingerprint")
     plan = (
@@ -23,7 +42,7 @@ def change_plan(scanned: DataFrame, stored: DataFrame, key: str) -> DataFrame:
         .when(~F.col("s.has_text"), F.when(F.col("t.chunk_count") > 0, "skip").otherwise("skip_marker"))
         .otherwise("reindex")
     )
-    return s.join(t, F.col(f"s.{key}") == F.col(f"t.{key}"), "full").select(F.coalesce(f"s.{key}", f"t.{key}").alias(key), plan.alias("plan"))
+    return s.join(t, F.col(f"s.{key}") == F.col(f"t.{key}"), "full").withColumn("plan", plan)
 
 
 def stale(stored: DataFrame, visited: DataFrame, key: str) -> DataFrame:
@@ -77,11 +96,13 @@ def event_plans(events: DataFrame, stored: DataFrame, found: DataFrame, key: str
     return changed.join(plans, key, "left").select(key, F.coalesce("plan", F.lit("noop")).alias("plan"))
 
 
-def assign_keys(rows: DataFrame, order: list[str], start: int) -> DataFrame:
-    """Generated keys in a stable order, after ``start``: partition sizes first, then local numbers."""
+def assign_keys(rows: DataFrame, order: list[str], start: int, most: int = 100_000) -> DataFrame:
+    """Generated keys in a stable order, after ``start``: rows are dealt to buckets of ``most`` or so, whose sizes say where each begins."""
+    buckets = max(64, rows.count() // most)
     w = Window.partitionBy("b").orderBy(*order)
-    b = rows.withColumn("b", F.pmod(F.xxhash64(*order), F.lit(64)))
+    b = rows.withColumn("b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     n = b.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    # one row a bucket
     before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return b.join(F.broadcast(before.select("b", "before")), "b").withColumn("vector_key", F.row_number().over(w) + F.col("before") + start).drop("b", "before")
 

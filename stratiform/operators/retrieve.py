@@ -45,11 +45,11 @@ def pseudo_distance(score: Column) -> Column:
     return F.greatest(F.least(1 - score, F.lit(1.0)), F.lit(0.0))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = QUERY_BLOCK, shards: int | None = None) -> DataFrame:
     """(query, key, distance, rank), exact: every query against all rows but its own.
 
     Queries are counted; up to ``block`` of them are broadcast, more are dealt to blocks
-    that each meet all rows. Every task keeps its best ``k`` of a query before the exchange.
+    that each meet all rows, dealt to ``shards`` (so many that all cores have some). Every task keeps its best ``k`` of a query before the exchange.
     """
     own = vectors.select(key, F.col(vector).alias("v"), dot(F.col(vector), F.col(vector)).alias("vv"))
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), dot(F.col(vector), F.col(vector)).alias("qq"))
@@ -58,8 +58,10 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, b
     if blocks == 1:
         pairs = own.join(F.broadcast(q), apart)
     else:
-        q = q.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-        pairs = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, (F.col("b") == F.col("qb")) & apart)
+        shards = shards or max(1, -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // blocks))
+        q = q.withColumns({"qb": F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"), "qs": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+        own = own.withColumns({"b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "s": F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")})
+        pairs = own.join(q, (F.col("b") == F.col("qb")) & (F.col("s") == F.col("qs")) & apart)
     d = pairs.select("query", key, (1 - dot(F.col("qv"), F.col("v")) / F.sqrt(F.col("qq") * F.col("vv"))).alias("distance"))
     w = Window.partitionBy("query").orderBy("distance", key)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -46,17 +46,17 @@ def line_windows(spark, sf):
 @query(f"""WITH h AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, {PATH} AS path, CASE doc_id % 3 WHEN 0 THEN 'page ' || doc_id WHEN 1 THEN 'lines ' || doc_id || '-' || (doc_id + 4) ELSE 'chunk ' || doc_id END AS loc, left(text, 40) AS t FROM documents),
 x AS (SELECT source, r, chr(10) || '[' || r || '] ' || path || ' (chunk ' || doc_id || ', ' || loc || ', score ' || format('{{:.4f}}', 1 / CAST(r + 1 AS DOUBLE)) || ', distance ' || format('{{:.4f}}', CAST(r AS DOUBLE) / 3) || ')' || chr(10) || t || chr(10) AS h FROM h WHERE r <= 3),
 g AS (SELECT source, string_agg(h, '' ORDER BY r) AS hs, count(*) AS n FROM x GROUP BY source)
-SELECT source, regexp_replace('Retrieved ' || n || ' hit(s) for query "' || source || '".' || chr(10) || hs, '^\\s+|\\s+$', '', 'g') AS summary FROM g
-UNION ALL SELECT 'none', 'Retrieved 0 hit(s) for query "none".' || chr(10) || 'The RAG index still has pending files, so empty results may be temporary.'""")
+SELECT source, regexp_replace('Retrieved ' || n || ' hit(s) for query "' || source || ' \\"a\\\\b\\"\\t".' || chr(10) || hs, '^\\s+|\\s+$', '', 'g') AS summary FROM g
+UNION ALL SELECT 'none', 'Retrieved 0 hit(s) for query "none \\"a\\\\b\\"\\t".' || chr(10) || 'The RAG index still has pending files, so empty results may be temporary.'""")
 def search_summary(spark, sf):
     i, m = F.col("doc_id"), F.col("doc_id") % 3
-    place = T.location_label(F.when(m == 0, i), F.lit(None).cast("long"), F.when(m == 1, i), F.when(m == 1, i + 4), i)
+    place = T.location_label(F.when(m == 0, i), F.when(m == 0, i), F.when(m == 1, i), F.when(m == 1, i + 4), i)
     r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     best = corpus(spark, sf).withColumn("r", r).where("r <= 3")
     text = tools.hit_text(F.col("r"), F.col("absolute_path"), i, place, 1 / (F.col("r") + 1).cast("double"), F.col("r").cast("double") / 3, F.substring("text", 1, 40))
     g = best.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("r", text.alias("t")))).alias("x")).select("source", F.transform("x", lambda s: s["t"]).alias("hits"))
     g = g.unionByName(spark.createDataFrame([("none", [])], "source string, hits array<string>"))
-    return g.select("source", tools.search_summary(F.col("source"), F.col("hits"), F.lit(True)).alias("summary"))
+    return g.select("source", tools.search_summary(F.concat("source", F.lit(' "a\\b"\t')), F.col("hits"), F.lit(True)).alias("summary"))
 
 
 WATCHED = "'/corpus/' || CASE event_id % 5 WHEN 0 THEN 'a/.gitignore' WHEN 1 THEN '.ignore' WHEN 2 THEN '.git/info/exclude' WHEN 3 THEN 'a/b.md' ELSE '../x/.ignore' END"

@@ -18,6 +18,7 @@ def fold_sorted(rows: DataFrame, key: list[str], order: list[str], make: Callabl
     """Each key's rows, in order, through an object of ``make()``: ``add(row)`` and ``end()`` give result rows as tuples.
 
     Rows stream through sorted partitions, so a key's rows need not fit in memory; what the object holds must.
+    A key's rows stay in one task, as their order demands; keys are spread.
     """
     kind = StructType.fromDDL(schema)
 
@@ -230,6 +231,41 @@ def visible_stream(deltas: DataFrame, ts: str, delay: str) -> DataFrame:
     return fold_stream(deltas, ["id"], ["seq"], ts, delay, Visible, "id long, seq long, delta string")
 
 
+class Chunks:
+    """Chunks (body, seq, chunk, last) of service bodies, cut anywhere: a body's answer is given with its last chunk, or at the end of its rows."""
+
+    def __init__(self):
+        self.own, self.open = bodies.Body(), False
+
+    def add(self, r):
+        self.key, self.open = r["body"], True
+        self.own.feed(r["chunk"] or b"", bool(r["last"]))
+        return self.answer() if r["last"] else []
+
+    def answer(self):
+        out = [(self.key, *self.own.answer.row())]
+        self.own, self.open = bodies.Body(), False
+        return out
+
+    def end(self):
+        if not self.open:
+            return []
+        self.own.feed(b"", True)
+        return self.answer()
+
+
+ANSWERS = "body string, content string, reasoning string, tool_calls string, finish_reason string, error string"
+
+
+def chunked_answers(chunks: DataFrame) -> DataFrame:
+    """One answer a body. A body's state is what of it is not whole yet and its answer so far."""
+    return fold_sorted(chunks, ["body"], ["seq"], Chunks, ANSWERS)
+
+
+def chunked_stream(chunks: DataFrame, ts: str, delay: str) -> DataFrame:
+    return fold_stream(chunks, ["body"], ["seq"], ts, delay, Chunks, ANSWERS)
+
+
 class Transcript:
     """Neighbouring turns of one role become one block, given out when the next one begins."""
 

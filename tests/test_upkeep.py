@@ -199,3 +199,94 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: r.text for r in tables.files(spark, str(tmp_path), 100).collect()}
     assert got == {"a.md": "é text", "b.md": "b"}
+
+
+WHOLE = [
+    'data: {"choices": [{"index": 0, "delta": {"content": "Né 🐘"}}]}\r\n\r\ndata: {"choices": [{"index": 0, "delta": {"reasoning_content": "hm", "tool_calls": [{"index": 0, "id": "c", "function": {"name": "find", "arguments": "{\\"q\\": \\"é"}}]}}]}\n\n: note\n\ndata: {"choices": [{"index": 0, "delta": {"content": " two", "tool_calls": [{"index": 0, "function": {"arguments": "🐘\\"}"}}]}, "finish_reason": "stop"}]}\n\ndata: [DONE]\n\n',
+    'data: {"choices":\ndata: [{"index": 0, "delta": {"content": "a"}}]}\n\ndata: {"choices": [{"index": 0, "delta": {"content": "no blank line at the end"}}]}',
+    ' {"choices": [{"message": {"content": "é whole"}, "finish_reason": "stop"}]}',
+    'data: {"choices": [{"delta": {"content": "a"}}]}\n\ndata: {broken\n\ndata: {"choices": [{"delta": {"content": "never"}}]}\n\n',
+    "plain words",
+    "",
+]
+
+
+def pieces(rng, body):
+    data = body.encode()
+    at = sorted({0, len(data), *(rng.randrange(len(data) + 1) for _ in range(rng.randrange(12)))})
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)] or [b""]
+
+
+def test_any_cut_of_a_body_gives_its_answer(spark):
+    import random
+
+    rng = random.Random(6)
+    want = {str(i): bodies.fold(b) for i, b in enumerate(WHOLE)}
+    assert want["0"][:2] == ("Né 🐘 two", "hm") and "\\u00e9" in want["0"][2] and want["3"][0] == "a" and want["3"][4].startswith("malformed")
+    for _ in range(300):
+        for i, b in enumerate(WHOLE):
+            own, cut = bodies.Body(), pieces(rng, b)
+            for j, c in enumerate(cut):
+                own.feed(c, j == len(cut) - 1)
+            assert own.answer.row() == want[str(i)], cut
+    rows = [(f"{i}", j, bytearray(c), last and j == len(cut) - 1) for i, b in enumerate(WHOLE) for last in [i % 2 == 0] for cut in [[bytes([x]) for x in b.encode()] or [b""]] for j, c in enumerate(cut)]
+    rng.shuffle(rows)
+    got = stateful.chunked_answers(spark.createDataFrame(rows, "body string, seq long, chunk binary, last boolean")).collect()
+    assert {r.body: tuple(r)[1:] for r in got} == want  # bodies without a last chunk end with their rows
+
+
+def test_bodies_on_a_stream(spark, tmp_path):
+    import random
+
+    rng, kinds = random.Random(7), "body string, seq long, chunk binary, last boolean, ts timestamp"
+    cut = {str(i): pieces(rng, b) for i, b in enumerate(WHOLE)}
+    rows = [(k, j, bytearray(c), j == len(own) - 1, 1000 + 50 * j) for k, own in cut.items() for j, c in enumerate(own)]
+    rng.shuffle(rows)
+    end = [[("end", n, bytearray(b"x"), False, t)] for n, t in enumerate((60_000, 120_000))]
+    for part in (rows[::2], rows[1::2], *end):  # chunks come late and out of order
+        d = spark.createDataFrame(part, "body string, seq long, chunk binary, last boolean, ms long").select("body", "seq", "chunk", "last", F.timestamp_millis("ms").alias("ts"))
+        d.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        s = spark.readStream.schema(kinds).parquet(f"{tmp_path}/in")
+        q = stateful.chunked_stream(s, "ts", "2 seconds").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+        assert q.awaitTermination(120)
+    got = {r.body: tuple(r)[1:] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {str(i): bodies.fold(b) for i, b in enumerate(WHOLE)}
+
+
+def test_labels_summaries_and_trims(spark):
+    from stratiform.functions import predicates, text, tools
+
+    d = spark.createDataFrame([(1, 1, 5, 9, 3, 7), (1, 2, 5, 9, 3, 7), (1, None, 5, 9, 3, 7), (None, None, 5, 9, 3, None), (None, None, 5, None, 3, 7)], "a int, b int, c int, d int, e int, f int")
+    got = [r.x for r in d.select(text.location_label(*map(F.col, "abcdef")).alias("x")).collect()]
+    assert got == ["page 1", "pages 1-2", "lines 5-9, paragraph 7", "lines 5-9", "chunk 3"]
+    q = spark.createDataFrame([('a "b" \\ \n\t\r\0\x1b é',)], "q string").select(text.quoted(F.col("q")).alias("x")).first().x
+    assert q == '"a \\"b\\" \\\\ \\n\\t\\r\\0\\u{1b} é"'
+    empty = F.array().cast("array<string>")
+    s = spark.range(1).select(tools.search_summary(F.lit("x"), empty, F.lit(False)).alias("x")).first().x
+    assert s == 'Retrieved 0 hit(s) for query "x".'
+    t = spark.createDataFrame([(" a \n b\n0 c ",)], "t string").select(text.trim_lines(F.col("t")).alias("x")).first().x
+    assert t == "a\nb\n0 c"
+    th, an = text.reasoning(F.col("t"))
+    r = spark.createDataFrame([("<think> one\n</think> x <think>\n two </think>\n",)], "t string").select(th.alias("a"), an.alias("b")).first()
+    assert tuple(r) == ("one\ntwo", "x")
+    assert spark.createDataFrame([("  #  \n # x",)], "t string").select(predicates.low_information(F.col("t")).alias("x")).first().x is True
+
+
+@pytest.mark.parametrize("kind,paths,folder,want", [("access", 1, False, "ignore"), ("metadata", 1, True, "ignore"), ("other", 1, False, "path"), ("other", 0, False, "rescan"), ("any", 1, False, "rescan"), (None, 1, False, "rescan"), ("rename", 1, True, "rescan"), ("rename", 1, False, "path"), ("create", 1, True, "walk"), ("modify", 1, True, "ignore"), ("remove", 1, False, "delete")])
+def test_event_plans_of_kinds(spark, kind, paths, folder, want):
+    from stratiform.functions import predicates
+
+    d = spark.createDataFrame([(kind, ["/a"] * paths, folder)], "k string, p array<string>, f boolean")
+    assert d.select(predicates.event_plan(F.col("k"), F.col("p"), F.col("f")).alias("x")).first().x == want
+
+
+def test_change_steps(spark):
+    from stratiform.operators import index
+
+    now = [("/a", 1, 1, "m", "v", "/r", "a"), ("/b", 1, 1, "m", "v", "/r2", "b"), ("/c", 1, 2, "m", "v", "/r", "c"), ("/d", 1, 1, "m", "v", "/r", "d"), ("/e", 1, 1, "n", "w", "/r", "e"), ("/f", 1, 1, "m", "v", "/r", "f")]
+    old = [("/a", 1, 1, "m", "v", "/r", "a", 3, False), ("/b", 1, 1, "m", "v", "/r", "b", 3, False), ("/c", 1, 1, "m", "v", "/r", "c", 3, True), ("/d", 1, 1, "m", "v", "/r", "d", 3, True), ("/e", 1, 1, "m", "v", "/r", "e", 3, True), ("/f", None, None, None, "v", "/r", "f", 0, True), ("/g", 1, 1, "m", "v", "/r", "g", 1, False)]
+    cols = "path string, size_bytes long, modified_at_ms long, content_md5 string, fingerprint string, source_root string, relative_path string"
+    s = spark.createDataFrame(now, cols).withColumns({"eligible": F.lit(True), "has_text": F.lit(True)})
+    t = spark.createDataFrame(old, cols + ", chunk_count long, pending boolean")
+    got = {r[0]: tuple(r)[1:] for r in index.change_steps(s, t, "path").collect()}
+    assert got == {"/a": ("unchanged", False, False, False), "/b": ("unchanged", True, False, True), "/c": ("refresh", True, True, False), "/d": ("unchanged", True, True, False), "/e": ("reindex", False, False, False), "/f": ("reindex", False, False, False), "/g": ("delete", False, False, False)}
