@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import predicates as P, text as T
-from .operators import chunk, index, lexical, ranking, retrieve
+from .operators import chunk, fuzzy, index, lexical, ranking, retrieve
 from .operators.vectors import VectorIndex
 from .sources import shared
 from .sources.tables import corpus, table
@@ -350,14 +350,16 @@ def app_rank(spark, sf):
 
 @query(f"SELECT p_partkey, p_name, CAST({fuzzy_sql('p_name', 'rdg')} AS INT) AS score FROM part WHERE {fuzzy_sql('p_name', 'rdg')} IS NOT NULL ORDER BY score DESC, p_name, p_partkey LIMIT 20")
 def fuzzy_files(spark, sf):
-    s = table(spark, sf, "part").withColumn("score", ranking.fuzzy_score(F.lit("rdg"), F.col("p_name")))
-    return s.where("score is not null").select("p_partkey", "p_name", "score").orderBy(F.desc("score"), "p_name", "p_partkey").limit(20)
+    rows = table(spark, sf, "part").select("p_partkey", "p_name")
+    signed = spark.read.parquet(shared.built(rows, "part-signatures", lambda t, folder: fuzzy.signed(t, ["p_name"]).write.parquet(f"{folder}/rows")) + "/rows")
+    return fuzzy.top(signed, "rdg", [("p_name", 0)], ["p_name", "p_partkey"]).select("p_partkey", "p_name", "score")
 
 
 @query(f"WITH f AS (SELECT {PATH} AS path, 'doc-' || doc_id || '.md' AS name FROM documents) SELECT path, CAST(greatest({fuzzy_sql('path', 'od7')}, {fuzzy_sql('name', 'od7')} + 100) AS INT) AS score FROM f WHERE {fuzzy_sql('path', 'od7')} IS NOT NULL ORDER BY score DESC, path LIMIT 20")
 def file_rank(spark, sf):
-    f = corpus(spark, sf).select(F.col("absolute_path").alias("path")).withColumn("score", ranking.file_score(F.lit("od7"), F.col("path")))
-    return f.where("score is not null").orderBy(F.desc("score"), "path").limit(20)
+    files = lambda t: t.select(F.col("absolute_path").alias("path"), T.file_name(F.col("absolute_path")).alias("name"))
+    signed = spark.read.parquet(shared.built(corpus(spark, sf), "file-signatures", lambda t, folder: fuzzy.signed(files(t), ["path", "name"]).write.parquet(f"{folder}/rows")) + "/rows")
+    return fuzzy.top(signed, "od7", [("path", 0), ("name", 100)], ["path"]).select("path", "score")
 
 
 @query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e)

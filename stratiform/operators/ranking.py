@@ -63,6 +63,7 @@ def fuzzy(pattern: str, text: str) -> int:
     """Subsequence score with bonuses for runs, word starts and the head; -1 without a match."""
     if not any(c.isupper() for c in pattern):
         text_m, p = text.lower(), pattern
+        text = text if len(text) == len(text_m) else text_m  # some letters become two
     else:
         text_m, p = text, pattern
     score, last, at = 0, -2, 0
