@@ -20,8 +20,6 @@ LETTERS = "eta"
 UP = 8 * len(LETTERS)  # bits of the counts; others stand above them
 #: Edits by the length of the shorter line: (from so many characters on, edits), in rising order.
 BY_LENGTH = ((20, 1), (64, 2), (128, 3), (256, 4))
-#: The rule of op3_lines, as in OP3_SQL; the pipeline's stage takes BY_LENGTH.
-QUERY_RULE = ((20, 1), (128, 2))
 ONE_EDIT = ((20, 1),)
 LAST = 2**63 - 1  # orders rows without an id after all others
 STEP = 2**31  # a place is doc_id * STEP + line_no, a whole number of up to 29 digits
@@ -311,24 +309,33 @@ def clean_documents(docs: DataFrame, store: Store, rule=BY_LENGTH) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes, links and the keep decision of every line of ``documents``; see ``dedup_lines``. One edit from 20 characters on, two from 128 on."""
-    return dedup_lines(session(spark).read.parquet(f"{sf_dir}/documents.parquet"), Store(spark), QUERY_RULE).drop("doc_key")
+    """Classes, links and the keep decision of every line of ``documents``; see ``dedup_lines``."""
+    return dedup_lines(session(spark).read.parquet(f"{sf_dir}/documents.parquet"), Store(spark)).drop("doc_key")
 
 
-OP3_SQL = r"""
+ONE_BYTE = "".join(map(chr, (*range(1, 9), 11, 12, *range(14, 32))))
+
+
+def _pairs_sql(least: int, below: int, edits: int) -> str:
+    """Pairs of a band: of the shorter line's segments, one more than edits, the longer line holds one."""
+    cut = lambda i: f"substr(a.line, a.n * {i} // {edits + 1} + 1, a.n * {i + 1} // {edits + 1} - a.n * {i} // {edits + 1})"
+    held = " OR ".join(f"contains(b.line, {cut(i)})" for i in range(edits + 1))
+    # DuckDB counts edits in bytes: a pair's characters beyond ASCII become control characters of one byte first
+    odd = "list_sort(list_distinct(regexp_extract_all(a.line || b.line, '[^\\x00-\\x7F]')))"
+    bytes_ = lambda x: f"translate({x}, array_to_string({odd}, ''), '{ONE_BYTE}'[1:len({odd})])"
+    # equal joins on each length that the longer line may have
+    parts = [f"SELECT a.line AS x, b.line AS y, a.first AS fx, b.first AS fy FROM c a JOIN c b ON b.n = a.n + {d} WHERE a.n >= {least} AND a.n < {below} AND ({held})" + (" AND a.line < b.line" if not d else "") + f" AND levenshtein(a.line, b.line) <= {4 * edits} AND levenshtein({bytes_('a.line')}, {bytes_('b.line')}) <= {edits}" for d in range(edits + 1)]
+    return " UNION ALL ".join(parts)
+
+
+OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM d),
-c AS (SELECT line, length(line) AS n, count(*) AS copies, min({'doc': doc_id, 'line': line_no}) AS first FROM l GROUP BY line),
-h AS (SELECT *, left(line, CAST(n // 2 AS INT)) AS lh, right(line, CAST(n // 2 AS INT)) AS rh FROM c WHERE n BETWEEN 20 AND 127),
-g AS (SELECT c.*, d AS d, left(line, CAST((n - d) // 2 AS INT)) AS lh, right(line, CAST((n - d) // 2 AS INT)) AS rh FROM c, (VALUES (0), (1)) v(d)),
-q AS MATERIALIZED (SELECT h.line AS x, g.line AS y, h.first AS fx, g.first AS fy FROM h JOIN g ON h.n = g.n - g.d AND h.lh = g.lh WHERE g.d = 1 OR h.line < g.line
-  UNION SELECT h.line, g.line, h.first, g.first FROM h JOIN g ON h.n = g.n - g.d AND h.rh = g.rh WHERE g.d = 1 OR h.line < g.line),
-w AS (SELECT line, n + d AS m, d, first, left(line, n // 3) AS s1, substr(line, n // 3 + 1, n // 3) AS s2, substr(line, n // 3 * 2 + 1) AS s3 FROM c, (VALUES (0), (1), (2)) v(d) WHERE n >= 128),
-p AS (SELECT * FROM q WHERE levenshtein(x, y) <= 1
-  UNION ALL SELECT w.line, c.line, w.first, c.first FROM w JOIN c ON c.n = w.m WHERE (d > 0 OR w.line < c.line) AND (contains(c.line, s1) OR contains(c.line, s2) OR contains(c.line, s3)) AND levenshtein(w.line, c.line) <= 2),
+c AS (SELECT line, length(line) AS n, count(*) AS copies, min({{'doc': doc_id, 'line': line_no}}) AS first FROM l GROUP BY line),
+p AS MATERIALIZED ({" UNION ALL ".join(_pairs_sql(*b) for b in bands(BY_LENGTH))}),
 e AS (SELECT x AS line, fy AS other FROM p UNION ALL SELECT y, fx FROM p),
 k AS (SELECT line, count(*) AS n_links, min(other) AS linked FROM e GROUP BY line)
 SELECT doc_id, line_no, c.first.doc AS class_doc, c.first.line AS class_line, copies, coalesce(n_links, 0) AS n_links,
-  l.line = '' OR NOT (c.first < {'doc': doc_id, 'line': line_no} OR coalesce(k.linked < {'doc': doc_id, 'line': line_no}, false)) AS kept
+  l.line = '' OR NOT (c.first < {{'doc': doc_id, 'line': line_no}} OR coalesce(k.linked < {{'doc': doc_id, 'line': line_no}}, false)) AS kept
 FROM l JOIN c ON l.line = c.line LEFT JOIN k ON l.line = k.line
 """
