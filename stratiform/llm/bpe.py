@@ -36,7 +36,7 @@ SPACES = (9, 10, 11, 12, 13, 32)
 @cache
 def worker_ids(path: str) -> Ids:
     """One per Python worker. Chunks are few and come once, so that it needs to remember few words."""
-    return Ids(path, 100_000)
+    return Ids(path, 250_000)
 
 
 @cache
