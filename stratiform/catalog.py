@@ -245,10 +245,10 @@ def _hybrid(spark, sf):
     return retrieve.merge(near, words, "doc_id")
 
 
-@query("SELECT CAST(k AS INT) AS k, CAST(greatest(8 * least(greatest(k, 1), 20), 24) AS INT) AS candidates, CAST(greatest(greatest(8 * least(greatest(k, 1), 20), 24) // 3, 12) AS INT) AS each FROM range(0, 25) t(k)")
+@query("SELECT p_partkey, CAST(greatest(8 * least(greatest(p_size - 10, 1), 20), 24) AS INT) AS candidates, CAST(greatest(greatest(8 * least(greatest(p_size - 10, 1), 20), 24) // 3, 12) AS INT) AS each FROM part")
 def candidate_limits(spark, sf):
-    rows = [(k, retrieve.candidate_limit(k), retrieve.limit_of_each(retrieve.candidate_limit(k), 3)) for k in range(25)]
-    return spark.createDataFrame(rows, "k int, candidates int, each int")
+    """Limits of searches whose number of hits is a part's size, less ten."""
+    return table(spark, sf, "part").select("p_partkey", retrieve.limits(F.col("p_size") - 10, 3).alias("x")).select("p_partkey", "x.*")
 
 
 @query(HYBRID + " SELECT doc_id, round(score, 6) AS score, round(distance, 6) AS distance, round(boost, 6) AS boost, has_vector FROM m")
@@ -301,22 +301,24 @@ def fuzzy_sql(text: str, pattern: str) -> str:
 # A small action catalog for matching.
 ACTIONS = [("Translate Text", ["/translate", "/tr"], ["language", "translate"], 40), ("Pretty JSON", ["/json"], ["format", "json"], 35), ("Kill Process", ["/kill"], ["process", "stop"], 30), ("Upper Case", ["/upper"], ["case", "text"], 20), ("Open Target", ["/open"], ["url", "path"], 25)]
 ASKED = ["case", "/json {}", "tr", "process", "zzz", "http://x", "", "/tr", "a {", "language translate"]
-ACTION_SQL = "a(title, aliases, keywords, priority) AS (VALUES " + ", ".join(f"('{t}', {al}, {k}, {p})" for t, al, k, p in ACTIONS) + "), q(q) AS (VALUES " + ", ".join(f"('{x}')" for x in ASKED) + ")"
+TYPED = "CASE WHEN turn % 3 < 2 THEN [" + ", ".join(f"'{x}'" for x in ASKED) + "][CAST((conv_id + turn) % 10 AS INT) + 1] ELSE lower(left(text, 2)) END"
 
 
-@query(f"""WITH {ACTION_SQL}, w AS (SELECT q, CASE WHEN starts_with(q, '/') THEN string_split(q, ' ')[1] ELSE q END AS w FROM q),
-s AS (SELECT q, title, priority, CASE WHEN starts_with(lower(title), w) THEN 90 WHEN contains(lower(title), w) THEN 55 ELSE 0 END + CASE WHEN contains(array_to_string(aliases, ' '), w) THEN 36 ELSE 0 END + CASE WHEN contains(array_to_string(keywords, ' '), w) THEN 28 ELSE 0 END
+@query(f"""WITH a(title, aliases, keywords, priority) AS (VALUES {", ".join(f"('{t}', {al}, {k}, {p})" for t, al, k, p in ACTIONS)}), q AS (SELECT DISTINCT conv_id, turn, trim({TYPED}) AS q FROM conversations), w AS (SELECT *, CASE WHEN starts_with(q, '/') THEN string_split(q, ' ')[1] ELSE q END AS w FROM q),
+s AS (SELECT conv_id, turn, q, title, priority, CASE WHEN starts_with(lower(title), w) THEN 90 WHEN contains(lower(title), w) THEN 55 ELSE 0 END + CASE WHEN contains(array_to_string(aliases, ' '), w) THEN 36 ELSE 0 END + CASE WHEN contains(array_to_string(keywords, ' '), w) THEN 28 ELSE 0 END
   + CASE WHEN starts_with(w, '/') AND list_contains(aliases, w) THEN 42 ELSE 0 END + CASE WHEN title = 'Open Target' AND starts_with(q, 'http') THEN 60 ELSE 0 END + CASE WHEN title = 'Pretty JSON' AND contains(q, '{{') THEN 44 ELSE 0 END AS h FROM w, a),
-g AS (SELECT q, title, CASE WHEN q = '' THEN priority WHEN h > 0 THEN priority + h + CASE WHEN contains(q, ' ') THEN 10 ELSE 0 END END AS g FROM s)
-SELECT q, title, CAST(g AS INT) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY g DESC, title) AS INT) AS place FROM g WHERE g IS NOT NULL""")
+g AS (SELECT conv_id, turn, q, title, CASE WHEN q = '' THEN priority WHEN h > 0 THEN priority + h + CASE WHEN contains(q, ' ') THEN 10 ELSE 0 END END AS g FROM s)
+SELECT conv_id, turn, q, title, CAST(g AS INT) AS score, CAST(row_number() OVER (PARTITION BY conv_id, turn, q ORDER BY g DESC, title) AS INT) AS place FROM g WHERE g IS NOT NULL""")
 def action_match(spark, sf):
+    """Actions for what the turns of conversations type, ranked for each; the catalog of actions is small and fixed."""
     a = spark.createDataFrame(ACTIONS, "title string, aliases array<string>, keywords array<string>, priority int")
     q, t = F.col("q"), F.col("title")
-    asked = spark.createDataFrame([(x,) for x in ASKED], "q string")
+    typed = F.when(F.col("turn") % 3 < 2, F.get(F.array(*map(F.lit, ASKED)), ((F.col("conv_id") + F.col("turn")) % 10).cast("int"))).otherwise(F.lower(F.substring("text", 1, 2)))
+    asked = table(spark, sf, "conversations").select("conv_id", "turn", F.trim(typed).alias("q")).distinct()
     score = ranking.action_score(q, t, F.col("aliases"), F.col("keywords"), F.col("priority"), t == "Open Target", (t == "Pretty JSON") & F.contains(q, F.lit("{")), F.contains(q, F.lit(" ")))
     s = asked.join(F.broadcast(a), F.lit(True)).withColumn("score", score)
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "title")
-    return s.where("score is not null").select("q", "title", F.col("score").cast("int").alias("score"), F.row_number().over(w).alias("place"))
+    w = Window.partitionBy("conv_id", "turn", "q").orderBy(F.desc("score"), "title")
+    return s.where("score is not null").select("conv_id", "turn", "q", "title", F.col("score").cast("int").alias("score"), F.row_number().over(w).alias("place"))
 
 
 WANTED = ["customer#0000000", "12", "9", "bldg", "cr9"]
@@ -487,7 +489,9 @@ def repeated_edge_lines(spark, sf):
     return e.join(n, ["source", "line"]).join(t, "source").select("doc_id", ((F.col("c") >= 3) & (F.col("c") * 10 >= F.col("p"))).alias("repeated"))
 
 
-@query("""SELECT s_nationkey, string_agg(s_name, chr(10) ORDER BY s_suppkey) AS names, round(avg(CASE WHEN s_acctbal > 0 THEN s_acctbal END), 4) AS mean_positive, arg_min(s_suppkey, {'d': abs(s_acctbal - 1000), 'k': s_suppkey}) AS nearest FROM supplier GROUP BY 1""")
+@query("""SELECT l_orderkey, coalesce(string_agg(CASE WHEN l_linenumber % 3 <> 0 THEN 'ref ' || l_partkey END, chr(10) ORDER BY l_linenumber, 'ref ' || l_partkey), '') AS names, round(avg(CASE WHEN l_quantity > 10 THEN l_quantity END), 4) AS mean_positive, arg_min(l_linenumber, {'d': abs(l_quantity - 25), 'k': l_linenumber}) AS nearest FROM lineitem GROUP BY 1""")
 def ordered_text(spark, sf):
-    g = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("x"), F.round(F.avg(F.when(F.col("s_acctbal") > 0, F.col("s_acctbal"))), 4).alias("mean_positive"), F.min_by("s_suppkey", F.struct(F.abs(F.col("s_acctbal") - 1000).alias("d"), "s_suppkey")).alias("nearest"))
-    return g.select("s_nationkey", F.array_join(F.transform("x", lambda s: s["s_name"]), "\n").alias("names"), "mean_positive", "nearest")
+    """The blocks of each order as one text: blank ones dropped, their mean and the one nearest to a point."""
+    blocks = table(spark, sf, "lineitem").withColumn("block", F.when(F.col("l_linenumber") % 3 == 0, " ").otherwise(F.concat(F.lit(" ref "), F.col("l_partkey").cast("string"))))
+    n = F.col("l_quantity")
+    return blocks.groupBy("l_orderkey").agg(T.ordered_text("l_linenumber", "block").alias("names"), F.round(F.avg(F.when(n > 10, n)), 4).alias("mean_positive"), F.min_by("l_linenumber", F.struct(F.abs(n - 25).alias("d"), "l_linenumber")).alias("nearest"))

@@ -103,6 +103,12 @@ def reasoning(c: Column) -> tuple[Column, Column]:
     return strip(F.array_join(F.transform(parts, lambda x: strip(x)), "\n")), strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
 
 
+def ordered_text(order: str, text: str) -> Column:
+    """Aggregate: the texts of a group (a page's blocks, some dozens) in order, each stripped, a line each; blank ones are left out."""
+    rows = F.filter(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), strip(F.col(text)).alias("t")))), lambda x: x["t"] != "")
+    return F.array_join(F.transform(rows, lambda x: x["t"]), "\n")
+
+
 def error_message(c: Column) -> Column:
     keys = [f"$.error.{k}" for k in ("message", "detail", "details", "title")] + [f"$.{k}" for k in ("error", "message", "detail", "details", "title")]
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(c, k)), F.lit("")) for k in keys])

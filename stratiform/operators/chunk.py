@@ -87,22 +87,31 @@ def plain_chunks(text: str, capacity: int = 1200, overlap: int = 200) -> list[tu
     return out
 
 
-def chunk_markdown(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(cut, docs: DataFrame, key: str, text: str, columns: list[str], schema: str) -> DataFrame:
+    """Rows of ``cut(text)`` for every document; they are handed on whenever some megabytes are together, however long the texts."""
+
     def run(frames):
         for f in frames:
-            rows = [(k, i, s, e, list(h), t) for k, x in zip(f[key], f[text], strict=True) for i, (s, e, h, t) in enumerate(markdown_chunks(x or ""))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "line_start", "line_end", "heading_path", "chunk_text"])
+            rows, held = [], 0
+            for k, x in zip(f[key], f[text], strict=True):
+                for i, row in enumerate(cut(x or "")):
+                    rows.append((k, i, *row))
+                    held += len(row[-1])
+                    if held > 4 << 20:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
-    return docs.select(key, text).mapInPandas(run, f"{key} bigint, chunk_index int, line_start int, line_end int, heading_path array<string>, chunk_text string")
+    return docs.select(key, text).mapInPandas(run, schema)
 
 
-def chunk_plain(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    def run(frames):
-        for f in frames:
-            rows = [(k, i, s, t) for k, x in zip(f[key], f[text], strict=True) for i, (s, t) in enumerate(plain_chunks(x or ""))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "start", "chunk_text"])
+def chunk_markdown(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    cut = lambda x: ((s, e, list(h), t) for s, e, h, t in markdown_chunks(x))
+    return pieces(cut, docs, key, text, [key, "chunk_index", "line_start", "line_end", "heading_path", "chunk_text"], f"{key} bigint, chunk_index int, line_start int, line_end int, heading_path array<string>, chunk_text string")
 
-    return docs.select(key, text).mapInPandas(run, f"{key} bigint, chunk_index int, start int, chunk_text string")
+
+def chunk_plain(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return pieces(plain_chunks, docs, key, text, [key, "chunk_index", "start", "chunk_text"], f"{key} bigint, chunk_index int, start int, chunk_text string")
 
 
 def excerpts(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,6 +24,12 @@ def limit_of_each(total: int, queries: int) -> int:
     return max(total // max(queries, 1), FEWEST_A_QUERY)
 
 
+def limits(k: Column, queries: int) -> Column:
+    """Struct of a search's candidates and the share of each of its sub-queries, for ``k`` hits."""
+    total = F.greatest(EXPANSION * F.least(F.greatest(k, F.lit(1)), F.lit(MOST_HITS)), F.lit(FEWEST_CANDIDATES)).cast("int")
+    return F.struct(total.alias("candidates"), F.greatest(F.floor(total / max(queries, 1)), F.lit(FEWEST_A_QUERY)).cast("int").alias("each"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

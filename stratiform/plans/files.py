@@ -44,13 +44,14 @@ SELECT lang, scanned, coalesce(warnings, 0) AS warnings, coalesce(recent, '') AS
 FROM (SELECT lang, count(*) AS scanned FROM documents GROUP BY lang) LEFT JOIN n USING (lang) LEFT JOIN p USING (lang)""")
 def scan_warnings(spark, sf):
     d = table(spark, sf, "documents").select("lang", "doc_id", F.contains("text", F.lit("\n\n")).alias("bad"))
-    w = d.where("bad").select("lang", "doc_id", F.concat(F.lit("empty line in "), "doc_id").alias("warning"))
-    by = Window.partitionBy("lang")
-    w = w.withColumns({"r": F.row_number().over(by.orderBy(F.desc("doc_id"))), "f": F.row_number().over(by.orderBy("doc_id")), "n": F.count(F.lit(1)).over(by)}).where("r <= 5 or f <= 4")
-    g = w.groupBy("lang").agg(F.max("n").alias("warnings"), F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("doc_id", "warning")))).alias("last"), F.array_sort(F.collect_list(F.when(F.col("f") <= 4, F.col("doc_id")))).alias("pages"))
-    g = g.select("lang", "warnings", F.array_join(F.transform("last", lambda x: x["warning"]), "; ").alias("recent"), tools.warning_pages(F.col("pages")).alias("pages"))
-    n = d.groupBy("lang").agg(F.count(F.lit(1)).alias("scanned"))
-    return n.join(g, "lang", "left").select("lang", "scanned", F.coalesce("warnings", F.lit(0).cast("long")).alias("warnings"), F.coalesce("recent", F.lit("")).alias("recent"), F.coalesce("pages", F.lit("")).alias("pages"))
+    bad, by = d.where("bad").select("lang", "doc_id"), Window.partitionBy("lang")
+    # each task hands on the few rows of a language that may be among the last or first
+    last = bad.withColumn("r", F.row_number().over(by.orderBy(F.desc("doc_id")))).where("r <= 5")
+    first = bad.withColumn("r", F.row_number().over(by.orderBy("doc_id"))).where("r <= 4")
+    recent = last.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: F.concat(F.lit("empty line in "), i)), "; ").alias("recent"))
+    pages = first.groupBy("lang").agg(tools.warning_pages(F.array_sort(F.collect_list("doc_id"))).alias("pages"))
+    n = d.groupBy("lang").agg(F.count(F.lit(1)).alias("scanned"), F.count_if("bad").alias("warnings"))
+    return n.join(recent, "lang", "left").join(pages, "lang", "left").select("lang", "scanned", "warnings", F.coalesce("recent", F.lit("")).alias("recent"), F.coalesce("pages", F.lit("")).alias("pages"))
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_partkey % 50 AS y, l_suppkey % 20 AS w, l_linenumber * 3 AS h FROM lineitem),

@@ -193,11 +193,13 @@ def cascade_delete(spark, sf):
 FLAGS = ["artifacts", "schema_ok", "files_ok", "same_target", "chunk_table", "file_rows", "active_files", "active_chunks", "usable", "recoverable", "dirty"]
 
 
-@query("WITH f AS (SELECT range AS state, " + ", ".join(f"(range >> {i}) & 1 = 1 AS {x}" for i, x in enumerate(FLAGS)) + """ FROM range(2048))
-SELECT state, CASE WHEN (artifacts AND NOT schema_ok) OR NOT files_ok OR NOT same_target OR (artifacts AND NOT chunk_table) THEN 'reset' WHEN chunk_table AND NOT file_rows THEN 'clear_index' WHEN file_rows AND NOT chunk_table THEN 'reset' WHEN active_files AND NOT active_chunks THEN 'reset'
+@query("WITH x AS (SELECT event_id, event_id * 40503 % 2048 AS state FROM events), f AS (SELECT event_id, " + ", ".join(f"(state >> {i}) & 1 = 1 AS {x}" for i, x in enumerate(FLAGS)) + """ FROM x)
+SELECT event_id, CASE WHEN (artifacts AND NOT schema_ok) OR NOT files_ok OR NOT same_target OR (artifacts AND NOT chunk_table) THEN 'reset' WHEN chunk_table AND NOT file_rows THEN 'clear_index' WHEN file_rows AND NOT chunk_table THEN 'reset' WHEN active_files AND NOT active_chunks THEN 'reset'
 WHEN active_chunks AND NOT usable AND recoverable THEN 'rebuild' WHEN active_chunks AND NOT usable THEN 'reset' WHEN dirty THEN 'clear_marker' ELSE 'keep' END AS decision FROM f""")
 def store_reset(spark, sf):
-    return spark.range(2048).select(F.col("id").alias("state"), S.reset_decision(*[F.getbit("id", F.lit(i)) == 1 for i in range(len(FLAGS))]).alias("decision"))
+    """What to do with the store that each event reports on, its findings in the bits of a number."""
+    e = table(spark, sf, "events").select("event_id", (F.col("event_id").cast("long") * 40503 % 2048).alias("state"))
+    return e.select("event_id", S.reset_decision(*[F.getbit("state", F.lit(i)) == 1 for i in range(len(FLAGS))]).alias("decision"))
 
 
 @query("""WITH t(target) AS (VALUES ('pid:12'), ('PID: 99999999'), ('customer#000000005'), (' Building '), ('nope')), p AS (SELECT c_custkey AS pid, lower(c_name) AS a, lower(c_mktsegment) AS b FROM customer),
@@ -263,24 +265,27 @@ def path_crumbs(spark, sf):
     return corpus(spark, sf).select("doc_id", F.array_join(C.breadcrumbs(p), " > ").alias("crumbs"), C.normal_path(F.concat(p, F.lit("/./x/../.."))).alias("up"))
 
 
-@query("SELECT range AS state, range & 1 = 1 AND range & 2 = 2 AND NOT (range & 4 = 4 AND range & 8 = 8) AND range & 16 = 16 AS notify FROM range(32)")
+@query("SELECT event_id, event_type <> 'view' AND user_id % 4 <> 0 AND NOT (event_id % 3 = 0 AND event_id % 5 < 2) AND user_id % 7 <> 1 AS notify FROM events")
 def notification_gate(spark, sf):
-    b = [F.getbit("id", F.lit(i)) == 1 for i in range(5)]
-    return spark.range(32).select(F.col("id").alias("state"), C.may_notify(*b[:4], F.when(b[4], "granted").otherwise("denied")).alias("notify"))
+    """Whether an event tells its user: one kind never does, some users have turned it off, some refuse it, some hear only when away."""
+    u, i = F.col("user_id"), F.col("event_id")
+    gate = C.may_notify(u % 4 != 0, F.col("event_type") != "view", i % 3 == 0, i % 5 < 2, F.when(u % 7 == 1, "denied").otherwise("granted"))
+    return table(spark, sf, "events").select("event_id", gate.alias("notify"))
 
 
-@query("WITH x AS (SELECT range AS state, ['responses', 'chat', 'embedding'][range // 8 + 1] AS k, range & 1 = 1 AS c, range & 2 = 2 AS m, range & 4 = 4 AS s FROM range(24)) SELECT state, k <> 'embedding' AND c AS ai_task, k = 'responses' AND c AND m AS ocr, k = 'embedding' AND c AS embedding, k = 'embedding' AND c AND m AS multimodal_embedding, k = 'responses' AND m AS multimodal, k = 'responses' AND s AS stateful FROM x")
+@query("WITH x AS (SELECT s_suppkey, ['responses', 'chat', 'embedding'][CAST(s_suppkey % 3 AS INT) + 1] AS k, s_nationkey % 2 = 1 AS c, s_suppkey % 5 < 2 AS m, s_acctbal > 0 AS s FROM supplier) SELECT s_suppkey, k <> 'embedding' AND c AS ai_task, k = 'responses' AND c AND m AS ocr, k = 'embedding' AND c AS embedding, k = 'embedding' AND c AND m AS multimodal_embedding, k = 'responses' AND m AS multimodal, k = 'responses' AND s AS stateful FROM x")
 def model_capabilities(spark, sf):
-    b = [F.getbit("id", F.lit(i)) == 1 for i in range(3)]
-    k = F.element_at(F.array(*map(F.lit, ("responses", "chat", "embedding"))), (F.col("id") / 8).cast("int") + 1)
-    return spark.range(24).select(F.col("id").alias("state"), C.capabilities(k, *b).alias("x")).select("state", "x.*")
+    """Suppliers stand for models of three kinds."""
+    k = F.element_at(F.array(*map(F.lit, ("responses", "chat", "embedding"))), (F.col("s_suppkey") % 3).cast("int") + 1)
+    x = C.capabilities(k, F.col("s_nationkey") % 2 == 1, F.col("s_suppkey") % 5 < 2, F.col("s_acctbal") > 0)
+    return table(spark, sf, "supplier").select("s_suppkey", x.alias("x")).select("s_suppkey", "x.*")
 
 
 @query("SELECT s_nationkey, s_name AS id, 'digest:hex:' || md5(s_name) AS hint FROM supplier")
 def model_listing(spark, sf):
     s = table(spark, sf, "supplier")
     row = F.struct(F.concat(F.lit(" "), "s_name").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.upper(F.md5("s_name"))).alias("digest"), F.struct(F.md5("s_name").alias("sha256")).alias("details"))
-    payload = s.groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(row).alias("data"))).alias("j"))
+    payload = s.groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 50)).agg(F.to_json(F.struct(F.collect_list(row).alias("data"))).alias("j"))  # a listing of 50 models at most
     item = payload.select("s_nationkey", F.posexplode(F.from_json("j", "data array<string>").data).alias("at", "m"))
     hint = F.lower(F.trim(F.coalesce(*[F.get_json_object("m", f"$.{p}{k}") for p in ("", "details.", "metadata.") for k in ("digest", "sha256", "checksum", "fingerprint")])))
     hint = F.when(hint.rlike("^[a-z0-9_-]+:[0-9a-f]{16,}$"), F.concat(F.lit("digest:"), hint)).when(hint.rlike("^[0-9a-f]{16,}$"), F.concat(F.lit("digest:hex:"), hint))
