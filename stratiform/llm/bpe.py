@@ -278,7 +278,7 @@ class Block:
         return [np.concatenate([none, *[between[p] if isinstance(p, int) else self.ids[p[0] : p[1]] for p in parts]]).astype(np.int32) for parts in plans]
 
 
-def encode(docs: DataFrame, path: str, mean: int = 1024, least: int = 128, most: int = 8192, buckets: int = 64, tasks: int = 256, block: int = 16 << 20, most_bytes: int = 256 << 20, out_ids: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, mean: int = 1024, least: int = 128, most: int = 8192, buckets: int = 64, tasks: int = 256, block: int = 32 << 20, most_bytes: int = 256 << 20, out_ids: int = 1 << 20) -> DataFrame:
     """doc_id, ids and decoded text of every whole text, as the tokenizer at ``path`` gives them without special tokens added.
 
     Chunks have ``mean`` bytes on average, between ``least`` and ``most``. ``tasks`` reading tasks
