@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import predicates as P, text as T
 from .operators import chunk, fuzzy, index, lexical, ranking, retrieve
+from .operators import pages as pdf_pages
 from .operators.vectors import VectorIndex
 from .sources import shared
 from .sources.tables import corpus, table
@@ -449,10 +450,14 @@ def reasoning_split(spark, sf):
     return c.select("conv_id", "turn", F.coalesce(a, F.lit("")).alias("thought"), b.alias("answer"))
 
 
-@query("SELECT event_id, 'no ' || event_type AS message FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 < 4 THEN 'no ' || event_type END AS message FROM events")
 def error_text(spark, sf):
-    j = F.to_json(F.struct(F.struct(F.concat(F.lit("no "), "event_type").alias("message")).alias("error")))
-    return table(spark, sf, "events").withColumn("j", j).select("event_id", T.error_message(F.col("j")).alias("message"))
+    """Messages of error payloads: direct, nested, in lists, under other names, and a payload without one."""
+    said, m = F.concat(F.lit(" no "), "event_type"), F.col("event_id") % 5
+    direct = F.struct(F.struct(said.alias("message")).alias("error"))
+    deep = F.struct(F.struct(F.lit("").alias("message"), F.array(F.struct(F.struct(said.alias("title")).alias("detail"))).alias("details")).alias("error"))
+    j = F.when(m == 0, F.to_json(direct)).when(m == 1, F.to_json(deep)).when(m == 2, F.to_json(F.struct(said.alias("detail")))).when(m == 3, F.to_json(F.array(F.struct(said.alias("error"))))).otherwise(F.to_json(F.struct(said.alias("note"))))
+    return table(spark, sf, "events").select("event_id", T.error_message(j).alias("message"))
 
 
 @query("SELECT p_partkey, p_name AS back FROM part")
@@ -480,13 +485,21 @@ def read_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("i between 1 and 3").select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
 
 
-@query("""WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, source, ls[1] AS line FROM l), n AS (SELECT source, line, count(*) AS c FROM e GROUP BY ALL), t AS (SELECT source, count(*) AS p FROM e GROUP BY 1)
-SELECT doc_id, c >= 3 AND c * 10 >= p AS repeated FROM e JOIN n USING (source, line) JOIN t USING (source)""")
+PAGED = """WITH l AS (SELECT doc_id, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line, i, i // 3 AS page FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+p AS (SELECT doc_id, page, list_concat(list_concat([CASE WHEN page % 4 < 3 THEN 'Report' ELSE '' END], list(line ORDER BY i)), ['p ' || page % 2]) AS ls FROM l GROUP BY doc_id, page)"""
+
+
+@query(PAGED + """, f AS (SELECT *, list_filter(ls, lambda x: x <> '') AS own, count(*) OVER (PARTITION BY doc_id) AS n FROM p),
+h AS (SELECT *, own[1] AS head, own[-1] AS foot, count(*) OVER (PARTITION BY doc_id, own[1]) AS heads, count(*) OVER (PARTITION BY doc_id, own[-1]) AS feet FROM f),
+c AS (SELECT *, n >= 3 AND ls[1] = head AND 2 * heads >= n AS a, n >= 3 AND ls[-1] = foot AND 2 * feet >= n AS b FROM h)
+SELECT doc_id, CAST(page + 1 AS INT) AS page, array_to_string(ls[CASE WHEN a THEN 2 ELSE 1 END : len(ls) - CASE WHEN b THEN 1 ELSE 0 END], chr(10)) AS body FROM c""".strip())
 def repeated_edge_lines(spark, sf):
-    e = table(spark, sf, "documents").select("doc_id", "source", F.get(F.split("text", "\n"), 0).alias("line"))
-    n = e.groupBy("source", "line").agg(F.count(F.lit(1)).alias("c"))
-    t = e.groupBy("source").agg(F.count(F.lit(1)).alias("p"))
-    return e.join(n, ["source", "line"]).join(t, "source").select("doc_id", ((F.col("c") >= 3) & (F.col("c") * 10 >= F.col("p"))).alias("repeated"))
+    """Pages of three lines with a header on most and footers in turn; headers and footers that half of a document's pages share go."""
+    ls = F.split("text", "\n")
+    at = F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / 3).cast("int"))
+    pages = F.transform(at, lambda i: F.concat(F.array(F.when(i % 4 < 3, "Report").otherwise("")), F.slice(ls, i * 3 + 1, F.lit(3)), F.array(F.concat(F.lit("p "), (i % 2).cast("string")))))
+    cleaned = pdf_pages.clean_pages(table(spark, sf, "documents").select("doc_id", pages.alias("pages")))
+    return cleaned.select("doc_id", "page", F.array_join("lines", "\n").alias("body"))
 
 
 @query("""SELECT l_orderkey, coalesce(string_agg(CASE WHEN l_linenumber % 3 <> 0 THEN 'ref ' || l_partkey END, chr(10) ORDER BY l_linenumber, 'ref ' || l_partkey), '') AS names, round(avg(CASE WHEN l_quantity > 10 THEN l_quantity END), 4) AS mean_positive, arg_min(l_linenumber, {'d': abs(l_quantity - 25), 'k': l_linenumber}) AS nearest FROM lineitem GROUP BY 1""")

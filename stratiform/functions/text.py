@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+from .bodies import error_of
+
 
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -109,9 +111,17 @@ def ordered_text(order: str, text: str) -> Column:
     return F.array_join(F.transform(rows, lambda x: x["t"]), "\n")
 
 
-def error_message(c: Column) -> Column:
-    keys = [f"$.error.{k}" for k in ("message", "detail", "details", "title")] + [f"$.{k}" for k in ("error", "message", "detail", "details", "title")]
-    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(c, k)), F.lit("")) for k in keys])
+@F.pandas_udf(StringType())
+def error_message(s: pd.Series) -> pd.Series:
+    """The first message of an error payload (JSON text), however deeply it is nested; null if there is none."""
+
+    def one(x):
+        try:
+            return error_of(json.loads(x))
+        except (TypeError, ValueError):
+            return None
+
+    return s.map(one)
 
 
 def location_label(p0: Column, p1: Column, l0: Column, l1: Column, chunk: Column, paragraph: Column | None = None) -> Column:

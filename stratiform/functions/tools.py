@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import quoted
+from .text import json_pretty, quoted
 
 # Limits and defaults of the tools.
 MOST_LINES, MOST_HITS, HITS, MIN_SCORE = 240, 20, 8, 0.35
@@ -101,6 +101,11 @@ def envelope(message: Column, content: Column, pretty: Column, failed: bool) ->
     return F.concat(F.lit('{"content":['), text(message), F.lit(","), text(pretty), F.lit('],"structuredContent":'), content, F.lit(f',"isError":{str(failed).lower()}}}'))
 
 
+def pending_envelope(message: Column, content: Column) -> Column:
+    """The answer of a tool whose work goes on: a message and the content (JSON text), also as readable text."""
+    return envelope(message, content, json_pretty(content), False)
+
+
 def error_envelope(message: Column) -> Column:
     content = F.to_json(F.struct(message.alias("error")))
     return envelope(message, content, F.concat(F.lit("{\n  "), F.replace(F.substr(content, F.lit(2), F.length(content) - 2), F.lit('"error":'), F.lit('"error": ')), F.lit("\n}")), True)

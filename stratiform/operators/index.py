@@ -58,6 +58,27 @@ def reuse(chunks: DataFrame, cache: DataFrame, on: list[str], vector: str) -> Da
     return chunks.join(cache.select(*on, vector), on, "left")
 
 
+# What parts headings, and headings from the text, in a reuse key.
+HEADING_SEPARATOR, TEXT_SEPARATOR = "\x1f", "\0"
+
+
+def reuse_key(text: Column, headings: Column) -> Column:
+    """Chunks of the same text under the same headings share it, and with it their vectors."""
+    return F.md5(F.encode(F.concat(F.array_join(headings, HEADING_SEPARATOR), F.lit(TEXT_SEPARATOR), text), "UTF-8"))
+
+
+def chunk_rows(chunks: DataFrame, files: DataFrame, path: str = "absolute_path") -> DataFrame:
+    """Rows of staged chunks with the columns of their file's pending version.
+
+    ``chunks`` has the path, chunk_index, page_start, page_end, line_start, line_end, heading_path and text,
+    and what else is to be kept; ``files`` has the path, version_id and what else a chunk takes from its file. An
+    id names the version, the place in it and the pages and lines (0 where there are none).
+    """
+    place = [F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).cast("string") for c in ("page_start", "page_end", "line_start", "line_end")]
+    name = F.concat(F.col(path), F.lit("#"), F.concat_ws(":", F.col("version_id"), F.col("chunk_index").cast("string"), *place))
+    return chunks.join(files, path).withColumns({"id": name, "chunk_state": F.lit("staged"), "chunk_reuse_key": reuse_key(F.col("text"), F.col("heading_path")), "text_fingerprint": F.md5(F.encode("text", "UTF-8"))})
+
+
 def wrapping_sum(c: Column) -> Column:
     """Sum modulo 2**64 of longs taken as unsigned."""
     u = F.pmod(c.cast("decimal(38,0)"), F.lit(MOD).cast("decimal(38,0)"))

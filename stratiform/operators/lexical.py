@@ -16,6 +16,8 @@ import unicodedata
 import zlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.shared import located
@@ -126,15 +128,14 @@ class Postings:
         words = f"{self.folder}/{self.versions.new('words')}"
         t.withColumn("len", size).write.option("compression", "zstd").parquet(words)
         t = self.spark.read.parquet(words)
-        place = lambda i, w: lambda x, at: F.struct(x.alias("term"), F.lit(float(w)).alias("w"), (at.cast("long") + (i << 40)).alias("at"))
-        flat = F.concat(*[F.transform(f"t_{i}", place(i, w)) for i, w in enumerate(self.fields.values())])
-        own = self.write(t.select("key", "len"), t.select("key", "len", F.explode(flat).alias("x")).select("key", "len", "x.*"), [F.sum("w").alias("tf"), F.array_sort(F.collect_list("at")).alias("places")])
+        grouped = t.mapInArrow(terms_of_rows(list(self.fields.values())), "key bigint, len int, term string, tf double, places array<bigint>")
+        own = self.write(t.select("key", "len"), grouped)
         fs, path = located(self.spark, words)
         fs.delete(path, True)
         return own
 
-    def write(self, rows: DataFrame, words: DataFrame, totals: list[Column] | None) -> list[dict]:
-        """Write a segment of ``rows`` (key, len) and ``words`` (key, len, term, ...), which ``totals`` group by term and key if they are single places."""
+    def write(self, rows: DataFrame, words: DataFrame) -> list[dict]:
+        """Write a segment of ``rows`` (key, len) and ``words`` (key, len, term, tf, places), one for each term of a row."""
         counts = {r["c"]: r for r in rows.groupBy(length_class(F.col("len")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("words")).collect()}  # some 130 classes at the most
         total, size = sum(int(r["n"]) for r in counts.values()), sum(int(r["words"]) for r in counts.values())
         if not total:
@@ -149,8 +150,6 @@ class Postings:
         parts = math.isqrt(tasks - 1) + 1
         deals = 4 * -(-tasks // parts)  # lots of a part go to several tasks, so that a frequent term is split
         x = words.withColumn("lot", lot).withColumns({"part": (F.crc32(F.encode("term", "UTF-8")) % parts).cast("int"), "deal": (F.col("lot") % deals).cast("int")}).repartition(tasks, "part", "deal")
-        if totals:
-            x = x.groupBy("part", "deal", "lot", "term", "key", "len").agg(*totals)
         avg = max(size / total, 1e-9)
         blocks = x.groupBy("part", "deal", "lot", "term").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(saturation(F.col("tf"), F.col("len"), avg)).alias("most"), F.collect_list(F.struct("key", "len", "tf", "places")).alias("own"))
         blocks = blocks.select("part", "term", "lot", "n", "most", *[F.col(f"own.{c}").alias(c) for c in ("key", "len", "tf", "places")])
@@ -168,7 +167,7 @@ class Postings:
             return False
         names = {s["name"] for s in chosen}
         words = self.alive(opened(self.read("postings", chosen), "key", "len", "tf", "places"), chosen)
-        merged = self.write(self.documents(chosen).select("key", "len"), words.select("key", "len", "term", "tf", "places"), None)
+        merged = self.write(self.documents(chosen).select("key", "len"), words.select("key", "len", "term", "tf", "places"))
         self.versions.commit(state | {"segments": [s for s in state["segments"] if s["name"] not in names] + merged})
         return True
 
@@ -276,6 +275,36 @@ class Postings:
         return lambda b: b.join(bounds.select("segment", "lot"), ["segment", "lot"], "left_semi")
 
 
+def terms_of_rows(weights: list[float]):
+    """Batches of (key, t_0, t_1, ..., len), a row's words by field, to one row for each term of a row."""
+
+    def run(batches):
+        for whole in batches:
+            step = max(1, int(whole.num_rows * (16 << 20) / max(1, whole.nbytes)))
+            for i in range(0, whole.num_rows, step):
+                yield from one(whole.slice(i, step))
+
+    def one(b):
+        if b.num_rows:
+            fields = [b.column(i + 1) for i in range(len(weights))]
+            sizes = [np.diff(np.asarray(f.offsets)) for f in fields]
+            words = pa.concat_arrays([f.flatten() for f in fields]).dictionary_encode()
+            doc = np.concatenate([np.repeat(np.arange(b.num_rows), n) for n in sizes])
+            at = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (i << 40) for i, n in enumerate(sizes)])
+            weight = np.concatenate([np.full(n.sum(), w, np.float64) for n, w in zip(sizes, weights, strict=True)])
+            code = np.asarray(words.indices)
+            if not len(code):
+                return
+            order = np.lexsort((at, code, doc))
+            doc, code, at, weight = doc[order], code[order], at[order], weight[order]
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])
+            places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(at.astype(np.int64)))
+            own = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(len(weights) + 1).take(own), words.dictionary.take(pa.array(code[first])), pa.array(np.add.reduceat(weight, first)), places], names=["key", "len", "term", "tf", "places"])
+
+    return run
+
+
 def live(s: dict) -> dict:
     """Rows and words of a segment that are not deleted."""
     return {k: s[k] - sum(d[k] for d in s["dead"]) for k in ("rows", "words")}

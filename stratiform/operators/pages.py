@@ -57,19 +57,25 @@ def pack_blocks(blocks: list[tuple[int, str]], capacity: int = CAPACITY) -> list
     return [(page, "\n\n".join(ts)) for page, ts, _ in out]
 
 
-def page_chunks(docs: DataFrame, key: str = "doc_id", pages: str = "pages") -> DataFrame:
-    """(key, page, chunk, text) of documents with ``pages``, an array of arrays of lines. Unreadable pages are left out."""
+def clean_pages(docs: DataFrame, key: str = "doc_id", pages: str = "pages") -> DataFrame:
+    """(key, page, lines) of documents with ``pages``, an array of arrays of lines: white space collapsed, repeated headers and footers gone."""
 
     def clean(frames):
         for f in frames:
             rows = [(k, i + 1, p) for k, ps in zip(f[key], f[pages], strict=True) if ps is not None for i, p in enumerate(without_edges([[" ".join(x.split()) for x in q] for q in ps]))]
             yield pd.DataFrame(rows, columns=[key, "page", "lines"])
 
+    return docs.select(key, pages).mapInPandas(clean, f"{key} {docs.schema[key].dataType.simpleString()}, page int, lines array<string>")
+
+
+def page_chunks(docs: DataFrame, key: str = "doc_id", pages: str = "pages") -> DataFrame:
+    """(key, page, chunk, text) of documents with ``pages``, an array of arrays of lines. Unreadable pages are left out."""
+
     def cut(frames):
         for f in frames:
             rows = [(k, int(page), i, t) for k, page, ls in zip(f[key], f["page"], f["lines"], strict=True) for i, (_, t) in enumerate(pack_blocks([(page, b) for b in page_blocks(list(ls))]))]
             yield pd.DataFrame(rows, columns=[key, "page", "chunk", "text"])
 
     kind = docs.schema[key].dataType.simpleString()
-    kept = docs.select(key, pages).mapInPandas(clean, f"{key} {kind}, page int, lines array<string>").where(P.readable(F.array_join("lines", "\n")))
+    kept = clean_pages(docs, key, pages).where(P.readable(F.array_join("lines", "\n")))
     return kept.mapInPandas(cut, f"{key} {kind}, page int, chunk int, text string")

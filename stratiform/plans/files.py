@@ -82,10 +82,11 @@ def completions(spark, sf):
 
 
 @query(r"""SELECT s_suppkey, '{"content":[{"type":"text","text":"no ' || s_name || '"},{"type":"text","text":"{\n  \"error\": \"no ' || s_name || '\"\n}"}],"structuredContent":{"error":"no ' || s_name || '"},"isError":true}' AS failed,
-'{"content":[{"type":"text","text":"' || s_name || '"},{"type":"text","text":"{}"}],"structuredContent":{"key":' || s_suppkey || '},"isError":false}' AS answered FROM supplier""")
+'{"content":[{"type":"text","text":"' || s_name || '"},{"type":"text","text":"{}"}],"structuredContent":{"key":' || s_suppkey || '},"isError":false}' AS answered,
+'{"content":[{"type":"text","text":"wait"},{"type":"text","text":"{\n  \"key\": ' || s_suppkey || ',\n  \"name\": \"' || s_name || '\"\n}"}],"structuredContent":{"name":"' || s_name || '","key":' || s_suppkey || '},"isError":false}' AS pending FROM supplier""")
 def tool_results(spark, sf):
     name = F.col("s_name")
-    return table(spark, sf, "supplier").select("s_suppkey", tools.error_envelope(F.concat(F.lit("no "), name)).alias("failed"), tools.envelope(name, F.to_json(F.struct(F.col("s_suppkey").alias("key"))), F.lit("{}"), False).alias("answered"))
+    return table(spark, sf, "supplier").select("s_suppkey", tools.error_envelope(F.concat(F.lit("no "), name)).alias("failed"), tools.envelope(name, F.to_json(F.struct(F.col("s_suppkey").alias("key"))), F.lit("{}"), False).alias("answered"), tools.pending_envelope(F.lit("wait"), F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key")))).alias("pending"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
@@ -110,3 +111,23 @@ def event_plans(spark, sf):
 def chunk_excerpts(spark, sf):
     d = table(spark, sf, "documents")
     return chunk.excerpts(d, d.where("doc_id % 50 = 0").select("doc_id", F.lit(1).alias("chunk_index")))
+
+
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '@src' WHEN 1 THEN '@' WHEN 2 THEN '@a/b.md' END AS token FROM conversations")
+def active_tokens(spark, sf):
+    """The file token that is being typed at the end of a text, if one is."""
+    m = F.col("turn") % 4
+    t = F.when(m == 0, F.concat("text", F.lit(" see @src"))).when(m == 1, "(@").when(m == 2, F.concat("text", F.lit("\n\"@a/b.md"))).otherwise(F.concat("text", F.lit(" me@home and @x done")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.active_token(t).alias("token"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, {PATH} AS path, lang, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+SELECT path || '#v' || doc_id % 3 || ':' || i || ':0:0:' || i + 1 || ':' || i + 1 AS id, md5(lang || chr(31) || source || chr(0) || line) AS chunk_reuse_key, md5(line) AS text_fingerprint, 'staged' AS chunk_state FROM l""")
+def chunk_rows(spark, sf):
+    """Lines as chunks under two headings, as rows of their files' versions."""
+    d = corpus(spark, sf)
+    files = d.select("absolute_path", F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("version_id")).distinct()
+    none = F.lit(None).cast("int")
+    chunks = d.select("absolute_path", F.array("lang", "source").alias("heading_path"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
+    chunks = chunks.withColumns({"line_start": F.col("chunk_index") + 1, "line_end": F.col("chunk_index") + 1, "page_start": none, "page_end": none})
+    return index.chunk_rows(chunks, files).select("id", "chunk_reuse_key", "text_fingerprint", "chunk_state")
