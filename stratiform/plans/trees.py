@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import PATH, query
-from ..operators import ignore, paths
+from ..operators import ignore, outline, paths
 from ..sources.tables import corpus, table
 
 # Rule files of the corpus. Those in src3 and src4 speak against those of the root.
@@ -60,3 +60,27 @@ def prefix_delete(spark, sf):
     labels = table(spark, sf, "labels").join(d.select("doc_id", "absolute_path"), "doc_id")
     left = paths.without([d, labels], "absolute_path", gone, "q")
     return left[0].select(F.lit("documents").alias("name"), "doc_id").unionByName(left[1].select(F.lit("labels").alias("name"), "doc_id"))
+
+
+OUTLINE = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+t AS (SELECT doc_id, i, CASE WHEN i % 17 = 3 THEN '## ' || line WHEN i % 23 = 5 THEN '```' WHEN i % 19 = 7 THEN '---' WHEN i % 29 = 4 THEN '# top' WHEN i % 13 = 6 THEN '- ' || line ELSE line END AS line FROM l),
+s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM t),
+c AS (SELECT *, regexp_extract(line, '^\s{0,3}(`{3,}|~{3,})', 1) AS fence, regexp_extract(s, '^(#{1,6})\s*(\S.*)$', 1) AS hashes, regexp_extract(s, '^(#{1,6})\s*(\S.*)$', 2) AS title,
+  CASE WHEN regexp_full_match(lead(s) OVER w, '={3,}') THEN 1 WHEN regexp_full_match(lead(s) OVER w, '-{3,}') THEN 2 ELSE 0 END AS under, regexp_matches(line, '^\s*(?:[-*+] |\d+[.)] )') AS item,
+  CASE WHEN regexp_full_match(s, '`+') THEN '`' WHEN regexp_full_match(s, '~+') THEN '~' ELSE '' END AS solid, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT DISTINCT doc_id, CAST(-1 AS BIGINT) AS i, 'n' AS mode, '' AS fc, 0 AS fl, false AS begins, false AS inside, CAST([] AS VARCHAR[]) AS stack FROM c
+  UNION ALL SELECT c.doc_id, c.i, CASE WHEN r.mode = 'f' THEN CASE WHEN c.solid = r.fc AND length(c.s) >= r.fl THEN 'n' ELSE 'f' END WHEN r.mode = 'u' OR c.s = '' THEN 'n' WHEN c.fence <> '' THEN 'f' WHEN c.hashes <> '' THEN 'n' WHEN c.under > 0 THEN 'u' ELSE 'p' END,
+    CASE WHEN r.mode = 'f' THEN r.fc ELSE left(c.fence, 1) END, CASE WHEN r.mode = 'f' THEN r.fl ELSE CAST(length(c.fence) AS INT) END,
+    r.mode NOT IN ('f', 'u') AND c.s <> '' AND (c.fence <> '' OR c.hashes <> '' OR c.under > 0 OR r.mode <> 'p' OR c.item), r.mode IN ('f', 'u') OR c.s <> '',
+    CASE WHEN r.mode IN ('f', 'u') OR c.s = '' OR c.fence <> '' THEN r.stack WHEN c.hashes <> '' THEN list_append(r.stack[1:length(c.hashes) - 1], c.title) WHEN c.under > 0 THEN list_append(r.stack[1:c.under - 1], c.s) ELSE r.stack END
+  FROM r JOIN c ON c.doc_id = r.doc_id AND c.i = r.i + 1)
+SELECT doc_id, i AS line_no, CAST(start AS BIGINT) AS start, CAST(length(line) AS INT) AS n_chars, begins, inside, array_to_string(stack, ' > ') AS headings FROM r JOIN c USING (doc_id, i)"""
+
+
+@query(OUTLINE)
+def line_outline(spark, sf):
+    """Every line of the documents, to which headings, fences, rules and items are added, with its offset, block and headings."""
+    line = lambda s, i: F.when(i % 17 == 3, F.concat(F.lit("## "), s)).when(i % 23 == 5, "```").when(i % 19 == 7, "---").when(i % 29 == 4, "# top").when(i % 13 == 6, F.concat(F.lit("- "), s)).otherwise(s)
+    d = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    o = outline.line_outline(d, segment_lines=8)
+    return o.select("doc_id", "line_no", "start", "n_chars", "begins", "inside", F.array_join("heading_path", " > ").alias("headings"))
