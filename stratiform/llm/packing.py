@@ -6,7 +6,8 @@ the corpus is. Shallow combinations (two or three lengths that fill a window) ge
 repeat counts by non-negative least squares against the histogram; the counts are
 rounded, and what they leave is packed greedily on the histogram, cutting pieces where
 nothing fits. Pieces have ordinals within their length, so that each finds its place
-from the plan without any shuffle of token ids.
+from the plan and the pieces counted before it. Up to a bound these counts are sent to all
+tasks and no token ids are shuffled; beyond it, pieces meet the counts by their block and length.
 """
 
 from __future__ import annotations
@@ -245,7 +246,11 @@ class Plan:
 
 
 def pack(docs: DataFrame, store: Store, path: str, window: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row per placed piece, with its ids as little-endian 32-bit bytes. The plan that goes to the tasks depends on the window, not on the corpus."""
+    """One row per placed piece, with its ids as little-endian 32-bit bytes. The plan that goes to the tasks depends on the window, not on the corpus.
+
+    Null and empty texts hold the end id alone; null ids and repeated rows are packed like any
+    other; very long texts are cut into windows; an empty table gives no rows; other columns are not read.
+    """
     cut = store.put(tokenized(docs, path, window, end_id), "token-pieces")
     counts = cut.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -278,7 +283,7 @@ def tokenizer_path() -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048, with a checksum of their ids. Null texts hold the end id alone; null ids and repeated rows are packed like any other."""
+    """Pieces of all documents in sequences of 2048, with a checksum of their ids; see ``pack``."""
     docs = session(spark).read.parquet(f"{sf_dir}/documents.parquet")
     packed = pack(docs, Store(spark), tokenizer_path())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -179,7 +179,8 @@ def near_duplicates(docs: DataFrame, store: Store, bits: int = 4, size: int = 4)
 
     Equal fingerprints are one node, so copies are never paired. A component's id is its
     smallest doc_id; rows with a null doc_id have a fingerprint and link others, but name
-    no component. Null and empty texts have fingerprint zero and link like any other.
+    no component. Null and empty texts have fingerprint zero and link like any other. Repeated
+    rows give a row each; very long texts are read whole. An empty table gives no rows; other columns are not read.
     """
     fps = store.put(fingerprint_table(docs, size), "fingerprints")
     nodes = store.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")

@@ -522,7 +522,8 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat a document of smaller id.
 
     Null texts are empty. Rows with a null id come after all others and take nothing from
-    each other; rows that share an id take nothing from each other either.
+    each other; rows that share an id take nothing from each other either. Very long texts
+    are compared whole. An empty table gives no rows; other columns are not read.
     """
     docs = session(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return removed(docs, Store(spark))

@@ -165,9 +165,9 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("l_id"))
 
 
-def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20_000, sample_rows: int = 5_000, mined_words: int = 256, least: float = 8, least_odds: float = 4.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20_000, sample_rows: int = 5_000, mined_words: int = 256, least: float = 8, least_odds: float = 4.0, mined_least: int = 8, mined_odds: float = 20.0) -> Model:
     """Bounds, all parameters: ``label_rows`` labelled rows mine the words of voters, of which the
-    ``mined_words`` that tell most are used; the label model's moments cover all documents; ``sample_rows`` documents of each posterior class fit the classifier.
+    ``mined_words`` that tell most are used (of those that ``mined_least`` toxic rows hold, ``mined_odds`` times as often as clean ones); the label model's moments cover all documents; ``sample_rows`` documents of each posterior class fit the classifier.
     A feature takes part in it if it has ``least`` rows' worth of posterior toxicity and is
     ``least_odds`` times as frequent in toxic rows as in clean ones.
     """
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, label_rows: int = 20
     rows = counts.where(F.octet_length("word") == 0).first()
     n_clean, n_toxic = (rows.clean, rows.toxic) if rows else (0, 0)
     ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    best = counts.where((F.octet_length("word") > 2) & (F.col("toxic") >= 8) & (ratio >= 20)).orderBy(F.desc(F.col("toxic") * F.log(ratio)), "word").limit(mined_words)
+    best = counts.where((F.octet_length("word") > 2) & (F.col("toxic") >= mined_least) & (ratio >= mined_odds)).orderBy(F.desc(F.col("toxic") * F.log(ratio)), "word").limit(mined_words)
     voters = Voters([bytes(r.word) for r in best.select("word").collect()])
     n = voters.n
 

@@ -231,7 +231,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null html is an empty payload; null ids and urls are left out of the record; rows
     repeated under the smallest id of their payload are each a response; extra columns
-    are ignored.
+    are ignored. Very large pages are records of their own, whole. An empty table gives no rows.
     """
     store = Store(session(spark))
     index = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), store, least_bytes=0)
