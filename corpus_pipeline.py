@@ -25,6 +25,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, in sequences of 2048 tokens; see ``packing.pack``."""
     return packing.pack(docs, Store(session(spark)), packing.tokenizer_path())
 
 
@@ -41,7 +42,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; stages between the first and last are written and read again."""
+    """All stages over ``documents``; stages between the first and last are written and read again.
+
+    What a stage makes of nulls, empty and very long texts, repeated rows, empty tables and clashing column
+    names stands with its operator; all but the last keep every column of their documents as it is called.
+    """
     store = Store(session(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
