@@ -205,18 +205,20 @@ class Visible:
     """Deltas of a translation (id, seq, delta): only what makes the visible text longer is passed on."""
 
     def __init__(self):
-        self.raw, self.shown = "", ""
+        self.text, self.begin, self.end_ = bodies.Growing(), 0, 0
 
     def add(self, r):
         if not r["delta"]:
             return []
-        self.raw += r["delta"]
-        new, had = bodies.visible(self.raw), self.shown
-        if len(new) > len(had) and new.startswith(had):
-            self.shown = new
-            return [(r["id"], r["seq"], new[len(had) :])]
-        if not new:
-            self.shown = ""
+        self.text.add(r["delta"])
+        begin, end = self.text.part()
+        raw, had = self.text.raw, self.end_ - self.begin
+        longer = end - begin > had and (begin == self.begin or raw.startswith(raw[self.begin : self.end_], begin))
+        if longer:
+            self.begin, self.end_ = begin, end
+            return [(r["id"], r["seq"], raw[begin + had : end])]
+        if begin == end:
+            self.begin = self.end_ = 0
         return []
 
     def end(self):

@@ -290,3 +290,25 @@ def test_change_steps(spark):
     t = spark.createDataFrame(old, cols + ", chunk_count long, pending boolean")
     got = {r[0]: tuple(r)[1:] for r in index.change_steps(s, t, "path").collect()}
     assert got == {"/a": ("unchanged", False, False, False), "/b": ("unchanged", True, False, True), "/c": ("refresh", True, True, False), "/d": ("unchanged", True, True, False), "/e": ("reindex", False, False, False), "/f": ("reindex", False, False, False), "/g": ("delete", False, False, False)}
+
+
+def test_growing_translations_show_what_whole_ones_do():
+    rng = random.Random(13)
+    bits = ["Final Translation: ", "final ", "translation:", "译文：", "翻译:", "Thinking Process", " analyze the request", "input text", "part of speech", "**", "- ", "\n", " ", "hello", "é!", "A", "translatedtext:", "最终译文："]
+    for _ in range(3000):
+        grow, raw = bodies.Growing(), ""
+        deltas = [rng.choice(bits) for _ in range(rng.randint(1, 9))]
+        deltas = [c for d in deltas for c in ([d] if rng.random() < 0.6 else list(d))]
+        fold, shown = stateful.Visible(), ""
+        for i, d in enumerate(deltas):
+            raw += d
+            grow.add(d)
+            begin, end = grow.part()
+            new = bodies.visible(raw)
+            assert raw[begin:end] == new, deltas[: i + 1]
+            want = []
+            if len(new) > len(shown) and new.startswith(shown):
+                want, shown = [(1, i, new[len(shown) :])], new
+            elif not new:
+                shown = ""
+            assert fold.add({"id": 1, "seq": i, "delta": d}) == want, deltas[: i + 1]
