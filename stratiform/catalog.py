@@ -425,7 +425,19 @@ def chunk_markdown(spark, sf):
     return chunk.chunk_markdown(table(spark, sf, "documents"))
 
 
-@query()
+PLAIN_CHUNKS = r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents),
+r AS (SELECT doc_id, CAST(-1 AS BIGINT) AS p, CAST(-1 AS BIGINT) AS stop FROM d UNION ALL
+  SELECT doc_id, p, CASE WHEN hi < n AND cut > p + 600 THEN cut ELSE hi END FROM (SELECT *, greatest(
+      CASE WHEN contains(w, chr(10) || chr(10)) THEN p + 601 + length(w) - strpos(reverse(w), chr(10) || chr(10)) ELSE 0 END,
+      CASE WHEN contains(w, chr(10)) THEN p + 601 + length(w) - strpos(reverse(w), chr(10)) ELSE 0 END,
+      CASE WHEN contains(w, ' ') THEN p + 601 + length(w) - strpos(reverse(w), ' ') ELSE 0 END) AS cut
+    FROM (SELECT doc_id, n, p, least(n, p + 1200) AS hi, substr(text, p + 601, least(n, p + 1200) - p - 600) AS w FROM (
+      SELECT r.doc_id, d.text, d.n, CASE WHEN r.stop < 0 THEN 0 WHEN r.stop < d.n THEN greatest(r.p + 1, r.stop - 200) ELSE r.stop END AS p FROM r JOIN d USING (doc_id)) WHERE p < n))),
+c AS (SELECT doc_id, p, substr(text, p + 1, stop - p) AS t FROM r JOIN d USING (doc_id) WHERE stop > 0),
+k AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS INT) AS chunk_index, CAST(p AS INT) AS start, t AS chunk_text FROM c WHERE regexp_replace(t, '^\s+|\s+$', '', 'g') <> '')"""
+
+
+@query(PLAIN_CHUNKS + " SELECT * FROM k")
 def chunk_plain(spark, sf):
     return chunk.chunk_plain(table(spark, sf, "documents"))
 

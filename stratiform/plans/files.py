@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..catalog import PATH, query
+from ..catalog import PATH, PLAIN_CHUNKS, query
 from ..functions import predicates as P, text as T, tools
 from ..operators import chunk, index, snapshots
 from ..sources.tables import corpus, table
@@ -13,14 +13,17 @@ FOLDERS = ["src", "node_modules", "a/.git", "build", "rebuild", "x/target", ".ve
 FOLDER_PATH = "'/corpus/' || CASE event_id % 8 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FOLDERS)) + " END || '/f' || event_id || '.md'"
 
 
-@query("SELECT event_id, event_id % 8 IN (1, 2, 3, 5, 6) AS skipped, event_id % 8 IN (0, 4) AS contained FROM events")
+IGNORED = r"regexp_matches(substr(path, 9), '(^|/)(\.git|node_modules|vendor|Pods|target|dist|build|out|\.next|\.nuxt|\.svelte-kit|\.turbo|\.cache|coverage|\.venv|venv)/')"
+
+
+@query(f"WITH p AS (SELECT event_id, {FOLDER_PATH} AS path FROM events), r AS (SELECT unnest(['/corpus/src', '/corpus/rebuild', '/corpus/doc']) AS root) SELECT event_id, {IGNORED} AS skipped, bool_or(path = root OR starts_with(path, root || '/')) AS contained FROM p, r GROUP BY event_id, path")
 def default_ignores(spark, sf):
     p = F.expr(FOLDER_PATH)
     return table(spark, sf, "events").select("event_id", P.skipped(p, F.lit("/corpus")).alias("skipped"), P.within_roots(p, ["/corpus/src/", "/corpus/rebuild", "/corpus/doc"]).alias("contained"))
 
 
 @query(f"""WITH e AS (SELECT event_id, {FOLDER_PATH} AS path, event_type <> 'error' AS there FROM events)
-SELECT event_id, CASE WHEN event_id % 8 IN (1, 2, 3, 5, 6) THEN NULL WHEN there THEN 'rescan' ELSE 'remove' END AS action, CASE WHEN event_id % 8 NOT IN (1, 2, 3, 5, 6) THEN path END AS target FROM e""")
+SELECT event_id, CASE WHEN {IGNORED} THEN NULL WHEN there THEN 'rescan' ELSE 'remove' END AS action, CASE WHEN NOT {IGNORED} THEN path END AS target FROM e""")
 def update_targets(spark, sf):
     p, root = F.expr(FOLDER_PATH), F.lit("/corpus")
     u = tools.update_target(root, p, F.col("event_type") != "error", P.skipped(p, root))
@@ -67,13 +70,15 @@ def nearest_block(spark, sf):
 SUFFIXES = ["png", "JPG", "jpeg", "Gif", "webp", "txt"]
 
 
-@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/gif' WHEN 4 THEN 'image/webp' ELSE 'application/octet-stream' END AS mime FROM part")
+@query(rf"""WITH e AS (SELECT p_partkey, lower(regexp_extract('/a.b/x' || coalesce('.' || {SUFFIXES}[CAST(p_partkey % 7 AS INT) + 1], ''), '\.([^./]+)$', 1)) AS ext FROM part)
+SELECT p_partkey, CASE WHEN ext IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN ext IN ('png', 'gif', 'webp', 'bmp') THEN 'image/' || ext ELSE 'application/octet-stream' END AS mime FROM e""")
 def image_types(spark, sf):
     name = F.concat(F.lit("/a.b/x"), F.coalesce(F.concat(F.lit("."), F.get(F.array(*map(F.lit, SUFFIXES)), (F.col("p_partkey") % 7).cast("int"))), F.lit("")))
     return table(spark, sf, "part").select("p_partkey", T.image_mime(name).alias("mime"))
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '/pick' WHEN 1 THEN '/Choose' WHEN 2 THEN c_name ELSE NULL END AS action, CASE WHEN c_custkey % 4 <> 0 THEN '/bin/' || c_custkey END AS file, CASE WHEN c_custkey % 5 <> 0 THEN 'pid:' || c_custkey END AS kill FROM customer""")
+@query("""WITH t AS (SELECT c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' /CHO' WHEN 2 THEN upper(left(c_name, 12)) ELSE 'zzz' END AS typed, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS pid FROM customer), l AS (SELECT *, lower(trim(typed)) AS low FROM t)
+SELECT c_custkey, CASE WHEN low = '' OR starts_with('/pick', low) THEN '/pick' WHEN starts_with('/choose', low) THEN '/Choose' WHEN starts_with(lower(c_name), low) THEN c_name END AS action, CASE WHEN length(typed) > 0 THEN '/bin/' || c_custkey END AS file, 'pid:' || pid AS kill FROM l""")
 def completions(spark, sf):
     m = F.col("c_custkey") % 4
     typed = F.when(m == 0, "").when(m == 1, " /CHO").when(m == 2, F.upper(F.substring("c_name", 1, 12))).otherwise("zzz")
@@ -107,10 +112,11 @@ def event_plans(spark, sf):
     return index.event_plans(e, stored, found, "absolute_path")
 
 
-@query()
+@query(PLAIN_CHUNKS + """ SELECT d.doc_id, CAST(1 + d.doc_id % 2 AS INT) AS chunk_index, start, chunk_text, CASE WHEN chunk_text IS NULL THEN 'chunk index ' || 1 + d.doc_id % 2 || ' does not exist' END AS error FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k.chunk_index = 1 + d.doc_id % 2""")
 def chunk_excerpts(spark, sf):
+    """The second or third chunk of every document, and an error for those that have none."""
     d = table(spark, sf, "documents")
-    return chunk.excerpts(d, d.where("doc_id % 50 = 0").select("doc_id", F.lit(1).alias("chunk_index")))
+    return chunk.excerpts(d, d.select("doc_id", (F.col("doc_id") % 2 + 1).cast("int").alias("chunk_index")))
 
 
 @query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '@src' WHEN 1 THEN '@' WHEN 2 THEN '@a/b.md' END AS token FROM conversations")

@@ -23,10 +23,16 @@ CALLS = [
     '{"query": "ID", "other": 1}',
     "[1]",
 ]
-ANSWERS = ["", "", "query must be a non-empty string", "query must be a non-empty string", "topK must be between 1 and 20", "topK must be an integer", "topK must be an integer", "minScore must be a number", "minScore must be between 0 and 1", "unknown tool argument: other", "tool arguments must be a JSON object", "tool arguments are required"]
 
 
-@query("SELECT item_id, nullif(CASE item_id % 12 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(ANSWERS)) + " END, '') AS error, CASE WHEN item_id % 12 < 2 THEN CAST(item_id AS VARCHAR) END AS query, CAST(CASE item_id % 12 WHEN 0 THEN 8 WHEN 1 THEN 3 END AS INT) AS top_k, CAST(CASE item_id % 12 WHEN 0 THEN 0.35 WHEN 1 THEN 0.5 END AS DOUBLE) AS min_score FROM benchmark")
+RAW_CALL = "CASE item_id % 12 " + " ".join(f"WHEN {i} THEN replace('{c}', 'ID', CAST(item_id AS VARCHAR))" for i, c in enumerate(CALLS)) + " END"
+
+
+@query(f"""WITH r AS (SELECT item_id, {RAW_CALL} AS raw FROM benchmark), v AS (SELECT *, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM r),
+o AS (SELECT *, CASE WHEN json_type(j) = 'OBJECT' THEN list_filter(json_keys(j), lambda k: k NOT IN ('query', 'topK', 'minScore'))[1] END AS odd, CASE WHEN json_type(j, '$.query') = 'VARCHAR' THEN trim(j->>'$.query') END AS q, json_type(j, '$.topK') AS kt, TRY_CAST(j->>'$.topK' AS BIGINT) AS k, json_type(j, '$.minScore') AS st, TRY_CAST(j->>'$.minScore' AS DOUBLE) AS sc FROM v),
+e AS (SELECT *, CASE WHEN raw IS NULL THEN 'tool arguments are required' WHEN json_type(j) IS DISTINCT FROM 'OBJECT' THEN 'tool arguments must be a JSON object' WHEN odd IS NOT NULL THEN 'unknown tool argument: ' || odd WHEN coalesce(q, '') = '' THEN 'query must be a non-empty string'
+  WHEN kt IS NOT NULL AND kt <> 'UBIGINT' THEN 'topK must be an integer' WHEN kt IS NOT NULL AND NOT k BETWEEN 1 AND 20 THEN 'topK must be between 1 and 20' WHEN st IS NOT NULL AND st NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN 'minScore must be a number' WHEN st IS NOT NULL AND NOT sc BETWEEN 0 AND 1 THEN 'minScore must be between 0 and 1' END AS error FROM o)
+SELECT item_id, error, CASE WHEN error IS NULL THEN q END AS query, CAST(CASE WHEN error IS NULL THEN coalesce(k, 8) END AS INT) AS top_k, CASE WHEN error IS NULL THEN coalesce(sc, 0.35) END AS min_score FROM e""")
 def argument_checks(spark, sf):
     kind, name = F.col("item_id") % 12, F.col("item_id").cast("string")
     raw = None
@@ -62,7 +68,8 @@ def search_summary(spark, sf):
 WATCHED = "'/corpus/' || CASE event_id % 5 WHEN 0 THEN 'a/.gitignore' WHEN 1 THEN '.ignore' WHEN 2 THEN '.git/info/exclude' WHEN 3 THEN 'a/b.md' ELSE '../x/.ignore' END"
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '/corpus/a' WHEN 1 THEN '/corpus' WHEN 2 THEN '/corpus' WHEN 4 THEN '/corpus/../x' END AS scope FROM events")
+@query(f"""WITH p AS (SELECT event_id, {WATCHED} AS p FROM events)
+SELECT event_id, CASE WHEN starts_with(p, '/corpus/') AND regexp_extract(p, '([^/]*)$', 1) IN ('.gitignore', '.ignore') THEN regexp_replace(p, '/[^/]*$', '') WHEN p = '/corpus/.git/info/exclude' THEN '/corpus' END AS scope FROM p""")
 def rescan_targets(spark, sf):
     return table(spark, sf, "events").select("event_id", tools.rescan_scope(F.lit("/corpus"), F.expr(WATCHED)).alias("scope"))
 
@@ -74,18 +81,20 @@ def query_modes(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", P.mode(t).alias("mode"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'overloaded' WHEN 3 THEN 'timeout' ELSE 'other' END AS class FROM events")
+FAILURES = ["Request timed out", "HTTP 429 from server", "server is Overloaded", "read Timeout", "no route", "Rate limit; try again", "code 503", "429 after timeout"]
+
+
+@query(f"""WITH m AS (SELECT event_id, lower({FAILURES}[CAST(event_id % 8 AS INT) + 1] || '; ' || event_type) AS m FROM events)
+SELECT event_id, CASE WHEN contains(m, 'timeout') OR contains(m, 'timed out') THEN 'timeout' WHEN contains(m, '429') OR contains(m, 'rate limit') THEN 'rate_limit' WHEN contains(m, 'overload') OR contains(m, '503') THEN 'overloaded' ELSE 'other' END AS class FROM m""")
 def failure_classes(spark, sf):
-    m = F.element_at(F.array(*[F.lit(x) for x in ("Request timed out", "HTTP 429 from server", "server is Overloaded", "read Timeout", "no route")]), (F.col("event_id") % 5 + 1).cast("int"))
+    m = F.element_at(F.array(*map(F.lit, FAILURES)), (F.col("event_id") % 8 + 1).cast("int"))
     return table(spark, sf, "events").select("event_id", P.failure_class(F.concat(m, F.lit("; "), "event_type")).alias("class"))
 
 
-@query("SELECT doc_id, 100 + row_number() OVER (ORDER BY doc_id) > 100 AS keyed, (SELECT count(*) FROM documents) AS n FROM documents")
+@query("SELECT 100 + row_number() OVER () AS vector_key FROM documents")
 def assigned_keys(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id")
-    keyed = index.assign_keys(d, ["doc_id"], 100)
-    n = keyed.agg(F.countDistinct("vector_key").alias("n"), F.min("vector_key").alias("low"), F.max("vector_key").alias("high"))
-    return keyed.join(F.broadcast(n), F.lit(True)).select("doc_id", ((F.col("vector_key") > 100) & (F.col("high") - F.col("low") + 1 == F.col("n"))).alias("keyed"), "n")
+    """The keys that rows get: every number after the last one given, each once."""
+    return index.assign_keys(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 100).select(F.col("vector_key").cast("long").alias("vector_key"))
 
 
 @query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), h AS (SELECT item_id, CAST('0x' || substr(md5(w), 2, 1) AS INT) AS d, count(*) AS n FROM w GROUP BY ALL)
