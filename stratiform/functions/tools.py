@@ -53,6 +53,47 @@ def search_arguments(raw: Column) -> Column:
     return F.struct(error.alias("error"), F.when(ok, query).alias("query"), F.when(ok, F.coalesce(k, F.lit(HITS))).cast("int").alias("top_k"), F.when(ok, F.coalesce(score, F.lit(MIN_SCORE))).alias("min_score"))
 
 
+# Arguments of the tools, by kind, with their least and greatest values, and which may be left out.
+ARGUMENTS = {
+    "read_lines": {"path": ("string",), "line_start": ("integer", 1), "line_count": ("integer", 1, MOST_LINES)},
+    "read_excerpt": {"path": ("string",), "chunk_index": ("integer", 0)},
+    "search": {"query": ("string",), "topK": ("integer", 1, MOST_HITS), "minScore": ("number", 0, 1)},
+    "open": {"target": ("string",)},
+}
+OPTIONAL = ("topK", "minScore")
+
+
+def schema(tool: str) -> dict:
+    """The JSON schema of a tool's arguments."""
+    own = {n: dict(zip(("type", "minimum", "maximum"), spec, strict=False)) for n, spec in ARGUMENTS[tool].items()}
+    return {"type": "object", "additionalProperties": False, "properties": own, "required": [n for n in own if n not in OPTIONAL]}
+
+
+def call_error(tool: str, raw: Column) -> Column:
+    """Why a call's arguments (JSON text) break the tool's schema: the first reason in the order of its arguments, or null."""
+    rules, v = schema(tool), F.try_parse_json(raw)
+    own, keys = rules["properties"], F.json_object_keys(raw)
+    shape = F.schema_of_variant(v)
+    odd = F.get(F.filter(keys, lambda k: ~k.isin(*own)), 0)
+    error = F.when(raw.isNull(), "tool arguments are required").when(shape.isNull() | ~shape.startswith("OBJECT"), "tool arguments must be a JSON object").when(odd.isNotNull(), F.concat(F.lit("unknown tool argument: "), odd))
+    for name, rule in own.items():
+        has, kind = F.array_contains(keys, name), F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        if name in rules["required"]:
+            error = error.when(~has, f"{name} is required")
+        if rule["type"] == "string":
+            ok = (kind == "STRING") & (F.trim(F.try_variant_get(v, f"$.{name}", "string")) != "")
+            error = error.when(has & ~F.coalesce(ok, F.lit(False)), f"{name} must be a non-empty string")
+            continue
+        whole = kind == "BIGINT"
+        number = whole if rule["type"] == "integer" else whole | (kind == "DOUBLE") | kind.startswith("DECIMAL")
+        error = error.when(has & ~F.coalesce(number, F.lit(False)), f"{name} must be {'an integer' if rule['type'] == 'integer' else 'a number'}")
+        x = F.try_variant_get(v, f"$.{name}", "double")
+        error = error.when(has & (x < rule["minimum"]), f"{name} must be at least {rule['minimum']}")
+        if "maximum" in rule:
+            error = error.when(has & (x > rule["maximum"]), f"{name} must be at most {rule['maximum']}")
+    return error
+
+
 def hit_text(number: Column, path: Column, chunk: Column, location: Column, score: Column, distance: Column, text: Column) -> Column:
     return F.concat(F.format_string("\n[%d] %s (chunk %d, %s, score %.4f, distance %.4f)\n", number, path, chunk, location, score, distance), text, F.lit("\n"))
 

@@ -102,3 +102,42 @@ SELECT item_id, CAST(d AS INT) AS dim, CAST(n AS DOUBLE) AS weight FROM h""")
 def text_embeddings(spark, sf):
     e = embed.embed(table(spark, sf, "benchmark"), "item_id", "text", embed.hashing_embedder(16))
     return e.select("item_id", F.posexplode("embedding").alias("dim", "weight")).where("weight > 0")
+
+
+# A call's arguments, by tool and by what is wrong with them, made from the rows of conversations.
+TOOLS = ("read_lines", "read_excerpt", "search", "open")
+SHAPES = {
+    "read_lines": ['{"path": "T", "line_start": N, "line_count": 9}', '{"path": "T", "line_start": 0, "line_count": 9}', '{"path": "T", "line_start": 1, "line_count": 241}', '{"path": "T", "line_count": 1}', '{"path": " ", "line_start": 1, "line_count": 1}', '{"path": "T", "line_start": "1", "line_count": 1}'],
+    "read_excerpt": ['{"path": "T", "chunk_index": N}', '{"path": "T", "chunk_index": -1}', '{"path": "T", "chunk_index": 1.5}', '{"chunk_index": 1}', '{"path": "T", "chunk_index": 0, "x": 1}', "[]"],
+    "search": ['{"query": "T"}', '{"query": "T", "topK": N}', '{"query": "T", "minScore": 0.25}', '{"query": "T", "minScore": 2}', '{"query": "T", "topK": true}', '{"topK": 3}'],
+    "open": ['{"target": "T"}', '{"target": 5}', "{}", '{"target": null}', "not json", '{"target": "T", "b": 1, "a": 2}'],
+}
+CASES = "CASE turn % 4 " + " ".join(f"WHEN {i} THEN CASE conv_id % 6 " + " ".join(f"WHEN {j} THEN '{x}'" for j, x in enumerate(SHAPES[t])) + " END" for i, t in enumerate(TOOLS)) + " END"
+
+
+def _argument_sql(name: str, rule: dict, required: bool) -> str:
+    """The rule of one argument, for the JSON value j."""
+    at, has = f"'$.{name}'", f"json_exists(j, '$.{name}')"
+    out = f" WHEN NOT {has} THEN '{name} is required'" if required else ""
+    if rule["type"] == "string":
+        return out + f" WHEN {has} AND (json_type(j, {at}) <> 'VARCHAR' OR trim(j->>{at}) = '') THEN '{name} must be a non-empty string'"
+    kinds = "('UBIGINT', 'BIGINT')" if rule["type"] == "integer" else "('UBIGINT', 'BIGINT', 'DOUBLE')"
+    out += f" WHEN {has} AND json_type(j, {at}) NOT IN {kinds} THEN '{name} must be {'an integer' if rule['type'] == 'integer' else 'a number'}' WHEN {has} AND TRY_CAST(j->>{at} AS DOUBLE) < {rule['minimum']} THEN '{name} must be at least {rule['minimum']}'"
+    return out + (f" WHEN {has} AND TRY_CAST(j->>{at} AS DOUBLE) > {rule['maximum']} THEN '{name} must be at most {rule['maximum']}'" if "maximum" in rule else "")
+
+
+def _schema_sql(tool: str) -> str:
+    rules = tools.schema(tool)
+    names = ", ".join(f"'{n}'" for n in rules["properties"])
+    return f"CASE WHEN json_type(j) IS DISTINCT FROM 'OBJECT' THEN 'tool arguments must be a JSON object' WHEN len(list_filter(json_keys(j), lambda k: k NOT IN ({names}))) > 0 THEN 'unknown tool argument: ' || list_filter(json_keys(j), lambda k: k NOT IN ({names}))[1]" + "".join(_argument_sql(n, r, n in rules["required"]) for n, r in rules["properties"].items()) + " END"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, replace(replace({CASES}, 'T', 'file ' || conv_id), 'N', CAST(turn + conv_id AS VARCHAR)) AS raw FROM conversations), v AS (SELECT *, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM r)
+SELECT conv_id, turn, CASE turn % 4 """ + " ".join(f"WHEN {i} THEN {_schema_sql(t)}" for i, t in enumerate(TOOLS)) + " END AS error FROM v")
+def tool_calls(spark, sf):
+    """Calls of four tools held against their schemas."""
+    raw = F.replace(F.replace(F.expr(CASES), F.lit("T"), F.concat(F.lit("file "), F.col("conv_id").cast("string"))), F.lit("N"), (F.col("turn") + F.col("conv_id")).cast("string"))
+    error = None
+    for i, t in enumerate(TOOLS):
+        error = (F if error is None else error).when(F.col("turn") % 4 == i, tools.call_error(t, F.col("raw")))
+    return table(spark, sf, "conversations").withColumn("raw", raw).select("conv_id", "turn", error.alias("error"))

@@ -355,9 +355,16 @@ def session_states(spark, sf):
     return Z.session_states(table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("props").alias("detail")))
 
 
-@query()
+@query(r"""WITH d AS (SELECT conv_id, turn, text, CASE turn WHEN 0 THEN 'Thinking process: ' || text WHEN 1 THEN ' Final Translation: ** ' || text ELSE text || chr(10) END AS delta FROM conversations),
+r AS (SELECT conv_id, turn, string_agg(CASE WHEN turn = 1 THEN text WHEN turn > 1 THEN delta ELSE '' END, '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn) AS raw, max(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS upto, min(turn) OVER (PARTITION BY conv_id) AS first FROM d),
+v AS (SELECT conv_id, turn, CASE WHEN upto >= 1 AND first = 0 THEN regexp_replace(raw, '^\s+|\s+$', '', 'g') ELSE '' END AS shown FROM r),
+p AS (SELECT conv_id, turn, shown, coalesce(lag(shown) OVER (PARTITION BY conv_id ORDER BY turn), '') AS had FROM v)
+SELECT conv_id AS id, CAST(turn AS BIGINT) AS seq, substr(shown, length(had) + 1) AS delta FROM p WHERE length(shown) > length(had)""")
 def visible_translation(spark, sf):
-    return Z.visible_deltas(table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), F.concat("text", F.lit(" Final translation: ")).alias("delta")))
+    """Conversations that begin with reasoning and go on with a labelled translation: what each turn adds to what a reader sees."""
+    t = F.col("text")
+    delta = F.when(F.col("turn") == 0, F.concat(F.lit("Thinking process: "), t)).when(F.col("turn") == 1, F.concat(F.lit(" Final Translation: ** "), t)).otherwise(F.concat(t, F.lit("\n")))
+    return Z.visible_deltas(table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("seq"), delta.alias("delta")))
 
 
 @query("""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, unnest(range(len(ls))) AS r, greatest(length(unnest(ls)), 1) AS n FROM l),
