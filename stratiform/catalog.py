@@ -420,11 +420,6 @@ def line_layout(spark, sf):
     return lines.select("doc_id", F.explode(x).alias("x")).select("doc_id", "x.*")
 
 
-@query()
-def chunk_markdown(spark, sf):
-    return chunk.chunk_markdown(table(spark, sf, "documents"))
-
-
 PLAIN_CHUNKS = r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents),
 r AS (SELECT doc_id, CAST(-1 AS BIGINT) AS p, CAST(-1 AS BIGINT) AS stop FROM d UNION ALL
   SELECT doc_id, p, CASE WHEN hi < n AND cut > p + 600 THEN cut ELSE hi END FROM (SELECT *, greatest(

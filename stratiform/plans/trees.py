@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..catalog import PATH, query
-from ..operators import ignore, outline, paths
+from ..operators import chunk, ignore, outline, paths
 from ..sources.tables import corpus, table
 
 # Rule files of the corpus. Those in src3 and src4 speak against those of the root.
@@ -73,14 +75,45 @@ r AS (SELECT DISTINCT doc_id, CAST(-1 AS BIGINT) AS i, 'n' AS mode, '' AS fc, 0
     CASE WHEN r.mode = 'f' THEN r.fc ELSE left(c.fence, 1) END, CASE WHEN r.mode = 'f' THEN r.fl ELSE CAST(length(c.fence) AS INT) END,
     r.mode NOT IN ('f', 'u') AND c.s <> '' AND (c.fence <> '' OR c.hashes <> '' OR c.under > 0 OR r.mode <> 'p' OR c.item), r.mode IN ('f', 'u') OR c.s <> '',
     CASE WHEN r.mode IN ('f', 'u') OR c.s = '' OR c.fence <> '' THEN r.stack WHEN c.hashes <> '' THEN list_append(r.stack[1:length(c.hashes) - 1], c.title) WHEN c.under > 0 THEN list_append(r.stack[1:c.under - 1], c.s) ELSE r.stack END
-  FROM r JOIN c ON c.doc_id = r.doc_id AND c.i = r.i + 1)
-SELECT doc_id, i AS line_no, CAST(start AS BIGINT) AS start, CAST(length(line) AS INT) AS n_chars, begins, inside, array_to_string(stack, ' > ') AS headings FROM r JOIN c USING (doc_id, i)"""
+  FROM r JOIN c ON c.doc_id = r.doc_id AND c.i = r.i + 1),
+o AS (SELECT doc_id, i, CAST(start AS BIGINT) AS start, length(line) AS n, begins, inside, stack FROM r JOIN c USING (doc_id, i))"""
 
 
-@query(OUTLINE)
+@query(OUTLINE + " SELECT doc_id, i AS line_no, start, CAST(n AS INT) AS n_chars, begins, inside, array_to_string(stack, ' > ') AS headings FROM o")
 def line_outline(spark, sf):
     """Every line of the documents, to which headings, fences, rules and items are added, with its offset, block and headings."""
-    line = lambda s, i: F.when(i % 17 == 3, F.concat(F.lit("## "), s)).when(i % 23 == 5, "```").when(i % 19 == 7, "---").when(i % 29 == 4, "# top").when(i % 13 == 6, F.concat(F.lit("- "), s)).otherwise(s)
-    d = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
-    o = outline.line_outline(d, segment_lines=8)
+    o = outline.line_outline(_decorated(spark, sf), segment_lines=8)
     return o.select("doc_id", "line_no", "start", "n_chars", "begins", "inside", F.array_join("heading_path", " > ").alias("headings"))
+
+
+def _decorated(spark, sf):
+    line = lambda s, i: F.when(i % 17 == 3, F.concat(F.lit("## "), s)).when(i % 23 == 5, "```").when(i % 19 == 7, "---").when(i % 29 == 4, "# top").when(i % 13 == 6, F.concat(F.lit("- "), s)).otherwise(s)
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+# What the recursive reading of lines makes of documents as they are, and the chunks of its blocks.
+PLAIN = re.sub(r"t AS \(SELECT doc_id, i, CASE .*? END AS line FROM l\)", "t AS (SELECT doc_id, i, line FROM l)", OUTLINE, flags=re.S)
+MARKDOWN_CHUNKS = r""",
+z AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM t GROUP BY doc_id),
+g AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS b FROM o),
+b AS (SELECT doc_id, b, min(i) AS l0, max(i) + 1 AS l1, min(start) AS s0, max(start + n) AS e0, arg_min(stack, i) AS path FROM g WHERE inside GROUP BY doc_id, b),
+j AS (SELECT x.doc_id, x.b AS i, min(y.b) AS j FROM b x JOIN b y ON y.doc_id = x.doc_id AND y.b >= x.b LEFT JOIN b z ON z.doc_id = y.doc_id AND z.b = y.b + 1
+  WHERE z.b IS NULL OR NOT (y.e0 - x.s0 < 350 AND z.e0 - z.s0 <= 550 AND z.path = x.path AND z.e0 - x.s0 <= 550) OR x.e0 - x.s0 > 550 GROUP BY ALL),
+k AS (SELECT j.doc_id, i, j, CASE WHEN any_value(n.path) = any_value(x.path) AND any_value(x.e0 - x.s0) <= 550 THEN coalesce(max(CASE WHEN m.b = i + 1 OR y.e0 - m.s0 >= 80 THEN m.b END), j + 1) ELSE j + 1 END AS nxt
+  FROM j JOIN b x ON x.doc_id = j.doc_id AND x.b = i JOIN b y ON y.doc_id = j.doc_id AND y.b = j LEFT JOIN b n ON n.doc_id = j.doc_id AND n.b = j + 1 LEFT JOIN b m ON m.doc_id = j.doc_id AND m.b > i AND m.b <= j GROUP BY j.doc_id, i, j),
+w AS (SELECT doc_id, i, j, nxt FROM k WHERE i = 0 UNION ALL SELECT k.doc_id, k.i, k.j, k.nxt FROM w JOIN k ON k.doc_id = w.doc_id AND k.i = w.nxt),
+c2 AS (SELECT w.doc_id, w.i, x.l0, y.l1, x.path, substr(d.text, x.s0 + 1, y.e0 - x.s0) AS t, x.e0 - x.s0 > 550 AS large FROM w JOIN b x ON x.doc_id = w.doc_id AND x.b = w.i JOIN b y ON y.doc_id = w.doc_id AND y.b = w.j JOIN z d ON d.doc_id = w.doc_id),
+p AS (SELECT doc_id, i, l0, l1, path, unnest(CASE WHEN large THEN range(0, length(t), 550) ELSE [0] END) AS at_, t, large FROM c2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, at_) - 1 AS INT) AS chunk_index, CAST(l0 AS INT) AS line_start, CAST(l1 AS INT) AS line_end, array_to_string(path, ' > ') AS headings, CASE WHEN large THEN substr(t, at_ + 1, 550) ELSE t END AS chunk_text FROM p"""
+
+
+@query(PLAIN + MARKDOWN_CHUNKS)
+def chunk_markdown(spark, sf):
+    """Chunks of every document with their lines and headings."""
+    return chunk.chunk_markdown(table(spark, sf, "documents")).withColumn("heading_path", F.array_join("heading_path", " > ")).withColumnRenamed("heading_path", "headings")
+
+
+@query(OUTLINE + MARKDOWN_CHUNKS)
+def chunk_headed(spark, sf):
+    """The same of documents to which headings, fences, rules and items are added."""
+    return chunk.chunk_markdown(_decorated(spark, sf)).withColumn("heading_path", F.array_join("heading_path", " > ")).withColumnRenamed("heading_path", "headings")
