@@ -123,6 +123,9 @@ class Postings:
 
     def segment_of_rows(self, chunks: DataFrame) -> list[dict]:
         """Texts are split once, into a table that goes when its postings are written."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if chunks.rdd.getNumPartitions() < cores:  # a few large files would leave most cores idle
+            chunks = chunks.select(self.key, *self.fields).repartition(cores)
         t = chunks.where(F.col(self.key).isNotNull()).select(F.col(self.key).cast("long").alias("key"), *[F.coalesce(terms(F.col(f)), F.array().cast("array<string>")).alias(f"t_{i}") for i, f in enumerate(self.fields)])
         size = reduce(lambda a, b: a + b, [F.size(f"t_{i}") for i in range(len(self.fields))])
         words = f"{self.folder}/{self.versions.new('words')}"
@@ -146,7 +149,7 @@ class Postings:
         own = lambda xs: F.get(F.array(*[F.lit(x).cast("long") for x in xs]), length_class(F.col("len")))
         lot = own(firsts) + F.pmod(F.xxhash64("key"), own(lots))  # follows from a row's key and size alone
         rows.withColumn("lot", lot).write.option("compression", "zstd").parquet(f"{self.folder}/{name}/rows")
-        tasks = max(-(-size * 8 // self.task_bytes), min(self.spark.sparkContext.defaultParallelism, -(-size * 8 // (1 << 20))), 1)
+        tasks = max(-(-size * 8 // self.task_bytes), min(2 * self.spark.sparkContext.defaultParallelism, -(-size * 8 // (1 << 20))), 1)
         parts = math.isqrt(tasks - 1) + 1
         deals = 4 * -(-tasks // parts)  # lots of a part go to several tasks, so that a frequent term is split
         x = words.withColumn("lot", lot).withColumns({"part": (F.crc32(F.encode("term", "UTF-8")) % parts).cast("int"), "deal": (F.col("lot") % deals).cast("int")}).repartition(tasks, "part", "deal")
