@@ -312,3 +312,22 @@ def test_growing_translations_show_what_whole_ones_do():
             elif not new:
                 shown = ""
             assert fold.add({"id": 1, "seq": i, "delta": d}) == want, deltas[: i + 1]
+
+
+def test_errors_schemas_and_reuse_keys(spark):
+    import hashlib
+
+    from stratiform.functions import text, tools
+    from stratiform.operators import index
+
+    said = [('{"error": {"message": " no "}}', "no"), ('{"error": {"details": [{"x": 1}, {"detail": "deep"}]}}', "deep"), ('{"message": "", "title": "t"}', "t"), ('[{"error": "list"}]', "list"), ("{}", None), ("not json", None), (None, None)]
+    d = spark.createDataFrame(said, "j string, want string")
+    assert all(r.x == r.want for r in d.select("want", text.error_message(F.col("j")).alias("x")).collect())
+    assert tools.schema("search")["required"] == ["query"] and tools.schema("read_lines")["properties"]["line_count"] == {"type": "integer", "minimum": 1, "maximum": 240}
+    calls = [("search", '{"query": "a", "topK": 20, "minScore": 1}', None), ("search", '{"query": "a", "topK": 21}', "topK must be at most 20"), ("open", None, "tool arguments are required"), ("open", '{"target": "x", "y": 1}', "unknown tool argument: y"), ("read_excerpt", '{"path": "p", "chunk_index": 0}', None), ("read_excerpt", '{"path": "p"}', "chunk_index is required")]
+    for tool, raw, want in calls:
+        assert spark.createDataFrame([(raw,)], "r string").select(tools.call_error(tool, F.col("r")).alias("x")).first().x == want, raw
+    k = spark.createDataFrame([("é", ["a", "b"])], "t string, h array<string>").select(index.reuse_key(F.col("t"), F.col("h")).alias("k")).first().k
+    assert k == hashlib.md5("a\x1fb\0é".encode()).hexdigest()
+    w = spark.createDataFrame([('{"b": 1, "a": "x"}',)], "c string").select(tools.pending_envelope(F.lit("wait"), F.col("c")).alias("x")).first().x
+    assert json.loads(w) == {"content": [{"type": "text", "text": "wait"}, {"type": "text", "text": '{\n  "a": "x",\n  "b": 1\n}'}], "structuredContent": {"b": 1, "a": "x"}, "isError": False}
