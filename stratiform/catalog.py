@@ -138,9 +138,23 @@ def query_readiness(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", P.file_ready(t).alias("ready"), P.kill_ready(t).alias("kill"), P.action_intent(t).alias("action"))
 
 
-@query(r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '\s', '', 'g')) < 24 THEN len(regexp_extract_all(text, '[\p{L}\p{N}]')) >= 1 ELSE len(regexp_extract_all(text, '[\p{L}\p{N}]')) * 100 >= length(regexp_replace(text, '\s', '', 'g')) * 45 END AS readable FROM documents")
+SCRIPT_SQL = ", ".join(f"len(regexp_extract_all(t, '[{v}]')) AS {k}" for k, v in P.SCRIPTS.items())
+MUCH = {k: f"({k} >= 6 AND {k} * 100 >= total * 12)" for k in (*P.SCRIPTS, "other")}
+
+
+@query(rf"""WITH d AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN text || repeat(chr(8203), length(text) // 8 + 1) WHEN 1 THEN text || repeat('漢бα', length(text) // 4 + 6) WHEN 2 THEN text || repeat('漢', length(text) // 2) WHEN 3 THEN text || chr(1) WHEN 4 THEN text || repeat('漢क', length(text) // 3 + 6) WHEN 5 THEN left(text, 20) || chr(65532) ELSE left(text, 22) END AS t FROM documents),
+n AS (SELECT doc_id, {SCRIPT_SQL}, len(regexp_extract_all(regexp_replace(t, '[{"".join(P.SCRIPTS.values())}]', '', 'g'), '[\p{{L}}\p{{Nl}}]')) AS other, length(regexp_replace(t, '\s', '', 'g')) AS visible, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]')) AS word,
+  len(regexp_extract_all(t, '[\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{206F}}\x{{FFF0}}-\x{{FFFF}}\x{{E000}}-\x{{F8FF}}\x{{0001}}-\x{{0008}}\x{{000E}}-\x{{001F}}\x{{007F}}-\x{{009F}}]')) AS odd FROM d),
+s AS (SELECT *, {" + ".join((*P.SCRIPTS, "other"))} AS total FROM n)
+SELECT doc_id, cjk, other, CASE WHEN visible < 24 THEN word >= 1 AND odd = 0 ELSE word * 100 >= visible * 45 AND odd * 100 <= visible * 10 AND NOT ({MUCH["cjk"]} AND ({MUCH["other"]} OR {" + ".join(f"CAST({MUCH[k]} AS INT)" for k in ("cyrillic", "arabic", "hebrew", "greek"))} >= 2)) END AS readable FROM s""")
 def page_readability(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.readable(F.col("text")).alias("readable"))
+    """Documents with invisible characters, scripts that decoding faults mix, a control character, or few characters."""
+    t, m = F.col("text"), F.col("doc_id") % 7
+    times = lambda s, n: F.concat(t, F.expr(f"repeat('{s}', cast({n} as int))"))
+    own = F.when(m == 0, times("\u200b", "length(text) div 8 + 1")).when(m == 1, times("漢бα", "length(text) div 4 + 6")).when(m == 2, times("漢", "length(text) div 2")).when(m == 3, F.concat(t, F.lit("\x01"))).when(m == 4, times("漢क", "length(text) div 3 + 6")).when(m == 5, F.concat(F.substring(t, 1, 20), F.lit("\ufffc"))).otherwise(F.substring(t, 1, 22))
+    d = table(spark, sf, "documents").select("doc_id", own.alias("t"))
+    n = P.script_counts(F.col("t"))
+    return d.select("doc_id", n["cjk"].cast("long").alias("cjk"), n["other"].cast("long").alias("other"), P.readable(F.col("t")).alias("readable"))
 
 
 @query(f"SELECT {PATH} AS absolute_path, 'markdown' AS kind, strlen(text) <= 20971520 AS fits, starts_with(source, 'src1') AND length(source) <= 5 AS skipped, regexp_matches({PATH}, '^/corpus/[^/]*/en(/|$)') AS english FROM documents")

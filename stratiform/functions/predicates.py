@@ -99,10 +99,15 @@ SCRIPTS = {
 }
 
 
+def script_counts(text: Column) -> dict[str, Column]:
+    """How many letters of each script a text has; letters of none of them are other."""
+    n = {k: F.regexp_count(text, F.lit(f"[{v}]")) for k, v in SCRIPTS.items()}
+    return n | {"other": F.regexp_count(text, F.lit(r"[\p{IsAlphabetic}&&[^" + "".join(SCRIPTS.values()) + "]]"))}
+
+
 def mixed_scripts(text: Column) -> Column:
     """CJK beside much of other letters or of two more scripts, which decoding faults give."""
-    n = {k: F.regexp_count(text, F.lit(f"[{v}]")) for k, v in SCRIPTS.items()}
-    n["other"] = F.regexp_count(text, F.lit(r"[\p{IsAlphabetic}&&[^" + "".join(SCRIPTS.values()) + "]]"))
+    n = script_counts(text)
     total = reduce(lambda a, b: a + b, n.values())
     much = {k: (v >= 6) & (v * 100 >= total * 12) for k, v in n.items()}
     named = reduce(lambda a, b: a + b, [much[k].cast("int") for k in ("cyrillic", "arabic", "hebrew", "greek")])
