@@ -127,8 +127,15 @@ def group_prefix(rows: DataFrame, by: str, path: str) -> DataFrame:
 
 
 def longest_prefix(rows: DataFrame, text: str, cache: DataFrame, prefix: str) -> DataFrame:
-    """Rows with the longest cached prefix of their text, or null: an equal join on the text's beginnings."""
-    own = rows.withColumn("_row", F.monotonically_increasing_id())
-    starts = own.select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda n: F.substr(F.col(text), F.lit(1), n))).alias(prefix))
-    best = starts.join(cache.select(prefix).distinct(), prefix).groupBy("_row").agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
-    return own.join(best, "_row", "left").drop("_row")
+    """Rows with the longest cached prefix of their text, or null: an equal join on the text's beginnings.
+
+    Each distinct text is taken once, and only its beginnings of lengths that cached prefixes have. The join is a
+    semi join, so that only the cached prefixes may be broadcast, not the beginnings, whose size Spark guesses too small.
+    """
+    known = cache.select(prefix).where(F.col(prefix).isNotNull()).distinct()
+    lengths = known.agg(F.collect_set(F.length(prefix)).alias("_lengths"))  # one row
+    own = F.filter("_lengths", lambda n: n <= F.length(text))
+    texts = rows.select(text).where(F.col(text).isNotNull()).distinct().join(F.broadcast(lengths), F.lit(True))
+    starts = texts.select(text, F.explode(F.transform(own, lambda n: F.substr(F.col(text), F.lit(1), n))).alias(prefix))
+    best = starts.join(known, prefix, "left_semi").groupBy(text).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
+    return rows.join(best, text, "left").select(*rows.columns, prefix)

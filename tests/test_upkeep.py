@@ -331,3 +331,21 @@ def test_errors_schemas_and_reuse_keys(spark):
     assert k == hashlib.md5("a\x1fb\0é".encode()).hexdigest()
     w = spark.createDataFrame([('{"b": 1, "a": "x"}',)], "c string").select(tools.pending_envelope(F.lit("wait"), F.col("c")).alias("x")).first().x
     assert json.loads(w) == {"content": [{"type": "text", "text": "wait"}, {"type": "text", "text": '{\n  "a": "x",\n  "b": 1\n}'}], "structuredContent": {"b": 1, "a": "x"}, "isError": False}
+
+
+def test_longest_prefixes(spark, tmp_path):
+    texts = ["large ring", "large ring", "lar", "", None, "zz", "日本語の文"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    cache = spark.createDataFrame([("larg",), ("large r",), ("larg",), ("",), (None,), ("日本",), ("large rings",)], "prefix string")
+    found = {r.id: r.prefix for r in snapshots.longest_prefix(rows, "text", cache, "prefix").collect()}
+    assert found == {0: "large r", 1: "large r", 2: "", 3: "", 4: None, 5: "", 6: "日本"}
+    # the beginnings of a few texts look smaller than the prefixes, and are yet not sent to the driver
+    spark.range(50).select(F.repeat(F.col("id").cast("string"), 300).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/texts")
+    spark.range(5000).select(F.col("id").cast("string").alias("prefix")).coalesce(1).write.parquet(f"{tmp_path}/cache")
+    plan = snapshots.longest_prefix(spark.read.parquet(f"{tmp_path}/texts"), "text", spark.read.parquet(f"{tmp_path}/cache"), "prefix")._jdf.queryExecution().sparkPlan().toString()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "BroadcastHashJoin" in line and "BuildLeft" in line:
+            left = next(j for j in range(i + 2, len(lines) + 1) if j == len(lines) or depth(lines[j]) <= depth(lines[i + 1]))
+            assert not any("Generate" in x for x in lines[i + 1 : left]), plan
