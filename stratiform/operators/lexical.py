@@ -4,7 +4,7 @@
 length; a row of its postings holds a term's places in one lot, with the greatest weight
 that the term has there. Adding or deleting rows reads the new rows and the small table of
 rows of the segments, never their postings: deleted rows are listed beside a segment,
-and segments of like size are merged when there are several. A search reads the parts
+and segments of like size are merged when there are several, from the words that each keeps. A search reads the parts
 and terms it names; the best k rows come from those lots only whose bounds reach the kth
 score.
 """
@@ -18,14 +18,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.shared import located
 from ..sources.versions import Versions
 
 TOKEN = r"([\p{L}\p{N}\p{Co}\-_./#]+)"
-#: Rows of deleted keys up to which they are sent to all tasks.
+#: Rows of deleted keys, and of chosen lots, up to which they are sent to all tasks.
 FEW = 200_000
+#: Words of a lot, about, as its rows are turned into postings together; long rows make smaller lots.
+LOT_WORDS = 1 << 20
+#: Bytes of words that a task turns into postings at a time, besides those of one lot.
+HELD = 4 << 20
 
 
 def _accents() -> tuple[str, str]:
@@ -106,13 +111,13 @@ class Postings:
         tables = [self.spark.read.schema("key bigint, lot bigint").parquet(*folders).select(F.lit(name).alias("segment"), "lot", "key") for name, folders in own]
         return reduce(DataFrame.unionByName, tables) if tables else None
 
-    def alive(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
-        gone = self.dead(segments)
+    def alive(self, rows: DataFrame, segments: list[dict], on: list[str] | None = None) -> DataFrame:
+        gone, on = self.dead(segments), on or ["segment", "lot", "key"]
         if gone is None:
             return rows
         if sum(d["rows"] for s in segments for d in s["dead"]) <= FEW:
             gone = F.broadcast(gone)
-        return rows.join(gone, ["segment", "lot", "key"], "left_anti")
+        return rows.join(gone.select(*on), on, "left_anti")
 
     def documents(self, segments: list[dict]) -> DataFrame:
         """(key, len, lot, segment) of live rows."""
@@ -122,40 +127,41 @@ class Postings:
         return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.folder}/{s['name']}/{what}").withColumn("segment", F.lit(s["name"])) for s in segments])
 
     def segment_of_rows(self, chunks: DataFrame) -> list[dict]:
-        """Texts are split once, into a table that goes when its postings are written."""
+        """Texts are split once, into a table of their words that stays with the segment, so that merging reads it again."""
         cores = self.spark.sparkContext.defaultParallelism
         if chunks.rdd.getNumPartitions() < cores:  # a few large files would leave most cores idle
             chunks = chunks.select(self.key, *self.fields).repartition(cores)
         t = chunks.where(F.col(self.key).isNotNull()).select(F.col(self.key).cast("long").alias("key"), *[F.coalesce(terms(F.col(f)), F.array().cast("array<string>")).alias(f"t_{i}") for i, f in enumerate(self.fields)])
         size = reduce(lambda a, b: a + b, [F.size(f"t_{i}") for i in range(len(self.fields))])
-        words = f"{self.folder}/{self.versions.new('words')}"
-        t.withColumn("len", size).write.option("compression", "zstd").parquet(words)
-        t = self.spark.read.parquet(words)
-        grouped = t.mapInArrow(terms_of_rows(list(self.fields.values())), "key bigint, len int, term string, tf double, places array<bigint>")
-        own = self.write(t.select("key", "len"), grouped)
-        fs, path = located(self.spark, words)
-        fs.delete(path, True)
-        return own
-
-    def write(self, rows: DataFrame, words: DataFrame) -> list[dict]:
-        """Write a segment of ``rows`` (key, len) and ``words`` (key, len, term, tf, places), one for each term of a row."""
-        counts = {r["c"]: r for r in rows.groupBy(length_class(F.col("len")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("words")).collect()}  # some 130 classes at the most
+        # no term holds a space
+        return self.write(t.select("key", size.alias("len"), *[F.array_join(f"t_{i}", " ").alias(f"t_{i}") for i in range(len(self.fields))]))
+
+    def write(self, words: DataFrame) -> list[dict]:
+        """Write a segment of rows (key, len, t_0, t_1, ...), with each field's words in order.
+
+        Rows meet once, lot by lot: a task turns whole lots into posting rows, so that no posting is shuffled.
+        """
+        name = self.versions.new("segment")
+        words.write.option("compression", "zstd").parquet(f"{self.folder}/{name}/words")
+        words = self.spark.read.parquet(f"{self.folder}/{name}/words")
+        counts = {r["c"]: r for r in words.groupBy(length_class(F.col("len")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("words")).collect()}  # some 130 classes at the most
         total, size = sum(int(r["n"]) for r in counts.values()), sum(int(r["words"]) for r in counts.values())
         if not total:
+            fs, path = located(self.spark, f"{self.folder}/{name}")
+            fs.delete(path, True)
             return []
-        name = self.versions.new("segment")
-        lots = [-(-int(counts[c]["n"]) // self.lot_rows) if c in counts else 1 for c in range(max(counts) + 1)]
+        lots = [max(-(-int(counts[c]["n"]) // self.lot_rows), -(-int(counts[c]["words"]) // LOT_WORDS)) if c in counts else 1 for c in range(max(counts) + 1)]
         firsts = [sum(lots[:c]) for c in range(len(lots))]
         own = lambda xs: F.get(F.array(*[F.lit(x).cast("long") for x in xs]), length_class(F.col("len")))
         lot = own(firsts) + F.pmod(F.xxhash64("key"), own(lots))  # follows from a row's key and size alone
-        rows.withColumn("lot", lot).write.option("compression", "zstd").parquet(f"{self.folder}/{name}/rows")
+        words.select("key", "len", lot.alias("lot")).write.option("compression", "zstd").parquet(f"{self.folder}/{name}/rows")
         tasks = max(-(-size * 8 // self.task_bytes), min(self.spark.sparkContext.defaultParallelism, -(-size * 8 // (1 << 20))), 1)
         parts = math.isqrt(tasks - 1) + 1
-        deals = 4 * -(-tasks // parts)  # lots of a part go to several tasks, so that a frequent term is split
-        x = words.withColumn("lot", lot).withColumns({"part": (F.crc32(F.encode("term", "UTF-8")) % parts).cast("int"), "deal": (F.col("lot") % deals).cast("int")}).repartition(tasks, "part", "deal")
         avg = max(size / total, 1e-9)
-        blocks = x.groupBy("part", "deal", "lot", "term").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(saturation(F.col("tf"), F.col("len"), avg)).alias("most"), F.collect_list(F.struct("key", "len", "tf", "places")).alias("own"))
-        blocks = blocks.select("part", "term", "lot", "n", "most", *[F.col(f"own.{c}").alias(c) for c in ("key", "len", "tf", "places")])
+        # a frequent term's lots lie in several tasks, so that it is split
+        x = words.withColumn("lot", lot).repartition(tasks, "lot").sortWithinPartitions("lot")
+        blocks = x.mapInArrow(inverted(list(self.fields.values()), avg), "term string, lot bigint, n int, most double, key array<bigint>, len array<int>, tf array<double>, places array<array<bigint>>")
+        blocks = blocks.withColumn("part", (F.crc32(F.encode("term", "UTF-8")) % parts).cast("int"))
         blocks.sortWithinPartitions("part", "term", "lot").write.partitionBy("part").option("compression", "zstd").parquet(f"{self.folder}/{name}/postings")
         return [{"name": name, "rows": total, "words": size, "avg": avg, "parts": parts, "dead": []}]
 
@@ -169,8 +175,7 @@ class Postings:
         if not chosen:
             return False
         names = {s["name"] for s in chosen}
-        words = self.alive(opened(self.read("postings", chosen), "key", "len", "tf", "places"), chosen)
-        merged = self.write(self.documents(chosen).select("key", "len"), words.select("key", "len", "term", "tf", "places"))
+        merged = self.write(self.alive(self.read("words", chosen), chosen, ["segment", "key"]).drop("segment"))
         self.versions.commit(state | {"segments": [s for s in state["segments"] if s["name"] not in names] + merged})
         return True
 
@@ -275,35 +280,64 @@ class Postings:
         chosen = [(r["segment"], int(r["lot"])) for r in bounds.select("segment", "lot").limit(few + 1).collect()]
         if len(chosen) <= few:
             return named(chosen)
-        return lambda b: b.join(bounds.select("segment", "lot"), ["segment", "lot"], "left_semi")
+        chosen = bounds.select("segment", "lot")
+        if chosen.limit(FEW + 1).count() <= FEW:
+            chosen = F.broadcast(chosen)
+        return lambda b: b.join(chosen, ["segment", "lot"], "left_semi")
 
 
-def terms_of_rows(weights: list[float]):
-    """Batches of (key, t_0, t_1, ..., len), a row's words by field, to one row for each term of a row."""
+def inverted(weights: list[float], avg: float):
+    """Batches of (key, len, t_0, t_1, ..., lot), in order of lots, to one posting row for each term of a lot."""
 
     def run(batches):
-        for whole in batches:
-            step = max(1, int(whole.num_rows * (16 << 20) / max(1, whole.nbytes)))
-            for i in range(0, whole.num_rows, step):
-                yield from one(whole.slice(i, step))
-
-    def one(b):
-        if b.num_rows:
-            fields = [b.column(i + 1) for i in range(len(weights))]
-            sizes = [np.diff(np.asarray(f.offsets)) for f in fields]
-            words = pa.concat_arrays([f.flatten() for f in fields]).dictionary_encode()
-            doc = np.concatenate([np.repeat(np.arange(b.num_rows), n) for n in sizes])
-            at = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (i << 40) for i, n in enumerate(sizes)])
-            weight = np.concatenate([np.full(n.sum(), w, np.float64) for n, w in zip(sizes, weights, strict=True)])
-            code = np.asarray(words.indices)
-            if not len(code):
-                return
-            order = np.lexsort((at, code, doc))
-            doc, code, at, weight = doc[order], code[order], at[order], weight[order]
-            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])
-            places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(at.astype(np.int64)))
-            own = pa.array(doc[first])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(len(weights) + 1).take(own), words.dictionary.take(pa.array(code[first])), pa.array(np.add.reduceat(weight, first)), places], names=["key", "len", "term", "tf", "places"])
+        held, size = [], 0
+        for b in batches:
+            for p in range(0, b.num_rows, step := max(1, int(b.num_rows * HELD / max(1, b.nbytes)))):
+                held.append(b.slice(p, step))
+                size += held[-1].nbytes
+                if size > HELD:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    lots = np.asarray(t.column("lot").combine_chunks())
+                    whole = int(np.searchsorted(lots, lots[-1]))  # the last lot may go on
+                    if whole:
+                        yield from one(t.slice(0, whole))
+                    held = [pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in x.columns], names=x.schema.names) for x in t.slice(whole).to_batches()]
+                    size = sum(x.nbytes for x in held)
+        if held:
+            yield from one(pa.Table.from_batches(held))
+
+    def one(t):
+        t = t.combine_chunks()
+        key, size, lot = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "len", "lot"))
+        fields = [pc.split_pattern(t.column(f"t_{i}").combine_chunks(), " ") for i in range(len(weights))]
+        sizes = [np.diff(np.asarray(f.offsets)) for f in fields]
+        words = pa.concat_arrays([f.flatten() for f in fields])
+        doc = np.concatenate([np.repeat(np.arange(len(key)), n) for n in sizes])
+        at = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (i << 40) for i, n in enumerate(sizes)])
+        weight = np.concatenate([np.full(n.sum(), w, np.float64) for n, w in zip(sizes, weights, strict=True)])
+        there = pc.not_equal(words, "")  # the one part of a field without words
+        words = words.filter(there).dictionary_encode()
+        there = np.asarray(there.to_numpy(zero_copy_only=False))
+        doc, at, weight, code = doc[there], at[there], weight[there], np.asarray(words.indices)
+        if not len(code):
+            return
+        order = np.lexsort((at, doc, code, lot[doc]))
+        doc, code, at, weight = doc[order], code[order], at[order], weight[order]
+        # a posting is a term in a row, a block a term in a lot
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])
+        row, term, tf = doc[first], code[first], np.add.reduceat(weight, first)
+        gain = tf / (tf + 1.2 * (0.25 + 0.75 * size[row] / avg))
+        block = np.flatnonzero(np.r_[True, (lot[row][1:] != lot[row][:-1]) | (term[1:] != term[:-1])])
+        ends = np.r_[block, len(row)].astype(np.int32)
+        most, n = np.maximum.reduceat(gain, block), np.diff(ends)
+        places, per = np.r_[first, len(at)], max(1, int(len(block) * (1 << 20) / max(1, len(at))))
+        for i in range(0, len(block), per):  # some megabytes at a time
+            j = min(len(block), i + per)
+            p, q = ends[i], ends[j]
+            off = pa.array(ends[i : j + 1] - p)
+            inner = pa.ListArray.from_arrays(pa.array((places[p : q + 1] - places[p]).astype(np.int32)), pa.array(at[places[p] : places[q]].astype(np.int64)))
+            lists = [pa.array(key[row[p:q]].astype(np.int64)), pa.array(size[row[p:q]].astype(np.int32)), pa.array(tf[p:q]), inner]
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[block[i:j]])), pa.array(lot[row[block[i:j]]].astype(np.int64)), pa.array(n[i:j].astype(np.int32)), pa.array(most[i:j]), *[pa.ListArray.from_arrays(off, x) for x in lists]], names=["term", "lot", "n", "most", "key", "len", "tf", "places"])
 
     return run
 

@@ -131,3 +131,24 @@ def test_frequent_terms_are_split(spark, tmp_path):
     files = [p for p in (tmp_path / own.state()["segments"][0]["name"] / "postings").rglob("*.parquet")]
     held = [n for p in files if (n := spark.read.parquet(str(p)).where("term = 'the'").count())]
     assert len(held) > 3
+
+
+def test_merging_reads_words_and_shuffles_no_postings(spark, tmp_path):
+    own = index(spark, tmp_path)
+    for a in range(3):
+        own.change(added=frame(spark, {k: f"the quick {'dog ' * a}" for k in range(a * 5, a * 5 + 5)}))
+    before = ranks(own.search([["the"], ["dog"]]))
+    for s in own.state()["segments"]:
+        for p in (tmp_path / s["name"] / "postings").rglob("*.parquet"):
+            p.write_bytes(b"unreadable")
+    assert own.compact(3) and ranks(own.search([["the"], ["dog"]])) == before
+
+
+def test_lots_that_go_on_in_the_next_batch(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "HELD", 40)
+    rows = pa.record_batch({"key": [1, 2, 3, 4, 5], "len": pa.array([2, 3, 0, 2, 1], pa.int32()), "t_0": ["a b", "a a c", "", "b a", "a"], "t_1": ["", "", "", "", ""], "lot": [7, 7, 7, 8, 8]})
+    out = [r for b in lexical.inverted([1.5, 4.0], 2.0)([rows.slice(i, 1) for i in range(5)]) for r in b.to_pylist()]
+    assert [(r["lot"], r["term"], r["n"], r["key"], r["tf"], r["places"]) for r in sorted(out, key=lambda r: (r["lot"], r["term"]))] == [
+        (7, "a", 2, [1, 2], [1.5, 3.0], [[0], [0, 1]]), (7, "b", 1, [1], [1.5], [[1]]), (7, "c", 1, [2], [1.5], [[2]]), (8, "a", 2, [4, 5], [1.5, 1.5], [[1], [0]]), (8, "b", 1, [4], [1.5], [[0]])]
