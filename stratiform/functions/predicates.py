@@ -99,15 +99,29 @@ SCRIPTS = {
 }
 
 
+def characters(text: Column, kind: str) -> Column:
+    """How many characters of a class a text has; runs of them are taken out, as each match by itself would become a string."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+
+
+def once(values: dict[str, Column], make) -> Column:
+    """``make(struct of values)``, for which each value is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), make), 0)
+
+
 def script_counts(text: Column) -> dict[str, Column]:
     """How many letters of each script a text has; letters of none of them are other."""
-    n = {k: F.regexp_count(text, F.lit(f"[{v}]")) for k, v in SCRIPTS.items()}
-    return n | {"other": F.regexp_count(text, F.lit(r"[\p{IsAlphabetic}&&[^" + "".join(SCRIPTS.values()) + "]]"))}
+    n = {k: characters(text, f"[{v}]") for k, v in SCRIPTS.items()}
+    return n | {"other": characters(text, r"[\p{IsAlphabetic}&&[^" + "".join(SCRIPTS.values()) + "]]")}
 
 
 def mixed_scripts(text: Column) -> Column:
     """CJK beside much of other letters or of two more scripts, which decoding faults give."""
-    n = script_counts(text)
+    return once(script_counts(text), lambda x: mixed({k: x[k] for k in (*SCRIPTS, "other")}))
+
+
+def mixed(n: dict[str, Column]) -> Column:
+    """The same of counted letters."""
     total = reduce(lambda a, b: a + b, n.values())
     much = {k: (v >= 6) & (v * 100 >= total * 12) for k, v in n.items()}
     named = reduce(lambda a, b: a + b, [much[k].cast("int") for k in ("cyrillic", "arabic", "hebrew", "greek")])
@@ -116,10 +130,14 @@ def mixed_scripts(text: Column) -> Column:
 
 def readable(text: Column) -> Column:
     """Page gate: enough word characters, few suspicious ones, no mix of scripts."""
-    visible = F.length(F.regexp_replace(text, r"\s", ""))
-    word = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]"))
-    odd = F.regexp_count(text, F.lit(r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FFF0}-\x{FFFF}\x{E000}-\x{F8FF}\p{Cc}&&[^\s]]"))
-    return F.when(visible < 24, (word >= 1) & (odd == 0)).otherwise((word * 100 >= visible * 45) & (odd * 100 <= visible * 10) & ~mixed_scripts(text))
+    n = script_counts(text) | {
+        "visible": F.length(F.regexp_replace(text, r"\s+", "")),
+        "word": characters(text, r"[\p{L}\p{N}]"),
+        "odd": characters(text, r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FFF0}-\x{FFFF}\x{E000}-\x{F8FF}\p{Cc}&&[^\s]]"),
+    }
+    few = lambda x: (x["word"] >= 1) & (x["odd"] == 0)
+    many = lambda x: (x["word"] * 100 >= x["visible"] * 45) & (x["odd"] * 100 <= x["visible"] * 10) & ~mixed({k: x[k] for k in (*SCRIPTS, "other")})
+    return once(n, lambda x: F.when(x["visible"] < 24, few(x)).otherwise(many(x)))
 
 
 def target(s: Column) -> Column:
