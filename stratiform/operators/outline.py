@@ -15,11 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..streaming.stateful import fold_sorted
+from .batches import map_frames
 from .chunk import ATX, FENCE, ITEM
 
 #: State between lines: normal (also inside a paragraph, which only the next line's start depends on), behind a heading whose underline comes next, or a fence (its letter and length).
 NORMAL, PARAGRAPH, UNDERLINE = "n", "p", "u"
 LEVELS = 6
+#: Rows handed on together; segments are far smaller where lines are few.
+ROWS = 20_000
 
 
 def underlined(line: str, following: str | None) -> int:
@@ -124,20 +127,25 @@ def line_outline(docs: DataFrame, key: str = "doc_id", text: str = "text", segme
         for f in frames:
             yield pd.DataFrame({"id": f["id"], "segment": f["segment"], "sums": [summary(list(x), y) for x, y in zip(f["lines"], f["following"], strict=True)], "chars": [sum(len(s) + 1 for s in x) for x in f["lines"]]})
 
-    sums = segments.mapInPandas(sum_up, "id bigint, segment int, sums string, chars bigint")
+    sums = map_frames(segments, sum_up, "id bigint, segment int, sums string, chars bigint")
     entered = fold_sorted(sums, ["id"], ["segment"], lambda: Offsets(Chain()), "id bigint, segment int, state string, stack array<string>, start bigint")
 
     def line_rows(frames):
+        columns = ["id", "line_no", "start", "n_chars", "begins", "inside", "heading_path"]
         for f in frames:
+            rows = []
             for r in f.to_dict("records"):
-                stack, at, rows = list(r["stack"]), int(r["start"]), []
+                stack, at = list(r["stack"]), int(r["start"])
                 for i, (line, (_, begins, inside, heading)) in enumerate(zip(r["lines"], read(list(r["lines"]), r["state"], r["following"]), strict=True)):
                     stack = put(stack, heading) if heading else stack
                     rows.append((r["id"], int(r["segment"]) * n + i, at, len(line), begins, inside, stack))
                     at += len(line) + 1
-                yield pd.DataFrame(rows, columns=["id", "line_no", "start", "n_chars", "begins", "inside", "heading_path"])
+                if len(rows) > ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
-    rows = segments.join(entered, ["id", "segment"]).mapInPandas(line_rows, "id bigint, line_no bigint, start bigint, n_chars int, begins boolean, inside boolean, heading_path array<string>")
+    rows = map_frames(segments.join(entered, ["id", "segment"]), line_rows, "id bigint, line_no bigint, start bigint, n_chars int, begins boolean, inside boolean, heading_path array<string>")
     return rows.withColumnRenamed("id", key)
 
 
