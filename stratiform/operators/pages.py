@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import predicates as P
+from .batches import map_frames
 
 TARGET, SENTENCE, CAPACITY = 700, 280, 1200
 ENDS = tuple(".!?;:。！？；：")
@@ -65,7 +66,7 @@ def clean_pages(docs: DataFrame, key: str = "doc_id", pages: str = "pages") -> D
             rows = [(k, i + 1, p) for k, ps in zip(f[key], f[pages], strict=True) if ps is not None for i, p in enumerate(without_edges([[" ".join(x.split()) for x in q] for q in ps]))]
             yield pd.DataFrame(rows, columns=[key, "page", "lines"])
 
-    return docs.select(key, pages).mapInPandas(clean, f"{key} {docs.schema[key].dataType.simpleString()}, page int, lines array<string>")
+    return map_frames(docs.select(key, pages), clean, f"{key} {docs.schema[key].dataType.simpleString()}, page int, lines array<string>")
 
 
 def page_chunks(docs: DataFrame, key: str = "doc_id", pages: str = "pages") -> DataFrame:
@@ -78,4 +79,4 @@ def page_chunks(docs: DataFrame, key: str = "doc_id", pages: str = "pages") -> D
 
     kind = docs.schema[key].dataType.simpleString()
     kept = clean_pages(docs, key, pages).where(P.readable(F.array_join("lines", "\n")))
-    return kept.mapInPandas(cut, f"{key} {kind}, page int, chunk int, text string")
+    return map_frames(kept, cut, f"{key} {kind}, page int, chunk int, text string")
