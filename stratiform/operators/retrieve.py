@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import predicates
 
 # Limits of one search.
 MOST_HITS, EXPANSION, FEWEST_CANDIDATES, FEWEST_A_QUERY = 20, 8, 24, 12
-#: Query vectors that meet all rows at once; more are dealt to blocks.
-QUERY_BLOCK = 10_000
+#: Query vectors of a block, and rows of a shard, that a task holds at once; more are dealt to several.
+QUERY_BLOCK = SHARD_ROWS = 40_000
+SLACK = 1e-9  # rounding of a matrix product never hides a row
 
 
 def candidate_limit(k: int) -> int:
@@ -52,25 +56,124 @@ def pseudo_distance(score: Column) -> Column:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = QUERY_BLOCK, shards: int | None = None) -> DataFrame:
-    """(query, key, distance, rank), exact: every query against all rows but its own.
+    """(query, key, distance, rank), exact: every query against all rows but its own. Keys are whole numbers.
 
-    Queries are counted; up to ``block`` of them are broadcast, more are dealt to blocks
-    that each meet all rows, dealt to ``shards`` (so many that all cores have some). Every task keeps its best ``k`` of a query before the exchange.
+    Rows are dealt to ``shards`` (so many that all cores have some and none holds more than ``SHARD_ROWS`` or so), queries to
+    blocks of about ``block``; each block meets each shard once, as matrices, and leaves its best ``k`` of a query there.
+    Vectors that can't be compared (null, of another length, holding a null) have a null distance and come last, those
+    without a direction before them.
     """
-    own = vectors.select(key, F.col(vector).alias("v"), dot(F.col(vector), F.col(vector)).alias("vv"))
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), dot(F.col(vector), F.col(vector)).alias("qq"))
+    usable = lambda d, *names: d.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).where("key is not null").toDF(*names)
+    own, q = usable(vectors, "key", "v"), usable(queries, "query", "qv")
     blocks = max(1, -(-queries.count() // block))
-    apart = F.col(key) != F.col("query")
-    if blocks == 1:
-        pairs = own.join(F.broadcast(q), apart)
-    else:
-        shards = shards or max(1, -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // blocks))
-        q = q.withColumns({"qb": F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"), "qs": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
-        own = own.withColumns({"b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "s": F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")})
-        pairs = own.join(q, (F.col("b") == F.col("qb")) & (F.col("s") == F.col("qs")) & apart)
-    d = pairs.select("query", key, (1 - dot(F.col("qv"), F.col("v")) / F.sqrt(F.col("qq") * F.col("vv"))).alias("distance"))
-    w = Window.partitionBy("query").orderBy("distance", key)
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    shards = shards or max(-(-vectors.count() // SHARD_ROWS), -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // blocks))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = own.withColumns({"b": every(blocks), "s": dealt("key", shards)}).repartition(blocks * shards, "b", "s")
+    q = q.withColumns({"b": dealt("query", blocks), "s": every(shards)}).repartition(blocks * shards, "b", "s")
+    d = own.groupBy("b", "s").cogroup(q.groupBy("b", "s")).applyInArrow(nearest_in(k), "query bigint, key bigint, distance double")
+    w = Window.partitionBy("query").orderBy(F.asc_nulls_last("distance"), "key")
+    kinds = [F.col(a).cast(t).alias(n) for a, n, t in (("query", "query", queries.schema[key].dataType), ("key", key, vectors.schema[key].dataType))]
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*kinds, "distance", "rank")
+
+
+def by_length(keys: pa.ChunkedArray, vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
+    """(keys in order, length of each's vector or -1, rows and matrix of each length)."""
+    keys, col = np.asarray(keys), vectors.combine_chunks()
+    order = np.argsort(keys, kind="stable")
+    length = np.asarray(pc.fill_null(pc.list_value_length(col), -1)).astype(np.int64)
+    owner, there = np.asarray(pc.list_parent_indices(col)), np.asarray(pc.is_valid(pc.list_flatten(col)))
+    length[owner[~there]] = -1
+    length = length[order]
+    found = {}
+    for n in np.unique(length[length >= 0]).tolist():
+        rows = np.flatnonzero(length == n)
+        flat = pc.list_flatten(col.take(pa.array(order[rows])))
+        found[n] = rows, np.asarray(pc.cast(flat, pa.float64(), safe=False)).reshape(len(rows), n)
+    return keys[order], length, found
+
+
+def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows of transposed matrices, added up from the first component on as ``dot`` does."""
+    out = np.zeros(a.shape[1])
+    for x, y in zip(a, b, strict=True):
+        out += x * y
+    return out
+
+
+def nearest_in(k: int, rows_at_once: int = 2048, queries_at_once: int = 256):
+    """The best ``k`` rows of each query in a shard.
+
+    One matrix product for some rows and queries says which pairs may be among the best; the distances of these
+    are then added up in one fixed order, so that equal vectors have equal distances wherever they lie.
+    """
+
+    def run(rows: pa.Table, queries: pa.Table):
+        if not rows.num_rows or not queries.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        with np.errstate(all="ignore"):
+            return found(by_length(rows["key"], rows["v"]), by_length(queries["query"], queries["qv"]))
+
+    def found(rows, queries):
+        (keys, length, groups), (ids, q_length, q_groups) = rows, queries
+        out = []
+        for n in np.unique(q_length).tolist():
+            at, q = q_groups[n] if n >= 0 else (np.flatnonzero(q_length < 0), None)
+            other = keys[length != n] if n >= 0 else keys  # smaller keys first
+            own = compared(groups[n], q) if n in groups else None
+            for i in range(0, len(at), queries_at_once):
+                some = at[i : i + queries_at_once]
+                best = own(keys, ids[some], i) if own else None
+                j, key, d = best or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                lack = np.flatnonzero(np.bincount(j, minlength=len(some)) < k) if len(other) else ()
+                none = [other[other != ids[some[x]]][:k] for x in lack]
+                out.append((ids[some[j]], key, d, np.zeros(len(j), bool)))
+                out += [(np.full(len(x), ids[some[y]]), x, np.zeros(len(x)), np.ones(len(x), bool)) for x, y in zip(none, lack, strict=True)]
+        query, key, d, null = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"query": pa.array(query.astype(np.int64)), "key": pa.array(key.astype(np.int64)), "distance": pa.array(d, mask=null)})
+
+    def compared(group, q):
+        """A function of (keys, ids, first): places of the queries from the first on, keys and distances of their best rows."""
+        place, m = group
+        m, q = np.ascontiguousarray(m.T), np.ascontiguousarray(q.T)
+        mm, qq = summed(m, m), summed(q, q)
+        plain, q_plain = ((x > 1e-200) & (x < 1e200) for x in (mm, qq))  # the product's error is bounded for these
+        unit, q_unit = (np.where(ok, x / np.sqrt(xx), 0.0) for x, xx, ok in ((m, mm, plain), (q, qq, q_plain)))
+
+        def best(keys, ids, first):
+            span, own_keys = slice(first, first + len(ids)), keys[place]
+            kth = np.full(len(ids), -np.inf)  # no less likeness is wanted
+            j = key = np.zeros(0, np.int64)
+            d = np.zeros(0)
+            for i in range(0, len(place), rows_at_once):
+                part = slice(i, i + rows_at_once)
+                like, ok = unit[:, part].T @ q_unit[:, span], plain[part]
+                low, high = (np.searchsorted(own_keys[part], ids, side) for side in ("left", "right"))
+                for x in np.flatnonzero(high > low):
+                    like[low[x] : high[x], x] = -np.inf
+                if ok.sum() >= k:
+                    kth = np.maximum(kth, np.partition(like[ok] if not ok.all() else like, -k, axis=0)[-k] - SLACK) if np.isneginf(kth).any() else kth
+                near = like >= kth
+                near[~ok], near[:, ~q_plain[span]] = True, True
+                r, c = np.nonzero(near)
+                apart = own_keys[part][r] != ids[c]
+                r, c = r[apart] + i, c[apart]
+                if not len(r):
+                    continue
+                exact = 1 - summed(m[:, r], q[:, c + first]) / np.sqrt(qq[c + first] * mm[r])
+                j, key, d = np.concatenate([j, c]), np.concatenate([key, own_keys[r]]), np.concatenate([d, exact])
+                order = np.lexsort((key, d, j))  # not a number comes last
+                j, key, d = j[order], key[order], d[order]
+                n = np.bincount(j, minlength=len(ids))
+                rank = np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)
+                last = (rank == k - 1) & ~np.isnan(d)
+                kth[j[last]] = np.maximum(kth[j[last]], 1 - d[last] - SLACK)
+                j, key, d = j[rank < k], key[rank < k], d[rank < k]
+            return j, key, d
+
+        return best
+
+    return run
 
 
 def best_of(hits: list[DataFrame], key: str) -> DataFrame:

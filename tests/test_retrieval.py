@@ -4,6 +4,7 @@ import math
 import random
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -127,3 +128,28 @@ def test_line_window(spark, start, count, want):
     df = spark.createDataFrame([("a\r\nb\n\n",)], "t string")
     w = df.select(tools.line_window(F.col("t"), F.lit(start), F.lit(count)).alias("w")).first().w
     assert (w and (w.line_start, w.line_end, w.lines)) == want
+
+
+def test_odd_vectors_come_last_and_no_pair_is_a_row_of_the_plan(spark):
+    """Numbers first, then vectors without a direction, then those that can't be compared, by key each, as in DuckDB."""
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, 2.0]), (3, [3.0, 1.0]), (4, [2.0, 4.0, 1.0]), (5, [None, 1.0]), (6, [1.0, 2.0]), (50, [0.0, 0.0]), (100, None), (7, [-1.0, -2.0]), (None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "k long, v array<float>")
+    for block, shards in ((40_000, None), (2, 3)):
+        found = retrieve.knn(df, df.where("k % 50 = 0"), "k", "v", 9, block, shards)
+        got = {}
+        for r in found.orderBy("query", "rank").collect():
+            got.setdefault(r.query, []).append((r.k, r.distance))
+        assert [k for k, _ in got[0]] == [2, 6, 3, 7, 50, 1, 4, 5, 100] and [k for k, _ in got[100]] == [0, 1, 2, 3, 4, 5, 6, 7, 50]
+        assert got[0][0][1] == got[0][1][1] and got[0][4][1] != got[0][4][1] and all(d is None for _, d in got[0][5:] + got[100])
+        assert [k for k, _ in got[50]] == [0, 2, 3, 6, 7, 1, 4, 5, 100]
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_copies_keep_smaller_keys(spark):
+    rng = np.random.default_rng(5)
+    m = np.float32(rng.normal(size=(7, 16)))[rng.integers(7, size=900)]
+    df = spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in enumerate(m)], "k long, v array<float>")
+    got = {}
+    for r in retrieve.knn(df, df.where("k % 90 = 0"), "k", "v", 4, 4, 3).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.k)
+    assert got == {q: [k for k in range(900) if k != q and (m[k] == m[q]).all()][:4] for q in range(0, 900, 90)}
