@@ -65,7 +65,7 @@ class Postings:
     indexed. Positions of different fields are far apart, so that no phrase crosses fields.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: str, fields: dict[str, float], lot_rows: int = 256, task_bytes: int = 32 << 20):
+    def __init__(self, spark: SparkSession, folder: str, key: str, fields: dict[str, float], lot_rows: int = 256, task_bytes: int = 8 << 20):
         self.spark, self.key, self.fields, self.lot_rows, self.task_bytes = spark, key, fields, lot_rows, task_bytes
         self.versions = Versions(spark, folder)
         self.folder = self.versions.folder
@@ -156,7 +156,7 @@ class Postings:
         lot = own(firsts) + F.pmod(F.xxhash64("key"), own(lots))  # follows from a row's key and size alone
         words.select("key", "len", lot.alias("lot")).write.option("compression", "zstd").parquet(f"{self.folder}/{name}/rows")
         tasks = max(-(-size * 8 // self.task_bytes), min(self.spark.sparkContext.defaultParallelism, -(-size * 8 // (1 << 20))), 1)
-        parts = math.isqrt(tasks - 1) + 1
+        parts = math.isqrt((tasks - 1) // 4) + 1  # tasks are small, as their posting rows are sorted in memory; parts need not be
         avg = max(size / total, 1e-9)
         # a frequent term's lots lie in several tasks, so that it is split
         x = words.withColumn("lot", lot).repartition(tasks, "lot").sortWithinPartitions("lot")

@@ -54,7 +54,7 @@ def followed_corpus(spark, sf):
         if changed:
             d = d.where("doc_id % 7 <> 3").withColumn("text", F.when(F.col("doc_id") % 5 == 2, F.concat(F.replace("text", F.lit("e"), F.lit("oe")), F.lit("\nend"))).otherwise(F.col("text")))
         d = d.select(F.col("absolute_path").alias("path"), "text", F.octet_length("text").cast("long").alias("size_bytes"), F.col("modified_at_ms") + F.when(F.lit(changed), F.col("doc_id") % 2).otherwise(0), F.md5("text").alias("content_md5"), F.lit("v1").alias("fingerprint"), (F.col("lang") != "es").alias("eligible"), (F.trim("text") != "").alias("has_text"))
-        return d.toDF("path", "text", "size_bytes", "modified_at_ms", "content_md5", "fingerprint", "eligible", "has_text").join(paths, "path", "left_semi")
+        return d.toDF("path", "text", "size_bytes", "modified_at_ms", "content_md5", "fingerprint", "eligible", "has_text").join(paths.hint("shuffle_hash"), "path", "left_semi")
 
     def build(t, folder):
         c = Corpus(spark, folder, _lines)
@@ -65,7 +65,8 @@ def followed_corpus(spark, sf):
 
     c = Corpus(spark, shared.built(corpus(spark, sf).select("absolute_path"), "corpus", build), _lines)
     indexed = c.postings.documents(c.postings.state()["segments"]).select(F.col("key").alias("chunk_key"), F.lit(1).alias("indexed"))
-    return c.chunks().join(indexed, "chunk_key", "left").groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk_text")).alias("n_chars"), F.count("indexed").alias("n_indexed"))
+    lengths = lambda rows: rows.select("path", "log", "chunk_key", F.length("chunk_text").alias("n"))
+    return c.chunks(own=lengths).join(indexed, "chunk_key", "left").groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n_chars"), F.count("indexed").alias("n_indexed"))
 
 
 @query("SELECT conv_id || '/' || turn || '/' || md5(text) AS body, nullif(text, '') AS content, text AS arguments, 'find' AS name, 'stop' AS finish_reason FROM conversations WHERE text IS NOT NULL")

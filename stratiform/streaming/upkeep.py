@@ -49,11 +49,11 @@ class Corpus:
         newest = rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "path"]), "log").alias("f"))
         return newest.select("path", "f.*").where("not gone")
 
-    def chunks(self, logs: list[str] | None = None, files: DataFrame | None = None) -> DataFrame:
-        """The chunks of the files as they are now."""
+    def chunks(self, logs: list[str] | None = None, files: DataFrame | None = None, own: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """The chunks of the files as they are now. ``own`` is done to the stored rows before they meet the files, where it may put less in place of their texts; it keeps path and log."""
         logs = self.state()["logs"] if logs is None else logs
         files = self.files(logs) if files is None else files
-        return self.read("chunks", CHUNK, logs).join(files.select("path", "log"), ["path", "log"]).drop("log")
+        return own(self.read("chunks", CHUNK, logs)).join(files.select("path", "log"), ["path", "log"]).drop("log")
 
     def apply(self, events: DataFrame, look: Callable[[DataFrame], DataFrame], batch: tuple[str, int]) -> bool:
         """Bring the paths of a batch of ``events`` (path) up to date; False if the batch has been applied.
@@ -67,30 +67,31 @@ class Corpus:
         logs, name = state["logs"], f"batch-{batch[0]}-{batch[1]:012d}"
         log = f"{self.folder}/{name}"
         fs, done = located(self.spark, f"{log}/chunks/_SUCCESS")
-        if not fs.exists(done):
+        if not fs.exists(done) or not fs.exists(located(self.spark, f"{log}/files/_SUCCESS")[1]):
             self.stage(events, look, logs, log, state["keys"])
         files, chunks = self.spark.read.schema(FILE).parquet(f"{log}/files"), self.spark.read.schema(CHUNK).parquet(f"{log}/chunks")
         old = self.chunks(logs, self.files(logs).join(files.select("path"), "path", "left_semi")) if logs else None
         self.postings.change(added=chunks.select("chunk_key", "chunk_text"), removed=old, batch=batch)
-        self.versions.commit(state | {"logs": [*logs, name], "batches": state["batches"] | {batch[0]: batch[1]}, "keys": state["keys"] + chunks.count()})
+        self.versions.commit(state | {"logs": [*logs, name], "batches": state["batches"] | {batch[0]: batch[1]}, "keys": max(state["keys"], (chunks.agg(F.max("chunk_key")).first()[0] or 0) + 1)})
         return True
 
     def stage(self, events: DataFrame, look, logs: list[str], log: str, keys: int) -> None:
-        """Write a batch's changed files and their chunks. Files whose content is the same keep the row and the chunks they have."""
+        """Write a batch's changed files and their chunks. Files whose content is the same keep the row and the chunks they have.
+
+        Texts are moved and sorted by nothing but ``look``: plans meet them in hash tables of paths, and a chunk's key,
+        from ``keys`` on, is that of its place in the writing tasks, so that keys are unique but not without gaps.
+        """
         stored = self.files(logs)
         paths = events.select("path").where(F.col("path").isNotNull()).distinct()
         found = look(paths)
         plans = index.event_plans(paths, stored, found, "path")
-        new = found.join(plans.where("plan in ('reindex', 'skip_marker')").select("path"), "path", "left_semi")
+        new = found.join(plans.where("plan in ('reindex', 'skip_marker')").select("path").hint("shuffle_hash"), "path", "left_semi")
         cut = self.chunk(new.where("has_text").select("path", "text")).select("path", F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_text")
-        # generated keys need the rows once more, so these are written first
-        cut.write.mode("overwrite").parquet(f"{log}/cut")
-        cut = self.spark.read.parquet(f"{log}/cut")
-        counts = cut.groupBy("path").agg(F.count(F.lit(1)).alias("chunk_count"))
+        cut.withColumn("chunk_key", F.monotonically_increasing_id() + keys).write.mode("overwrite").parquet(f"{log}/chunks")
+        counts = self.spark.read.schema(CHUNK).parquet(f"{log}/chunks").groupBy("path").agg(F.count(F.lit(1)).alias("chunk_count"))
         row = new.join(counts, "path", "left").select("path", "size_bytes", "modified_at_ms", "content_md5", "fingerprint", F.coalesce("chunk_count", F.lit(0).cast("long")).alias("chunk_count"), F.lit(False).alias("gone"))
         gone = plans.where("plan = 'delete'").select("path", *[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in FILE.split(", ")[1:-1])], F.lit(True).alias("gone"))
         row.unionByName(gone).write.mode("overwrite").parquet(f"{log}/files")
-        index.assign_keys(cut, ["path", "chunk_index"], keys).withColumnRenamed("vector_key", "chunk_key").write.mode("overwrite").parquet(f"{log}/chunks")
 
     def follow(self, events: DataFrame, look: Callable[[DataFrame], DataFrame], name: str, checkpoint: str, **trigger):
         """Apply each batch of a stream of ``events``; ``trigger`` as for a stream's writer. Gives the running query."""

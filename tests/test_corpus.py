@@ -107,3 +107,24 @@ def test_a_stream_that_fails_and_starts_again(spark, tmp_path, monkeypatch, wher
     holds(corpus, disk)
     assert drain() is None and corpus.state()["batches"] == {"w": 1}
     holds(corpus, disk)
+
+
+def test_no_text_is_sorted_or_shuffled_for_keys(spark, tmp_path, monkeypatch):
+    """Chunks are written once, with their keys; hash tables of paths, not sorts, pick the files."""
+    disk, plans = Disk(spark), []
+    disk.files = {f"/{i}": (f"dog {i}\nfox {i}", 1) for i in range(40)}
+    corpus = Corpus(spark, str(tmp_path), cut)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    real = type(spark.range(1)).withColumn
+    monkeypatch.setattr(type(spark.range(1)), "withColumn", lambda self, name, c: plans.append(real(self, name, c)) or plans[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert corpus.apply(spark.createDataFrame([(p,) for p in disk.files], "path string"), lambda p: disk.look(p.hint("shuffle_hash")), ("w", 0))
+        keyed = [p._jdf.queryExecution().executedPlan().toString() for p in plans if "chunk_key" in p.columns and "chunk_text" in p.columns and "log" not in p.columns]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(keyed) == 1 and "Window" not in keyed[0]
+    assert keyed[0].count("ShuffledHashJoin") >= 2
+    monkeypatch.undo()
+    holds(corpus, disk)
+    assert {p.name for p in (tmp_path / "corpus" / "batch-w-000000000000").iterdir()} == {"files", "chunks"}
