@@ -3,8 +3,8 @@
 Lines within some single-character edits of each other are linked; how many is a rule
 by the length of the shorter line. A line of length l is cut into edits + 1 segments; a
 line with at most that many edits keeps one of them whole. Segments are indexed by
-(length, segment number, hash); a line looks up only the substrings of the
-multi-match-aware selection, for its own length and those down to ``edits`` less.
+(class of lengths, segment number, hash); a line looks up only the substrings of the
+multi-match-aware selection, for the class of its own length and, if they lie in another, of those down to ``edits`` less.
 Letter counts, which an edit changes by two at most, drop false partners inside the
 join; the rest is verified by a banded bit-parallel edit distance on the texts.
 """
@@ -37,56 +37,76 @@ def bands(rule) -> list[tuple[int, int, int]]:
     return [(least, below, edits) for (least, edits), below in zip(rule, [x for x, _ in rule[1:]] + [LAST], strict=True)]
 
 
-def shifts(edits: int):
-    """(less, segment, shift) of the multi-match-aware selection: which substrings can be a partner's segment."""
-    parts = edits + 1
-    for less in range(edits + 1):
-        for i in range(1, parts + 1):
-            for shift in range(max(-(i - 1), less - (parts - i)), min(i - 1, less + parts - i) + 1):
-                yield less, i, shift
+#: What stands for a segment or a probe in the literals that are exploded; columns, so that no expression is repeated.
+CODE = ("band", "e", "g", "least", "below", "j", "i", "shift")
 
 
-def chosen(n: Column, spans, codes) -> Column:
-    """By length, an array of the codes of every band whose span holds it: a literal for every stretch of lengths."""
-    cuts = sorted({x for least, below in spans for x in (least, below)})
+def grain(edits: int) -> int:
+    """Lengths from one class of partners to the next."""
+    return 4 * edits if edits < 3 else 32
+
+
+def by_band(band: Column, values) -> Column:
+    out = F.lit(values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = F.when(band == i, F.lit(v)).otherwise(out)
+    return out
+
+
+def chosen(n: Column, spans, codes, more) -> Column:
+    """By length, an array of the codes of every band whose span holds it, with those of lower classes (``more``) where partners may lie there: a literal for every stretch of lengths."""
+    cuts = sorted({x for span in spans for x in span[:2]})
     out = None
     for at, to in zip(cuts, cuts[1:], strict=False):
-        own = [c for (least, below), cs in zip(spans, codes, strict=True) if least <= at < below for c in cs]
+        own = [(c, m, span) for span, c, m in zip(spans, codes, more, strict=True) if span[0] <= at < span[1]]
         if own:
-            arr = F.array(*[F.lit(c) for c in own])
-            out = F.when((n >= at) & (n < to), arr) if out is None else out.when((n >= at) & (n < to), arr)
+            arr = lambda *lists: F.array(*[F.struct(*[F.lit(x).alias(name) for x, name in zip(c, CODE, strict=True)]) for cs in lists for c in cs])
+            few, lower = arr(*[c for c, _, _ in own]), F.lit(False)
+            for _, m, (least, _, edits) in own:
+                lower = lower | ((n - least) % grain(edits) < edits) if m else lower
+            some = F.when(lower, arr(*[c + m for c, m, _ in own])).otherwise(few) if any(m for _, m, _ in own) else few
+            out = F.when((n >= at) & (n < to), some) if out is None else out.when((n >= at) & (n < to), some)
     return out
 
 
 def keyed(classes: DataFrame, rule, probes: bool) -> DataFrame:
-    """(k, cid, x, line): one row per segment of a line, or per substring that may be a partner's segment.
+    """(k, cid, x, line, n_chars, e): one row per segment of a line, or per substring that may be a partner's segment.
+
+    Lengths are taken in classes of ``grain``, and the segments are those of a line's beginning as long as its class'
+    least length: a probe meets one class, seldom two, in place of each length that a partner may have.
+    For some number i from 1, exactly i - 1 of the edits lie before the shorter line's ith segment and none in it, so that its shift
+    is i - 1 at the most and differs from how much shorter the line is by edits + 1 - i at the most.
 
-    x holds the letter counts and, above them, the edits, how much shorter the partner is,
-    the segment's number and its shift. All keys come from one short expression over small literals, which stays in
+    x holds the letter counts and, above them, the band, the segment's number and its shift, and the
+    line's length modulo 128. All keys come from one short expression over small literals, which stays in
     generated code.
     """
-    spans, codes = [], []
-    for least, below, edits in bands(rule):
-        spans.append((least, min(LAST, below + edits) if probes else below))
-        own = shifts(edits) if probes else ((0, i, 0) for i in range(1, edits + 2))
-        codes.append([((edits * 16 + less) * 16 + i) * 32 + shift + 16 for less, i, shift in own])
-    rows = classes.select("cid", "line", "n_chars", "counts", F.explode(chosen(F.col("n_chars"), spans, codes)).alias("c"))
-    c = F.col("c")
-    edits, less, i, shift = F.shiftright(c, 13), F.shiftright(c, 9).bitwiseAND(15), F.shiftright(c, 5).bitwiseAND(15), c.bitwiseAND(31) - 16
-    rows = rows.select("cid", "line", "n_chars", "counts", edits.alias("e"), less.alias("less"), i.alias("i"), shift.alias("shift"), (F.col("n_chars") - less).alias("size"))
+    of = bands(rule)
+    spans, codes, more = [], [], []
+    for band, (least, below, edits) in enumerate(of):
+        spans.append((least, min(LAST, below + edits) if probes else below, edits))
+        code = lambda j, i, shift, own=(band, edits, grain(edits), least, min(below, 2**31 - 1)): (*own, j, i, shift)
+        own = [(i, t) for i in range(1, edits + 2) for t in (range(max(1 - i, i - 1 - edits), i) if probes else (0,))]
+        codes.append([code(0, i, t) for i, t in own])
+        more.append([code(j, i, t) for j in range(1, -(-edits // grain(edits)) + 1) for i, t in own] if probes else [])
+    rows = classes.select("cid", "line", "n_chars", "counts", F.inline(chosen(F.col("n_chars"), spans, codes, more)))
+    n, i, shift = F.col("n_chars"), F.col("i"), F.col("shift")
+    e, g, least = F.col("e"), F.col("g"), F.col("least")
+    once = lambda **cs: F.inline(F.array(F.struct(*[c.alias(name) for name, c in cs.items()])))  # noqa: E731  each is computed once, which keeps the generated code small
+    rows = rows.select("*", once(size=n - (n - least) % g - F.col("j") * g))
     if probes:
-        ok = F.lit(False)
-        for least, below, e in bands(rule):
-            ok = ok | ((F.col("e") == e) & (F.col("size") >= least) & (F.col("size") < below))
-        rows = rows.where(ok)
-    start, size = segment(F.col("size"), F.col("i"), F.col("e") + 1)
-    rows = rows.select("cid", "line", "n_chars", "counts", "e", "less", "i", "size", (start + F.col("shift")).alias("at"), size.alias("n"))
+        # how much shorter a partner of this class may be
+        lo = F.greatest(F.lit(0), n - (F.col("size") + g - 1), n - F.col("below") + 1)
+        hi = F.least(e, n - F.col("size"))
+        rows = rows.where((F.col("size") >= least) & (lo <= hi) & (shift >= lo - (e + 1 - i)) & (shift <= hi + e + 1 - i))
+    start, size = segment(F.col("size"), i, e + 1)
+    rows = rows.select("cid", "line", "n_chars", "counts", "e", "band", "i", "shift", "size", once(at=start + shift, n=size))
     if probes:
         rows = rows.where("at >= 1 and at + n - 1 <= n_chars")
-    key = F.xxhash64((F.col("size") * 64 + F.col("i")).cast("int"), F.substring("line", F.col("at"), F.col("n")))
-    head = ((F.col("at") - start + 16) * 16 + F.col("i")) * 256 + F.col("less") * 16 + F.col("e")
+    key = F.xxhash64((F.col("size") * 64 + i).cast("int"), F.substring("line", F.col("at"), F.col("n")))
+    head = (((shift + 16) * 16 + i) * 128 + F.col("n_chars") % 128) * 16 + F.col("band")
     x = F.col("counts").bitwiseOR(F.shiftleft(head.cast("long"), UP))
-    return rows.select(key.alias("k"), "cid", x.alias("x"), "line")
+    return rows.select(key.alias("k"), "cid", x.alias("x"), "line", "n_chars", "e")
 
 
 def alike_ends(a: Column, b: Column, most: Column, end: bool) -> Column:
@@ -205,29 +225,39 @@ def near(rule, la: str, lb: str, na: str, nb: str) -> Column:
 def candidates(classes: DataFrame, store: Store, rule, most: int = 16, slot: int = 4096) -> DataFrame:
     """Distinct (a, b), b the longer line or of two equally long ones the later, that share a segment and nearly all letters.
 
-    Rows of a key that more than ``most`` lines have, as templates give them, bring their
+    Rows of a key that more than ``most`` lines of one length have, as templates give them, bring their
     texts, so that their pairs are settled inside the join and a group of n lines hands on
     its links, not its n * n pairs. A key of more than ``slot`` lines is dealt to several tasks.
     """
     index, probe = keyed(classes, rule, False), keyed(classes, rule, True)
-    hot = store.put(index.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("k").alias("hot"), F.ceil(F.col("n") / slot).cast("int").alias("slots")), "hot-keys")
+    hot = index.groupBy("k", "n_chars").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    hot = store.put(hot.select(F.col("k").alias("hot"), F.col("n_chars").alias("size"), F.ceil(F.col("n") / slot).cast("int").alias("slots")), "hot-keys")
     wide = (hot.agg(F.max("slots")).first()[0] or 1) > 1
-    hot = bounded(hot)
+    # a probe of a hot key also meets the lines of other lengths, of which there are few
+    rest = hot.select("hot", F.lit(None).cast("int").alias("size"), F.lit(1).alias("slots")).distinct()
+    asked, hot = bounded(hot.unionByName(rest)), bounded(hot)
 
     def marked(rows: DataFrame) -> DataFrame:
-        return rows.join(hot, F.col("k") == F.col("hot"), "left").withColumn("line", F.when(F.col("hot").isNotNull(), F.col("line")))
+        """Lines of a hot key and length have a key of their own, and their texts."""
+        own = F.col("size").isNotNull()
+        return rows.withColumns({"k": F.when(own, F.xxhash64("k", "size")).otherwise(F.col("k")), "line": F.when(own, F.col("line"))})
 
     slots = F.coalesce("slots", F.lit(1))
-    i = marked(index).select("k", F.col("cid").alias("a"), F.col("x").alias("xa"), F.col("line").alias("la"), F.when(F.col("line").isNotNull(), F.length("line")).alias("na"), *([F.pmod(F.xxhash64("cid"), slots).cast("int").alias("s")] if wide else []))
-    p = marked(probe).select(F.col("k").alias("k2"), F.col("cid").alias("b"), F.col("x").alias("xb"), F.col("line").alias("lb"), *([F.explode(F.sequence(F.lit(0), slots - 1)).alias("s2")] if wide else []))
-    top = F.shiftright("xb", UP).bitwiseAND(255)
-    edits = top.bitwiseAND(15).cast("int")
-    once = (top >= 16) | (F.col("a") < F.col("b"))
+    i = marked(index.join(hot, (F.col("k") == F.col("hot")) & (F.col("n_chars") == F.col("size")), "left"))
+    i = i.select("k", F.col("cid").alias("a"), F.col("x").alias("xa"), F.col("line").alias("la"), F.when(F.col("line").isNotNull(), F.length("line")).alias("na"), *([F.pmod(F.xxhash64("cid"), slots).cast("int").alias("s")] if wide else []))
+    p = marked(probe.join(asked, F.col("k") == F.col("hot"), "left").where("size is null or size between n_chars - e and n_chars"))
+    p = p.select(F.col("k").alias("k2"), F.col("cid").alias("b"), F.col("x").alias("xb"), F.col("line").alias("lb"), *([F.explode(F.sequence(F.lit(0), slots - 1)).alias("s2")] if wide else []))
+    of = bands(rule)
+    length = lambda x: F.shiftright(x, UP + 4).bitwiseAND(127)
+    band = F.shiftright("xb", UP).bitwiseAND(15).cast("int")
+    edits = by_band(band, [e for _, _, e in of])
+    number, shift = F.shiftright("xb", UP + 11).bitwiseAND(15).cast("int"), (F.shiftright("xb", UP + 15).bitwiseAND(31) - 16).cast("int")
+    less = ((length(F.col("xb")) - length(F.col("xa")) + 64).bitwiseAND(127) - 64).cast("int")
+    once = (less <= edits) & (F.abs(less - shift) <= edits + 1 - number) & ((less > 0) | ((less == 0) & (F.col("a") < F.col("b"))))
     close = counts_apart(F.col("xa"), F.col("xb")) <= 2 * edits
     # a pair whose previous segment is alike at the same shift is met there
-    number, shift = F.shiftright("xb", UP + 8).bitwiseAND(15).cast("int"), (F.shiftright("xb", UP + 12).bitwiseAND(31) - 16).cast("int")
-    less = F.shiftright(top, 4).cast("int")
-    at, size = segment(F.col("na"), number - 1, edits + 1)
+    long = F.col("na") - (F.col("na") - by_band(band, [x for x, _, _ in of])) % by_band(band, [grain(e) for _, _, e in of])
+    at, size = segment(long, number - 1, edits + 1)
     there = (number > 1) & (shift >= F.greatest(2 - number, less - (edits + 2 - number))) & (shift <= F.least(number - 2, less + edits + 2 - number))
     before = there & (F.substring("la", at, size) == F.substring("lb", at + shift, size))
     on = (F.col("k") == F.col("k2")) & once & close & (F.col("la").isNull() | (~before & settled(F.col("la"), F.col("lb"), F.col("na"), F.col("na") + less, edits, rule)))

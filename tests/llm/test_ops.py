@@ -495,3 +495,10 @@ def test_pipeline_runs(spark, data, empty):
 
     assert corpus_pipeline.run(spark, data).count() > 0
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_lines_have_few_keys(spark):
+    """Partners' lengths are taken in classes: a long line has some twenty probes, not one for each length and shift."""
+    for n, most in ((300, 25), (150, 15), (40, 4)):
+        one = spark.createDataFrame([(1, "ab c" * (n // 4), n, 0)], "cid long, line string, n_chars int, counts long")
+        assert 0 < lines.keyed(one, lines.BY_LENGTH, True).count() <= most
