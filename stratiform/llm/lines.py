@@ -17,6 +17,8 @@ from .common import Store, bounded, session, text_key, text_or_empty
 
 #: Letters whose counts are compared, eight bits each. Any choice is right; frequent ones drop more.
 LETTERS = "eta"
+#: Pieces that a pair's shorter line is cut into before its distance is taken.
+PIECES = 16
 UP = 8 * len(LETTERS)  # bits of the counts; others stand above them
 #: Edits by the length of the shorter line: (from so many characters on, edits), in rising order.
 BY_LENGTH = ((20, 1), (64, 2), (128, 3), (256, 4))
@@ -37,8 +39,8 @@ def bands(rule) -> list[tuple[int, int, int]]:
     return [(least, below, edits) for (least, edits), below in zip(rule, [x for x, _ in rule[1:]] + [LAST], strict=True)]
 
 
-#: What stands for a segment or a probe in the literals that are exploded; columns, so that no expression is repeated.
-CODE = ("band", "e", "g", "least", "below", "j", "i", "shift")
+#: What stands for a band, and for a segment or a probe of it, in the literals that are exploded; columns, so that no expression is repeated.
+BAND, PLACE = ("band", "e", "g", "least", "below", "j"), ("i", "shift")
 
 
 def grain(edits: int) -> int:
@@ -53,6 +55,10 @@ def by_band(band: Column, values) -> Column:
     return out
 
 
+def literals(rows, names) -> Column:
+    return F.array(*[F.struct(*[F.lit(x).alias(name) for x, name in zip(r, names, strict=True)]) for r in rows])
+
+
 def chosen(n: Column, spans, codes, more) -> Column:
     """By length, an array of the codes of every band whose span holds it, with those of lower classes (``more``) where partners may lie there: a literal for every stretch of lengths."""
     cuts = sorted({x for span in spans for x in span[:2]})
@@ -60,11 +66,10 @@ def chosen(n: Column, spans, codes, more) -> Column:
     for at, to in zip(cuts, cuts[1:], strict=False):
         own = [(c, m, span) for span, c, m in zip(spans, codes, more, strict=True) if span[0] <= at < span[1]]
         if own:
-            arr = lambda *lists: F.array(*[F.struct(*[F.lit(x).alias(name) for x, name in zip(c, CODE, strict=True)]) for cs in lists for c in cs])
-            few, lower = arr(*[c for c, _, _ in own]), F.lit(False)
+            few, lower = literals([c for c, _, _ in own], BAND), F.lit(False)
             for _, m, (least, _, edits) in own:
                 lower = lower | ((n - least) % grain(edits) < edits) if m else lower
-            some = F.when(lower, arr(*[c + m for c, m, _ in own])).otherwise(few) if any(m for _, m, _ in own) else few
+            some = F.when(lower, literals([x for c, m, _ in own for x in [c, *m]], BAND)).otherwise(few) if any(m for _, m, _ in own) else few
             out = F.when((n >= at) & (n < to), some) if out is None else out.when((n >= at) & (n < to), some)
     return out
 
@@ -77,35 +82,45 @@ def keyed(classes: DataFrame, rule, probes: bool) -> DataFrame:
     For some number i from 1, exactly i - 1 of the edits lie before the shorter line's ith segment and none in it, so that its shift
     is i - 1 at the most and differs from how much shorter the line is by edits + 1 - i at the most.
 
-    x holds the letter counts and, above them, the band, the segment's number and its shift, and the
-    line's length modulo 128. All keys come from one short expression over small literals, which stays in
-    generated code.
+    x holds the letter counts and, above them, the band, the line's length modulo 128, the segment's number and its shift.
+    What is the same for all keys of a line and class is computed once, before they are exploded over small literals;
+    a key is one short expression then. All of it stays in generated code. A line of one byte a character is cut as
+    binary, where Spark need not count characters up to the place; the bytes that are hashed are the same either way.
     """
     of = bands(rule)
     spans, codes, more = [], [], []
     for band, (least, below, edits) in enumerate(of):
         spans.append((least, min(LAST, below + edits) if probes else below, edits))
-        code = lambda j, i, shift, own=(band, edits, grain(edits), least, min(below, 2**31 - 1)): (*own, j, i, shift)
-        own = [(i, t) for i in range(1, edits + 2) for t in (range(max(1 - i, i - 1 - edits), i) if probes else (0,))]
-        codes.append([code(0, i, t) for i, t in own])
-        more.append([code(j, i, t) for j in range(1, -(-edits // grain(edits)) + 1) for i, t in own] if probes else [])
+        code = (band, edits, grain(edits), least, min(below, 2**31 - 1))
+        codes.append((*code, 0))
+        more.append([(*code, j) for j in range(1, -(-edits // grain(edits)) + 1)] if probes else [])
     rows = classes.select("cid", "line", "n_chars", "counts", F.inline(chosen(F.col("n_chars"), spans, codes, more)))
-    n, i, shift = F.col("n_chars"), F.col("i"), F.col("shift")
-    e, g, least = F.col("e"), F.col("g"), F.col("least")
+    n, e, g, size = F.col("n_chars"), F.col("e"), F.col("g"), F.col("size")
     once = lambda **cs: F.inline(F.array(F.struct(*[c.alias(name) for name, c in cs.items()])))  # noqa: E731  each is computed once, which keeps the generated code small
-    rows = rows.select("*", once(size=n - (n - least) % g - F.col("j") * g))
+    rows = rows.select("*", once(size=n - (n - F.col("least")) % g - F.col("j") * g))
+    # how much shorter a partner of this class may be
+    lo, hi = F.lit(0), F.lit(0)
+    if probes:
+        lo = F.greatest(lo, n - (size + g - 1), n - F.col("below") + 1)
+        hi = F.least(e, n - size)
+        rows = rows.where((size >= F.col("least")) & (lo <= hi))
+    low = F.col("counts").bitwiseOR(F.shiftleft((n % 128 * 16 + F.col("band")).cast("long"), UP))
+    base, short = F.floor(size / (e + 1)).cast("int"), e + 1 - size % (e + 1)
+    rows = rows.select("cid", "line", "n_chars", "e", once(low=low, size=size, base=base, short=short, bytes=F.col("line").cast("binary"), from_=lo - (e + 1), to=hi + (e + 1)))
+    places = None
+    for edits in sorted({e for _, _, e in of}):
+        own = literals([(i, t) for i in range(1, edits + 2) for t in (range(max(1 - i, i - 1 - edits), i) if probes else (0,))], PLACE)
+        places = F.when(e == edits, own) if places is None else places.when(e == edits, own)
+    rows = rows.select("*", F.inline(places))
+    i, shift, base, short = F.col("i"), F.col("shift"), F.col("base"), F.col("short")
     if probes:
-        # how much shorter a partner of this class may be
-        lo = F.greatest(F.lit(0), n - (F.col("size") + g - 1), n - F.col("below") + 1)
-        hi = F.least(e, n - F.col("size"))
-        rows = rows.where((F.col("size") >= least) & (lo <= hi) & (shift >= lo - (e + 1 - i)) & (shift <= hi + e + 1 - i))
-    start, size = segment(F.col("size"), i, e + 1)
-    rows = rows.select("cid", "line", "n_chars", "counts", "e", "band", "i", "shift", "size", once(at=start + shift, n=size))
+        rows = rows.where((shift >= F.col("from_") + i) & (shift <= F.col("to") - i))
+    start, size = (i - 1) * base + F.greatest(F.lit(0), i - 1 - short) + 1 + shift, base + F.when(i > short, 1).otherwise(0)
     if probes:
-        rows = rows.where("at >= 1 and at + n - 1 <= n_chars")
-    key = F.xxhash64((F.col("size") * 64 + i).cast("int"), F.substring("line", F.col("at"), F.col("n")))
-    head = (((shift + 16) * 16 + i) * 128 + F.col("n_chars") % 128) * 16 + F.col("band")
-    x = F.col("counts").bitwiseOR(F.shiftleft(head.cast("long"), UP))
+        rows = rows.where((start >= 1) & (start + size - 1 <= n))
+    part = F.when(F.octet_length("line") == n, F.substring("bytes", start, size)).otherwise(F.substring("line", start, size).cast("binary"))
+    key = F.xxhash64(F.col("size") * 64 + i, part)
+    x = F.col("low").bitwiseOR(F.shiftleft(((shift + 16) * 16 + i).cast("long"), UP + 11))
     return rows.select(key.alias("k"), "cid", x.alias("x"), "line", "n_chars", "e")
 
 
@@ -119,18 +134,35 @@ def alike_ends(a: Column, b: Column, most: Column, end: bool) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(13))]), F.lit(0), lambda got, n: F.when((got + n <= most) & same(got, n), got + n).otherwise(got))
 
 
+def plain(a: Column, b: Column, na: Column, nb: Column) -> Column:
+    """Whether every character of either text is one byte, so that both may be cut as binary, without counting up to the place."""
+    return (F.octet_length(a) == na) & (F.octet_length(b) == nb)
+
+
+def cut_ends(a: Column, b: Column, na: Column, nb: Column, most: Column) -> Column:
+    """(p, q): lengths of a prefix and a suffix that are alike, ``most`` together."""
+
+    def of(x: Column, y: Column) -> Column:
+        both = lambda p: F.struct(p.alias("p"), alike_ends(x, y, most - p, True).alias("q"))
+        return let(alike_ends(x, y, most, False), both)
+
+    return F.when(plain(a, b, na, nb), of(a.cast("binary"), b.cast("binary"))).otherwise(of(a, b))
+
+
+def between(x: Column, n: Column, cut: Column) -> Column:
+    return F.substring(x, cut.p + 1, n - cut.p - cut.q)
+
+
 def settled(a: Column, b: Column, na: Column, nb: Column, edits: Column, rule) -> Column:
     """Whether two texts are within ``edits``, by what lies between their common prefix and suffix."""
 
     def within(cut: Column) -> Column:
-        part = lambda x, n: F.substring(x, cut.p + 1, n - cut.p - cut.q)
         out = F.lit(False)
         for e in sorted({e for _, e in rule}):
-            out = F.when(edits == e, F.levenshtein(part(a, na), part(b, nb), e) >= 0).otherwise(out)
+            out = F.when(edits == e, F.levenshtein(between(a, na, cut), between(b, nb, cut), e) >= 0).otherwise(out)
         return out
 
-    ends = lambda p: F.struct(p.alias("p"), alike_ends(a, b, F.least(na, nb) - p, True).alias("q"))
-    return let(alike_ends(a, b, F.least(na, nb), False), lambda p: let(ends(p), within))
+    return let(cut_ends(a, b, na, nb, F.least(na, nb)), within)
 
 
 def letter_counts(line: str) -> Column:
@@ -155,27 +187,35 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def banded_distance(a: str, b: str, edits: int) -> Column:
-    """Edit distance of strings a and b with length(a) - length(b) from 0 to ``edits``; above ``edits``, some larger value."""
-    return let(F.split(F.col(a), ""), lambda x: let(F.split(F.col(b), ""), lambda y: _banded(x, y, edits)))
+def banded_distance(a: str, b: str, na: str, nb: str, edits: int) -> Column:
+    """Edit distance of strings a and b with na - nb from 0 to ``edits`` (their lengths, b's above 2 * edits); above ``edits``, some larger value.
+
+    Ends that are alike go first, so that columns are stepped through only where the texts differ; the band's width stays.
+    """
+    x, y, m, n = F.col(a), F.col(b), F.col(na), F.col(nb)
+    pad = F.array_repeat(F.lit(""), edits)
+    rest = lambda cut: let(F.concat(pad, F.split(between(x, m, cut), ""), pad), lambda u: let(F.split(between(y, n, cut), ""), lambda v: _banded(u, v, edits)))
+    return let(cut_ends(x, y, m, n, n - (2 * edits + 1)), rest)
 
 
 def _banded(a: Column, b: Column, edits: int) -> Column:
-    """The distance of two character arrays.
+    """The distance of two character arrays; a has ``edits`` empty strings more at either end.
 
     Bit k of a word stands for row j - edits + k of column j: the band of 2 * edits + 1
     diagonals moves down one row a column. Vertical differences are kept as two words.
     """
     width = 2 * edits + 1
     full, top = (1 << width) - 1, width - 1
-    m, long = F.size(a), lambda x: F.lit(x).cast("long")
+    m, long = F.size(a) - 2 * edits, lambda x: F.lit(x).cast("long")
 
-    def step(acc: Column, j: Column) -> Column:
-        c = F.get(b, j - 1)
+    def alike(j: Column, c: Column) -> Column:
         same = long(0)
         for k in range(width):
-            i = j - edits + k
-            same = same.bitwiseOR(F.when((i >= 1) & (i <= m) & (F.get(a, i - 1) == c), long(1 << k)).otherwise(long(0)))
+            same = same.bitwiseOR(F.when(F.get(a, j + (k - 1)) == c, long(1 << k)).otherwise(long(0)))
+        return same
+
+    def step(acc: Column, j: Column) -> Column:
+        same = let(F.get(b, j - 1), lambda c: alike(j, c))
 
         def with_d0(d0: Column) -> Column:
             hp = acc.vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(acc.vp)).bitwiseAND(long(full)))
@@ -210,15 +250,32 @@ def identity(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
+def pieces_alike(a: str, b: str, na: str, nb: str, edits: int) -> Column:
+    """Whether enough of a's pieces stand near their places in b, true for every pair within ``edits``; a rough look that costs little.
+
+    An edit changes one piece at the most and moves the others by one place. Only lines of one byte a
+    character are looked at, as binary; others are true.
+    """
+    x, y, n = F.col(a).cast("binary"), F.col(b).cast("binary"), F.col(na)
+
+    def found(q: Column) -> Column:
+        at, to = F.floor(n * q / PIECES).cast("int"), F.floor(n * (q + 1) / PIECES).cast("int")
+        return F.contains(F.substring(y, F.greatest(at - edits, F.lit(0)) + 1, to - at + 2 * edits), F.substring(x, at + 1, to - at))
+
+    same = F.aggregate(F.array(*[F.lit(q) for q in range(PIECES)]), F.lit(0), lambda got, q: got + F.when(found(q), 1).otherwise(0))
+    return ~plain(F.col(a), F.col(b), n, F.col(nb)) | (same >= PIECES - edits)
+
+
 def near(rule, la: str, lb: str, na: str, nb: str) -> Column:
     """Whether the longer line b is within the edits that the length of a allows.
 
-    Spark's own distance with a threshold, which is generated code, turns false partners
-    away; the words of the bit-parallel one run in higher-order functions.
+    A look at pieces and Spark's own distance with a threshold, of what lies between ends that are alike, turn false
+    partners away; the words of the bit-parallel one run in higher-order functions.
     """
     out = F.lit(False)
     for least, _, edits in bands(rule):
-        out = F.when(F.col(na) >= least, F.when((F.col(nb) - F.col(na) <= edits) & (F.levenshtein(lb, la, edits) >= 0), banded_distance(lb, la, edits) <= edits).otherwise(False)).otherwise(out)
+        maybe = (F.col(nb) - F.col(na) <= edits) & pieces_alike(la, lb, na, nb, edits) & settled(F.col(la), F.col(lb), F.col(na), F.col(nb), F.lit(edits), ((least, edits),))
+        out = F.when(F.col(na) >= least, F.when(maybe, banded_distance(lb, la, nb, na, edits) <= edits).otherwise(False)).otherwise(out)
     return out
 
 
@@ -261,7 +318,8 @@ def candidates(classes: DataFrame, store: Store, rule, most: int = 16, slot: int
     there = (number > 1) & (shift >= F.greatest(2 - number, less - (edits + 2 - number))) & (shift <= F.least(number - 2, less + edits + 2 - number))
     before = there & (F.substring("la", at, size) == F.substring("lb", at + shift, size))
     on = (F.col("k") == F.col("k2")) & once & close & (F.col("la").isNull() | (~before & settled(F.col("la"), F.col("lb"), F.col("na"), F.col("na") + less, edits, rule)))
-    return i.join(p, on & (F.col("s") == F.col("s2")) if wide else on).select("a", "b").distinct()
+    # a hash join, as the index is by far the smaller side and no key of it has many rows: nothing is sorted for it
+    return i.hint("shuffle_hash").join(p, on & (F.col("s") == F.col("s2")) if wide else on).select("a", "b").distinct()
 
 
 def links(classes: DataFrame, store: Store, rule=BY_LENGTH) -> DataFrame:

@@ -502,3 +502,62 @@ def test_lines_have_few_keys(spark):
     for n, most in ((300, 25), (150, 15), (40, 4)):
         one = spark.createDataFrame([(1, "ab c" * (n // 4), n, 0)], "cid long, line string, n_chars int, counts long")
         assert 0 < lines.keyed(one, lines.BY_LENGTH, True).count() <= most
+
+
+def test_line_keys_meet_by_hash(spark):
+    """The many probes of lines are not sorted to meet the index."""
+    text = "the first line of a few, long enough to have keys"
+    classes = spark.createDataFrame([(i, f"{text} {i}") for i in range(5)], "cid long, line string").withColumn("n_chars", lines.F.length("line")).withColumn("counts", lines.letter_counts("line"))
+    got = lines.candidates(classes, Store(spark), lines.BY_LENGTH)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {(r.a, r.b) for r in got.collect()} == {(a, b) for b in range(5) for a in range(b)}
+
+
+def test_pairs_of_lines_are_judged_alike_in_bytes_and_characters(spark):
+    """The look at pieces turns no pair away that is within the edits; distances of what is between alike ends are those of the whole."""
+    rng = random.Random(21)
+
+    def edit(s, letters):
+        i, k = rng.randrange(len(s)), rng.random()
+        return s[:i] + (rng.choice(letters) if k < 0.6 else "") + s[i + (k < 0.3 or k >= 0.6) :]
+
+    def dist(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rows_ = []
+    for i in range(240):
+        letters = ("ab ", "ab \u00e9\U0001f600", "x")[i % 3]
+        a = "".join(rng.choice(letters) for _ in range(rng.choice((20, 21, 64, 65, 130, 258))))
+        b = a
+        for _ in range(rng.randint(0, 6)):
+            b = edit(b, letters + "q")
+        a, b = sorted((a, b), key=len)
+        if len(a) >= 20:
+            rows_.append((i, a, b, len(a), len(b)))
+    t = spark.createDataFrame(rows_, "i long, la string, lb string, na int, nb int")
+    F = lines.F
+    want = {i: dist(a, b) for i, a, b, _, _ in rows_}
+    for e in (1, 2, 3, 4):
+        own = t.where(F.col("nb") - F.col("na") <= e)
+        got = own.select("i", lines.pieces_alike("la", "lb", "na", "nb", e).alias("pieces"), lines.banded_distance("lb", "la", "nb", "na", e).alias("d"), lines.settled(F.col("la"), F.col("lb"), F.col("na"), F.col("nb"), F.lit(e), ((1, e),)).alias("near")).collect()
+        assert any(want[r.i] <= e for r in got) and any(not r.pieces for r in got)
+        for r in got:
+            assert r.near == (want[r.i] <= e)
+            assert r.d == want[r.i] if want[r.i] <= e else r.d > e
+            assert r.pieces or want[r.i] > e
+
+
+def test_line_keys_are_the_same_in_bytes_and_characters(spark):
+    """A line of one byte a character and one with longer characters have the keys of the segments that are alike."""
+    a = "0123456789" * 7 + "01"
+    b = a[:-1] + "\u00e9"
+    classes = spark.createDataFrame([(0, a, 72, 0), (1, b, 72, 0)], "cid long, line string, n_chars int, counts long")
+    keys = {cid: {r.k for r in lines.keyed(classes, lines.BY_LENGTH, False).collect() if r.cid == cid} for cid in (0, 1)}
+    assert len(keys[0]) == len(keys[1]) == 3 and len(keys[0] & keys[1]) == 2
