@@ -119,7 +119,7 @@ def keyed(classes: DataFrame, rule, probes: bool) -> DataFrame:
     if probes:
         rows = rows.where((start >= 1) & (start + size - 1 <= n))
     part = F.when(F.octet_length("line") == n, F.substring("bytes", start, size)).otherwise(F.substring("line", start, size).cast("binary"))
-    key = F.xxhash64(F.col("size") * 64 + i, part)
+    key = F.xxhash64(F.col("size"), i, part)
     x = F.col("low").bitwiseOR(F.shiftleft(((shift + 16) * 16 + i).cast("long"), UP + 11))
     return rows.select(key.alias("k"), "cid", x.alias("x"), "line", "n_chars", "e")
 
@@ -259,7 +259,7 @@ def pieces_alike(a: str, b: str, na: str, nb: str, edits: int) -> Column:
     x, y, n = F.col(a).cast("binary"), F.col(b).cast("binary"), F.col(na)
 
     def found(q: Column) -> Column:
-        at, to = F.floor(n * q / PIECES).cast("int"), F.floor(n * (q + 1) / PIECES).cast("int")
+        at, to = F.floor(n / PIECES * q).cast("int"), F.floor(n / PIECES * (q + 1)).cast("int")
         return F.contains(F.substring(y, F.greatest(at - edits, F.lit(0)) + 1, to - at + 2 * edits), F.substring(x, at + 1, to - at))
 
     same = F.aggregate(F.array(*[F.lit(q) for q in range(PIECES)]), F.lit(0), lambda got, q: got + F.when(found(q), 1).otherwise(0))
